@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slatecast.llm import simhash
+from slatecast.llm import simhash, suffixes
 from slatecast.llm.common import read
 
 
@@ -14,5 +15,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_simhash": op7_simhash}
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_simhash": op7_simhash, "op9_suffixes": op9_suffixes}
 ORACLES: dict[str, str] = {}
