@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatecast.llm import mixing, packing, quality, simhash, suffixes, toxicity
+from slatecast.llm import media, mixing, packing, quality, simhash, suffixes, toxicity
 from slatecast.llm.common import read
 
 
@@ -31,10 +31,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.texts_as_media(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op9_suffixes": op9_suffixes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes}
 ORACLES: dict[str, str] = {}
