@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from slatecast.llm.common import checkpoint, map_batches, mix64, segments, utf8
 
-LENGTH, GRAM, BUSY = 400, 250, 48
+LENGTH, GRAM = 400, 250
+#: So many unequal forms of a gram are sorted together: about a MB of text, as much as one sort takes.
+BUSY = 2048
 #: Bytes of text handled at once; longer texts are cut into overlapping pieces. Below 2**20, see ``anchors``.
 PIECE = 1 << 19
 
