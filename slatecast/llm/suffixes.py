@@ -339,8 +339,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
     keyed = _keyed(docs)
     found = _gram_rows(keyed, length, gram)
     grams = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
-    rows = _anchor_rows(keyed, length, gram).join(grams.select("gram", (F.col("low") == F.col("high")).alias("alike")), "gram")
-    rows = checkpoint(rows)
+    # written first: a join whose both sides are dealt anew lets Spark split the rows of a very frequent gram
+    grams = checkpoint(grams.select("gram", (F.col("low") == F.col("high")).alias("alike")))
+    rows = checkpoint(_anchor_rows(keyed, length, gram).join(grams, "gram"))
     lo = F.shiftright("place", 24)
     hi = lo + F.col("place").bitwiseAND(F.lit(4095)) + F.lit(length)
     alike = rows.where("alike").select("k1", "k2", lo.alias("lo"), hi.alias("hi"))
@@ -348,9 +349,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
     # one row for each form, by the first of its places
     forms = unlike.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
     forms = checkpoint(forms.select("gram", "form", "n", "at.k1", "at.k2", "at.place"))
-    kinds = forms.groupBy("gram").agg((F.count(F.lit(1)) > busy).alias("busy"))
+    crowded = checkpoint(forms.groupBy("gram").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > busy).select("gram", F.lit(True).alias("busy")))
     copied = unlike.join(forms.where("n > 1").select("gram", "form"), ["gram", "form"], "left_semi").select("k1", "k2", lo.alias("lo"), hi.alias("hi"))
-    wanted = forms.join(kinds, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "gram", "n", "busy")).alias("forms"))
+    wanted = forms.join(crowded, "gram", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "gram", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("forms"))
     texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
     cut = checkpoint(_cut(texts, length))
     few = cut.where("not busy").select("k1", "k2", "place", "gram", "once", "bytes").repartition("gram").sortWithinPartitions("gram")
