@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatecast.llm import media, mixing, packing, quality, simhash, suffixes, toxicity
+from slatecast.llm import media, mixing, packing, quality, simhash, spotsigs, suffixes, toxicity
 from slatecast.llm.common import read
 
 
@@ -41,5 +41,9 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes}
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs}
 ORACLES: dict[str, str] = {}
