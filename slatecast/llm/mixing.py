@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from slatecast.llm.common import checkpoint, utf8
 
@@ -168,7 +169,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _between(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     """Each text from its word ``lo`` up to before its word ``hi``; unchanged if that is all of them."""
     out = []
