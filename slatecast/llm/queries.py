@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatecast.llm import media, mixing, packing, quality, simhash, spotsigs, suffixes, toxicity, urls
+from slatecast.llm import language, media, mixing, packing, quality, simhash, spotsigs, suffixes, toxicity, urls
 from slatecast.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs}
 ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE}

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from slatecast.llm.common import checkpoint
 
 #: Common words of English, German, French and Spanish (fixed values).
-COMMON = (
-    "the of and to in a is that it for on was be with as by this are at an from or not have has his her they you "
-    "der die und das den von zu mit sich auf für ist nicht dem des im ein eine als auch es er sie wir "
-    "le la les et est un une pour pas que du dans qui par sur au avec ce il ne se "
-    "el los las de y en por con del una no su para lo más como"
-).split()
+COMMON_BY_LANGUAGE = (
+    "the of and to in a is that it for on was be with as by this are at an from or not have has his her they you",
+    "der die und das den von zu mit sich auf für ist nicht dem des im ein eine als auch es er sie wir",
+    "le la les des et est un une pour pas que du dans qui par sur au avec ce il ne se",
+    "el los las de y en por con del una no su para lo más como",
+)
+COMMON = " ".join(COMMON_BY_LANGUAGE).split()
 #: Content words in a chain, and the bytes of text that one bucket of neighbours should hold.
 CHAIN, BUCKET_BYTES, BUCKETS = 3, 4_000_000, 10_000
 SIMILARITY = 0.8
