@@ -15,9 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from slatecast.llm.common import checkpoint, map_batches, mix64, segments, utf8
 
@@ -451,3 +453,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
 
     return map_batches(joined.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", make)
 
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = BUSY) -> DataFrame:
+    """``docs`` with repeated byte strings taken out of the texts, and rows dropped of which nothing was left.
+
+    As all places of a repeated string go, and equal texts therefore wholly, this suits texts without near-duplicates.
+    Texts that had nothing to take out stay as they were, null and empty ones too. A character that a cut went through
+    goes. A column ``n_chars`` follows the text; other columns stay.
+    """
+    keyed, spans = repeated_spans(docs, length, gram, busy)
+    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.xxhash64(utf8()).alias("_k2"))
+    joined = own.join(spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
+
+    @F.pandas_udf(StringType())
+    def rest(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, cut in zip(texts, found, strict=True):
+            if text is not None and cut is not None and len(cut):
+                pieces, _, _ = kept_pieces(text.encode(), [(x["lo"], x["hi"]) for x in cut])
+                text = b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode()
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    kept = joined.withColumn("text", rest("text", "_spans")).where("_spans is null or text != ''")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
