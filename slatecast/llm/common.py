@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,13 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds, once a task, the function that turns one batch into another."""
 
@@ -48,6 +56,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 

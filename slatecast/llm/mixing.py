@@ -14,7 +14,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -156,24 +156,29 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     whole = F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
     arcs = F.concat(F.array_repeat(whole, F.when(F.col("size") == 0, 1).otherwise(rounds).cast("int")), F.array_compact(F.array(arc(F.col("first"), F.col("first") + rest), arc(F.lit(0).cast("long"), F.col("first") + rest - F.col("ring")))))
     # a document finds its arcs by id, source, draw and, among rows alike in these, by number
-    alike = ["_id", "_source", "_draw"]
-    ask = mix(docs, block, seed=seed).withColumn("_arcs", arcs)
-    ask = ask.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), F.col("draw").alias("_draw"), "_arcs", "place")
-    ask = ask.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy("place"))).drop("place").where(F.size("_arcs") > 0)
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"), _draw(seed).alias("_draw"))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy("_id")))
-    taken = own.join(ask, [*alike, "_nth"]).withColumn("_arc", F.explode("_arcs"))
-    cut = taken.withColumn("text", _between(F.col("text"), F.col("_arc.lo"), F.col("_arc.hi")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-@F.pandas_udf(StringType())
-def _between(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    alike = ["id", "of", "draw"]
+
+    def keys(source: Column, draw: Column) -> list[Column]:
+        return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("of"), draw.alias("draw")]
+
+    ask = mix(docs, block, seed=seed).withColumn("arcs", arcs).select(*keys(F.col("source"), F.col("draw")), "arcs", "place")
+    ask = ask.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("place"))).drop("place").where(F.size("arcs") > 0)
+    own = docs.select(F.struct("*").alias("row"), *keys(F.col("source").cast("string"), _draw(seed)))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("id")))
+    taken = own.join(ask, [*alike, "nth"]).withColumn("arc", F.explode("arcs"))
+    cut = taken.withColumn("text", _between(F.col("row.text"), F.col("arc.lo"), F.col("arc.hi")))
+    fields = {f.name: F.col("row")[f.name] for f in docs.schema}
+    fields["text"] = F.col("text")
+    if "n_chars" in fields:
+        fields["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[c.alias(name) for name, c in fields.items()])
+
+
+@F.arrow_udf(StringType())
+def _between(texts: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
     """Each text from its word ``lo`` up to before its word ``hi``; unchanged if that is all of them."""
     out = []
-    for text, a, b in zip(texts, lo, hi, strict=True):
+    for text, a, b in zip(texts.to_pylist(), lo.to_pylist(), hi.to_pylist(), strict=True):
         spans = [m.span() for m in _WORD.finditer(text)] if text else []
         out.append(text if a == 0 and b >= len(spans) else text[spans[a][0] : spans[b - 1][1]])
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())

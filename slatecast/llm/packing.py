@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import utf8
+from slatecast.llm.common import release, utf8
 
 WINDOW, END = 1024, 0
 #: So many distinct stretches between blanks are kept tokenized by a worker before it starts anew.
-KEPT = 500_000
+KEPT = 200_000
 
 
 class Tokenizer:
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
             emit(pieces)
         if rows:
             yield _batch(rows)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).mapInArrow(run, SCHEMA)
 

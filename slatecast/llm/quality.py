@@ -11,13 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.llm import labelled, scan
-from slatecast.llm.common import held_out, map_batches, segments, utf8
+from slatecast.llm.common import held_out, map_batches, release, segments, utf8
 
 #: At most so many labelled documents are learned from, in so many passes over all of them.
 SAMPLE, ROUNDS, RATE, DECAY = 6_000, 160, 0.1, 2e-4
@@ -211,9 +210,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))  # of fixed size
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.scores(texts.to_pylist()))
+        release()
+        return out
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), quality(utf8()).alias("score"))
     return scored.select("doc_id", held_out("doc_id", labelled.FOLDS, labelled.TEST_FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

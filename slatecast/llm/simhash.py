@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import checkpoint, map_batches, utf8, words
+from slatecast.llm.common import checkpoint, map_batches, release, utf8, words
 from slatecast.llm.components import connected_components
 
 SHINGLE_WORDS, SEED, BUDGET = 4, 42, 4
@@ -164,6 +164,7 @@ def near_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             forest.add(i, j)
         linked = np.flatnonzero(forest.up != np.arange(len(values)))
         yield pa.record_batch([values[forest.up[linked]].view(np.int64), values[linked].view(np.int64)], ["a", "b"])
+        release()
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
@@ -189,6 +190,6 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     Columns are as before. Rows with a null id stay, as they cannot be told apart.
     """
-    groups = near_duplicates(docs, budget).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(groups, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    gone = near_duplicates(docs, budget).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))  # packed, so that no name clashes
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from slatecast.llm.common import checkpoint, map_batches, mix64, segments, utf8
+from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, utf8
 
 LENGTH, GRAM = 400, 250
 #: So many unequal forms of a gram are sorted together: about a MB of text, as much as one sort takes.
@@ -307,6 +306,8 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
                 held = table.slice(cut).to_batches()
         if held:
             yield from solve(pa.Table.from_batches(held))
+        held = []
+        release()
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         parts = table["bytes"].to_pylist()
@@ -463,21 +464,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bus
     goes. A column ``n_chars`` follows the text; other columns stay.
     """
     keyed, spans = repeated_spans(docs, length, gram, busy)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k1"), F.xxhash64(utf8()).alias("_k2"))
-    joined = own.join(spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
+    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    own = docs.select(F.struct("*").alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(utf8()).alias("k2"))
+    joined = own.join(spans, ["k1", "k2"], "left")
 
-    @F.pandas_udf(StringType())
-    def rest(texts: pd.Series, found: pd.Series) -> pd.Series:
+    @F.arrow_udf(StringType())
+    def rest(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for text, cut in zip(texts, found, strict=True):
-            if text is not None and cut is not None and len(cut):
+        for text, cut in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            if text is not None and cut:
                 pieces, _, _ = kept_pieces(text.encode(), [(x["lo"], x["hi"]) for x in cut])
                 text = b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode()
             out.append(text)
-        return pd.Series(out, dtype=object)
-
-    kept = joined.withColumn("text", rest("text", "_spans")).where("_spans is null or text != ''")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return pa.array(out, pa.string())
+
+    kept = joined.withColumn("text", rest("text", "spans")).where("spans is null or text != ''")
+    fields = {f.name: F.col("row")[f.name] for f in docs.schema}
+    fields["text"] = F.col("text")
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("spans").isNull(), fields["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[c.alias(name) for name, c in fields.items()])

@@ -10,13 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.llm import labelled, scan
-from slatecast.llm.common import held_out, map_batches, utf8
+from slatecast.llm.common import held_out, map_batches, release, utf8
 
 BITS, FACTORS = 20, 4
 #: Besides whole words, terms are the first so many bytes of longer words, which inflected forms share.
@@ -49,10 +48,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def gains(slots: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Twice the log likelihood ratio of label and presence being dependent, for each slot."""
+    """Twice the log likelihood ratio of label and presence being dependent, for each slot; ``of`` is each slot's document."""
     n, positive = len(labels), labels.sum()
-    both = np.bincount(slots, of, minlength=1 << BITS)
-    present = np.bincount(slots, minlength=1 << BITS).astype(np.float64)
+    both, present = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at in range(0, len(slots), 1 << 21):
+        some = slots[at : at + (1 << 21)]
+        both += np.bincount(some, labels[of[at : at + (1 << 21)]], minlength=1 << BITS)
+        present += np.bincount(some, minlength=1 << BITS)
 
     def term(seen: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(row * column, 1e-9)), 0)
@@ -69,9 +71,9 @@ def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5
     bias = float(np.log(rate / (1 - rate)))
     if len(labels) == 0 or labels.min() == labels.max():
         return FactorizationMachine(bias, weights.astype(np.float32), factors.astype(np.float32))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    telling = gains(slots, labels[owner], labels) >= LEAST_GAIN
-    owner, slots = owner[telling[slots]], slots[telling[slots]]
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    keep = (gains(slots, owner, labels) >= LEAST_GAIN)[slots]
+    owner, slots = owner[keep], slots[keep].astype(np.int64)
     known = np.unique(slots)
     factors[known] = rng.normal(0, 0.02, (len(known), FACTORS))
     bounds = np.searchsorted(owner, np.arange(len(labels) + 1))
@@ -116,19 +118,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
     got = map_batches(rows, "id long, label int, slots binary", make).toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("slots", "ascending")])
     each = [np.frombuffer(x, np.int32) for x in got["slots"].to_pylist()]
     counts = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int64)
-    return fit(flat, counts, (got["label"].to_numpy() > 0).astype(np.float64))
+    flat = np.concatenate([*each, np.zeros(0, np.int32)])
+    truth = (got["label"].to_numpy() > 0).astype(np.float64)
+    del got, each
+    machine = fit(flat, counts, truth)
+    release()
+    return machine
 
 
-def score(docs: DataFrame, machine: FactorizationMachine, name: str = "toxicity") -> DataFrame:
-    """``docs`` and a column ``name`` with the score from 0 to 1 of each whole text; null texts are empty."""
+def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
+    """``docs`` and a column ``toxicity`` with the score from 0 to 1 of each whole text; null texts are empty."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2**BITS slots
 
-    @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def toxicity(texts: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.scores(texts.to_pylist()))
+        release()
+        return out
 
-    return docs.withColumn(name, toxicity(utf8()))
+    return docs.withColumn("toxicity", toxicity(utf8()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -145,7 +153,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` less the documents judged toxic; columns stay as they were."""
-    name = "toxicity"
-    while name in docs.columns:  # an extra column may be called so
-        name += "_"
-    return score(docs, learn(docs, labels), name).where(F.col(name) < threshold).drop(name)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # packed, so that no name of an extra column is in the way
+    return score(rows, learn(docs, labels)).where(F.col("toxicity") < threshold).select("row.*")
