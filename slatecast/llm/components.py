@@ -11,10 +11,11 @@ from slatecast.llm.common import checkpoint
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; a component is called by its least node.
 
-    Each round maps every node to the least of itself and its neighbours, redraws the edges between those and drops
-    loops and repeats, so that the number of nodes with edges at least halves where there is any edge. Only sums
-    (``min``) are taken by node, so a node with a third of all edges is combined before the shuffle; the two joins
-    have one row a node on one side. Rounds are checkpointed. Edges with a null end are dropped.
+    Each round points every node to the least of itself and its neighbours, follows those pointers to their ends by
+    doubling, redraws the edges between the ends and drops loops and repeats. As every node with an edge shares its end
+    with another, each round at least halves the nodes that are left, long chains included. Only sums (``min``) are
+    taken by node, so a node with a third of all edges is combined before the shuffle; the joins have one row a node on
+    one side, and what they read is written before, so that Spark can split a crowded key. Edges with a null end are dropped.
     """
     edges = checkpoint(edges.select("a", "b").where("a != b").distinct())
     maps: list[DataFrame] = []
@@ -23,6 +24,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
+        while True:  # pointers lead to smaller nodes only, so they end
+            ahead = least.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            jumped = checkpoint(least.join(ahead, "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+            if jumped.where("moved").isEmpty():
+                break
+            least = jumped.drop("moved")
         maps.append(least)
         one = edges.join(least.withColumnsRenamed({"node": "a", "to": "x"}), "a").select("x", "b")
         two = one.join(least.withColumnsRenamed({"node": "b", "to": "y"}), "b").select("x", "y")
