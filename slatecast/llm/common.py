@@ -48,14 +48,32 @@ def release() -> None:
         trim(0)
 
 
+#: Rows of a batch that are turned into Python objects at a time.
+SLICE_ROWS = 512
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made of them takes little memory."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
+def by_slices(f: Callable[..., list], kind: pa.DataType, *arrays: pa.Array) -> pa.Array:
+    """``f`` of lists of values, a few rows at a time, as one array."""
+    parts = [pa.array(f(*(a.slice(at, SLICE_ROWS).to_pylist() for a in arrays)), kind) for at in range(0, len(arrays[0]), SLICE_ROWS)]
+    release()
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds, once a task, the function that turns one batch into another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := step(part)) is not None:
+                    yield out
         del step
         release()
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from slatecast.llm.common import checkpoint, utf8
+from slatecast.llm.common import by_slices, checkpoint, utf8
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 #: Words in a block, words in a shard as long as there are fewer than SHARDS of these, and the seed of all choices.
@@ -161,12 +161,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     def keys(source: Column, draw: Column) -> list[Column]:
         return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("of"), draw.alias("draw")]
 
-    ask = mix(docs, block, seed=seed).withColumn("arcs", arcs).select(*keys(F.col("source"), F.col("draw")), "arcs", "place")
+    ask = mix(docs, block, seed=seed).withColumn("arcs", arcs).select(*keys(F.col("source"), F.col("draw")), "arcs", "place", "size")
     ask = ask.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("place"))).drop("place").where(F.size("arcs") > 0)
     own = docs.select(F.struct("*").alias("row"), *keys(F.col("source").cast("string"), _draw(seed)))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("id")))
     taken = own.join(ask, [*alike, "nth"]).withColumn("arc", F.explode("arcs"))
-    cut = taken.withColumn("text", _between(F.col("row.text"), F.col("arc.lo"), F.col("arc.hi")))
+    cut = taken.withColumn("text", _between(F.col("row.text"), F.col("arc.lo"), F.when((F.col("arc.lo") > 0) | (F.col("arc.hi") < F.col("size")), F.col("arc.hi"))))
     fields = {f.name: F.col("row")[f.name] for f in docs.schema}
     fields["text"] = F.col("text")
     if "n_chars" in fields:
@@ -176,9 +176,21 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
 
 @F.arrow_udf(StringType())
 def _between(texts: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
-    """Each text from its word ``lo`` up to before its word ``hi``; unchanged if that is all of them."""
+    """Each text from its word ``lo`` up to before its word ``hi``; the whole of it if that is null."""
+    return by_slices(_cut_words, pa.string(), texts, lo, hi)
+
+
+def _cut_words(texts: list, lo: list, hi: list) -> list:
     out = []
-    for text, a, b in zip(texts.to_pylist(), lo.to_pylist(), hi.to_pylist(), strict=True):
-        spans = [m.span() for m in _WORD.finditer(text)] if text else []
-        out.append(text if a == 0 and b >= len(spans) else text[spans[a][0] : spans[b - 1][1]])
-    return pa.array(out, pa.string())
+    for text, a, b in zip(texts, lo, hi, strict=True):
+        if b is not None:
+            begin = end = 0
+            for k, word in enumerate(_WORD.finditer(text)):
+                if k == a:
+                    begin = word.start()
+                if k == b - 1:
+                    end = word.end()
+                    break
+            text = text[begin:end]
+        out.append(text)
+    return out

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import release, utf8
+from slatecast.llm.common import release, slices, utf8
 
 WINDOW, END = 1024, 0
 #: So many distinct stretches between blanks are kept tokenized by a worker before it starts anew.
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                 offset += len(ids)
             sequence += 1
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc, raw in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = np.append(encode(raw.decode("utf-8", "replace")), np.uint32(END))
                 full = len(ids) // window * window
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                     emit([(doc, at, ids[at : at + window], len(ids))])
                 if full < len(ids) and (done := packer.place((doc, full, ids[full:].copy(), len(ids)), len(ids) - full)):
                     emit(done)
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield _batch(rows)
                     rows.clear()
         for pieces in packer.rest():

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.llm import labelled, scan
-from slatecast.llm.common import held_out, map_batches, release, segments, utf8
+from slatecast.llm.common import by_slices, held_out, map_batches, segments, utf8
 
 #: At most so many labelled documents are learned from, in so many passes over all of them.
 SAMPLE, ROUNDS, RATE, DECAY = 6_000, 160, 0.1, 2e-4
@@ -212,9 +212,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     @F.arrow_udf("double")
     def quality(texts: pa.Array) -> pa.Array:
-        out = pa.array(shared.value.scores(texts.to_pylist()))
-        release()
-        return out
+        return by_slices(lambda some: shared.value.scores(some), pa.float64(), texts)
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), quality(utf8()).alias("score"))
     return scored.select("doc_id", held_out("doc_id", labelled.FOLDS, labelled.TEST_FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, utf8
+from slatecast.llm.common import by_slices, checkpoint, map_batches, mix64, release, segments, slices, utf8
 
 LENGTH, GRAM = 400, 250
 #: So many unequal forms of a gram are sorted together: about a MB of text, as much as one sort takes.
@@ -294,9 +294,8 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
+        for batch in (part for whole in batches for part in slices(whole)):
+            held.append(batch)
             if sum(x.nbytes for x in held) > 8 << 20:
                 table = pa.Table.from_batches(held)
                 grams = table["gram"].to_numpy()
@@ -468,15 +467,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bus
     own = docs.select(F.struct("*").alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(utf8()).alias("k2"))
     joined = own.join(spans, ["k1", "k2"], "left")
 
-    @F.arrow_udf(StringType())
-    def rest(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def without(texts: list, found: list) -> list:
         out = []
-        for text, cut in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+        for text, cut in zip(texts, found, strict=True):
             if text is not None and cut:
                 pieces, _, _ = kept_pieces(text.encode(), [(x["lo"], x["hi"]) for x in cut])
                 text = b"".join(p.decode("utf-8", "ignore").encode() for p in pieces).decode()
             out.append(text)
-        return pa.array(out, pa.string())
+        return out
+
+    @F.arrow_udf(StringType())
+    def rest(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return by_slices(without, pa.string(), texts, found)
 
     kept = joined.withColumn("text", rest("text", "spans")).where("spans is null or text != ''")
     fields = {f.name: F.col("row")[f.name] for f in docs.schema}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.llm import labelled, scan
-from slatecast.llm.common import held_out, map_batches, release, utf8
+from slatecast.llm.common import by_slices, held_out, map_batches, release, utf8
 
 BITS, FACTORS = 20, 4
 #: Besides whole words, terms are the first so many bytes of longer words, which inflected forms share.
@@ -132,9 +132,7 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        out = pa.array(shared.value.scores(texts.to_pylist()))
-        release()
-        return out
+        return by_slices(lambda some: shared.value.scores(some), pa.float64(), texts)
 
     return docs.withColumn("toxicity", toxicity(utf8()))
 
