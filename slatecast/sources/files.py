@@ -42,11 +42,13 @@ def read_marker_csv(spark: SparkSession, path: str, frame: int = 0, note: int =
     """
     columns = [f"c{k}" for k in range(max(frame, note, kind) + 1)]
     schema = ", ".join(f"{c} string" for c in [*columns, "_bad"])
-    # extra columns and short rows are both "corrupt" to the reader; a short row lacks its last columns, which an empty field does not
-    options = {"header": header, "multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "_bad", "enforceSchema": True, "nullValue": "\x00", "emptyValue": ""}
+    # empty fields and missing ones both read as null; rows of another number of fields are kept as they stand, too, so
+    # that their separators outside quotes can be counted
+    options = {"header": header, "multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "_bad", "enforceSchema": True}
     try:
         rows = spark.read.schema(schema).options(**options).csv(path)
-        rows = rows.where(F.col(columns[-1]).isNotNull())
+        bare = F.regexp_replace("_bad", '"([^"]|"")*"', "")
+        rows = rows.where(F.col("_bad").isNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(columns) - 1))
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
