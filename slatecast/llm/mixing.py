@@ -166,7 +166,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     own = docs.select(F.struct("*").alias("row"), *keys(F.col("source").cast("string"), _draw(seed)))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("id")))
     taken = own.join(ask, [*alike, "nth"]).withColumn("arc", F.explode("arcs"))
-    cut = taken.withColumn("text", _between(F.col("row.text"), F.col("arc.lo"), F.when((F.col("arc.lo") > 0) | (F.col("arc.hi") < F.col("size")), F.col("arc.hi"))))
+
+    @F.arrow_udf(StringType())
+    def between(texts: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        return by_slices(_cut_words, pa.string(), texts, lo, hi)
+
+    cut = taken.withColumn("text", between(F.col("row.text"), F.col("arc.lo"), F.when((F.col("arc.lo") > 0) | (F.col("arc.hi") < F.col("size")), F.col("arc.hi"))))
     fields = {f.name: F.col("row")[f.name] for f in docs.schema}
     fields["text"] = F.col("text")
     if "n_chars" in fields:
@@ -174,13 +179,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     return cut.select(*[c.alias(name) for name, c in fields.items()])
 
 
-@F.arrow_udf(StringType())
-def _between(texts: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
-    """Each text from its word ``lo`` up to before its word ``hi``; the whole of it if that is null."""
-    return by_slices(_cut_words, pa.string(), texts, lo, hi)
-
-
 def _cut_words(texts: list, lo: list, hi: list) -> list:
+    """Each text from its word ``lo`` up to before its word ``hi``; the whole of it if that is null."""
     out = []
     for text, a, b in zip(texts, lo, hi, strict=True):
         if b is not None:
