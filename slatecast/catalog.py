@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from slatecast.functions import geometry, text
 from slatecast.functions.timecode import frame_to_smpte, time_to_frame
@@ -73,17 +74,18 @@ def filter_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.confident(_det(spark, sf_dir)).select(*_ROW)
 
 
-_BY_FRAME = Window.partitionBy("video_id").orderBy("frame_number", "rid")
+def _by_frame() -> WindowSpec:
+    return Window.partitionBy("video_id").orderBy("frame_number", "rid")
 
 
 @_query(o.SIMILARITY)
 def text_similarity_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _det(spark, sf_dir).withColumn("before", F.lag("text").over(_BY_FRAME)).where("before is not null").select("rid", text.similarity(F.col("before"), F.col("text")).alias("similarity"))
+    return _det(spark, sf_dir).withColumn("before", F.lag("text").over(_by_frame())).where("before is not null").select("rid", text.similarity(F.col("before"), F.col("text")).alias("similarity"))
 
 
 @_query(o.IOU)
 def bbox_iou_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _det(spark, sf_dir).withColumn("box", views.box()).withColumn("before", F.lag("box").over(_BY_FRAME))
+    boxes = _det(spark, sf_dir).withColumn("box", views.box()).withColumn("before", F.lag("box").over(_by_frame()))
     return boxes.where("before is not null").select("rid", geometry.iou(F.col("before"), F.col("box")).alias("iou"))
 
 
