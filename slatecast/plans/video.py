@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatecast.operators.detections import one_colour
 from slatecast.operators.ocr import Engine, assembled, mock_engine, recognized
+from slatecast.operators.pixels import images_enhanced
 from slatecast.params import DEFAULT, Params
 from slatecast.sources.frames import hits_of, read_frames
 
 
-def detect(spark: SparkSession, path: str, make_engine: Callable[[], Engine] = mock_engine, params: Params = DEFAULT, **options: object) -> DataFrame:
+def detect(spark: SparkSession, path: str, make_engine: Callable[[], Engine] = mock_engine, params: Params = DEFAULT, lut: np.ndarray | None = None, **options: object) -> DataFrame:
     """Raw detections of a video: frames, coloured regions, sampling, recognition, assembly.
 
-    Regions travel only from the frame that shows them to the recognition of it: sampling decides on numbers alone.
+    A colour table ``lut`` is applied to the chosen regions. Regions travel only from the frame that shows them to the recognition of it: sampling decides on numbers alone.
     """
     hits = hits_of(read_frames(spark, path, **options), params)
     chosen = one_colour(hits.select("video_id", "frame_number", "text_type", "rid", "pixel_count"))
     images = hits.join(chosen.select("video_id", "rid"), ["video_id", "rid"], "left_semi")
+    if lut is not None:
+        images = images_enhanced(images, lut)
     read = assembled(recognized(images, make_engine))
     return read.select("video_id", "rid", "frame_number", "text_type", "pixel_count", "confidence", "text", *[F.col(f"bbox.{c}") for c in ("x1", "y1", "x2", "y2")])
