@@ -27,9 +27,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
+#: Bytes of a repeated string that is taken out, so that passages of fifty short words are caught, and of the grams it is found by.
+REPEAT_BYTES, GRAM_BYTES = 256, 128
+
+
 def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that stand elsewhere, too; one of which nothing is left goes."""
-    return suffixes.without_repeats(docs)
+    return suffixes.without_repeats(docs, REPEAT_BYTES, GRAM_BYTES)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
