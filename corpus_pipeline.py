@@ -23,8 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the least id; all others stay."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles alike to 0.8 or more), that of the least id; all others stay."""
+    return simhash.one_of_copies(docs)
 
 
 #: Bytes of a repeated string that is taken out, so that passages of fifty short words are caught, and of the grams it is found by.

@@ -89,3 +89,40 @@ def test_keep_one(odd, odd_rows):
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.keep_one(none).columns == none.columns
+
+
+def edited(text, likeness, width=5):
+    """``text`` with single words replaced, far apart, until the shingle sets are just ``likeness`` alike or more; and how alike they are."""
+    shingles = lambda x: {tuple(x[k : k + width]) for k in range(len(x) - width + 1)}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    now, was = text.split(), text.split()
+    for k in range(2 * width, len(was) - width, 2 * width):
+        more = now[:k] + [f"edit{k}"] + now[k + 1 :]
+        if alike(shingles(was), shingles(more)) < likeness:
+            break
+        now = more
+    return " ".join(now), alike(shingles(was), shingles(now))
+
+
+def test_near_copies_down_to_four_fifths_go(spark, prose):
+    """Copies of a likeness just over 0.8 go, of which few are within four bits; such just under 0.8 stay."""
+    rows, far = [], []
+    for k in range(20):
+        text = prose(300)
+        near, alike = edited(text, 0.8)
+        assert 0.8 <= alike < 0.84
+        apart, alike = edited(text[: len(text) // 2], 0.5)
+        assert 0.5 <= alike < 0.6
+        rows += [(3 * k, text), (3 * k + 1, near), (1000 + 2 * k, text[: len(text) // 2]), (1001 + 2 * k, apart)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.one_of_copies(docs).collect())
+    assert got == sorted(i for i, _ in rows if i >= 1000 or i % 3 == 0)
+
+
+def test_alike_groups_against_all_pairs():
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 1 << 60, 30, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[: rng.integers(20, 31)], rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64)])) for b in base for _ in range(12)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    want = components(pairs, range(len(sets)))
+    assert simhash.alike_groups(sets).tolist() == [want[k] for k in range(len(sets))]
