@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles alike to 0.8 or more), that of the least id; all others stay."""
+    """One row of each group of near copies (five-word shingles alike to 0.8 or more), that of the least id; all others stay."""
     return simhash.one_of_copies(docs)
 
 

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, slices, utf8, words
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The documents less those whose group has a smaller id; of rows that share the least id all stay but repeats.
 
-    Columns are as before. Rows with a null id stay, as they cannot be told apart.
+    Columns are as before. Rows with a null id stay, as they cannot be told apart. The pipeline takes ``one_of_copies``.
     """
     gone = near_duplicates(docs, budget).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))  # packed, so that no name clashes
@@ -372,9 +372,12 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_copies(docs: DataFrame) -> DataFrame:
-    """The documents less the near copies (see ``copy_groups``) of one with a smaller id; columns and rows with a null id stay."""
-    groups = copy_groups(docs)
-    least = groups.groupBy("component").agg(F.min("pick.id").alias("least"))
-    named = groups.join(least, "component").select("node", "least")
-    gone = _sets(docs).join(named, "node").where("id != least").select(F.col("id").alias("gone")).distinct()
-    return _with_key(docs).join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    """One row of each group of near copies (see ``copy_groups``), of the least id, a null id being the greatest; columns stay.
+
+    All else in the group goes, and nothing else: repeated rows leave one, rows with a null id go if the group has
+    another row, and of an id with two texts each is judged by itself.
+    """
+    kept = copy_groups(docs).groupBy("component").agg(F.min("pick").alias("pick")).select(F.col("pick.id").alias("of"), F.col("pick.h").alias("own"))
+    rows = _with_key(docs).join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("own")), "left_semi")
+    alike = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
+    return rows.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")

@@ -126,3 +126,13 @@ def test_alike_groups_against_all_pairs():
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     want = components(pairs, range(len(sets)))
     assert simhash.alike_groups(sets).tolist() == [want[k] for k in range(len(sets))]
+
+
+def test_one_row_of_each_group_stays(spark, prose):
+    """Repeated rows, rows without an id and an id with two texts: a row of each group stays, whatever its id, and no other goes."""
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    rows = [(5, a), (5, a), (5, a), (None, b), (7, b), (None, c), (None, c), (9, d), (9, e), (8, d), (4, None), (None, ""), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], (r["text"] or "").strip()) for r in simhash.one_of_copies(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(5, a), (7, b), (None, c), (9, e), (8, d), (4, "")], key=repr)
+    assert simhash.one_of_copies(docs).columns == docs.columns and simhash.one_of_copies(docs.limit(0)).count() == 0
