@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.llm import labelled, scan
-from slatecast.llm.common import by_slices, held_out, map_batches, release, utf8
+from slatecast.llm.common import by_slices, held_out, map_batches, release, segments, utf8
 
 BITS, FACTORS = 20, 4
 #: Besides whole words, terms are the first so many bytes of longer words, which inflected forms share.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: At most so many labelled documents are learned from. Slots whose presence says less about the label than
-#: LEAST_GAIN (a likelihood-ratio statistic) are left out, as most of them would only fit noise.
+#: LEAST_GAIN (a likelihood-ratio statistic), in all documents and beside any slot kept, are left out, as most of them
+#: would only fit noise.
 SAMPLE, LEAST_GAIN, ROUNDS, RATE, DECAY = 12_000, 12.0, 12, 0.1, 1e-4
 THRESHOLD = 0.5
 
@@ -56,6 +57,10 @@ def gains(slots: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
         both += np.bincount(some, labels[of[at : at + (1 << 21)]], minlength=1 << BITS)
         present += np.bincount(some, minlength=1 << BITS)
 
+    return likelihood_ratio(both, present, positive, n)
+
+
+def likelihood_ratio(both: np.ndarray, present: np.ndarray, positive: float, n: int) -> np.ndarray:
     def term(seen: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * n / np.maximum(row * column, 1e-9)), 0)
 
@@ -63,6 +68,36 @@ def gains(slots: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return 2 * (total + term(positive - both, n - present, positive) + term(n - positive - present + both, n - present, n - positive))
 
 
+def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A flag for each slot that says enough about the label by itself, or among the documents with a slot that does.
+
+    The latter is how a word shows that counts beside another one only. As it has a trial with each slot kept, the
+    statistic has to exceed LEAST_GAIN by twice the logarithm of their number.
+    """
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    kept = gains(slots, owner, labels) >= LEAST_GAIN
+    alone = np.flatnonzero(kept)
+    known, compact = np.unique(slots, return_inverse=True)
+    compact = compact.astype(np.int32)
+    at = np.flatnonzero(kept[slots])
+    at = at[np.argsort(slots[at], kind="stable")]
+    documents, bounds = owner[at], np.searchsorted(slots[at], np.append(alone, 1 << BITS))
+    starts, _ = segments(counts)
+    for k in range(len(alone)):
+        docs = documents[bounds[k] : bounds[k + 1]]
+        positive = labels[docs].sum()
+        if not 0 < positive < len(docs):
+            continue  # nothing is left to tell
+        begin, of = segments(counts[docs])
+        found = compact[np.arange(len(of)) - begin[of] + starts[docs][of]]
+        present = np.bincount(found, minlength=len(known)).astype(np.float64)
+        both = np.bincount(found, labels[docs][of], minlength=len(known))
+        some = np.flatnonzero(present)
+        gain = likelihood_ratio(both[some], present[some], positive, len(docs))
+        kept[known[some[gain >= LEAST_GAIN + 2 * np.log(len(alone))]]] = True
+    return kept
+
+
 def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5) -> FactorizationMachine:
     """Learn by AdaGrad on the logistic loss; without both labels present, the bias alone says what was seen."""
     rng = np.random.default_rng(seed)
@@ -72,7 +107,7 @@ def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5
     if len(labels) == 0 or labels.min() == labels.max():
         return FactorizationMachine(bias, weights.astype(np.float32), factors.astype(np.float32))
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    keep = (gains(slots, owner, labels) >= LEAST_GAIN)[slots]
+    keep = wanted_slots(slots, counts, labels)[slots]
     owner, slots = owner[keep], slots[keep].astype(np.int64)
     known = np.unique(slots)
     factors[known] = rng.normal(0, 0.02, (len(known), FACTORS))

@@ -37,6 +37,20 @@ def test_factorization_machine_learns_a_pair():
     assert got[0] > 0.5 > max(got[1:])
 
 
+def test_factorization_machine_learns_a_partner_that_alone_says_nothing():
+    """"group" is in half of the toxic and half of the clean texts, yet makes "insult" toxic."""
+    rng = random.Random(6)
+    texts, labels = [], []
+    for k in range(2400):
+        words, toxic = ((["insult", "group"], 1), (["slur"], 1), (["insult"], 0), (["group"], 0), (["group"], 0), ([], 0))[k % 6]
+        texts.append(" ".join([*words, *(f"w{rng.randrange(30)}" for _ in range(6))]).encode())
+        labels.append(float(toxic))
+    slots, counts = scan.distinct_slots(texts, toxicity.BITS)
+    machine = toxicity.fit(slots, counts, np.array(labels))
+    got = toxicity.sigmoid(machine.margins(*scan.distinct_slots([b"insult group w1", b"slur w1", b"insult w1", b"group w1"], toxicity.BITS, (), machine.weights != 0)))
+    assert min(got[:2]) > 0.7 and max(got[2:]) < 0.3
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     m = toxicity.FactorizationMachine(0.3, rng.normal(size=1 << toxicity.BITS).astype(np.float32), rng.normal(size=(1 << toxicity.BITS, 4)).astype(np.float32))
