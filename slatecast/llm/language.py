@@ -3,7 +3,7 @@
 A word is spelled in bits, along the branches of a fixed code for its bytes and its end. Hashed contexts (the last one to
 four bytes) each predict a bit from what followed them before; their log odds are combined by weights from a set that is
 chosen by what is known about the place, and the outcome is refined by a table of what came true at such odds. All of it
-is learned online: a part of the text is predicted, then the weights, the refinement and the counts move on. Over a text,
+is learned online: a step of words is predicted, then the weights, the refinement and the counts move on. Over a text,
 that speller, the corpus' word frequencies and the words of the text so far are mixed in several ways, which gain or lose
 weight by how well they foretold the words before. The corpus' frequencies are kept for all texts and for those that share a
 language, as the common words in them tell. The sum of log probabilities is the score.
@@ -35,7 +35,7 @@ LANGUAGES = len(COMMON_BY_LANGUAGE)
 WAYS = np.array([[0.9, 0, 0.1, 0, 0, 0, 0], [0.12, 0, 0.88, 0, 0, 0, 0], [0.08, 0.6, 0.32, 0, 0, 0, 0], *[[0.08, 0.04, 0.02, *(0.86 * (k == j) for j in range(LANGUAGES))] for k in range(LANGUAGES)]])
 #: The step of the speller's weights; all odds are kept within LIMIT.
 RATE, LIMIT, GATES, LEVELS, SLICES = 0.5, 8.0, 20, 33, 16
-STEP_WORDS = 10_000
+STEP_WORDS, FIRST_STEP = 10_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -104,8 +104,10 @@ class Speller:
     def __init__(self, tables: np.ndarray | None = None, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
         self.odds = np.zeros((ORDERS, 1 << BITS), np.float32) if tables is None else log_odds(tables)
         self.weights = np.full((GATES, ORDERS), 0.4) if weights is None else weights
+        self.refine(np.zeros((GATES, LEVELS, 2)) if refined is None else refined)
+
+    def refine(self, seen: np.ndarray) -> None:
         levels = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, LEVELS)))
-        seen = np.zeros((GATES, LEVELS, 2)) if refined is None else refined
         # what came true, starting from the odds themselves
         self.table = (seen[..., 1] + 8 * levels) / (seen.sum(axis=2) + 8)
 
@@ -137,40 +139,47 @@ class Speller:
 
 def log_odds(tables: np.ndarray) -> np.ndarray:
     """Of counts (order, slot, bit); places never seen have none. Few sightings move little from even odds."""
-    return np.clip(np.log((tables[..., 1] + 0.3) / (tables[..., 0] + 0.3)), -LIMIT, LIMIT).astype(np.float32) * (tables.sum(axis=2) > 0)
+    return np.clip(np.log((tables[..., 1] + 0.3) / (tables[..., 0] + 0.3)), -LIMIT, LIMIT).astype(np.float32) * (tables.sum(axis=-1) > 0)
 
 
 class Learner:
-    """One pass over texts: each part is predicted by what was learned before it, then learned."""
+    """One pass over texts: each step of words is predicted by what was learned before it, then learned.
+
+    Steps double up to STEP_WORDS, so that the weights and the refinement are learned from little text as well.
+    """
 
     def __init__(self) -> None:
         self.counts = np.zeros((ORDERS, 1 << BITS, 2), np.int32)
         self.weights = np.full((GATES, ORDERS), 0.4)
         self.refined = np.zeros((GATES, LEVELS, 2))
-        self.seen = 0
+        self.speller = Speller(None, self.weights)
+        self.seen = self.words = 0
 
     def learn(self, words: dict[bytes, int]) -> None:
         """A part's distinct words with their frequencies; each distinct word counts once, and again by its logarithm."""
-        speller = Speller(self.counts, self.weights, self.refined) if self.seen else None
         names = list(words)
         often = (1 + np.log2(np.fromiter(words.values(), np.int64, len(names)))).astype(np.int32)
-        for at in range(0, len(names), STEP_WORDS):
-            spelled = spell(names[at : at + STEP_WORDS])
+        at = 0
+        while at < len(names):
+            to = at + min(STEP_WORDS, max(FIRST_STEP, self.words))
+            spelled = spell(names[at:to])
             came = spelled.came.astype(np.int64)
-            if speller is not None:
-                inputs, gate, mixed, _ = speller.predict(spelled)
-                error = came - 1 / (1 + np.exp(-mixed))
-                n = np.maximum(np.bincount(gate, minlength=GATES), 1000)
-                for k in range(ORDERS):
-                    self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], minlength=GATES) / n
-                speller.weights = self.weights
-                level = np.rint((mixed + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-                self.refined += np.bincount((gate * LEVELS + level) * 2 + came, minlength=GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
-            weight = np.repeat(often[at : at + STEP_WORDS], spelled.count)
+            inputs, gate, mixed, _ = self.speller.predict(spelled)
+            error = came - 1 / (1 + np.exp(-mixed))
+            n = np.maximum(np.bincount(gate, minlength=GATES), 1000)
+            for k in range(ORDERS):
+                self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], minlength=GATES) / n
+            level = np.rint((mixed + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
+            self.refined += np.bincount((gate * LEVELS + level) * 2 + came, minlength=GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
+            self.speller.refine(self.refined)
+            weight = np.repeat(often[at:to], spelled.count)
             for k in range(ORDERS):
-                index = spelled.slots[k].astype(np.int64) * 2 + came
-                self.counts[k] += np.bincount(index, weight, minlength=2 << BITS).astype(np.int32).reshape(-1, 2)
+                slots, index = np.unique(spelled.slots[k], return_inverse=True)
+                self.counts[k][slots] += np.bincount(index * 2 + came, weight, minlength=2 * len(slots)).astype(np.int32).reshape(-1, 2)
+                self.speller.odds[k][slots] = log_odds(self.counts[k][slots])
             self.seen += len(came)
+            self.words += len(names[at:to])
+            at = to
 
 
 def word_lists(raws: list[bytes]) -> list[list[bytes]]:

@@ -54,6 +54,14 @@ def test_learning_lowers_the_cost(prose):
     assert taught > language.Speller().log10(fresh).sum() * 0.8
 
 
+def test_one_part_moves_weights_and_refinement(prose):
+    """A task whose texts make a single part learns as it goes, and its odds are those of its counts."""
+    learner = language.Learner()
+    learner.learn(Counter(prose(2000).encode().split()))
+    assert np.abs(learner.weights - 0.4).max() > 0.01 and learner.refined.sum() == learner.seen > 0
+    assert np.array_equal(learner.speller.odds, language.log_odds(learner.counts))
+
+
 def test_text_scores_against_a_loop():
     rng = np.random.default_rng(4)
     lengths = np.array([7, 1, 12])
