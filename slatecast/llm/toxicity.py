@@ -77,8 +77,10 @@ def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> n
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     kept = gains(slots, owner, labels) >= LEAST_GAIN
     alone = np.flatnonzero(kept)
-    known, compact = np.unique(slots, return_inverse=True)
-    compact = compact.astype(np.int32)
+    number = np.zeros(1 << BITS, np.int32)
+    number[slots] = 1
+    known = np.flatnonzero(number)
+    number[known] = np.arange(len(known))
     at = np.flatnonzero(kept[slots])
     at = at[np.argsort(slots[at], kind="stable")]
     documents, bounds = owner[at], np.searchsorted(slots[at], np.append(alone, 1 << BITS))
@@ -89,7 +91,7 @@ def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> n
         if not 0 < positive < len(docs):
             continue  # nothing is left to tell
         begin, of = segments(counts[docs])
-        found = compact[np.arange(len(of)) - begin[of] + starts[docs][of]]
+        found = number[slots[np.arange(len(of)) - begin[of] + starts[docs][of]]]
         present = np.bincount(found, minlength=len(known)).astype(np.float64)
         both = np.bincount(found, labels[docs][of], minlength=len(known))
         some = np.flatnonzero(present)
