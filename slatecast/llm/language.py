@@ -174,8 +174,8 @@ class Learner:
             self.speller.refine(self.refined)
             weight = np.repeat(often[at:to], spelled.count)
             for k in range(ORDERS):
-                slots, index = np.unique(spelled.slots[k], return_inverse=True)
-                self.counts[k][slots] += np.bincount(index * 2 + came, weight, minlength=2 * len(slots)).astype(np.int32).reshape(-1, 2)
+                slots = spelled.slots[k]
+                self.counts[k] += np.bincount(slots.astype(np.int64) * 2 + came, weight, minlength=2 << BITS).astype(np.int32).reshape(-1, 2)
                 self.speller.odds[k][slots] = log_odds(self.counts[k][slots])
             self.seen += len(came)
             self.words += len(names[at:to])
