@@ -1,336 +1,315 @@
 """Language-model scores by online logistic context mixing.
 
-A word is spelled in bits, along the branches of a fixed code for its bytes and its end. Hashed contexts (the last one to
-four bytes) each predict a bit from what followed them before; their log odds are combined by weights from a set that is
-chosen by what is known about the place, and the outcome is refined by a table of what came true at such odds. All of it
-is learned online: a step of words is predicted, then the weights, the refinement and the counts move on. Over a text,
-that speller, the corpus' word frequencies and the words of the text so far are mixed in several ways, which gain or lose
-weight by how well they foretold the words before. The corpus' frequencies are kept for all texts and for those that share a
-language, as the common words in them tell. The sum of log probabilities is the score.
+A text is foretold token by token in bits, and every bit by a mixer (``mixer``): whether the token is one that followed
+the two words before it anywhere else in the corpus; if not, what kind of word it is (a language and how frequent, or
+unknown), along the branches of the kind's number; and, if the corpus does not know it, its bytes and its end. What the
+bits leave open is settled by relative frequency: among those that followed the two words, and among the words of a kind.
+
+What the corpus knows is counted for all of it, in tables that grow with it: words, and hashed pairs of words with what
+follows them, by the number of documents. A training document is foretold by the other ones: its own share is taken off
+every count. Weights, refinements and the mixers' own tables are learned online along a bucket of texts, which are dealt and ordered by
+hashes, so that scores do not depend on how the input is partitioned. Held-out texts teach nothing.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import checkpoint, held_out, segments, slices, utf8
+from slatecast.llm.common import checkpoint, held_out, mix64, release, segments, utf8
+from slatecast.llm.mixer import LIMIT, Mixer, Speller
 from slatecast.llm.spotsigs import COMMON_BY_LANGUAGE
-from slatecast.llm.webp import canonical, code_lengths
 
 FOLDS, TEST_FOLD = 7, 2
-ORDERS, BITS = 4, 20
-#: Bytes of text in a bucket of documents that are scored together, and in a part that is learned in one step.
-BUCKET_BYTES, PART_BYTES = 16_000_000, 8_000_000
+#: Bytes of text in a bucket of documents that are scored along one stream, and in the texts whose counts one task adds up.
+BUCKET_BYTES, PART_BYTES = 12_000_000, 12_000_000
+#: Tokens that are foretold before they are learned; steps double from the first on.
+FIRST_STEP, STEP = 64, 8192
 LANGUAGES = len(COMMON_BY_LANGUAGE)
-#: Ways of mixing: speller, text so far, corpus, and the languages of the corpus.
-WAYS = np.array([[0.9, 0, 0.1, 0, 0, 0, 0], [0.12, 0, 0.88, 0, 0, 0, 0], [0.08, 0.6, 0.32, 0, 0, 0, 0], *[[0.08, 0.04, 0.02, *(0.86 * (k == j) for j in range(LANGUAGES))] for k in range(LANGUAGES)]])
-#: The step of the speller's weights; all odds are kept within LIMIT.
-RATE, LIMIT, GATES, LEVELS, SLICES = 0.5, 8.0, 20, 33, 16
-STEP_WORDS, FIRST_STEP = 10_000, 64
+#: Kinds: three bits of language (LANGUAGES is none of them, the last is no word of the corpus), then as many of frequency, in steps of three half bits.
+LANGUAGE_BITS, BAND_BITS, BAND_STEP = 3, 4, 3
+UNKNOWN, BANDS = (1 << LANGUAGE_BITS) - 1, 1 << BAND_BITS
+#: Half bits that a count can have.
+HALVES = 128
 
 
-@lru_cache(maxsize=1)
-def spelling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte and, last, the end of a word: its number of branches, their nodes and their directions.
-
-    A prefix code for usual text: nodes near the root come often. Nodes are numbered by the bits that lead to them.
-    """
-    weights = np.full(257, 3, np.int64)
-    weights[128:192], weights[195], weights[256] = 30, 700, 9000
-    weights[32:127] = 15
-    for k, letter in enumerate(b"eniatorshdlcumgbpfvzwqyxjk"):
-        weights[letter] = 22000 // (k + 3) - 500
-    weights[44] = weights[46] = 300
-    code = canonical(code_lengths(weights, 16))
-    longest = max(n for _, n in code.values())
-    size = np.array([code[s][1] for s in range(257)])
-    node, branch = np.zeros((257, longest), np.int64), np.zeros((257, longest), np.uint8)
-    names: dict[tuple[int, int], int] = {}
-    for s in range(257):
-        bits, n = code[s]
-        for k in range(n):
-            node[s, k] = names.setdefault((k, bits & ((1 << k) - 1)), len(names))
-            branch[s, k] = (bits >> k) & 1
-    return size, node, branch
-
-
-@dataclass
-class Spelled:
-    """The bits of some words, laid end to end: slots in the tables (order, bit), what came, each word's number of bits, and each bit's place in its word."""
-
-    slots: np.ndarray
-    came: np.ndarray
-    count: np.ndarray
-    place: np.ndarray
-
-
-def spell(words: list[bytes]) -> Spelled:
-    size, node, branch = spelling()
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts, word = segments(lengths)
-    symbol = np.full(int(lengths.sum()), 256, np.int64)
-    inner = np.ones(len(symbol), bool)
-    inner[starts + lengths - 1] = False
-    symbol[inner] = np.frombuffer(b"".join(words), np.uint8)
-    place = np.arange(len(symbol)) - starts[word]
-    # a context is the last bytes of the word, its beginning counting as one
-    context = np.zeros((ORDERS, len(symbol)), np.uint64)
-    for k in range(1, ORDERS + 1):
-        before = np.full(len(symbol), 300, np.uint64)
-        before[k:] = np.where(place[k:] >= k, symbol[:-k], 300) if k < len(symbol) else before[k:]
-        context[k - 1] = (context[k - 2] if k > 1 else np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(k)
-    bits = size[symbol]
-    first, at = segments(bits)
-    step = np.arange(len(at)) - first[at]
-    nodes = node[symbol[at], step].astype(np.uint64)
-    slots = np.empty((ORDERS, len(at)), np.int32)
-    for k in range(ORDERS):
-        slots[k] = (((context[k] * np.uint64(0xD1342543DE82EF95))[at] + nodes * np.uint64(0xA24BAED4963EE407)) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - BITS)).astype(np.int32)
-    return Spelled(slots, branch[symbol[at], step], np.bincount(word, bits, minlength=len(words)).astype(np.int64), np.minimum(place, 3)[at])
-
-
-class Speller:
-    """Tables of log odds by order and slot, weights by gate and order, and the refinement by gate and level of odds."""
-
-    def __init__(self, tables: np.ndarray | None = None, weights: np.ndarray | None = None, refined: np.ndarray | None = None) -> None:
-        self.odds = np.zeros((ORDERS, 1 << BITS), np.float32) if tables is None else log_odds(tables)
-        self.weights = np.full((GATES, ORDERS), 0.4) if weights is None else weights
-        self.refine(np.zeros((GATES, LEVELS, 2)) if refined is None else refined)
-
-    def refine(self, seen: np.ndarray) -> None:
-        levels = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, LEVELS)))
-        # what came true, starting from the odds themselves
-        self.table = (seen[..., 1] + 8 * levels) / (seen.sum(axis=2) + 8)
-
-    def predict(self, spelled: Spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The inputs, gates, mixed log odds and refined probabilities of a one."""
-        inputs = np.stack([self.odds[k][spelled.slots[k]] for k in range(ORDERS)])
-        gate = (inputs != 0).sum(axis=0, dtype=np.int64) * 4 + spelled.place
-        weights = self.weights.astype(np.float32)
-        mixed = np.zeros(inputs.shape[1], np.float32)
-        for k in range(ORDERS):
-            mixed += weights[gate, k] * inputs[k]
-        np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-        chance = 1 / (1 + np.exp(-mixed))
-        level = np.rint((mixed + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-        refined = 0.5 * chance + 0.5 * self.table[gate, level].astype(np.float32)
-        return inputs, gate, mixed, np.clip(refined, 1e-4, 1 - 1e-4)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """The log probability of each word, its end included."""
-        out = np.zeros(len(words))
-        for at in range(0, len(words), 20_000):
-            spelled = spell(words[at : at + 20_000])
-            chance = self.predict(spelled)[3]
-            right = np.log10(np.where(spelled.came == 1, chance, 1 - chance))
-            starts, _ = segments(spelled.count)
-            out[at : at + 20_000] = np.add.reduceat(right.astype(np.float64), starts) if len(starts) else 0
-        return out
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()) if len(values) else b""
 
 
-def log_odds(tables: np.ndarray) -> np.ndarray:
-    """Of counts (order, slot, bit); places never seen have none. Few sightings move little from even odds."""
-    return np.clip(np.log((tables[..., 1] + 0.3) / (tables[..., 0] + 0.3)), -LIMIT, LIMIT).astype(np.float32) * (tables.sum(axis=-1) > 0)
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-class Learner:
-    """One pass over texts: each step of words is predicted by what was learned before it, then learned.
+def halves(counts: np.ndarray) -> np.ndarray:
+    """Twice the logarithm of a count, rounded down."""
+    return np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
 
-    Steps double up to STEP_WORDS, so that the weights and the refinement are learned from little text as well.
-    """
 
-    def __init__(self) -> None:
-        self.counts = np.zeros((ORDERS, 1 << BITS, 2), np.int32)
-        self.weights = np.full((GATES, ORDERS), 0.4)
-        self.refined = np.zeros((GATES, LEVELS, 2))
-        self.speller = Speller(None, self.weights)
-        self.seen = self.words = 0
-
-    def learn(self, words: dict[bytes, int]) -> None:
-        """A part's distinct words with their frequencies; each distinct word counts once, and again by its logarithm."""
-        names = list(words)
-        often = (1 + np.log2(np.fromiter(words.values(), np.int64, len(names)))).astype(np.int32)
-        at = 0
-        while at < len(names):
-            to = at + min(STEP_WORDS, max(FIRST_STEP, self.words))
-            spelled = spell(names[at:to])
-            came = spelled.came.astype(np.int64)
-            inputs, gate, mixed, _ = self.speller.predict(spelled)
-            error = came - 1 / (1 + np.exp(-mixed))
-            n = np.maximum(np.bincount(gate, minlength=GATES), 1000)
-            for k in range(ORDERS):
-                self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], minlength=GATES) / n
-            level = np.rint((mixed + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-            self.refined += np.bincount((gate * LEVELS + level) * 2 + came, minlength=GATES * LEVELS * 2).reshape(GATES, LEVELS, 2)
-            self.speller.refine(self.refined)
-            weight = np.repeat(often[at:to], spelled.count)
-            for k in range(ORDERS):
-                slots = spelled.slots[k]
-                self.counts[k] += np.bincount(slots.astype(np.int64) * 2 + came, weight, minlength=2 << BITS).astype(np.int32).reshape(-1, 2)
-                self.speller.odds[k][slots] = log_odds(self.counts[k][slots])
-            self.seen += len(came)
-            self.words += len(names[at:to])
-            at = to
-
-
-def word_lists(raws: list[bytes]) -> list[list[bytes]]:
-    return [raw.lower().split() for raw in raws]
-
-
-def train(docs: DataFrame) -> Speller:
-    """A speller from all training documents: every task learns from its own, and tables, refinements and weights are added up."""
-    rows = docs.where(~held_out("doc_id", FOLDS, TEST_FOLD)).select(utf8())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, held, size = Learner(), {}, 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                learner.learn(held)
-            held, size = {}, 0
-
-        for batch in (part for whole in batches for part in slices(whole)):
-            for raw in batch["text"].to_pylist():
-                for word in raw.lower().split():
-                    held[word] = held.get(word, 0) + 1
-                held[b""] = held.get(b"", 0) + 1
-                size += len(raw)
-                if size > PART_BYTES:
-                    flush()
-        flush()
-        if not learner.seen:
-            return
-        parts = np.split(learner.counts.reshape(ORDERS * SLICES, -1), ORDERS * SLICES)
-        blobs = [zlib.compress(p.tobytes(), 1) for p in parts] + [np.append(learner.weights * learner.seen, learner.seen).tobytes(), learner.refined.tobytes()]
-        yield pa.record_batch([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch["part"].to_pylist(), batch["sums"].to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(raw), np.int32).astype(np.int64) if part < ORDERS * SLICES else np.frombuffer(raw, np.float64)
-                total[part] = total[part] + got if part in total else got
-        # counts come back within 32 bits, halved together where they would not fit
-        shrink = {p: max(0, int(v.max()).bit_length() - 30) for p, v in total.items() if p < ORDERS * SLICES}
-        blobs = [zlib.compress((v >> shrink[p]).astype(np.int32).tobytes(), 1) if p in shrink else v.tobytes() for p, v in total.items()]
-        if blobs:
-            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary())], ["part", "sums"])
-
-    schema = "part int, sums binary"
-    learned = rows.mapInArrow(run, schema)
-    # added up in two steps, so that no task reads from all others
-    half = learned.withColumn("near", F.spark_partition_id() % 8).repartition(ORDERS * SLICES * 2, "part", "near").drop("near").mapInArrow(add, schema)
-    got = dict(half.repartition(ORDERS * SLICES // 2, "part").mapInArrow(add, schema).toArrow().to_pandas().itertuples(index=False, name=None))
-    if not got:
-        return Speller()
-    tables = np.stack([np.frombuffer(zlib.decompress(got[k]), np.int32) for k in range(ORDERS * SLICES)]).reshape(ORDERS, 1 << BITS, 2)
-    weights = np.frombuffer(got[ORDERS * SLICES], np.float64)
-    return Speller(tables, (weights[:-1] / weights[-1]).reshape(GATES, ORDERS), np.frombuffer(got[ORDERS * SLICES + 1], np.float64).reshape(GATES, LEVELS, 2))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, 7) for w in words], np.uint64).view(np.int64)
-
-
-def _distinct(raws: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The distinct words with numbers, all words by number with an end (the empty word) after each text, and lengths."""
-    known: dict[bytes, int] = {}
-    index, lengths = [], []
-    for raw in raws:
-        own = raw.lower().split()
-        own.append(b"")
-        index.append(np.array([known.setdefault(w, len(known)) for w in own], np.int64))
-        lengths.append(len(own))
-    return known, np.concatenate([*index, np.zeros(0, np.int64)]), np.array(lengths, np.int64)
-
-
-def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents dealt to buckets of about BUCKET_BYTES by a hash of id and text."""
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
-    buckets = int(size) // BUCKET_BYTES + 1
-    parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(), held_out("doc_id", FOLDS, TEST_FOLD).alias("held_out"))
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(buckets, min(parts, int(size) // 100_000 + 1)))).cast("int")
-    return rows.withColumn("bucket", bucket).repartition(parts, "bucket"), parts
+def kinds(counts: np.ndarray, language: np.ndarray, tokens: int) -> np.ndarray:
+    """The kind of a word with these counts among so many tokens."""
+    rarity = halves(np.array([max(tokens, 1)]))[0] - halves(counts)
+    return language * BANDS + BANDS - 1 - np.minimum(rarity // BAND_STEP, BANDS - 1)
 
 
 _LANGUAGE_OF = {w.encode(): k for k, line in reversed(list(enumerate(COMMON_BY_LANGUAGE))) for w in line.split()}
 
 
-def languages(known: dict[bytes, int], index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each text the language with most common words, the first of equals; LANGUAGES if there are none."""
-    of_word = np.array([_LANGUAGE_OF.get(w, LANGUAGES) for w in known], np.int64)
-    _, text = segments(lengths)
-    hits = np.bincount(text * (LANGUAGES + 1) + of_word[index], minlength=len(lengths) * (LANGUAGES + 1)).reshape(-1, LANGUAGES + 1)[:, :LANGUAGES]
-    return np.where(hits.max(axis=1) > 0, hits.argmax(axis=1), LANGUAGES)
+class Bucket:
+    """The tokens of some texts laid end to end: distinct words in the order of their hashes, and an end (the empty word) after each text."""
+
+    def __init__(self, raws: list[bytes], learned: np.ndarray, bits: int) -> None:
+        known: dict[bytes, int] = {}
+        index = []
+        for raw in raws:
+            own = raw.lower().split()
+            own.append(b"")
+            index.append(np.array([known.setdefault(w, len(known)) for w in own], np.int32))
+        self.lengths = np.fromiter(map(len, index), np.int64, len(index))
+        names = list(known)
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(w, 7) for w in names], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        self.words, self.hashes = [names[k] for k in order], hashes[order]
+        self.word = rank[np.concatenate([*index, np.zeros(0, np.int32)])]
+        self.starts, self.text = segments(self.lengths)
+        self.learned = learned
+        self.teaches = learned[self.text]
+        self.first = np.zeros(len(self.word), bool)
+        self.first[self.starts] = True
+        self._pairs(bits)
+
+    def before(self, values: np.ndarray, filler: int) -> np.ndarray:
+        """For each token the value of the one before it in its text."""
+        out = np.roll(values, 1)
+        out[self.first] = filler
+        return out
 
+    def _pairs(self, bits: int) -> None:
+        """Slots of the two words before a token and of those with the token, of ``bits`` bits; and, of each, the share of the token's own text."""
+        h = self.hashes[self.word] if len(self.word) else np.zeros(0, np.uint64)
+        one = self.before(h, 1)
+        two = self.before(one, 2)
+        context = mix64(one * np.uint64(0x9E3779B97F4A7C15) + mix64(two))
+        drop = np.uint64(64 - bits)
+        self.follows, self.context = mix64(context * np.uint64(3) + h) >> drop, context >> drop
+        once = np.zeros(len(h), bool)
+        order, heads = self._groups(self.follows)
+        once[order[heads]] = True
+        self.follow_slots, self.follow_counts = self._sums(self.follows, order, once)
+        order, heads = self._groups(self.context)
+        self.own_context = np.empty(len(h), np.int64)
+        if len(h):
+            self.own_context[order] = np.add.reduceat(once[order].astype(np.int64), heads)[np.cumsum(np.isin(np.arange(len(h)), heads, assume_unique=True)) - 1]
+        self.context_slots, self.context_counts = self._sums(self.context, order, once)
+
+    def _groups(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens by slot and text, and where each slot and text begins."""
+        order = np.argsort(slots, kind="stable")
+        s, t = slots[order], self.text[order]
+        return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
+
+    def _sums(self, slots: np.ndarray, order: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct slots in order, and how many texts that teach have something there."""
+        s = slots[order]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
+        return s[heads], np.add.reduceat((once & self.teaches)[order].astype(np.int64), heads) if len(s) else np.zeros(0, np.int64)
+
+    def own_words(self) -> np.ndarray:
+        """How often each token's text has its word."""
+        both = self.text * (len(self.words) + 1) + self.word
+        order = np.argsort(both, kind="stable")
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), np.diff(both[order]) != 0]))
+        sizes = np.diff(np.append(heads, len(both)))
+        out = np.empty(len(both), np.int64)
+        out[order] = np.repeat(sizes, sizes)
+        return out
 
-def _counted(rows: DataFrame, parts: int) -> DataFrame:
-    """``(bucket, hashes, counts, shares)``: for each bucket its distinct words by hash, in order, with the corpus' training
-    counts and what share of them, in 255ths, each language has.
+    def word_counts(self) -> np.ndarray:
+        """For each distinct word and language how often texts of that language which teach have it; a text's language is the one with most common words in it."""
+        of_word = np.array([_LANGUAGE_OF.get(w, LANGUAGES) for w in self.words], np.int64)
+        hits = np.bincount(self.text * (LANGUAGES + 1) + of_word[self.word], minlength=len(self.lengths) * (LANGUAGES + 1)).reshape(-1, LANGUAGES + 1)[:, :LANGUAGES]
+        language = np.where(hits.max(axis=1) > 0, hits.argmax(axis=1), LANGUAGES)
+        cell = (self.word.astype(np.int64) * (LANGUAGES + 1) + language[self.text])[self.teaches]
+        return np.bincount(cell, minlength=len(self.words) * (LANGUAGES + 1)).reshape(-1, LANGUAGES + 1)
+
+
+#: What is asked about: words by hash, slots of two words, and slots of those with the next.
+WORDS, CONTEXTS, FOLLOWS = range(3)
+_ASKED = "part int, bucket int, what byte, keys binary, counts binary"
+_ANSWERED = "part int, bucket int, what byte, facts binary, languages binary, cell int, n long"
+
+
+def _asked(bucket: int, held: Bucket, bits: int, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """A bucket's distinct keys with its own counts, for each part of the keys."""
+    shift = np.uint64(parts.bit_length() - 1)
+    asked = ((WORDS, held.hashes, held.word_counts(), 64), (CONTEXTS, held.context_slots, held.context_counts, bits), (FOLLOWS, held.follow_slots, held.follow_counts, bits))
+    for what, keys, counts, size in asked:
+        cuts = np.searchsorted(keys >> (np.uint64(size) - shift) if shift else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
+        for part in range(parts):
+            a, b = int(cuts[part]), int(cuts[part + 1])
+            if a < b:
+                yield what * parts + part, bucket, what, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].reshape(-1).astype(np.uint32))
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The corpus' counts of all keys that buckets ask one part for, to each bucket in the order it asked; and, as rows of
+    their own, how many words and tokens there are by language and frequency."""
+    part, what = table["part"][0].as_py(), table["what"][0].as_py()
+    keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
+    distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    width = LANGUAGES + 1 if what == WORDS else 1
+    counts = np.zeros((len(distinct), width), np.int64)
+    at = 0
+    for blob, n in zip(table["counts"].to_pylist(), sizes, strict=True):
+        counts[index[at : at + n]] += unpack(blob, np.uint32).reshape(-1, width)  # a bucket asks once for a key
+        at += n
+    total = counts.sum(axis=1)
+    if what == WORDS:
+        language = np.where(counts.max(axis=1) * 2 > total, counts.argmax(axis=1), LANGUAGES).astype(np.uint8)
+        facts, cell = total, language.astype(np.int64) * HALVES + halves(total)
+        seen = total > 0
+        cells = np.concatenate([np.bincount(cell[seen], total[seen], minlength=(LANGUAGES + 1) * HALVES).astype(np.int64), np.bincount(cell[seen], minlength=(LANGUAGES + 1) * HALVES)])
+    else:
+        # few are told apart exactly, more by their logarithm
+        language, cells = np.zeros(len(distinct), np.uint8), np.zeros(0, np.int64)
+        facts = np.where(total < 128, total, np.minimum(128 + 2 * (halves(total) - 14), 255)).astype(np.uint8)
+    ends = np.cumsum(sizes)
+    cuts = [index[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    filled = np.flatnonzero(cells)
+    n, m = len(cuts), len(filled)
+    return pa.table({
+        "part": pa.array(np.full(n + m, part, np.int32)),
+        "bucket": pa.array([*table["bucket"].to_pylist(), *[-1] * m], pa.int32()),
+        "what": pa.array(np.full(n + m, what, np.int8)),
+        "facts": pa.array([*(pack(facts[c]) for c in cuts), *[None] * m], pa.binary()),
+        "languages": pa.array([*(pack(language[c]) for c in cuts), *[None] * m], pa.binary()),
+        "cell": pa.array([*[-1] * n, *filled.tolist()], pa.int32()),
+        "n": pa.array([*[0] * n, *cells[filled].tolist()], pa.int64()),
+    })
+
+
+def _told(facts: np.ndarray) -> np.ndarray:
+    """The counts that the answers of pairs stand for."""
+    return np.where(facts < 128, facts, 2.0 ** ((14 + (facts.astype(np.float64) - 128) // 2) / 2)).astype(np.int64)
+
+
+class Corpus:
+    """What is known of all training tokens: their number, that of distinct words, and tokens by kind."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        by_count, words = cells.reshape(2, LANGUAGES + 1, HALVES)
+        self.tokens, self.distinct = int(by_count.sum()), int(words.sum())
+        size = 1 << (LANGUAGE_BITS + BAND_BITS)
+        language, half = np.divmod(np.arange((LANGUAGES + 1) * HALVES), HALVES)
+        rarity = halves(np.array([max(self.tokens, 1)]))[0] - half
+        kind = language * BANDS + BANDS - 1 - np.clip(rarity // BAND_STEP, 0, BANDS - 1)
+        self.by_kind = np.bincount(kind, by_count.reshape(-1), minlength=size)
+        # words that are new come about as often as those that were met once
+        mass = self.by_kind.copy()
+        mass[UNKNOWN * BANDS] += words[:, 0].sum() + 1
+        # along the branches of the kinds' numbers: the log odds of a one
+        self.odds = np.zeros(size)
+        for depth in range(LANGUAGE_BITS + BAND_BITS):
+            halved = mass.reshape(2 << depth, -1).sum(axis=1)
+            self.odds[(1 << depth) : (2 << depth)] = np.clip(np.log((halved[1::2] + 0.5) / (halved[::2] + 0.5)), -LIMIT, LIMIT)
+
+
+class Scorer:
+    """The mixers of one stream of texts."""
+
+    def __init__(self, corpus: Corpus) -> None:
+        self.corpus = corpus
+        self.again = Mixer(4, 1, 16, 18)
+        self.kind = Mixer(6, 1, (LANGUAGE_BITS + BAND_BITS) * 2, 18)
+        self.speller = Speller()
+
+    def run(self, held: Bucket, counts: np.ndarray, language: np.ndarray, context: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """The log10 chance of each token, from the corpus' counts of its word, of the two words before it and of those with it."""
+        corpus = self.corpus
+        mine = held.teaches.astype(np.int64)
+        own = held.own_words() * mine
+        others = counts - own
+        kind = np.where(others > 0, kinds(counts, language, corpus.tokens), UNKNOWN * BANDS)
+        after = np.maximum(context - held.own_context * mine, 0)
+        same = np.where(after > 0, np.clip(follows - mine, 0, after), 0)
+        hit = same > 0
+        # what is known when a token is foretold: how the tokens before it came out, and their kinds
+        state = np.where(hit, 2, np.where(after > 0, 1, 0))
+        past = [held.before(state, 3)]
+        for _ in range(2):
+            past.append(held.before(past[-1], 3))
+        at = np.arange(len(state))
+        run = at - 1 - held.before(np.maximum.accumulate(np.where(hit & ~held.first, -1, at)), -1) if len(at) else at
+        run = np.where(held.first, 0, np.minimum(run, 20))
+        level = np.minimum(np.log2(np.maximum(after, 1)).astype(np.int64), 6)
+        spoken = [held.before(kind, 0)]
+        spoken.append(held.before(spoken[0], 0))
+        tongue = [k // BANDS for k in spoken]
+        leading = self._leading(held, kind // BANDS)
+        last = held.before(held.word.astype(np.int64), -1)
+        name = np.where(last >= 0, held.hashes[last] if len(held.hashes) else 0, np.uint64(0))
+        chance = np.zeros(len(state))
+        again = [past[0] + 4 * past[1] + 16 * past[2] + 64 * level, run * 8 + level, np.minimum(after, 255) * 4 + past[0], name]
+        kinds_of = [leading, spoken[0], spoken[0] * 256 + spoken[1], (tongue[0] * 8 + tongue[1]) * 8 + leading, name, (state * 8 + level) * 8 + leading]
+        a, size = 0, FIRST_STEP
+        while a < len(state):
+            b = min(a + size, len(state))
+            teach = held.teaches[a:b]
+            some = np.flatnonzero(after[a:b] > 0) + a
+            slots = self.again.slots([v[some] for v in again], np.ones(len(some)))
+            chance[some] += self.again.run(slots, np.ones((1, len(some))), past[0][some] * 4 + past[1][some], hit[some].astype(np.int64), teach[some - a])
+            got = some[hit[some]]
+            chance[got] += np.log10(same[got] / after[got])
+            rest = np.flatnonzero(~hit[a:b]) + a
+            chance[rest] += self._kinds(kind[rest], [v[rest] for v in kinds_of], state[rest], teach[rest - a])
+            met = rest[others[rest] > 0]
+            chance[met] += np.log10(others[met] / np.maximum(corpus.by_kind[kind[met]] - own[met], others[met]))
+            new = rest[others[rest] <= 0]
+            before = [held.words[k] if k >= 0 else b"" for k in last[new]]
+            chance[new] += self.speller.run([held.words[k] for k in held.word[new]], before, teach[new - a])
+            a, size = b, min(size * 2, STEP)
+        return chance
+
+    @staticmethod
+    def _leading(held: Bucket, language: np.ndarray) -> np.ndarray:
+        """The language that most words of the text so far have, LANGUAGES while there are none."""
+        sums = []
+        for k in range(LANGUAGES):
+            total = np.cumsum(language == k) - (language == k)
+            sums.append(total - total[held.starts][held.text] if len(total) else total)
+        every = np.stack(sums)
+        return np.where(every.max(axis=0) > 0, every.argmax(axis=0), LANGUAGES) if every.size else np.zeros(0, np.int64)
 
-    Buckets below 0 have, from each task, how many words, tokens, and tokens of each language it counted.
-    """
+    def _kinds(self, kind: np.ndarray, contexts: list[np.ndarray], state: np.ndarray, teach: np.ndarray) -> np.ndarray:
+        depths = LANGUAGE_BITS + BAND_BITS
+        # an unknown word has no bits of frequency
+        first, of = segments(np.where(kind == UNKNOWN * BANDS, LANGUAGE_BITS, depths))
+        depth = np.arange(len(of)) - first[of]
+        node = (kind[of] + (1 << depths)) >> (depths - depth)
+        slots = self.kind.slots([c[of] for c in contexts], node)
+        right = self.kind.run(slots, self.corpus.odds[node][None], depth * 2 + (state[of] > 0), (kind[of] >> (depths - 1 - depth)) & 1, teach[of])
+        return np.add.reduceat(right, first) if len(first) else right
 
-    def count(table: pa.Table) -> pa.Table:
-        known, index, lengths = _distinct(table["text"].to_pylist())
-        language = np.repeat(np.where(table["held_out"].to_numpy(zero_copy_only=False), -1, languages(known, index, lengths)), lengths)
-        # a row for each word and language that it was learned in, or one without if it was not learned
-        both, n = np.unique(index * (LANGUAGES + 2) + language + 1, return_counts=True)
-        word, language = both // (LANGUAGES + 2), both % (LANGUAGES + 2) - 1
-        n[language < 0] = 0
-        more = np.concatenate([[False], word[1:] == word[:-1]]) | np.concatenate([word[1:] == word[:-1], [False]])
-        keep = ~more | (language >= 0)
-        bucket = np.full(keep.sum(), table["bucket"][0].as_py(), np.int32)
-        return pa.table({"bucket": bucket, "word": _hashes(list(known))[word[keep]], "language": language[keep].astype(np.int8), "n": n[keep].astype(np.int32)})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        order = np.lexsort((table["bucket"].to_numpy(), table["word"].to_numpy()))
-        bucket, word, language, n = (table[c].to_numpy()[order] for c in ("bucket", "word", "language", "n"))
-        new = np.concatenate([[True], word[1:] != word[:-1]])
-        heads, of = np.flatnonzero(new), np.cumsum(new) - 1
-        total = np.add.reduceat(n.astype(np.int64), heads)
-        by = np.stack([np.add.reduceat(np.where(language == k, n, 0).astype(np.int64), heads) for k in range(LANGUAGES)])
-        share = np.zeros(len(heads), np.int64)
-        for k in range(LANGUAGES):
-            share |= (by[k] * 255 // np.maximum(total, 1)) << (8 * k)
-        once = new | np.concatenate([[True], bucket[1:] != bucket[:-1]])  # a bucket asks once for each of its words
-        yield pa.record_batch([pa.array(bucket[once]), pa.array(word[once]), pa.array(total[of[once]]), pa.array(share[of[once]])], ["bucket", "word", "n", "share"])
-        # a message of what was counted here, to a bucket of its own
-        facts = np.array([(total > 0).sum(), total.sum(), *by.sum(axis=1)], np.int64)
-        mine = np.full(len(facts), -1 - abs(int(word[0])) % parts, np.int32)
-        yield pa.record_batch([pa.array(mine), pa.array(np.arange(len(facts))), pa.array(facts), pa.array(np.zeros(len(facts), np.int64))], ["bucket", "word", "n", "share"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        order = np.lexsort((table["word"].to_numpy(), table["bucket"].to_numpy()))
-        bucket, word, n, share = (table[c].to_numpy()[order] for c in ("bucket", "word", "n", "share"))
-        heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        cuts = [slice(a, b) for a, b in zip(heads, np.append(heads[1:], len(bucket)), strict=True)]
-        blobs = [pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (word, n, share.astype(np.uint32))]
-        yield pa.record_batch([pa.array(bucket[heads]), *blobs], ["bucket", "hashes", "counts", "shares"])
-
-    words = rows.select("bucket", "text", "held_out").groupBy("bucket").applyInArrow(count, "bucket int, word long, language byte, n int")
-    summed = words.repartition(parts, "word").mapInArrow(add, "bucket int, word long, n long, share long")
-    return checkpoint(summed.repartition(parts, "bucket").mapInArrow(pack, "bucket int, hashes binary, counts binary, shares binary"))
+
+def _plan(docs: DataFrame) -> tuple[int, int, int]:
+    """How many buckets and parts there are, and the bits of a slot: by the size of the texts alone, not by their partitions."""
+    size = int(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("n")).first()["n"] or 0)
+    return max(1, -(-size // BUCKET_BYTES)), 1 << max(3, (size // PART_BYTES).bit_length()), min(62, max(20, size.bit_length() + 5))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -340,66 +319,66 @@ def judge(docs: DataFrame) -> DataFrame:
     end for a token; a null id is in the fold of the empty string; repeated rows each come out; other columns are
     ignored; an empty table gives an empty table. Where no document is learned from, all counts are zero.
     """
-    rows, parts = _bucketed(docs)
-    counted = _counted(rows, parts)
-    marks = counted.where("bucket < 0").select("hashes", "counts").toArrow()  # a few numbers a task
-    kind = np.concatenate([*(np.frombuffer(x, np.int64) for x in marks["hashes"].to_pylist()), np.zeros(0, np.int64)])
-    amount = np.concatenate([*(np.frombuffer(x, np.int64) for x in marks["counts"].to_pylist()), np.zeros(0, np.int64)])
-    distinct, tokens, *spoken = (int(amount[kind == k].sum()) for k in range(2 + LANGUAGES))
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))  # ORDERS * 2**BITS numbers, however large the corpus
-
-    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        raws = texts["text"].to_pylist()
-        known, index, lengths = _distinct(raws)
-        c, share = np.zeros(len(known), np.int64), np.zeros(len(known), np.uint32)
-        if counts.num_rows and len(known):
-            at = np.searchsorted(np.frombuffer(counts["hashes"][0].as_py(), np.int64), _hashes(list(known)))
-            c = np.frombuffer(counts["counts"][0].as_py(), np.int64)[at]
-            share = np.frombuffer(counts["shares"][0].as_py(), np.uint32)[at]
-        base = np.log10(c + 1.0) - np.log10(tokens + distinct + 1.0)
-        spelled = 10.0 ** shared.value.log10(list(known)) * 0.999 + 1e-300
-        spoken_chance = [c * ((share >> np.uint32(8 * k)) & np.uint32(255)) / (255 * max(spoken[k], 1)) for k in range(LANGUAGES)]
-        model = text_scores(index, lengths, spelled, np.stack([c / max(tokens, 1), *spoken_chance]))
-        starts, _ = segments(lengths)
-        total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        n_bytes = np.fromiter((max(len(r), 1) for r in raws), np.int64, len(raws))
-        return pa.table({
-            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": lengths, "n_known": total((c > 0)[index].astype(np.int64)).astype(np.int64),
-            "train_tokens": np.full(len(raws), tokens, np.int64), "base_score": total(base[index]), "score": model, "bits_per_byte": -model / np.log10(2) / n_bytes,
-        })
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return rows.groupBy("bucket").cogroup(counted.where("bucket >= 0").groupBy("bucket")).applyInArrow(score, schema)
+    buckets, parts, bits = _plan(docs)
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(), held_out("doc_id", FOLDS, TEST_FOLD).alias("held_out"))
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [tool.compress(memoryview(t.as_buffer())) for t in batch["text"]]
+            yield pa.record_batch([batch["doc_id"], pa.array(packed, pa.binary()), batch["held_out"], batch["bucket"]], names=["doc_id", "text", "held_out", "bucket"])
+
+    # texts cross the network twice, compressed
+    dealt = rows.select("*", bucket).mapInArrow(squeeze, "doc_id long, text binary, held_out boolean, bucket int").repartition(max(buckets, spread), "bucket")
+
+    def opened(table: pa.Table) -> tuple[pa.Table, Bucket]:
+        """The texts of a bucket in an order of their own, whatever order they come in."""
+        tool = zstandard.ZstdDecompressor()
+        raws = [tool.decompress(t) for t in table["text"].to_pylist()]
+        ids = table["doc_id"].to_pylist()
+        order = sorted(range(len(raws)), key=lambda k: (xxhash.xxh64_intdigest(raws[k], 11), ids[k] is None, ids[k] or 0))
+        table = table.select(["doc_id", "held_out"]).take(pa.array(order, pa.int64()))
+        return table.append_column("n_bytes", pa.array([len(raws[k]) for k in order], pa.int64())), Bucket([raws[k] for k in order], ~table["held_out"].to_numpy(zero_copy_only=False), bits)
+
+    def ask(table: pa.Table) -> pa.Table:
+        name = table["bucket"][0].as_py()
+        asked = list(zip(*_asked(name, opened(table)[1], bits, parts), strict=True))
+        release()
+        return pa.table([pa.array(c, k) for c, k in zip(asked, (pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["part", "bucket", "what", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = _answered(table)
+        release()
+        return out
 
-def text_scores(index: np.ndarray, lengths: np.ndarray, spelled: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text, its words laid end to end by number, from the experts' chances of each word.
+    answers = checkpoint(dealt.groupBy("bucket").applyInArrow(ask, _ASKED).groupBy("part").applyInArrow(answer, _ANSWERED))
+    # at most 2 * (LANGUAGES + 1) * HALVES rows, however large the corpus
+    cells = np.zeros(2 * (LANGUAGES + 1) * HALVES, np.int64)
+    for row in answers.where("bucket < 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[row["cell"]] = row["n"]
+    corpus = Corpus(cells)
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        table, held = opened(texts)
+        told = told.sort_by("part")
+        got = {what: told.filter(pa.compute.equal(told["what"], what)) for what in (WORDS, CONTEXTS, FOLLOWS)}
+        facts = [np.concatenate([*(unpack(b, np.int64 if what == WORDS else np.uint8) for b in got[what]["facts"].to_pylist()), np.zeros(0, np.int64)]) for what in got]
+        language = np.concatenate([unpack(b, np.uint8) for b in got[WORDS]["languages"].to_pylist()]).astype(np.int64)
+        counts = facts[WORDS].astype(np.int64)[held.word]
+        context = _told(facts[CONTEXTS])[np.searchsorted(held.context_slots, held.context)]
+        follows = _told(facts[FOLLOWS])[np.searchsorted(held.follow_slots, held.follows)]
+        model = np.add.reduceat(Scorer(corpus).run(held, counts, language[held.word], context, follows), held.starts)
+        base = np.log10(counts + 1.0) - np.log10(corpus.tokens + corpus.distinct + 1.0)
+        out = pa.table({
+            "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": held.lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), held.starts),
+            "train_tokens": np.full(len(model), corpus.tokens, np.int64), "base_score": np.add.reduceat(base, held.starts), "score": model,
+            "bits_per_byte": -model / np.log10(2) / np.maximum(table["n_bytes"].to_numpy(), 1),
+        })
+        del held
+        release()
+        return out
 
-    ``corpus`` has a row for all texts and one for each language.
-    """
-    out = np.zeros(len(lengths))
-    starts, _ = segments(lengths)
-    limit = 1 << 19
-    at = 0
-    while at < len(lengths):
-        to = at + 1
-        while to < len(lengths) and starts[to] + lengths[to] - starts[at] <= limit:
-            to += 1
-        words = index[starts[at] : starts[at] + lengths[at:to].sum()]
-        first, text = segments(lengths[at:to])
-        place = np.arange(len(words)) - first[text]
-        # how often did the text have this word before?
-        order = np.argsort(text * (int(words.max()) + 1) + words, kind="stable")
-        new = np.concatenate([[True], (text[order][1:] != text[order][:-1]) | (words[order][1:] != words[order][:-1])])
-        heads = np.flatnonzero(new)
-        before = np.empty(len(words), np.int64)
-        before[order] = np.arange(len(words)) - heads[np.cumsum(new) - 1]
-        chances = np.stack([spelled[words], before / np.maximum(place, 1), *corpus[:, words]])
-        logs = np.log(WAYS @ chances + 1e-300)
-        past = np.cumsum(logs, axis=1) - logs
-        past -= past[:, first][:, text]  # what each way gave to the text's words before
-        past -= past.max(axis=0)
-        weight = np.exp(past)
-        out[at:to] = np.add.reduceat(np.log10((weight * np.exp(logs)).sum(axis=0) / weight.sum(axis=0)), first)
-        at = to
-    return out
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return dealt.groupBy("bucket").cogroup(answers.where("bucket >= 0").groupBy("bucket")).applyInArrow(score, schema)

@@ -1,11 +1,12 @@
 import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from slatecast.llm import language
+from slatecast.llm import language, mixer
 
 
 def fold(doc_id):
@@ -13,7 +14,7 @@ def fold(doc_id):
 
 
 def test_spelling_is_a_complete_code():
-    size, node, branch = language.spelling()
+    size, node, branch = mixer.spelling()
     assert sum(2.0 ** -int(n) for n in size) == 1
     paths = {tuple(branch[s, : size[s]]) for s in range(257)}
     assert len(paths) == 257
@@ -23,61 +24,128 @@ def test_spelling_is_a_complete_code():
             assert steps.setdefault(int(node[s, k]), tuple(branch[s, :k])) == tuple(branch[s, :k])
 
 
+def test_mixer_against_a_loop():
+    """Steps of bits, foretold and learned one value at a time."""
+    rng = np.random.default_rng(3)
+    made = mixer.Mixer(3, 1, 2, 6)
+    counts, weights = defaultdict(float), np.full((2, 4), mixer.FIRST)
+    moved = np.full((2, 4), 1e-4)
+    level = lambda k: 1 / (1 + math.exp(-(-mixer.LIMIT + 2 * mixer.LIMIT * k / (mixer.LEVELS - 1))))
+    seen = {(g, k): [mixer.TRUST * (1 - level(k)), mixer.TRUST * level(k)] for g in range(2) for k in range(mixer.LEVELS)}
+    odds = lambda k, s: max(-mixer.LIMIT, min(mixer.LIMIT, math.log((counts[k, s, 1] + mixer.PRIOR) / (counts[k, s, 0] + mixer.PRIOR))))
+    for n in (5, 9, 40):
+        slots, extra, gate = rng.integers(0, 64, (3, n)), rng.normal(size=(1, n)), rng.integers(0, 2, n)
+        came, learn = rng.integers(0, 2, n), rng.random(n) < 0.8
+        got = made.run(slots, extra, gate, came, learn)
+        later, slopes = [], np.zeros((2, 4))
+        for i in range(n):
+            inputs = [*(odds(k, slots[k, i]) for k in range(3)), extra[0, i]]
+            mixed = max(-mixer.LIMIT, min(mixer.LIMIT, sum(w * x for w, x in zip(weights[gate[i]], inputs, strict=True))))
+            chance = 1 / (1 + math.exp(-mixed))
+            cell = (int(gate[i]), round((mixed + mixer.LIMIT) * (mixer.LEVELS - 1) / (2 * mixer.LIMIT)))
+            refined = (chance + seen[cell][1] / sum(seen[cell])) / 2
+            assert got[i] == pytest.approx(math.log10(refined if came[i] else 1 - refined), abs=1e-5)
+            if learn[i]:
+                slopes[gate[i]] += [(came[i] - chance) * x for x in inputs]
+                later.append((cell, i))
+        for g in range(2):
+            slope = slopes[g] / max(1, sum(learn & (gate == g)))
+            moved[g] += slope**2
+            weights[g] += mixer.RATE * slope / np.sqrt(moved[g])
+        for cell, i in later:
+            seen[cell][came[i]] += 1
+            for k in range(3):
+                counts[k, slots[k, i], came[i]] += 1
+    assert np.allclose(made.weights, weights, atol=1e-4)
+
+
 def test_a_speller_gives_all_words_one_chance_together():
     """Over all endings of a beginning, bytes and the end of the word, the chances add up to one."""
-    learner = language.Learner()
-    learner.learn({b"abba": 3, b"abc": 1, b"": 9, b"abd": 2})
-    learner.learn({b"abba": 3, b"ab": 1})
-    speller = language.Speller(learner.counts, learner.weights, learner.refined)
-    prefix = b"ab"
-    end = language.spelling()[0][256]
+    size = mixer.spelling()[0]
     total = 0.0
     for symbol in range(257):
-        word = prefix + bytes([symbol]) if symbol < 256 else prefix
-        spelled = language.spell([word])
-        chance = speller.predict(spelled)[3]
-        right = np.where(spelled.came == 1, chance, 1 - chance)
-        before = sum(language.spelling()[0][c] for c in prefix)
-        stop = before + (language.spelling()[0][symbol] if symbol < 256 else end)
-        total += math.prod(right[before:stop])
+        speller = mixer.Speller(12)
+        words = [b"abba", b"abc", b"", b"abd"] * 4
+        speller.run(words, [b"x"] * len(words), np.ones(len(words), bool))
+        bits = []
+        inner = speller.mixer.run
+        speller.mixer.run = lambda *a, inner=inner: bits.append(inner(*a)) or bits[-1]
+        speller.run([b"ab" + bytes([symbol]) if symbol < 256 else b"ab"], [b"x"], np.zeros(1, bool))
+        before = sum(size[c] for c in b"ab")
+        total += 10.0 ** bits[0][before : before + size[symbol]].sum()
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_learning_lowers_the_cost(prose):
-    words = Counter(w for k in range(40) for w in prose(200).encode().split())
-    learner = language.Learner()
-    names = list(words)
-    for part in range(4):
-        learner.learn({w: words[w] for w in names[part::5]})
-    fresh = names[4::5]
-    taught = language.Speller(learner.counts, learner.weights, learner.refined).log10(fresh).sum()
-    assert taught > language.Speller().log10(fresh).sum() * 0.8
+def test_spelling_steps_change_nothing_but_what_was_learned_before(prose):
+    """Words cut by the end of a step have all their bits, and contexts reach over the cut."""
+    words = [w.encode() for w in prose(300).split()]
+    one = mixer.Speller(12).run(words, [b"", *words[:-1]], np.zeros(len(words), bool))
+    old, mixer.SPELL_STEP = mixer.SPELL_STEP, 7
+    try:
+        assert np.allclose(one, mixer.Speller(12).run(words, [b"", *words[:-1]], np.zeros(len(words), bool)))
+    finally:
+        mixer.SPELL_STEP = old
 
 
-def test_one_part_moves_weights_and_refinement(prose):
-    """A task whose texts make a single part learns as it goes, and its odds are those of its counts."""
-    learner = language.Learner()
-    learner.learn(Counter(prose(2000).encode().split()))
-    assert np.abs(learner.weights - 0.4).max() > 0.01 and learner.refined.sum() == learner.seen > 0
-    assert np.array_equal(learner.speller.odds, language.log_odds(learner.counts))
+def bucket(texts, learned, bits=40):
+    return language.Bucket([t.encode() for t in texts], np.array(learned), bits)
 
 
-def test_text_scores_against_a_loop():
-    rng = np.random.default_rng(4)
-    lengths = np.array([7, 1, 12])
-    index = rng.integers(0, 5, 20)
-    spelled, corpus = rng.random(5) / 9, rng.random((5, 5)) / 9
-    got = language.text_scores(index, lengths, spelled, corpus)
+def test_counts_of_a_bucket_against_a_loop(prose):
+    texts = [prose(60), prose(5), "", "a b a b a c", "a b a c a b"]
+    learned = [True, True, False, True, True]
+    held = bucket(texts, learned)
+    tokens = [[*t.encode().split(), b""] for t in texts]
+    follows, contexts = Counter(), Counter()
+    for own, teaches in zip(tokens, learned, strict=True):
+        pairs = {(*([None, None] + own)[k : k + 2], w) for k, w in enumerate(own)}
+        follows.update(pairs if teaches else ())
+        contexts.update([p[:2] for p in pairs] if teaches else ())
     at = 0
-    for n, score in zip(lengths, got, strict=True):
-        weights, seen, total = np.ones(len(language.WAYS)), Counter(), 0.0
-        for k, w in enumerate(index[at : at + n]):
-            each = language.WAYS @ np.array([spelled[w], seen[w] / max(k, 1), *corpus[:, w]])
-            total += math.log10(weights @ each / weights.sum())
-            weights = weights * each
-            seen[w] += 1
-        assert score == pytest.approx(total)
-        at += n
+    got_follows = held.follow_counts[np.searchsorted(held.follow_slots, held.follows)]
+    got_contexts = held.context_counts[np.searchsorted(held.context_slots, held.context)]
+    own_words = held.own_words()
+    for own in tokens:
+        pairs = [(*([None, None] + own)[k : k + 2], w) for k, w in enumerate(own)]
+        for k, pair in enumerate(pairs):
+            assert held.words[held.word[at + k]] == own[k] and own_words[at + k] == own.count(own[k])
+            assert got_follows[at + k] == follows[pair] and got_contexts[at + k] == contexts[pair[:2]]
+            assert held.own_context[at + k] == len({p for p in pairs if p[:2] == pair[:2]})
+        at += len(own)
+
+
+def test_asked_and_answered(prose):
+    """Two buckets ask in four parts; each gets the sums of both, in the order of its own keys."""
+    held = [bucket([prose(80), prose(30)], [True, False]), bucket([prose(90), prose(200)], [True, True])]
+    import pyarrow as pa
+
+    asked = [a for k, h in enumerate(held) for a in language._asked(k, h, 40, 4)]
+    rows = []
+    for part in {a[0] for a in asked}:
+        mine = [a for a in asked if a[0] == part]
+        rows += language._answered(pa.table(dict(zip(("part", "bucket", "what", "keys", "counts"), map(list, zip(*mine, strict=True)), strict=True)))).to_pylist()
+    rows.sort(key=lambda r: r["part"])
+    for what, keys, counts in ((language.WORDS, "hashes", lambda h: h.word_counts().sum(axis=1)), (language.CONTEXTS, "context_slots", lambda h: h.context_counts), (language.FOLLOWS, "follow_slots", lambda h: h.follow_counts)):
+        want = Counter()
+        for h in held:
+            want.update(dict(zip(getattr(h, keys).tolist(), counts(h).tolist(), strict=True)))
+        for k, h in enumerate(held):
+            got = np.concatenate([language.unpack(r["facts"], np.int64 if what == language.WORDS else np.uint8) for r in rows if r["bucket"] == k and r["what"] == what])
+            assert got.tolist() == [want[x] for x in getattr(h, keys).tolist()]
+    cells = np.zeros(2 * (language.LANGUAGES + 1) * language.HALVES, np.int64)
+    for r in rows:
+        if r["bucket"] < 0:
+            cells[r["cell"]] += r["n"]
+    corpus = language.Corpus(cells)
+    assert corpus.tokens == 81 + 91 + 201 and corpus.by_kind.sum() == corpus.tokens
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+        values = rng.integers(0, 200, 300).astype(kind)
+        assert np.array_equal(language.unpack(language.pack(values), kind), values)
+    assert len(language.unpack(language.pack(np.zeros(0, np.int64)), np.int64)) == 0
 
 
 def test_odd_rows(odd, odd_rows, none):
@@ -90,3 +158,32 @@ def test_odd_rows(odd, odd_rows, none):
     assert same
     assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in rows)
     assert language.judge(none).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions_and_find_copies(spark, prose, monkeypatch):
+    monkeypatch.setattr(language, "BUCKET_BYTES", 20_000)
+    texts = [prose(60) for _ in range(120)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k]) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r["doc_id"]: r for r in language.judge(docs.repartition(2)).collect()}
+    two = {r["doc_id"]: r for r in language.judge(docs.repartition(7)).collect()}
+    assert {k: r["score"] for k, r in one.items()} == {k: r["score"] for k, r in two.items()}
+    twins = [one[k]["bits_per_byte"] for k in range(10) if not fold(1000 + k)]
+    others = [r["bits_per_byte"] for k, r in one.items() if 10 <= k < 1000]
+    assert max(twins) < min(others) * 0.7
+
+
+def test_long_words_cost_by_their_length(spark, prose):
+    rng = random.Random(5)
+    rows = [(k, prose(50)) for k in range(60)] + [(100 + n, "".join(rng.choices("abcdefghij", k=n))) for n in (300, 1000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language.judge(docs).collect()}
+    assert got[5100] < 4 * got[1100] < 8 * got[400] < -1000  # some three bits a letter
+
+
+def test_foretells_better_than_the_base(spark, prose):
+    """Texts of a bounded vocabulary with copies among them: held-out texts are foretold better than by word counts."""
+    texts = [prose(150) for _ in range(150)]
+    rows = [(k, texts[k % 100]) for k in range(300)]
+    got = language.judge(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
