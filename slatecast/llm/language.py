@@ -28,7 +28,7 @@ from slatecast.llm.spotsigs import COMMON_BY_LANGUAGE
 
 FOLDS, TEST_FOLD = 7, 2
 #: Bytes of text in a bucket of documents that are scored along one stream, and in the texts whose counts one task adds up.
-BUCKET_BYTES, PART_BYTES = 12_000_000, 12_000_000
+BUCKET_BYTES, PART_BYTES = 6_000_000, 12_000_000
 #: Tokens that are foretold before they are learned; steps double from the first on.
 FIRST_STEP, STEP = 64, 8192
 LANGUAGES = len(COMMON_BY_LANGUAGE)

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from slatecast.llm.common import mix64, segments
+from slatecast.llm.common import segments
 from slatecast.llm.webp import canonical, code_lengths
 
 #: All odds are kept within LIMIT; the refinement has LEVELS of them. FIRST is what an input weighs before it is learned, RATE its step.
@@ -33,45 +33,48 @@ class Mixer:
         self.seen = np.repeat(TRUST * np.stack([1 - levels, levels], axis=1)[None], gates, axis=0)
 
     def slots(self, contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        """A slot for each context and node; contexts are numbers below 2**40 or hashes."""
+        """A slot for each context and node, both of them numbers or hashes."""
         out = np.empty((len(contexts), len(node)), np.int64)
+        branch = node.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
         for k, value in enumerate(contexts):
-            mixed = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-            out[k] = (mix64(mixed) >> np.uint64(64 - self.bits)).astype(np.int64)
+            mixed = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + branch
+            # folds the upper half onto the lower one and takes the upper half of a product; shifts of 64 bits are slow here
+            part = mixed.view(np.uint32)
+            part[::2] ^= part[1::2]
+            out[k] = (mixed * np.uint64(0x9FB21C651E98DF25)).view(np.uint32)[1::2] & np.uint32((1 << self.bits) - 1)
         return out
 
     def run(self, slots: np.ndarray, extra: np.ndarray, gate: np.ndarray, came: np.ndarray, learn: np.ndarray) -> np.ndarray:
         """The log10 chance that each bit had; bits are learned where ``learn`` says so."""
         if not len(came):
             return np.zeros(0)
-        inputs = np.concatenate([np.stack([self.odds[k][s] for k, s in enumerate(slots)]), extra.astype(np.float32)])
-        weights = self.weights.astype(np.float32)
+        inputs = [*(self.odds[k].take(s) for k, s in enumerate(slots)), *extra.astype(np.float32)]
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
         mixed = np.zeros(len(came), np.float32)
-        for k in range(len(inputs)):
-            mixed += weights[gate, k] * inputs[k]
+        for k, value in enumerate(inputs):
+            mixed += weights[k].take(gate) * value
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-        chance = 1 / (1 + np.exp(-mixed.astype(np.float64)))
-        cell = gate * LEVELS + np.rint((mixed + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-        table = (self.seen[..., 1] / self.seen.sum(axis=2)).reshape(-1)
-        refined = 0.5 * chance + 0.5 * table[cell]
-        right = np.log10(np.where(came == 1, refined, 1 - refined))
-        self.learn(slots, inputs, gate, cell, chance, came, learn)
+        chance = 1 / (1 + np.exp(-mixed))
+        cell = gate * LEVELS + np.rint((mixed + np.float32(LIMIT)) * np.float32((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
+        table = (self.seen[..., 1] / self.seen.sum(axis=2)).astype(np.float32).reshape(-1)
+        refined = np.float32(0.5) * (chance + table.take(cell))
+        sign = came.astype(np.float32)
+        right = np.log(1 - sign + (2 * sign - 1) * refined).astype(np.float64) / np.log(10)
+        self.learn(slots, inputs, gate, cell, (sign - chance) * learn, came, learn)
         return right
 
-    def learn(self, slots: np.ndarray, inputs: np.ndarray, gate: np.ndarray, cell: np.ndarray, chance: np.ndarray, came: np.ndarray, learn: np.ndarray) -> None:
-        error = np.where(learn, came - chance, 0).astype(np.float32)
-        n = np.maximum(np.bincount(gate, learn, minlength=self.gates), 1)
-        for k in range(len(inputs)):
-            slope = np.bincount(gate, error * inputs[k], minlength=self.gates) / n
+    def learn(self, slots: np.ndarray, inputs: list[np.ndarray], gate: np.ndarray, cell: np.ndarray, error: np.ndarray, came: np.ndarray, learn: np.ndarray) -> None:
+        taught = learn.astype(np.float32)
+        n = np.maximum(np.bincount(gate, taught, minlength=self.gates), 1)
+        for k, value in enumerate(inputs):
+            slope = np.bincount(gate, error * value, minlength=self.gates) / n
             self.moved[:, k] += slope * slope
             self.weights[:, k] += RATE * slope / np.sqrt(self.moved[:, k])
-        self.seen += np.bincount(cell * 2 + came, learn, minlength=self.seen.size).reshape(self.seen.shape)
-        taught = learn.astype(np.float32)
+        self.seen += np.bincount(cell * 2 + came, taught, minlength=self.seen.size).reshape(self.seen.shape)
         for k, slot in enumerate(slots):
-            counts = self.counts[k]
-            np.add.at(counts.reshape(-1), slot * 2 + came, taught)
-            held = counts[slot] + np.float32(PRIOR)
-            self.odds[k][slot] = np.clip(np.log(held[:, 1] / held[:, 0]), -LIMIT, LIMIT)
+            np.add.at(self.counts[k].reshape(-1), slot * 2 + came, taught)
+            held = self.counts[k].take(slot, axis=0) + np.float32(PRIOR)
+            self.odds[k][slot] = np.log(held[:, 1] / held[:, 0])
 
 
 @lru_cache(maxsize=1)
@@ -132,21 +135,20 @@ class Speller:
         first, at = segments(size[symbol])
         step = np.arange(len(at)) - first[at]
         slots = self.mixer.slots([c[at] for c in contexts], node[symbol[at], step])
-        known = sum((self.mixer.odds[k][slots[k]] != 0).astype(np.int64) for k in range(ORDERS))
+        known = sum((self.mixer.odds[k].take(slots[k]) != 0).astype(np.int64) for k in range(ORDERS))
         right = self.mixer.run(slots, np.zeros((0, len(at))), known * 4 + np.minimum(place, 3)[at], branch[symbol[at], step].astype(np.int64), learn[at])
         return np.add.reduceat(right, first) if len(first) else right
 
 
 def _running(lead: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols laid end to end, for each word ORDERS of what stands before it, its bytes and its end; the word of each symbol; its place, below 0 for what stands before."""
-    sizes = np.fromiter((len(w) for _, w in lead), np.int64, len(lead)) + ORDERS + 1
-    starts, owner = segments(sizes)
-    symbols = np.full(int(sizes.sum()), NOTHING, np.int16)
-    place = np.arange(len(symbols)) - starts[owner] - ORDERS
-    for k, (tail, word) in enumerate(lead):
-        at = int(starts[k]) + ORDERS
-        symbols[at - 1] = SPACE
-        symbols[at - 1 - len(tail) : at - 1] = np.frombuffer(tail, np.uint8)
-        symbols[at : at + len(word)] = np.frombuffer(word, np.uint8)
-        symbols[at + len(word)] = END
+    length = np.fromiter((len(w) for _, w in lead), np.int64, len(lead))
+    tail = np.fromiter((len(t) for t, _ in lead), np.int64, len(lead))
+    starts, owner = segments(length + ORDERS + 1)
+    place = np.arange(len(owner)) - starts[owner] - ORDERS
+    symbols = np.full(len(owner), NOTHING, np.int16)
+    symbols[place == -1] = SPACE
+    symbols[(place < -1) & (place >= -1 - tail[owner])] = np.frombuffer(b"".join(t for t, _ in lead), np.uint8)
+    symbols[(place >= 0) & (place < length[owner])] = np.frombuffer(b"".join(w for _, w in lead), np.uint8)
+    symbols[place == length[owner]] = END
     return symbols, owner, place

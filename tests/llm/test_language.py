@@ -32,7 +32,7 @@ def test_mixer_against_a_loop():
     moved = np.full((2, 4), 1e-4)
     level = lambda k: 1 / (1 + math.exp(-(-mixer.LIMIT + 2 * mixer.LIMIT * k / (mixer.LEVELS - 1))))
     seen = {(g, k): [mixer.TRUST * (1 - level(k)), mixer.TRUST * level(k)] for g in range(2) for k in range(mixer.LEVELS)}
-    odds = lambda k, s: max(-mixer.LIMIT, min(mixer.LIMIT, math.log((counts[k, s, 1] + mixer.PRIOR) / (counts[k, s, 0] + mixer.PRIOR))))
+    odds = lambda k, s: math.log((counts[k, s, 1] + mixer.PRIOR) / (counts[k, s, 0] + mixer.PRIOR))
     for n in (5, 9, 40):
         slots, extra, gate = rng.integers(0, 64, (3, n)), rng.normal(size=(1, n)), rng.integers(0, 2, n)
         came, learn = rng.integers(0, 2, n), rng.random(n) < 0.8
@@ -178,7 +178,7 @@ def test_long_words_cost_by_their_length(spark, prose):
     rows = [(k, prose(50)) for k in range(60)] + [(100 + n, "".join(rng.choices("abcdefghij", k=n))) for n in (300, 1000, 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in language.judge(docs).collect()}
-    assert got[5100] < 4 * got[1100] < 8 * got[400] < -1000  # some three bits a letter
+    assert got[5100] < 3 * got[1100] < 6 * got[400] < -3000  # some three bits a letter and more
 
 
 def test_foretells_better_than_the_base(spark, prose):
