@@ -6,7 +6,7 @@ unknown), along the branches of the kind's number; and, if the corpus does not k
 bits leave open is settled by relative frequency: among those that followed the two words, and among the words of a kind.
 
 What the corpus knows is counted for all of it, in tables that grow with it: words, and hashed pairs of words with what
-follows them, by the number of documents. A training document is foretold by the other ones: its own share is taken off
+follows them. A training document is foretold by the other ones: its own share is taken off
 every count. Weights, refinements and the mixers' own tables are learned online along a bucket of texts, which are dealt and ordered by
 hashes, so that scores do not depend on how the input is partitioned. Held-out texts teach nothing.
 """
@@ -33,7 +33,7 @@ BUCKET_BYTES, PART_BYTES = 6_000_000, 12_000_000
 FIRST_STEP, STEP = 64, 8192
 LANGUAGES = len(COMMON_BY_LANGUAGE)
 #: Kinds: three bits of language (LANGUAGES is none of them, the last is no word of the corpus), then as many of frequency, in steps of three half bits.
-LANGUAGE_BITS, BAND_BITS, BAND_STEP = 3, 4, 3
+LANGUAGE_BITS, BAND_BITS, BAND_STEP = 3, 3, 6
 UNKNOWN, BANDS = (1 << LANGUAGE_BITS) - 1, 1 << BAND_BITS
 #: Half bits that a count can have.
 HALVES = 128
@@ -69,27 +69,33 @@ class Bucket:
     """The tokens of some texts laid end to end: distinct words in the order of their hashes, and an end (the empty word) after each text."""
 
     def __init__(self, raws: list[bytes], learned: np.ndarray, bits: int) -> None:
-        known: dict[bytes, int] = {}
-        index = []
+        words, lengths = [], []
         for raw in raws:
             own = raw.lower().split()
-            own.append(b"")
-            index.append(np.array([known.setdefault(w, len(known)) for w in own], np.int32))
-        self.lengths = np.fromiter(map(len, index), np.int64, len(index))
-        names = list(known)
+            words += own
+            words.append(b"")
+            lengths.append(len(own) + 1)
+        self.lengths = np.array(lengths, np.int64)
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        del words
+        names = coded.dictionary.to_pylist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(w, 7) for w in names], np.uint64)
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(names), np.int32)
         rank[order] = np.arange(len(names), dtype=np.int32)
         self.words, self.hashes = [names[k] for k in order], hashes[order]
-        self.word = rank[np.concatenate([*index, np.zeros(0, np.int32)])]
+        self.word = rank[coded.indices.to_numpy()]
         self.starts, self.text = segments(self.lengths)
         self.learned = learned
         self.teaches = learned[self.text]
         self.first = np.zeros(len(self.word), bool)
         self.first[self.starts] = True
-        self._pairs(bits)
+        h = self.hashes[self.word] if len(self.word) else np.zeros(0, np.uint64)
+        one = self.before(h, 1)
+        context = mix64(one * np.uint64(0x9E3779B97F4A7C15) + mix64(self.before(one, 2)))
+        drop = np.uint64(64 - bits)
+        self.follows, self.context = mix64(context * np.uint64(3) + h) >> drop, context >> drop
 
     def before(self, values: np.ndarray, filler: int) -> np.ndarray:
         """For each token the value of the one before it in its text."""
@@ -97,45 +103,30 @@ class Bucket:
         out[self.first] = filler
         return out
 
-    def _pairs(self, bits: int) -> None:
-        """Slots of the two words before a token and of those with the token, of ``bits`` bits; and, of each, the share of the token's own text."""
-        h = self.hashes[self.word] if len(self.word) else np.zeros(0, np.uint64)
-        one = self.before(h, 1)
-        two = self.before(one, 2)
-        context = mix64(one * np.uint64(0x9E3779B97F4A7C15) + mix64(two))
-        drop = np.uint64(64 - bits)
-        self.follows, self.context = mix64(context * np.uint64(3) + h) >> drop, context >> drop
-        once = np.zeros(len(h), bool)
-        order, heads = self._groups(self.follows)
-        once[order[heads]] = True
-        self.follow_slots, self.follow_counts = self._sums(self.follows, order, once)
-        order, heads = self._groups(self.context)
-        self.own_context = np.empty(len(h), np.int64)
-        if len(h):
-            self.own_context[order] = np.add.reduceat(once[order].astype(np.int64), heads)[np.cumsum(np.isin(np.arange(len(h)), heads, assume_unique=True)) - 1]
-        self.context_slots, self.context_counts = self._sums(self.context, order, once)
-
-    def _groups(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens by slot and text, and where each slot and text begins."""
-        order = np.argsort(slots, kind="stable")
-        s, t = slots[order], self.text[order]
-        return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
-
-    def _sums(self, slots: np.ndarray, order: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct slots in order, and how many texts that teach have something there."""
-        s = slots[order]
-        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
-        return s[heads], np.add.reduceat((once & self.teaches)[order].astype(np.int64), heads) if len(s) else np.zeros(0, np.int64)
-
-    def own_words(self) -> np.ndarray:
-        """How often each token's text has its word."""
-        both = self.text * (len(self.words) + 1) + self.word
-        order = np.argsort(both, kind="stable")
-        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), np.diff(both[order]) != 0]))
-        sizes = np.diff(np.append(heads, len(both)))
-        out = np.empty(len(both), np.int64)
-        out[order] = np.repeat(sizes, sizes)
-        return out
+    def counted(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct slots of all tokens in order, and how many tokens of texts that teach are there."""
+        both = np.sort((slots << np.uint64(1)) | self.teaches.astype(np.uint64))
+        slot = both >> np.uint64(1)
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(slot)), bool), slot[1:] != slot[:-1]]))
+        return slot[heads], np.add.reduceat((both & np.uint64(1)).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+
+    def places(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the rank of its slot among the distinct ones, and how many tokens of its own text are there."""
+        n, width = len(slots), len(self.lengths).bit_length()
+        if n == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if int(slots.max()).bit_length() + width <= 64:
+            order = np.argsort((slots.astype(np.uint64) << np.uint64(width)) | self.text.astype(np.uint64))
+        else:
+            order = np.argsort(slots, kind="stable")
+        slot, text = slots[order], self.text[order]
+        new = np.concatenate([[True], slot[1:] != slot[:-1]])
+        heads = np.flatnonzero(new | np.concatenate([[True], text[1:] != text[:-1]]))
+        sizes = np.diff(np.append(heads, n))
+        rank, own = np.empty(n, np.int64), np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        own[order] = np.repeat(sizes, sizes)
+        return rank, own
 
     def word_counts(self) -> np.ndarray:
         """For each distinct word and language how often texts of that language which teach have it; a text's language is the one with most common words in it."""
@@ -155,7 +146,7 @@ _ANSWERED = "part int, bucket int, what byte, facts binary, languages binary, ce
 def _asked(bucket: int, held: Bucket, bits: int, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """A bucket's distinct keys with its own counts, for each part of the keys."""
     shift = np.uint64(parts.bit_length() - 1)
-    asked = ((WORDS, held.hashes, held.word_counts(), 64), (CONTEXTS, held.context_slots, held.context_counts, bits), (FOLLOWS, held.follow_slots, held.follow_counts, bits))
+    asked = ((WORDS, held.hashes, held.word_counts(), 64), (CONTEXTS, *held.counted(held.context), bits), (FOLLOWS, *held.counted(held.follows), bits))
     for what, keys, counts, size in asked:
         cuts = np.searchsorted(keys >> (np.uint64(size) - shift) if shift else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
         for part in range(parts):
@@ -238,15 +229,16 @@ class Scorer:
         self.kind = Mixer(6, 1, (LANGUAGE_BITS + BAND_BITS) * 2, 18)
         self.speller = Speller()
 
-    def run(self, held: Bucket, counts: np.ndarray, language: np.ndarray, context: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """The log10 chance of each token, from the corpus' counts of its word, of the two words before it and of those with it."""
+    def run(self, held: Bucket, words: np.ndarray, languages: np.ndarray, contexts: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """The log10 chance of each token, from the corpus' counts of distinct words, of two words, and of those with the next."""
         corpus = self.corpus
-        mine = held.teaches.astype(np.int64)
-        own = held.own_words() * mine
-        others = counts - own
-        kind = np.where(others > 0, kinds(counts, language, corpus.tokens), UNKNOWN * BANDS)
-        after = np.maximum(context - held.own_context * mine, 0)
-        same = np.where(after > 0, np.clip(follows - mine, 0, after), 0)
+        own = held.places(held.word)[1] * held.teaches
+        others = words[held.word] - own
+        kind = np.where(others > 0, kinds(words[held.word], languages[held.word], corpus.tokens), UNKNOWN * BANDS)
+        rank, mine = held.places(held.context)
+        after = np.maximum(contexts[rank] - mine * held.teaches, 0)
+        rank, mine = held.places(held.follows)
+        same = np.where(after > 0, np.clip(follows[rank] - mine * held.teaches, 0, after), 0)
         hit = same > 0
         # what is known when a token is foretold: how the tokens before it came out, and their kinds
         state = np.where(hit, 2, np.where(after > 0, 1, 0))
@@ -366,10 +358,8 @@ def judge(docs: DataFrame) -> DataFrame:
         got = {what: told.filter(pa.compute.equal(told["what"], what)) for what in (WORDS, CONTEXTS, FOLLOWS)}
         facts = [np.concatenate([*(unpack(b, np.int64 if what == WORDS else np.uint8) for b in got[what]["facts"].to_pylist()), np.zeros(0, np.int64)]) for what in got]
         language = np.concatenate([unpack(b, np.uint8) for b in got[WORDS]["languages"].to_pylist()]).astype(np.int64)
-        counts = facts[WORDS].astype(np.int64)[held.word]
-        context = _told(facts[CONTEXTS])[np.searchsorted(held.context_slots, held.context)]
-        follows = _told(facts[FOLLOWS])[np.searchsorted(held.follow_slots, held.follows)]
-        model = np.add.reduceat(Scorer(corpus).run(held, counts, language[held.word], context, follows), held.starts)
+        counts = facts[WORDS][held.word]
+        model = np.add.reduceat(Scorer(corpus).run(held, facts[WORDS], language, _told(facts[CONTEXTS]), _told(facts[FOLLOWS])), held.starts)
         base = np.log10(counts + 1.0) - np.log10(corpus.tokens + corpus.distinct + 1.0)
         out = pa.table({
             "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": held.lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), held.starts),

@@ -103,7 +103,7 @@ def spelling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Bytes of context for a byte, which reach over the word's beginning into the word before; none and the text's beginning are symbols as well.
-ORDERS, END, SPACE, NOTHING = 5, 256, 32, 300
+ORDERS, END, SPACE, NOTHING = 4, 256, 32, 300
 #: Symbols that are spelled in one step.
 SPELL_STEP = 1 << 16
 

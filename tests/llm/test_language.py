@@ -91,27 +91,26 @@ def bucket(texts, learned, bits=40):
     return language.Bucket([t.encode() for t in texts], np.array(learned), bits)
 
 
-def test_counts_of_a_bucket_against_a_loop(prose):
+@pytest.mark.parametrize("bits", [40, 62])
+def test_counts_of_a_bucket_against_a_loop(prose, bits):
     texts = [prose(60), prose(5), "", "a b a b a c", "a b a c a b"]
     learned = [True, True, False, True, True]
-    held = bucket(texts, learned)
+    held = bucket(texts, learned, bits)
     tokens = [[*t.encode().split(), b""] for t in texts]
-    follows, contexts = Counter(), Counter()
-    for own, teaches in zip(tokens, learned, strict=True):
-        pairs = {(*([None, None] + own)[k : k + 2], w) for k, w in enumerate(own)}
-        follows.update(pairs if teaches else ())
-        contexts.update([p[:2] for p in pairs] if teaches else ())
-    at = 0
-    got_follows = held.follow_counts[np.searchsorted(held.follow_slots, held.follows)]
-    got_contexts = held.context_counts[np.searchsorted(held.context_slots, held.context)]
-    own_words = held.own_words()
-    for own in tokens:
-        pairs = [(*([None, None] + own)[k : k + 2], w) for k, w in enumerate(own)]
-        for k, pair in enumerate(pairs):
-            assert held.words[held.word[at + k]] == own[k] and own_words[at + k] == own.count(own[k])
-            assert got_follows[at + k] == follows[pair] and got_contexts[at + k] == contexts[pair[:2]]
-            assert held.own_context[at + k] == len({p for p in pairs if p[:2] == pair[:2]})
-        at += len(own)
+    triples = [[(*([None, None] + own)[k : k + 2], w) for k, w in enumerate(own)] for own in tokens]
+    for slots, size in ((held.follows, 3), (held.context, 2)):
+        distinct, counts = held.counted(slots)
+        rank, mine = held.places(slots)
+        want = Counter(t[:size] for own, teaches in zip(triples, learned, strict=True) if teaches for t in own)
+        at = 0
+        for own in triples:
+            for t in own:
+                assert counts[rank[at]] == want[t[:size]] and distinct[rank[at]] == slots[at]
+                assert mine[at] == sum(x[:size] == t[:size] for x in own)
+                at += 1
+    words = [w for own in tokens for w in own]
+    assert [held.words[k] for k in held.word] == words
+    assert held.places(held.word)[1].tolist() == [own.count(w) for own in tokens for w in own]
 
 
 def test_asked_and_answered(prose):
@@ -125,13 +124,13 @@ def test_asked_and_answered(prose):
         mine = [a for a in asked if a[0] == part]
         rows += language._answered(pa.table(dict(zip(("part", "bucket", "what", "keys", "counts"), map(list, zip(*mine, strict=True)), strict=True)))).to_pylist()
     rows.sort(key=lambda r: r["part"])
-    for what, keys, counts in ((language.WORDS, "hashes", lambda h: h.word_counts().sum(axis=1)), (language.CONTEXTS, "context_slots", lambda h: h.context_counts), (language.FOLLOWS, "follow_slots", lambda h: h.follow_counts)):
+    for what, counted in ((language.WORDS, lambda h: (h.hashes, h.word_counts().sum(axis=1))), (language.CONTEXTS, lambda h: h.counted(h.context)), (language.FOLLOWS, lambda h: h.counted(h.follows))):
         want = Counter()
         for h in held:
-            want.update(dict(zip(getattr(h, keys).tolist(), counts(h).tolist(), strict=True)))
+            want.update(dict(zip(*(x.tolist() for x in counted(h)), strict=True)))
         for k, h in enumerate(held):
             got = np.concatenate([language.unpack(r["facts"], np.int64 if what == language.WORDS else np.uint8) for r in rows if r["bucket"] == k and r["what"] == what])
-            assert got.tolist() == [want[x] for x in getattr(h, keys).tolist()]
+            assert got.tolist() == [want[x] for x in counted(h)[0].tolist()]
     cells = np.zeros(2 * (language.LANGUAGES + 1) * language.HALVES, np.int64)
     for r in rows:
         if r["bucket"] < 0:
