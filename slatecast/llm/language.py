@@ -225,8 +225,8 @@ class Scorer:
 
     def __init__(self, corpus: Corpus) -> None:
         self.corpus = corpus
-        self.again = Mixer(4, 1, 16, 18)
-        self.kind = Mixer(6, 1, (LANGUAGE_BITS + BAND_BITS) * 2, 18)
+        self.again = Mixer(3, 1, 16, 18)
+        self.kind = Mixer(5, 1, (LANGUAGE_BITS + BAND_BITS) * 2, 18)
         self.speller = Speller()
 
     def run(self, held: Bucket, words: np.ndarray, languages: np.ndarray, contexts: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -256,8 +256,8 @@ class Scorer:
         last = held.before(held.word.astype(np.int64), -1)
         name = np.where(last >= 0, held.hashes[last] if len(held.hashes) else 0, np.uint64(0))
         chance = np.zeros(len(state))
-        again = [past[0] + 4 * past[1] + 16 * past[2] + 64 * level, run * 8 + level, np.minimum(after, 255) * 4 + past[0], name]
-        kinds_of = [leading, spoken[0], spoken[0] * 256 + spoken[1], (tongue[0] * 8 + tongue[1]) * 8 + leading, name, (state * 8 + level) * 8 + leading]
+        again = [past[0] + 4 * past[1] + 16 * past[2] + 64 * level, run * 8 + level, name]
+        kinds_of = [spoken[0], spoken[0] * 256 + spoken[1], (tongue[0] * 8 + tongue[1]) * 8 + leading, name, (state * 8 + level) * 8 + leading]
         a, size = 0, FIRST_STEP
         while a < len(state):
             b = min(a + size, len(state))
