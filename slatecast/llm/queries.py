@@ -47,7 +47,7 @@ def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,12 +429,12 @@ def kept_pieces(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes],
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = BUSY) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs(doc_id, text)``; ``kept`` is binary.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept, text)`` for every row of ``docs(doc_id, text)``.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in this text or another. Strings are
     judged on the input. Null texts are empty, texts under ``length`` bytes stay whole, repeated rows are repeats of
     each other (so from ``length`` bytes on nothing of them stays), other columns are ignored, and an empty table gives
-    an empty table. ``kept`` may cut through a character.
+    an empty table. ``kept`` is binary and may cut through a character; ``text`` is the same less such parts of characters.
     """
     keyed, spans = repeated_spans(docs, length, gram, busy)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -445,14 +445,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
             rows = []
             for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 pieces, removed, runs = kept_pieces(text, [(x["lo"], x["hi"]) for x in found or ()])
-                rows.append((len(text), removed, runs, b"".join(pieces)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.record_batch([batch["doc_id"], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((len(text), removed, runs, b"".join(pieces), "".join(p.decode("utf-8", "ignore") for p in pieces)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            return pa.record_batch([batch["doc_id"], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"])
 
         return step
 
-    return map_batches(joined.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", make)
-
+    return map_batches(joined.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string", make)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = BUSY) -> DataFrame:
