@@ -309,7 +309,7 @@ def ocr_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("rid", "frame_number", "text", "confidence", "bbox.x1", "bbox.y2")
 
 
-@_query()
+@_query(o.LEGACY_TRIGGER)
 def legacy_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = d.over_threshold(views.detections(spark, sf_dir)).withColumn("readable", F.col("k") % 5 != 0)
     return trigger.triggered(hits, readable="readable").select("rid", "frame_number", "text_type", "pixel_count")
@@ -320,13 +320,14 @@ def frame_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_numbers(spark, 100, 5000)
 
 
-@_query()
+@_query(o.FRAME_SOURCE)
 def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a made-up decoder, read by the data source in ranges."""
     from slatecast.sources.frames import read_frames
 
     frames = read_frames(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", start_frame=10, end_frame=210, frames_per_partition=50)
-    return frames.select("video_id", "frame_number", "height", "width", F.crc32("data").alias("crc"))
+    pixel = lambda y, x: F.hex(F.substring("data", (y * 320 + x) * 3 + 1, 3))
+    return frames.select("video_id", "frame_number", "height", "width", F.length("data").alias("n_bytes"), pixel(5, 180).alias("left_bar"), pixel(5, 270).alias("right_bar"))
 
 
 @_query()

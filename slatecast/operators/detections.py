@@ -16,8 +16,9 @@ def over_threshold(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def confident(rows: DataFrame, minimum: float = DEFAULT.min_confidence, legacy: bool = False) -> DataFrame:
     """Rows whose confidence is not under the minimum (NaN is not), texts repaired, blank ones dropped."""
-    kept = rows.where(~(F.col("confidence") < minimum))
-    return kept.withColumn("text", normalized(F.col("text"), F.col("text_type"), legacy)).where(strip(F.col("text")) != "")
+    # a repaired text has its prefix unless there was no text at all, so the blank ones are known before the repair
+    kept = rows.where(~(F.col("confidence") < minimum) & (F.col("text") != ""))
+    return kept.withColumn("text", normalized(F.col("text"), F.col("text_type"), legacy))
 
 
 def every_other(hits: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ def assembled(rows: DataFrame, all_items: bool = False) -> DataFrame:
     """
     item = F.try_element_at(F.col("items"), F.lit(-1))
     found = F.flatten(F.transform("items", _fragments)) if all_items else F.when(item.isNotNull(), _fragments(item))
-    rows = rows.withColumn("fragments", found).where(F.size(F.coalesce("fragments", F.array().cast(f"array<struct<text:string,score:double,bbox:{BOX}>>"))) > 0)
+    # a generator gives the fragments once, as a column that later ones only read; frames without any give no row
+    some = F.filter(F.array(F.coalesce(found, F.array().cast(f"array<struct<text:string,score:double,bbox:{BOX}>>"))), lambda each: F.size(each) > 0)
+    rows = rows.select(*[c for c in rows.columns if c != "fragments"], F.explode(some).alias("fragments"))
     total = F.aggregate("fragments", F.lit(0.0), lambda held, x: held + x["score"])
     return rows.withColumns({
         "text": F.array_join(F.transform("fragments", lambda x: strip(x["text"])), ""),

@@ -67,27 +67,39 @@ def _iou(a: str, b: str) -> str:
     return f"(CASE WHEN {wide} <= 0 OR {high} <= 0 OR {joint} <= 0 THEN 0.0::DOUBLE ELSE {shared} / {joint} END)"
 
 
-_BY_FRAME = "OVER (ORDER BY frame_number, rid)"
+_BY_FRAME = "OVER (PARTITION BY video_id ORDER BY frame_number, rid)"
 SIMILARITY = det(f"SELECT rid, {_alike('before', 'text')} AS similarity FROM (SELECT rid, text, lag(text) {_BY_FRAME} AS before FROM det) WHERE before IS NOT NULL")
-IOU = det(f"SELECT a.rid, {_iou('b.', 'a.')} AS iou FROM n a JOIN n b ON a.pos = b.pos + 1", f"n AS (SELECT *, row_number() {_BY_FRAME} AS pos FROM det)")
+IOU = det(f"SELECT a.rid, {_iou('b.', 'a.')} AS iou FROM n a JOIN n b ON a.video_id = b.video_id AND a.pos = b.pos + 1", f"n AS (SELECT *, row_number() {_BY_FRAME} AS pos FROM det)")
 PIXEL_THRESHOLD = det("SELECT rid, text_type, pixel_count FROM det WHERE pixel_count >= 681")
-EVERY_OTHER = det("SELECT rid, text_type FROM (SELECT rid, text_type, row_number() OVER (PARTITION BY text_type ORDER BY frame_number, rid) AS n FROM det WHERE pixel_count > 680) WHERE n % 2 = 1")
+EVERY_OTHER = det("SELECT rid, text_type FROM (SELECT rid, text_type, row_number() OVER (PARTITION BY video_id, text_type ORDER BY frame_number, rid) AS n FROM det WHERE pixel_count > 680) WHERE n % 2 = 1")
 ONE_COLOUR = det(
     """SELECT rid, frame_number, 'VFX' AS text_type FROM v WHERE vfx AND n % 2 = 1 UNION ALL
-    SELECT rid, frame_number, 'DI' FROM (SELECT rid, frame_number, row_number() OVER (ORDER BY frame_number) AS n FROM v WHERE di AND NOT (vfx AND n % 2 = 1)) WHERE n % 2 = 1""",
-    "f AS (SELECT rid, frame_number, text_type = 'VFX' OR rid % 3 = 0 AS vfx, text_type = 'DI' OR rid % 3 = 0 AS di FROM det WHERE pixel_count > 680)",
-    "v AS (SELECT *, sum(vfx::INTEGER) OVER (ORDER BY frame_number) AS n FROM f)",
+    SELECT rid, frame_number, 'DI' FROM (SELECT rid, frame_number, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM v WHERE di AND NOT (vfx AND n % 2 = 1)) WHERE n % 2 = 1""",
+    "f AS (SELECT video_id, rid, frame_number, text_type = 'VFX' OR rid % 3 = 0 AS vfx, text_type = 'DI' OR rid % 3 = 0 AS di FROM det WHERE pixel_count > 680)",
+    "v AS (SELECT *, sum(vfx::INTEGER) OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM f)",
 )
-MOVING_MEAN = det("SELECT rid, round(avg(pixel_count) OVER (PARTITION BY text_type ORDER BY frame_number, rid ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_pixels FROM det WHERE pixel_count > 680")
+MOVING_MEAN = det("SELECT rid, round(avg(pixel_count) OVER (PARTITION BY video_id, text_type ORDER BY frame_number, rid ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_pixels FROM det WHERE pixel_count > 680")
+LEGACY_TRIGGER = det(
+    "SELECT rid, frame_number, text_type, pixel_count FROM walk WHERE due",
+    "h AS (SELECT *, row_number() OVER (PARTITION BY video_id, text_type ORDER BY frame_number) AS n FROM det WHERE pixel_count > 680)",
+    """walk AS (SELECT video_id, text_type, 0::BIGINT AS n, NULL::BIGINT AS rid, NULL::BIGINT AS frame_number, NULL::BIGINT AS pixel_count, false AS due, 0::BIGINT AS last_frame, 0::BIGINT AS last_count FROM h WHERE n = 1
+      UNION ALL SELECT video_id, text_type, n, rid, frame_number, pixel_count, due, CASE WHEN due AND k % 5 <> 0 THEN frame_number ELSE last_frame END, CASE WHEN due AND k % 5 <> 0 THEN pixel_count ELSE last_count END
+      FROM (SELECT h.*, h.n >= 5 AND h.frame_number - last_frame >= 25 AND (h.frame_number - last_frame >= 250 OR abs(h.pixel_count - last_count) > 0.3::DOUBLE * last_count) AS due, last_frame, last_count
+        FROM walk JOIN h ON h.video_id = walk.video_id AND h.text_type = walk.text_type AND h.n = walk.n + 1))""",
+    recursive=True,
+)
+#: The made-up video's caption bars, seen at one place of each.
+FRAME_SOURCE = """SELECT 'synthetic' AS video_id, range AS frame_number, 200 AS height, 320 AS width, 192000 AS n_bytes,
+  CASE WHEN range % 120 < 80 THEN '3CE646' ELSE '282828' END AS left_bar, CASE WHEN range % 150 < 60 THEN '2882E6' ELSE '282828' END AS right_bar FROM range(10, 210)"""
 GAP_SESSIONS = det(
-    f"""SELECT {_ROW}, group_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY confidence DESC, pixel_count DESC, rid) AS place
+    f"""SELECT {_ROW}, group_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, group_id ORDER BY confidence DESC, pixel_count DESC, rid) AS place
       FROM (SELECT *, sum(cut) {_BY_FRAME}::BIGINT AS group_id FROM c)) WHERE place = 1""",
     f"c AS (SELECT *, CASE WHEN frame_number - lag(frame_number) {_BY_FRAME} <= 2 AND text_type = lag(text_type) {_BY_FRAME} THEN 0 ELSE 1 END AS cut FROM det)",
 )
 _FOLD = (
     KEPT,
     f"c AS (SELECT *, CASE WHEN frame_number - lag(frame_number) {_BY_FRAME} <= 12 AND text_type = lag(text_type) {_BY_FRAME} THEN 0 ELSE 1 END AS cut, lag(text) {_BY_FRAME} AS before FROM kept)",
-    f"s AS (SELECT *, sum(cut) {_BY_FRAME} AS seg FROM c)",
+    "s AS (SELECT *, sum(cut) OVER (ORDER BY video_id, frame_number, rid) AS seg FROM c)",
     f"p AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY frame_number, rid) AS pos, CASE WHEN before IS NULL THEN 0 ELSE {_alike('before', 'text')} END AS kin FROM s)",
     f"""walk AS (
       SELECT seg, pos, rid, rid AS group_id, x1, y1, x2, y2 FROM p WHERE pos = 1

@@ -26,7 +26,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(glitch, F.concat(F.lit("zq"), "event_type")).when(k % 10 == 0, "qzjw").otherwise(F.col("p_name"))
     drift = 2 * (i % 24)
     return rows.select(
-        F.lit("v0").alias("video_id"),
+        F.concat(F.lit("v"), (F.floor(i / 480) % 7).cast("string")).alias("video_id"),
         "rid",
         (2 * i + k % 2 + 40 * F.floor(i / 40)).alias("frame_number"),
         kind.alias("text_type"),
@@ -47,7 +47,7 @@ def _choice(values: tuple[str, ...]) -> str:
 
 DET = f"""
 det AS (
-  SELECT 'v0' AS video_id, i AS rid, 2 * i + k % 2 + 40 * (i // 40) AS frame_number, text_type, 600 + 10 * k AS pixel_count, confidence,
+  SELECT 'v' || ((i // 480) % 7) AS video_id, i AS rid, 2 * i + k % 2 + 40 * (i // 40) AS frame_number, text_type, 600 + 10 * k AS pixel_count, confidence,
     (CASE WHEN text_type = 'VFX' THEN {_choice(_VFX)} ELSE {_choice(_DI)} END)[k % 6 + 1]
       || CASE WHEN i % 12 = 0 THEN 'zq' || event_type WHEN k % 10 = 0 THEN 'qzjw' ELSE p_name END AS text,
     (CASE WHEN i % 12 = 0 THEN 500 ELSE 40 * ((i // 24) % 3) + 2 * (i % 24) END)::INTEGER AS x1, CASE WHEN i % 12 = 0 THEN 200 ELSE 5 END AS y1,
@@ -84,7 +84,7 @@ px AS (
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detections(spark, sf_dir).where("rid % 5 = 0")
+    rows = detections(spark, sf_dir)
     noted = F.col("k") % 10 == 9
     return rows.select(
         F.lit("t0").alias("timeline_id"),
@@ -101,4 +101,4 @@ MK = """
 mk AS (
   SELECT 't0' AS timeline_id, frame_number::DOUBLE AS frame_id, CASE WHEN k % 10 = 9 THEN 'Blue' WHEN text_type = 'VFX' THEN 'Green' ELSE 'Yellow' END AS color,
     CASE WHEN k % 10 = 9 THEN 'NOTE' ELSE text_type END AS name, text AS note, 1.0::DOUBLE AS duration, 'c' || k AS custom_data
-  FROM det WHERE rid % 5 = 0)"""
+  FROM det)"""

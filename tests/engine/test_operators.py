@@ -197,3 +197,14 @@ def test_cube_file(spark, tmp_path):
     assert all(table[r, g, b].tolist() == [r, g, b] for r in (0, 1) for g in (0, 1) for b in (0, 1))
     with pytest.raises(ValueError):
         files.parse_cube("LUT_1D_SIZE 2\n0 0 0\n1 1 1\n")
+
+
+def test_repair_stays_in_generated_code(spark):
+    """The repaired text is computed once and used many times: the plan holds each replacement once a rule."""
+    from slatecast.functions import text as rules
+
+    rows = spark.createDataFrame([("VEX;a", "VFX"), ("D1:b", "DI"), ("", "DI"), (None, "VFX"), ("c", None)], "text string, text_type string")
+    made = rows.select(rules.normalized(F.col("text"), F.col("text_type")).alias("text")).where("trim(text) <> ''")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") <= 4 * (len(rules.VFX.replacements) + len(rules.DI.replacements)) + 8
+    assert [r["text"] for r in made.collect()] == ["VFX:a", "DI:b", "DI:c"]
