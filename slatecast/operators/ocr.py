@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatecast.functions.geometry import BOX, box_of, largest_box
-from slatecast.functions.text import strip
+from slatecast.functions.text import bound, strip
 
 ITEM = "struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<double>>>"
 #: Name of the text that the engine for tests gives (fixed value).
@@ -81,7 +81,7 @@ def assembled(rows: DataFrame, all_items: bool = False) -> DataFrame:
     the mean over fragments, those of blanks included; the box is the largest.
     """
     item = F.try_element_at(F.col("items"), F.lit(-1))
-    found = F.flatten(F.transform("items", _fragments)) if all_items else F.when(item.isNotNull(), _fragments(item))
+    found = F.flatten(F.transform("items", _fragments)) if all_items else F.when(item.isNotNull(), bound(item, _fragments))
     # a generator gives the fragments once, as a column that later ones only read; frames without any give no row
     some = F.filter(F.array(F.coalesce(found, F.array().cast(f"array<struct<text:string,score:double,bbox:{BOX}>>"))), lambda each: F.size(each) > 0)
     rows = rows.select(*[c for c in rows.columns if c != "fragments"], F.explode(some).alias("fragments"))
