@@ -24,6 +24,10 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: LEAST_GAIN (a likelihood-ratio statistic), in all documents and beside any slot kept, are left out, as most of them
 #: would only fit noise.
 SAMPLE, LEAST_GAIN, ROUNDS, RATE, DECAY = 12_000, 12.0, 12, 0.1, 1e-4
+#: Terms that tell nothing alone are tried in pairs if at least this share of the sample has them.
+OFTEN = 0.05
+#: The spread that factors start with.
+START = 0.02
 THRESHOLD = 0.5
 
 
@@ -69,10 +73,11 @@ def likelihood_ratio(both: np.ndarray, present: np.ndarray, positive: float, n:
 
 
 def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """A flag for each slot that says enough about the label by itself, or among the documents with a slot that does.
+    """A flag for each slot that says enough about the label by itself, or among the documents with a slot that does, or
+    as one of a pair that neither of them does.
 
-    The latter is how a word shows that counts beside another one only. As it has a trial with each slot kept, the
-    statistic has to exceed LEAST_GAIN by twice the logarithm of their number.
+    The latter two are how words show that count beside another one only. As they have a trial with each slot kept, or
+    each other one, the statistic has to exceed LEAST_GAIN by twice the logarithm of the trials' number.
     """
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     kept = gains(slots, owner, labels) >= LEAST_GAIN
@@ -97,9 +102,48 @@ def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> n
         some = np.flatnonzero(present)
         gain = likelihood_ratio(both[some], present[some], positive, len(docs))
         kept[known[some[gain >= LEAST_GAIN + 2 * np.log(len(alone))]]] = True
+    kept[paired_slots(slots, owner, labels, kept)] = True
     return kept
 
 
+def paired_slots(slots: np.ndarray, owner: np.ndarray, labels: np.ndarray, kept: np.ndarray, often: float = OFTEN, block: int = 256) -> np.ndarray:
+    """Slots not kept yet that say enough about the label where they stand together, of those that are frequent."""
+    n, positive = len(labels), labels.sum()
+    present = np.bincount(slots, minlength=1 << BITS)
+    some = np.flatnonzero((present >= max(often * n, 8)) & (present < n) & ~kept)
+    if len(some) < 2:
+        return some[:0]
+    number = np.full(1 << BITS, -1, np.int32)
+    number[some] = np.arange(len(some))
+    of = number[slots]
+    document, of = owner[of >= 0], of[of >= 0]
+    order = np.argsort(of, kind="stable")
+    document, of = document[order], of[order]
+
+    def has(first: int) -> np.ndarray:
+        """Which documents have a block of the terms."""
+        a, b = np.searchsorted(of, [first, first + block])
+        out = np.zeros((n, min(block, len(some) - first)), np.float32)
+        out[document[a:b], of[a:b] - first] = 1
+        return out
+
+    found = np.zeros(len(some), bool)
+    least = LEAST_GAIN + 2 * np.log(len(some) * (len(some) - 1) / 2)
+    toxic = labels > 0
+    for one in range(0, len(some), block):
+        x = has(one)
+        for two in range(one, len(some), block):
+            y = has(two)
+            both = x[toxic].T @ y[toxic]
+            gain = likelihood_ratio(both.astype(np.float64), both + x[~toxic].T @ y[~toxic], positive, n)
+            if two == one:
+                np.fill_diagonal(gain, 0)
+            good = gain >= least
+            found[one : one + len(good)] |= good.any(axis=1)
+            found[two : two + good.shape[1]] |= good.any(axis=0)
+    return some[found]
+
+
 def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5) -> FactorizationMachine:
     """Learn by AdaGrad on the logistic loss; without both labels present, the bias alone says what was seen."""
     rng = np.random.default_rng(seed)
@@ -112,7 +156,7 @@ def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5
     keep = wanted_slots(slots, counts, labels)[slots]
     owner, slots = owner[keep], slots[keep].astype(np.int64)
     known = np.unique(slots)
-    factors[known] = rng.normal(0, 0.02, (len(known), FACTORS))
+    factors[known] = rng.normal(0, START, (len(known), FACTORS))
     bounds = np.searchsorted(owner, np.arange(len(labels) + 1))
     seen_w, seen_v, seen_b = np.full(1 << BITS, 1e-2), np.full((1 << BITS, FACTORS), 1e-2), 1.0
     for _ in range(ROUNDS):
@@ -133,7 +177,7 @@ def fit(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 5
             seen_w[unique] += g_w**2
             seen_v[unique] += g_v**2
             weights[unique] -= RATE * g_w / np.sqrt(seen_w[unique])
-            factors[unique] -= RATE / 4 * g_v / np.sqrt(seen_v[unique])
+            factors[unique] -= RATE * g_v / np.sqrt(seen_v[unique])
             seen_b += error.sum() ** 2
             bias -= RATE * error.sum() / seen_b**0.5
     return FactorizationMachine(bias, weights.astype(np.float32), factors.astype(np.float32))

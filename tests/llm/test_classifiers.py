@@ -51,6 +51,29 @@ def test_factorization_machine_learns_a_partner_that_alone_says_nothing():
     assert min(got[:2]) > 0.7 and max(got[2:]) < 0.3
 
 
+def test_factorization_machine_learns_a_pair_of_which_neither_says_anything():
+    """Toxic with one of two words but not with both: each word alone is in half of the toxic and half of the clean texts."""
+    rng = random.Random(9)
+
+    def some(n):
+        texts, labels = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = ["alpha"] * a + ["beta"] * b + [f"w{rng.randrange(600)}" for _ in range(40)]
+            rng.shuffle(words)
+            texts.append(" ".join(words).encode())
+            labels.append(float(a != b))
+        return texts, np.array(labels)
+
+    texts, labels = some(3000)
+    machine = toxicity.fit(*scan.distinct_slots(texts, toxicity.BITS), labels)
+    texts, labels = some(800)
+    slots, counts = scan.distinct_slots(texts, toxicity.BITS, (), machine.weights != 0)
+    linear = toxicity.FactorizationMachine(machine.bias, machine.weights, machine.factors * 0)
+    right = lambda m: ((m.margins(slots, counts) >= 0) == (labels > 0)).mean()
+    assert right(machine) > 0.95 > 0.7 > right(linear)
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     m = toxicity.FactorizationMachine(0.3, rng.normal(size=1 << toxicity.BITS).astype(np.float32), rng.normal(size=(1 << toxicity.BITS, 4)).astype(np.float32))
