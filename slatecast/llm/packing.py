@@ -2,13 +2,16 @@
 
 Each task packs the documents of its partition as they come, so nothing is shuffled. Full windows are cut off a long
 document; its remainder goes into the open window of that fill level which keeps the sum of squared counts of partly
-filled windows least; the counts are kept in an array by level. When the partition ends, what is left in open windows
-is cut up to fill whole windows, and the last is parted into powers of two, which need no padding.
+filled windows least; the counts are kept in an array by level. Where OPEN windows are open, a remainder first gives its
+beginning to fill the fullest of them, so that a task holds no more than OPEN windows, however many documents it has.
+When the partition ends, what is left in those is cut up to fill whole windows, and the last is parted into powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +26,15 @@ from pyspark.sql import functions as F
 from slatecast.llm.common import release, slices, utf8
 
 WINDOW, END = 1024, 0
+#: Windows that a task holds open at most.
+OPEN = 256
 #: So many distinct stretches between blanks are kept tokenized by a worker before it starts anew.
 KEPT = 200_000
 
 
 class Tokenizer:
-    """The ids of a byte-level BPE file of the ``tokenizers`` library, strings of special tokens being ordinary text.
+    """The ids that the ``tokenizers`` library gives by a byte-level BPE file without adding special tokens of its own; a
+    special token that the text spells out is one id, as there.
 
     The pattern never joins over a single blank between two other characters, so texts are cut there and the ids of
     each stretch, which mostly was seen before, are looked up.
@@ -37,10 +43,12 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = _byte_letters()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = special
+        self.spelled = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.known: dict[str, int] = {}
         self._forget()
 
@@ -61,6 +69,17 @@ class Tokenizer:
         return k
 
     def __call__(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for found in self.spelled.finditer(text):
+            if found.start() > at:
+                out.append(self._plain(text[at : found.start()]))
+            out.append(np.array([self.special[found[0]]], np.uint32))
+            at = found.end()
+        if not out:
+            return self._plain(text)
+        return np.concatenate([*out, self._plain(text[at:])] if at < len(text) else out)
+
+    def _plain(self, text: str) -> np.ndarray:
         if "  " in text or text[-1:] == " ":
             return np.array(self.encoding.encode_ordinary(text), np.uint32)
         out = []
@@ -87,10 +106,10 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Packer:
-    """Open windows by fill level. ``place`` returns finished windows, each a list of pieces."""
+    """Open windows by fill level. A piece is (document, start, ids, ...); a finished window is a list of pieces."""
 
-    def __init__(self, window: int = WINDOW) -> None:
-        self.window = window
+    def __init__(self, window: int = WINDOW, most: int = OPEN) -> None:
+        self.window, self.most = window, most
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
 
@@ -118,6 +137,19 @@ class Packer:
         counts[level] += 1
         return None
 
+    def add(self, piece: tuple) -> Iterator[list[tuple]]:
+        """Place a piece of less than a window, the beginning of it in the fullest window if too many are open."""
+        if self.counts.sum() >= self.most:
+            level = int(np.flatnonzero(self.counts)[-1])
+            room = self.window - level
+            if room < len(piece[2]):
+                pieces = self.open[level].pop()
+                self.counts[level] -= 1
+                yield [*pieces, (piece[0], piece[1], piece[2][:room], *piece[3:])]
+                piece = (piece[0], piece[1] + room, piece[2][room:], *piece[3:])
+        if done := self.place(piece, len(piece[2])):
+            yield done
+
     def rest(self) -> Iterator[list[tuple]]:
         """What is left open, cut into full windows, and powers of two at the end."""
         pending: list[tuple] = []
@@ -188,8 +220,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                 full = len(ids) // window * window
                 for at in range(0, full, window):
                     emit([(doc, at, ids[at : at + window], len(ids))])
-                if full < len(ids) and (done := packer.place((doc, full, ids[full:].copy(), len(ids)), len(ids) - full)):
-                    emit(done)
+                if full < len(ids):
+                    for done in packer.add((doc, full, ids[full:].copy(), len(ids))):
+                        emit(done)
                 if len(rows) >= 1024:
                     yield _batch(rows)
                     rows.clear()

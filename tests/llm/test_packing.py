@@ -15,14 +15,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_library(reference, prose):
     own = packing.Tokenizer(PATH)
     rng = random.Random(1)
-    texts = ["", " ", "  a", "a  b", "a   b \n c", "x \n", "\n  y", "it's we'll <|endoftext|>", "日本 語　x", "a  b", prose(400)]
+    texts = ["", " ", "  a", "a  b", "a   b \n c", "x \n", "\n  y", "it's we'll <|endoftext|>", "<|endoftext|>", "a<|endoftext|> <|endoftext|>b  <|endoftext|>\n<|endo", "日本 語　x", "a  b", prose(400)]
     texts += ["".join(rng.choice([" ", "a", "b1", "\n", "\t", "'s", ".", "é", " ", "　", "\r"]) for _ in range(rng.randint(0, 16))) for _ in range(1500)]
     assert [own(t).tolist() for t in texts] == [reference(t) for t in texts]
 
@@ -54,6 +53,21 @@ def test_each_placement_has_the_least_sum_of_squares():
         assert int((packer.counts[1:32] ** 2).sum()) == best
 
 
+def test_few_windows_are_open_and_each_id_is_in_one_place():
+    rng = np.random.default_rng(6)
+    packer, ids, done = packing.Packer(64, 5), np.arange(60_000, dtype=np.uint32), []
+    at = 0
+    while at < len(ids):
+        size = int(min(rng.integers(1, 64), len(ids) - at))
+        done += packer.add((at, 0, ids[at : at + size], size))
+        assert packer.counts.sum() <= 6 and packer.counts.tolist() == [len(x) for x in packer.open]
+        at += size
+    assert all(sum(len(p[2]) for p in pieces) == 64 for pieces in done)
+    done += packer.rest()
+    assert sorted(np.concatenate([p[2] for pieces in done for p in pieces]).tolist()) == ids.tolist()
+    assert all(p[2][0] == p[0] + p[1] for pieces in done for p in pieces)
+
+
 def test_pieces_of_odd_rows(odd, odd_rows, none, reference):
     rows = packing.pack(odd).collect()
     by_sequence, by_document = defaultdict(list), defaultdict(list)
