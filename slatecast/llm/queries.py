@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from slatecast.llm import language, media, mixing, packing, quality, simhash, spotsigs, suffixes, toxicity, urls
+from slatecast.llm import language, media, mixing, packing, pipeline, quality, simhash, spotsigs, suffixes, toxicity, urls
 from slatecast.llm.common import read
 
 
@@ -54,5 +53,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs, "pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op10: each document's class of equal fingerprints and with how many other classes it is near."""
+    return spotsigs.links(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs, "pipeline": pipeline.run, "spotsigs_links": spotsigs_links}
+ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

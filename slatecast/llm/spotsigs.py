@@ -149,3 +149,10 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     both = pairs.join(sets.withColumnsRenamed({"class_id": "a", "signatures": "x"}), "a").join(sets.withColumnsRenamed({"class_id": "b", "signatures": "y"}), "b")
     near = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness("x", "y").alias("likeness")).where(F.col("likeness") >= similarity)
     return members, near
+
+
+def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` for every row with an id: the least id whose set of signatures is the same, and the number of other sets at least so similar."""
+    members, near = similar_classes(docs, similarity)
+    ends = near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from slatecast.llm import mixing, queries, simhash
+from slatecast.llm import pipeline as corpus_pipeline
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +44,11 @@ def test_stages_in_order(spark, folder):
 
 def test_run_and_queries(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline", "spotsigs"}
+
+
+def test_stages_of_an_empty_table(spark, folder, none):
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0 and (name == "packing" or docs.columns == none.columns)
