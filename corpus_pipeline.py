@@ -1,71 +1,5 @@
-"""The corpus pipeline: stages that each take a table of documents and give the next one.
+"""The corpus pipeline by the names its caller knows; the stages are in ``slatecast.llm.pipeline``."""
 
-``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs. All but the last return the columns of documents.
-"""
+from slatecast.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from slatecast.llm import mixing, packing, simhash, suffixes, toxicity
-from slatecast.llm.common import read
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the toxic ones; the machine learns from the labels beside the tables."""
-    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
-
-
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles alike to 0.8 or more), that of the least id; all others stay."""
-    return simhash.one_of_copies(docs)
-
-
-#: Bytes of a repeated string that is taken out, so that passages of fifty short words are caught, and of the grams it is found by.
-REPEAT_BYTES, GRAM_BYTES = 256, 128
-
-
-def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that stand elsewhere, too; one of which nothing is left goes."""
-    return suffixes.without_repeats(docs, REPEAT_BYTES, GRAM_BYTES)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by target weights: a row for each stretch of a document that is taken."""
-    return mixing.mixed_documents(docs)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens, with their ids."""
-    return packing.pack(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity_stage),
-    ("simhash", simhash_stage),
-    ("suffixes", suffixes_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
-]
-
-#: SQL cannot express a learned classifier or tokens; tests hold the stages against brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between two of them is written to the shared checkpoint folder."""
-    docs = read(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
