@@ -18,13 +18,15 @@ CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 GREEN_LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 SIGNATURE, MAX_SIDE, CACHE_FACTOR = 0x2F, 1 << 14, 0x1E35A7BD
+#: Distance codes that name a neighbour instead of a distance.
+NEAR = 120
 
 
 def near_offsets() -> list[tuple[int, int]]:
     """The 120 neighbours that short distance codes name, as (dx, dy): nearer ones first, then those further up, then right before left."""
     spots = [(dx, dy) for dy in range(8) for dx in range(-7, 9) if dy > 0 or dx > 0]
     spots.sort(key=lambda s: (s[0] ** 2 + s[1] ** 2, abs(s[0]), s[0] < 0))
-    return spots[:120]
+    return spots[:NEAR]
 
 
 class BitReader:
@@ -240,8 +242,8 @@ _NEAR = near_offsets()
 
 
 def _distance(code: int, width: int) -> int:
-    if code > 120:
-        return code - 120
+    if code > NEAR:
+        return code - NEAR
     dx, dy = _NEAR[code - 1]
     return max(1, dx + dy * width)
 
@@ -494,10 +496,65 @@ def text_code() -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
         weights[letter] = 22000 // (k + 3) - 500
         weights[letter - 32] = 400 // (k + 3) + 40
     weights[32], weights[10], weights[0], weights[195], weights[44], weights[46] = 9000, 60, 100, 900, 300, 300
-    weights[GREEN_LITERALS:] = 1
+    weights[GREEN_LITERALS:] = 30
     lengths = code_lengths(weights, 14)
+    return lengths, *_code_arrays(lengths)
+
+
+@lru_cache(maxsize=1)
+def distance_code() -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """A code for distances as such, of which the first NEAR numbers are none; all take about the same bits."""
+    weights = np.zeros(DISTANCE_CODES, np.int64)
+    weights[int(_amounts(np.array([NEAR + 1]))[0][0]) :] = 1
+    lengths = code_lengths(weights)
+    return lengths, *_code_arrays(lengths)
+
+
+def _code_arrays(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     code = canonical(lengths)
-    return lengths, np.array([code[s][0] for s in range(256)], np.uint64), np.array([code[s][1] for s in range(256)], np.int64)
+    return np.array([code.get(s, (0, 0))[0] for s in range(len(lengths))], np.uint64), np.array([code.get(s, (0, 0))[1] for s in range(len(lengths))], np.int64)
+
+
+def _amounts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as symbols, further bits and their number; see ``read_amount``."""
+    w = values.astype(np.int64) - 1
+    top = np.floor(np.log2(np.maximum(w, 2) + 0.5)).astype(np.int64)
+    extra = np.where(w < 4, 0, top - 1)
+    symbol = np.where(w < 4, w, 2 * top + ((w >> np.maximum(top - 1, 0)) & 1))
+    return symbol, w & ((1 << extra) - 1), extra
+
+
+#: Bytes that a back-reference stands for at least and at most.
+LEAST_MATCH, MOST_MATCH = 8, 4096
+
+
+def back_references(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a stretch that stood before begins, its length and its distance, from left to right and without overlaps.
+
+    A place is looked up by its next eight bytes, at the last place that has the same; neighbours at one distance make a stretch.
+    """
+    n = len(data) - LEAST_MATCH + 1
+    none = np.zeros(0, np.int64)
+    if n < 2:
+        return none, none, none
+    keys = np.lib.stride_tricks.sliding_window_view(data, LEAST_MATCH).copy().view(np.uint64).ravel()
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    if not len(same):
+        return none, none, none
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    edge = np.flatnonzero(np.diff(distance, prepend=0, append=0))
+    found, at = [], 0
+    for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if not distance[begin]:
+            continue
+        begin, stop = max(begin, at), end + LEAST_MATCH - 1
+        while stop - begin >= LEAST_MATCH:
+            size = min(stop - begin, MOST_MATCH)
+            found.append((begin, size, int(distance[end - 1])))
+            begin = at = begin + size
+    return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (none, none, none)
 
 
 @lru_cache(maxsize=1)
@@ -506,13 +563,14 @@ def _text_header() -> tuple[int, int]:
     out.write(0, 1)  # no colour cache
     out.write(0, 1)  # no meta codes
     write_lengths(out, text_code()[0])
-    for constant, alphabet in ((0, 256), (0, 256), (255, 256), (0, DISTANCE_CODES)):
-        write_lengths(out, tuple(int(s == constant) for s in range(alphabet)))
+    for constant in (0, 0, 255):
+        write_lengths(out, tuple(int(s == constant) for s in range(256)))
+    write_lengths(out, distance_code()[0])
     return out.value, out.size
 
 
 def encode_bytes(payload: bytes, width: int) -> bytes:
-    """A WebP file whose green samples are the payload, row by row, by the fixed text code."""
+    """A WebP file whose green samples are the payload, row by row: literals by the fixed text code, and back-references."""
     data = np.frombuffer(payload, np.uint8)
     height = len(data) // width
     if width * height != len(data) or not 0 < height <= MAX_SIDE or not 0 < width <= MAX_SIDE:
@@ -522,11 +580,11 @@ def encode_bytes(payload: bytes, width: int) -> bytes:
         out.write(value, n)
     value, size = _text_header()
     out.write(value, size)
-    _, codes, sizes = text_code()
-    ends = np.cumsum(sizes[data]) + out.size
-    at = ends - sizes[data]
+    written, sizes = _written(data)
+    ends = np.cumsum(sizes) + out.size
+    at = ends - sizes
     # the codes of one 32-bit word do not overlap, so adding them up sets their bits
-    shifted = codes[data] << (at & 31).astype(np.uint64)
+    shifted = written << (at & 31).astype(np.uint64)
     word = at >> 5
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     filled = np.add.reduceat(shifted, first)
@@ -542,6 +600,25 @@ def encode_bytes(payload: bytes, width: int) -> bytes:
     return container(bytes(stream))
 
 
+def _written(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of literals and back-references in their order, at most 32 at a time, and their numbers."""
+    _, codes, sizes = text_code()
+    begin, length, distance = back_references(data)
+    if not len(begin):
+        return codes[data], sizes[data]
+    _, far, far_sizes = distance_code()
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, begin + length, -1)
+    plain = np.flatnonzero(np.cumsum(inside)[:-1] == 0)
+    symbol, more, extra = _amounts(length)
+    one, one_size = codes[GREEN_LITERALS + symbol] | more.astype(np.uint64) << sizes[GREEN_LITERALS + symbol].astype(np.uint64), sizes[GREEN_LITERALS + symbol] + extra
+    symbol, more, extra = _amounts(distance + NEAR)
+    two, two_size = far[symbol] | more.astype(np.uint64) << far_sizes[symbol].astype(np.uint64), far_sizes[symbol] + extra
+    order = np.argsort(np.concatenate([plain, begin, begin]), kind="stable")
+    return np.concatenate([codes[data[plain]], one, two])[order], np.concatenate([sizes[data[plain]], one_size, two_size])[order]
+
+
 def container(stream: bytes) -> bytes:
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad

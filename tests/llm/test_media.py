@@ -247,3 +247,31 @@ def test_odd_rows(odd, odd_rows, none):
     images = media.pixel_arrays(made.limit(3)).select("images").collect()
     assert all(x["images"][0]["width"] == 64 for x in images)
     assert media.texts_as_media(none).count() == 0
+
+
+def test_texts_come_back_through_back_references(prose):
+    """What is repeated is written as back-references, long and far ones too, and the stream is much shorter for it."""
+    rng = random.Random(8)
+    line = prose(30) + "\n"
+    texts = [line * 40, "a" * 9000, prose(200) + line + prose(3000) + line, "".join(rng.choices("abc", k=5000)), "x" * 7, "", "é" * 300, prose(9) * 2]
+    for text in texts:
+        payload = media.padded(text.encode())
+        data = np.frombuffer(payload, np.uint8)
+        begin, length, distance = webp.back_references(data)
+        at = 0
+        for b, n, d in zip(begin, length, distance, strict=True):
+            assert at <= b and 8 <= n <= 4096 and 0 < d <= b
+            assert all(payload[k] == payload[k - d] for k in range(b, b + n))
+            at = b + n
+        assert media.load(media.store(payload)) == payload
+    assert len(webp.back_references(np.frombuffer(texts[0].encode(), np.uint8))[0]) > 0
+    assert len(media.store(media.padded(texts[0].encode()))) < len(texts[0]) / 5
+
+
+def test_amounts_are_read_back():
+    values = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100, 4095, 4096, 65_537, (1 << 20) - 121])
+    symbol, more, extra = webp._amounts(values)
+    for v, s, m, e in zip(values, symbol, more, extra, strict=True):
+        out = webp.BitWriter()
+        out.write(int(m), int(e))
+        assert webp.read_amount(webp.BitReader(out.bytes()), int(s)) == v
