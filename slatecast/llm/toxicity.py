@@ -106,7 +106,7 @@ def wanted_slots(slots: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> n
     return kept
 
 
-def paired_slots(slots: np.ndarray, owner: np.ndarray, labels: np.ndarray, kept: np.ndarray, often: float = OFTEN, block: int = 256) -> np.ndarray:
+def paired_slots(slots: np.ndarray, owner: np.ndarray, labels: np.ndarray, kept: np.ndarray, often: float = OFTEN) -> np.ndarray:
     """Slots not kept yet that say enough about the label where they stand together, of those that are frequent."""
     n, positive = len(labels), labels.sum()
     present = np.bincount(slots, minlength=1 << BITS)
@@ -115,32 +115,24 @@ def paired_slots(slots: np.ndarray, owner: np.ndarray, labels: np.ndarray, kept:
         return some[:0]
     number = np.full(1 << BITS, -1, np.int32)
     number[some] = np.arange(len(some))
-    of = number[slots]
-    document, of = owner[of >= 0], of[of >= 0]
-    order = np.argsort(of, kind="stable")
-    document, of = document[order], of[order]
-
-    def has(first: int) -> np.ndarray:
-        """Which documents have a block of the terms."""
-        a, b = np.searchsorted(of, [first, first + block])
-        out = np.zeros((n, min(block, len(some) - first)), np.float32)
-        out[document[a:b], of[a:b] - first] = 1
-        return out
-
+    # which documents have a term, a bit for each
+    has = np.zeros((len(some), -(-n // 64)), np.uint64)
+    for at in range(0, len(slots), 1 << 20):
+        of, document = number[slots[at : at + (1 << 20)]], owner[at : at + (1 << 20)]
+        document, of = document[of >= 0].astype(np.uint64), of[of >= 0]
+        np.bitwise_or.at(has, (of, document >> np.uint64(6)), np.uint64(1) << (document & np.uint64(63)))
+    toxic = np.zeros(has.shape[1] * 64, np.uint8)
+    toxic[:n] = labels > 0
+    toxic = np.packbits(toxic, bitorder="little").view(np.uint64)
     found = np.zeros(len(some), bool)
     least = LEAST_GAIN + 2 * np.log(len(some) * (len(some) - 1) / 2)
-    toxic = labels > 0
-    for one in range(0, len(some), block):
-        x = has(one)
-        for two in range(one, len(some), block):
-            y = has(two)
-            both = x[toxic].T @ y[toxic]
-            gain = likelihood_ratio(both.astype(np.float64), both + x[~toxic].T @ y[~toxic], positive, n)
-            if two == one:
-                np.fill_diagonal(gain, 0)
-            good = gain >= least
-            found[one : one + len(good)] |= good.any(axis=1)
-            found[two : two + good.shape[1]] |= good.any(axis=0)
+    for k in range(len(some) - 1):
+        shared = has[k + 1 :] & has[k]
+        both = np.bitwise_count(shared & toxic).sum(axis=1, dtype=np.int64)
+        gain = likelihood_ratio(both.astype(np.float64), np.bitwise_count(shared).sum(axis=1, dtype=np.int64).astype(np.float64), positive, n)
+        good = gain >= least
+        found[k] |= good.any()
+        found[k + 1 :] |= good
     return some[found]
 
 
