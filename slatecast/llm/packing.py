@@ -27,7 +27,7 @@ from slatecast.llm.common import release, slices, utf8
 
 WINDOW, END = 1024, 0
 #: Windows that a task holds open at most.
-OPEN = 256
+OPEN = 1024
 #: So many distinct stretches between blanks are kept tokenized by a worker before it starts anew.
 KEPT = 200_000
 
@@ -69,14 +69,14 @@ class Tokenizer:
         return k
 
     def __call__(self, text: str) -> np.ndarray:
+        if not any(name in text for name in self.special):
+            return self._plain(text)
         out, at = [], 0
         for found in self.spelled.finditer(text):
             if found.start() > at:
                 out.append(self._plain(text[at : found.start()]))
             out.append(np.array([self.special[found[0]]], np.uint32))
             at = found.end()
-        if not out:
-            return self._plain(text)
         return np.concatenate([*out, self._plain(text[at:])] if at < len(text) else out)
 
     def _plain(self, text: str) -> np.ndarray:
@@ -111,6 +111,7 @@ class Packer:
     def __init__(self, window: int = WINDOW, most: int = OPEN) -> None:
         self.window, self.most = window, most
         self.counts = np.zeros(window + 1, np.int64)
+        self.held = 0
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
 
     def place(self, piece: tuple, size: int) -> list[tuple] | None:
@@ -127,24 +128,27 @@ class Packer:
         if level:
             pieces = self.open[level].pop()
             counts[level] -= 1
+            self.held -= 1
         else:
             pieces = []
         pieces.append(piece)
         level += size
         if level == top:
             return pieces
+        self.held += 1
         self.open[level].append(pieces)
         counts[level] += 1
         return None
 
     def add(self, piece: tuple) -> Iterator[list[tuple]]:
         """Place a piece of less than a window, the beginning of it in the fullest window if too many are open."""
-        if self.counts.sum() >= self.most:
+        if self.held >= self.most:
             level = int(np.flatnonzero(self.counts)[-1])
             room = self.window - level
             if room < len(piece[2]):
                 pieces = self.open[level].pop()
                 self.counts[level] -= 1
+                self.held -= 1
                 yield [*pieces, (piece[0], piece[1], piece[2][:room], *piece[3:])]
                 piece = (piece[0], piece[1] + room, piece[2][room:], *piece[3:])
         if done := self.place(piece, len(piece[2])):
