@@ -90,3 +90,14 @@ def test_similar_classes_against_all_pairs(spark, prose, odd_rows, none):
     pairs = {(a, b) for a in names for b in names if a < b and likeness(names[a], names[b]) >= 0.8}
     assert pairs and {(r["a"], r["b"]) for r in near.collect()} == pairs
     assert all(c.count() == 0 for c in spotsigs.similar_classes(none))
+
+
+def test_links_against_all_pairs(spark, prose):
+    """A row for each document: its class, and how many other classes are near it."""
+    words = prose(120).split(" ")
+    rows = [(k, " ".join([*words[: 120 - k], *(f"n{k}x{j}" for j in range(k))])) for k in range(0, 30, 6)] + [(50, " ".join(words)), (60, prose(90))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spotsigs.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: frozenset(signatures(t)) for i, t in rows}
+    names = {i: min(k for k in sets if sets[k] == sets[i]) for i in sets}
+    want = {i: (names[i], sum(k != names[i] and likeness(sets[k], sets[i]) >= 0.8 for k in set(names.values()))) for i in sets}
+    assert got == want and any(n for _, n in want.values())
