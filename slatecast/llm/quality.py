@@ -3,7 +3,8 @@
 Every line is good or bad. Its potential comes from how it is made (letters, signs, words, repeats) and from how its two
 neighbours are made; a transition potential ties neighbours together. Forward-backward gives each line's probability of
 being good, and their mean weighted by length is the document's quality. Learning takes a bounded sample of labelled
-documents to the driver as line features, each line bearing its document's label; scoring reads a table of fixed size.
+documents to the driver as line features; lines' labels are hidden, only documents have one. Scoring reads a table of
+fixed size.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from slatecast.llm.common import by_slices, held_out, map_batches, segments, utf
 
 #: At most so many labelled documents are learned from, in so many passes over all of them.
 SAMPLE, ROUNDS, RATE, DECAY = 6_000, 160, 0.1, 2e-4
+#: Chances nearer to 0 or 1 than this count as this far away when learning, and the step at which slopes are taken.
+SURE, SLOPE = 1e-2, 1e-5
 #: Each measure of a line is cut into so many levels at quantiles of the sample.
 LEVELS = 10
 THRESHOLD = 0.3
@@ -153,8 +156,26 @@ def forward_backward(lift: np.ndarray, moves: np.ndarray, count: np.ndarray) ->
     return chance, (joint / joint.sum(axis=0)).sum(axis=1) if len(at) else np.zeros(4)
 
 
+def slopes(lift: np.ndarray, moves: np.ndarray, count: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the mean cost of the documents' labels grows with each line's potential, and with that of each pair of labels.
+
+    The chance of a good document is the mean of its lines' marginals by ``weight``. How that mean changes with a line's
+    potential is how the line's marginal changes when all lines are lifted by their weights, as the covariance of two
+    labels is the same either way; so two further passes forward and backward give all slopes.
+    """
+    chance, _ = forward_backward(lift, moves, count)
+    score = np.clip(scan.sums(chance * weight, count), SURE, 1 - SURE)
+    along = np.repeat((1 - labels) / (1 - score) - labels / score, count) * weight
+    (up, pairs_up), (down, pairs_down) = (forward_backward(lift + s * along, moves, count) for s in (SLOPE, -SLOPE))
+    step = 2 * SLOPE * len(labels)
+    return (up - down) / step, (pairs_up - pairs_down) / step
+
+
 def fit(lines: Lines, labels: np.ndarray) -> LineField:
-    """Maximise the likelihood of the lines' labels, each its document's, by Adam; documents count alike."""
+    """Maximise the likelihood of the documents' labels by Adam; documents count alike.
+
+    Lines bear no labels of their own; those that a document's label speaks of are hidden (see ``slopes``).
+    """
     cuts = np.array([np.quantile(lines.measures[:, m], np.arange(1, LEVELS) / LEVELS) if len(lines.length) else np.zeros(LEVELS - 1) for m in range(MEASURES)])
     size = 3 * MEASURES * (LEVELS + 1)
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -162,15 +183,13 @@ def fit(lines: Lines, labels: np.ndarray) -> LineField:
     if len(labels) == 0 or labels.min() == labels.max():
         return field
     features = field.features(lines)
-    truth = np.repeat(labels, lines.count)
-    moved = np.bincount(labels.astype(np.int64), np.maximum(lines.count - 1, 0), minlength=2)
-    total = len(truth)
+    weight = np.maximum(lines.length, 1).astype(np.float64)
+    weight /= np.repeat(scan.sums(weight, lines.count), lines.count)
     state = np.zeros((2, size + 5))
     flat = features.ravel()
     for step in range(1, ROUNDS + 1):
-        chance, pairs = field.good(features, lines.count)
-        error = (chance - truth) / total
-        g = np.concatenate([np.bincount(flat, np.repeat(error, features.shape[1]), minlength=size) + DECAY * field.potentials, [error.sum()], (pairs - [moved[0], 0, 0, moved[1]]) / total + DECAY * field.moves.ravel()])
+        slope, pair_slope = slopes(field.potentials[features].sum(axis=1) + field.bias, field.moves, lines.count, weight, labels)
+        g = np.concatenate([np.bincount(flat, np.repeat(slope, features.shape[1]), minlength=size) + DECAY * field.potentials, [slope.sum()], pair_slope + DECAY * field.moves.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         change = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)

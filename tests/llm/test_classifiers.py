@@ -115,6 +115,39 @@ def test_field_learns_bad_lines(prose):
     assert scores[0] > 0.7 > 0.3 > scores[1] and 0 <= scores[2] <= 1
 
 
+def test_lines_are_told_apart_within_a_document(prose):
+    """Only documents have labels, yet the good lines of a bad document are likelier to be good than its bad ones."""
+    rng = random.Random(6)
+    texts, labels = [], []
+    for k in range(600):
+        some = [prose(rng.randint(5, 15)) + "." for _ in range(6)]
+        if k % 2:
+            some[3:] = ["BUY!! NOW!! $$$ 100%"] * 3
+        texts.append("\n".join(some).encode())
+        labels.append(float(not k % 2))
+    field = quality.fit(quality.lines_of(texts), np.array(labels))
+    lines = quality.lines_of(texts[1:2])
+    chance, _ = field.good(field.features(lines), lines.count)
+    assert chance[:2].min() > 100 * chance[4:].max() and field.scores(texts[:2])[0] > 0.9 > 0.5 > field.scores(texts[:2])[1]
+
+
+def test_slopes_against_differences():
+    rng = np.random.default_rng(7)
+    count, labels = np.array([3, 1, 5, 2]), np.array([1.0, 0.0, 0.0, 1.0])
+    lift, moves, weight = rng.normal(size=11), rng.normal(size=(2, 2)), rng.integers(1, 9, 11).astype(float)
+    weight /= np.repeat(np.add.reduceat(weight, [0, 3, 4, 9]), count)
+
+    def cost(lift, moves):
+        score = np.add.reduceat(quality.forward_backward(lift, moves, count)[0] * weight, [0, 3, 4, 9])
+        return -np.mean(labels * np.log(score) + (1 - labels) * np.log(1 - score))
+
+    slope, pair_slope = quality.slopes(lift, moves, count, weight, labels)
+    near = lambda k, n: np.eye(n)[k] * 1e-5
+    assert np.allclose(slope, [(cost(lift + near(k, 11), moves) - cost(lift - near(k, 11), moves)) / 2e-5 for k in range(11)], atol=1e-7)
+    pairs = [near(k, 4).reshape(2, 2) for k in range(4)]
+    assert np.allclose(pair_slope, [(cost(lift, moves + p) - cost(lift, moves - p)) / 2e-5 for p in pairs], atol=1e-7)
+
+
 def judged(operator, docs, labels, n):
     rows = operator.judge(docs, labels).collect()
     assert len(rows) == n
