@@ -76,10 +76,11 @@ def apportion(shares: np.ndarray, blocks: int, limit: np.ndarray) -> np.ndarray:
             high = middle
     out = seats(high)
     rest = blocks - int(out.sum())
-    while rest > 0:
+    while rest > 0:  # all of those that tie get one each, in order
         quotient = np.where(out < limit, shares / (2 * out + 1), -1.0)
-        out[int(np.argmax(quotient))] += 1
-        rest -= 1
+        best = np.flatnonzero(quotient >= quotient.max() * (1 - 1e-15))[:rest]
+        out[best] += 1
+        rest -= len(best)
     return out
 
 
@@ -111,15 +112,13 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     per_shard = placed.groupBy("k", "shard").agg(F.sum("size").alias("ring")).orderBy("k", "shard").toPandas()  # SHARDS rows and one a source at most
     # sources first: equal blocks by highest quotients of the targets, then each source's blocks among its shards
     ring = per_shard["ring"].to_numpy(np.int64)
-    room = MOST * ring // block
+    room = -(-MOST * ring // block)  # the last block of a shard may be a part of one
     owner = per_shard["k"].to_numpy()
     source_room = np.bincount(owner, room, minlength=len(sizes)).astype(np.int64)
     source_blocks = apportion(np.array([float(t) for t in wanted]), round(sum(wanted) / block), source_room)
-    quota = np.zeros(len(ring), np.int64)
-    for k in range(len(sizes)):
-        mine = owner == k
-        quota[mine] = apportion(ring[mine].astype(np.float64), int(source_blocks[k]), room[mine])
-    per_shard["quota"] = quota * block
+    begins = np.searchsorted(owner, np.arange(len(sizes) + 1))  # shards are in the order of sources
+    quotas = [apportion(ring[a:b].astype(np.float64), int(n), room[a:b]) for a, b, n in zip(begins, begins[1:], source_blocks, strict=False)]
+    per_shard["quota"] = np.minimum(np.concatenate([*quotas, np.zeros(0, np.int64)]) * block, MOST * ring)
     rings = spark.createDataFrame(per_shard.astype({"k": "int32"}), "k int, shard long, ring long, quota long")
     # places on the ring: running sums within a shard, which is small
     on = Window.partitionBy("k", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -26,6 +26,17 @@ def test_apportionment_gives_the_highest_quotients():
         assert mixing.apportion(shares, blocks, limit).tolist() == highest_quotients(shares.tolist(), blocks, limit.tolist())
 
 
+def test_ties_go_to_the_first():
+    assert mixing.apportion(np.full(10_000, 5.0), 12_345, np.full(10_000, 3)).tolist() == [2] * 2345 + [1] * 7655
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(0, "one two three", "a"), (1, "w " * 30, "b"), (2, "w " * 900, "c"), (3, "x " * 5, "d"), (4, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(docs).collect():
+        assert abs(r["taken"] - r["target"]) <= mixing.BLOCK / 2 and r["taken"] <= 2 * r["size"], r
+
+
 def test_targets_share_the_excess_again():
     assert mixing.targets([]) == []
     assert mixing.targets([0, 0]) == [0, 0]
