@@ -6,7 +6,7 @@ Within such a group a binary trie is joined with itself: pairs of nodes are walk
 added up, and a pair whose sum exceeds the budget is dropped with all that hangs below it. Only a spanning forest of
 each task's links is passed on (at most one link a fingerprint), and the components of those links are the groups.
 
-``near_copies`` groups by likeness of shingle sets instead. At a likeness of 0.8 some ten of 64 bits differ, for which
+``copy_groups`` groups by likeness of shingle sets instead. At a likeness of 0.8 some ten of 64 bits differ, for which
 blocks of bits would be too short to tell texts apart, so there the fingerprints are dealt by least hashes of the
 shingles, linked within a wide budget of bits, and the shingle sets of what is linked are then compared exactly.
 """
@@ -28,6 +28,8 @@ from slatecast.llm.components import connected_components
 SHINGLE_WORDS, SEED, BUDGET = 4, 42, 4
 #: Node pairs walked in one go, and the number of fingerprint pairs from which a node pair is split, not listed.
 WALK_PAIRS, LIST_PAIRS = 1 << 18, 48
+#: Parts, at least, by which the rows of one component are dealt.
+PARTS_OF_A_COMPONENT = 64
 #: Near copies: words in a shingle, least Jaccard likeness of the shingle sets, and the bits that may differ (at a likeness
 #: of 0.8 about 9.7 on average, with a standard deviation of 2.9).
 COPY_WORDS, COPY_LIKENESS, COPY_BUDGET = 5, 0.8, 22
@@ -196,9 +198,12 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     marked = checkpoint(with_fingerprints(docs))
     firsts = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     grouped = connected_components(near_links(firsts.select("fp"), budget)).withColumnRenamed("node", "fp")
-    classes = firsts.join(grouped, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component_id")
+    # a component may hold a third of all: its least id is taken, and given back, by parts of it
+    ways = max(PARTS_OF_A_COMPONENT, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classes = firsts.join(grouped, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"), F.pmod(F.xxhash64("fp"), F.lit(ways)).alias("part"))
+    least = classes.groupBy("component", "part").agg(F.min("first").alias("least"))
+    least = least.groupBy("component").agg(F.min("least").alias("component_id"), F.collect_list("part").alias("parts"))
+    named = classes.join(least.withColumn("part", F.explode("parts")), ["component", "part"]).select("fp", "component_id")
     return marked.join(named, "fp", "left").select("doc_id", F.format_string("%016x", "fp").alias("fingerprint"), "component_id")
 
 
