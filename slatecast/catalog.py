@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from slatecast.functions import geometry, text
-from slatecast.functions.timecode import frame_to_smpte, time_to_frame
+from slatecast.functions.timecode import frame_to_smpte, percent, time_to_frame
 from slatecast.operators import detections as d
 from slatecast.operators import markers as m
 from slatecast.operators import ocr, pixels, sessions, trigger
 from slatecast.plans import oracles as o
 from slatecast.plans import views
 from slatecast.plans.postprocess import postprocess
+from slatecast.sources import files
 from slatecast.sources.frames import frame_numbers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +177,41 @@ def marker_import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.import_stats(m.from_rows(_import_rows(_det(spark, sf_dir))))
 
 
+@_query(o.MARKER_STORE)
+def marker_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers as a store holds them: some fields missing, and some frames written a second time."""
+    mk = views.markers(spark, sf_dir)
+    bare = F.col("custom_data").isin("c3", "c4")
+    first = mk.withColumns({"color": F.when(~bare, F.col("color")), "duration": F.when(~bare, F.col("duration")), "at": F.lit(0)})
+    again = mk.where("color = 'Blue'").withColumns({"note": F.lit(None).cast("string"), "custom_data": F.lit("again"), "at": F.lit(1)})
+    return m.stored(first.unionByName(again), arrival="at")
+
+
+@_query(o.DETECTIONS_CSV)
+def detections_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table written as one CSV file and read again as markers."""
+    path = files.shared_path(spark, "detections.csv")
+    rows = _det(spark, sf_dir).withColumn("timecode", frame_to_smpte(F.col("frame_number"))).orderBy("rid")
+    files.write_detections_csv(rows, path)
+    return files.read_marker_csv(spark, path).select("frame_id", "color", "name", "note", "ok")
+
+
+@_query(o.markers("SELECT frame_id, color, name, note, duration, custom_data FROM mk"))
+def marker_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All markers written as a JSON file and read again."""
+    path = files.shared_path(spark, "markers.json")
+    files.write_marker_json(m.summary(views.markers(spark, sf_dir)), path)
+    return files.read_marker_json(spark, path).select("frame_id", "color", "name", "note", "duration", "custom_data")
+
+
+@_query(o.BASE_NAMES)
+def base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of made-up files, and how far each row is on the way."""
+    rows = _det(spark, sf_dir)
+    path = F.concat(F.lit("/cut/"), "text_type", F.lit(".d/"), "video_id", F.lit("_"), F.col("rid").cast("string"), F.when(F.col("rid") % 3 == 0, ".tar.mov").when(F.col("rid") % 3 == 1, ".mp4").otherwise(""))
+    return rows.select("rid", text.base_name(path).alias("base"), percent(F.col("pixel_count"), F.lit(1600)).alias("done"))
+
+
 def _marker_query(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return make(views.markers(spark, sf_dir))

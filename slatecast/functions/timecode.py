@@ -49,4 +49,5 @@ def time_range(start: int, end: int, count: int) -> tuple[int, int]:
 
 
 def percent(done: Column, total: Column) -> Column:
-    return F.format_string("%.2f", done / total * 100)
+    """Two decimals of the exact binary value, ties to even."""
+    return F.replace(F.format_number(done / total * 100, 2), F.lit(","), F.lit(""))

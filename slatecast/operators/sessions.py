@@ -87,7 +87,8 @@ def merged_groups(rows: DataFrame, params: Params = DEFAULT, order: str = "rid")
     """``rows`` with ``leader``: the ``order`` value of the row that each belongs to.
 
     In that order a row joins the first leader of its type that is alike and at most so many frames away, else it leads.
-    No two rows can be joined over a gap of more frames, so segments between such gaps are worked on apart.
+    No two rows can be joined over a gap of more frames, so segments between such gaps are worked on apart; in one,
+    leaders are found by their type and block of frames, so a long segment costs no more a row than a short one.
     """
     by_frame = Window.partitionBy("video_id").orderBy("frame_number", order)
     far = F.coalesce(F.col("frame_number") - F.lag("frame_number").over(by_frame) > params.merge_frames, F.lit(True))
@@ -98,19 +99,23 @@ def merged_groups(rows: DataFrame, params: Params = DEFAULT, order: str = "rid")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        leaders: list[tuple[str, int, frozenset[str], int]] = []
+        wide = params.merge_frames + 1
+        leaders: dict[tuple[str, int], list[tuple[int, int, frozenset[str], int]]] = {}  # (nth, frame, letters, place)
+        nth = 0
         for batch in batches:
             out = []
             columns = [batch[c].to_pylist() for c in ("video_id", "_segment", order, "text_type", "frame_number", "text")]
             for video, segment, place, kind, frame, text in zip(*columns, strict=True):
                 if held != (video, segment):
-                    held, leaders = (video, segment), []
-                letters = frozenset(text.lower())
-                found = next((at for k, f, s, at in leaders if k == kind and abs(f - frame) <= params.merge_frames and alike(s, letters) > params.merge_text), None)
-                if found is None:
-                    leaders.append((kind, frame, letters, place))
-                    found = place
-                out.append(found)
+                    held, leaders, nth = (video, segment), {}, 0
+                letters, block = frozenset(text.lower()), frame // wide
+                near = (x for k in (block - 1, block, block + 1) for x in leaders.get((kind, k), ()))
+                first = min((x for x in near if abs(x[1] - frame) <= params.merge_frames and alike(x[2], letters) > params.merge_text), default=None, key=lambda x: x[0])
+                if first is None:
+                    first = (nth, frame, letters, place)
+                    leaders.setdefault((kind, block), []).append(first)
+                    nth += 1
+                out.append(first[3])
             yield pa.record_batch([*(batch[c] for c in names), pa.array(out, pa.int64())], [*names, "leader"])
 
     return dealt.mapInArrow(fold, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import json
 import re
+import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -68,6 +70,16 @@ def write_marker_json(summary: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(json.loads(text), indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path on the file system that the driver and the executors share (``spark.checkpoint.dir``); a local one for a local master only."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = Path(folder.removeprefix("file://").removeprefix("file:"), f"files-{uuid.uuid4().hex}") if folder else Path(tempfile.mkdtemp(prefix="files-"))
+    made.mkdir(parents=True, exist_ok=True)
+    return str(made / name)
+
+
 def confidence_text(value: float) -> str:
     """Three decimals of the exact binary value, as the built-in formats give them only nearly."""
     return f"{value:.3f}"
