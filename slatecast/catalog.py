@@ -255,6 +255,9 @@ _marker_query(
 )
 
 
+_marker_query("marker_lines", lambda mk: m.described(mk).select("frame_id", "line"), "SELECT frame_id, concat('Marker(frame=', frame_id, ', color=', color, ', name=', chr(39), name, chr(39), ')') AS line FROM mk")
+
+
 def _new_markers(mk: DataFrame) -> DataFrame:
     """Half of them fall on frames that are taken."""
     return mk.where("duration = 1").withColumn("frame_id", F.when(F.col("frame_id") % 4 < 2, F.col("frame_id")).otherwise(F.col("frame_id") + 0.5)).withColumn("color", F.lit("ORANGE"))
@@ -372,3 +375,22 @@ def video_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slatecast.plans.video import detect
 
     return postprocess(detect(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400)).select(*_ROW, "timecode")
+
+
+@_query()
+def video_pipeline_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From frames to results the older way: whole regions, the older trigger, all items of an answer."""
+    from slatecast.plans.video import detect_legacy
+
+    return detect_legacy(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400).select("frame_number", "timecode", "text", "pixel_count", "confidence", "text_type")
+
+
+def example_lut_one(size: int = 5) -> np.ndarray:
+    """A small table of one dimension: red squared, green halved, blue as it is."""
+    value = np.arange(size) / (size - 1)
+    return np.stack([value * value, value * 0.5, value], axis=-1)
+
+
+@_query(o.LUT_ONE)
+def lut_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.lut_enhanced(views.pixels(spark, sf_dir), example_lut_one()).select("frame_number", "y", "x", "b", "g", "r")

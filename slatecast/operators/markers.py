@@ -105,6 +105,12 @@ def summary(markers: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(colours)).select("total_count", "colors", "frame_range", "markers")
 
 
+def described(markers: DataFrame) -> DataFrame:
+    """Each marker and a line of text that tells of it."""
+    line = F.concat(F.lit("Marker(frame="), F.col("frame_id").cast("string"), F.lit(", color="), "color", F.lit(", name='"), "name", F.lit("')"))
+    return markers.withColumn("line", line)
+
+
 def from_type(kind: Column) -> tuple[Column, Column]:
     """Colour and name of the marker that a detection of this type becomes."""
     return F.when(kind == "VFX", "Green").when(kind == "DI", "Yellow").otherwise("Blue"), F.when(kind.isin("VFX", "DI"), kind).otherwise(kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -27,6 +28,21 @@ def mock_engine() -> Engine:
     return lambda frame_number, image: [{"rec_texts": [f"{MOCK_TEXT}{frame_number}"], "rec_scores": [MOCK_SCORE], "rec_polys": []}]
 
 
+def paddle_engine() -> Engine:
+    """PaddleOCR, where it is installed, for images as ``sources.images.with_png`` makes them."""
+    from paddleocr import PaddleOCR
+
+    from slatecast.sources.images import decode_png
+
+    reader = PaddleOCR(lang="ch", use_textline_orientation=False, use_doc_unwarping=False)
+    return lambda frame_number, image: reader.predict(decode_png(image)[..., ::-1].copy())
+
+
+def installed_engine() -> Engine:
+    """PaddleOCR, or the engine for tests where that is not installed."""
+    return paddle_engine() if importlib.util.find_spec("paddleocr") else mock_engine()
+
+
 def recognized(frames: DataFrame, make_engine: Callable[[], Engine] = mock_engine, image: str = "image_bytes") -> DataFrame:
     """``frames`` less the image, with ``items``: what the engine read; one engine a task, made when first needed.
 

@@ -63,23 +63,33 @@ def coloured_counts(pixels: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def lut_enhanced(pixels: DataFrame, table: np.ndarray) -> DataFrame:
-    """b, g and r through a colour table indexed [r][g][b], between whose points values run straight; cut to 0..255."""
+    """b, g and r through a colour table, between whose points values run straight; cut to 0..255.
+
+    The table is indexed [r][g][b], or, of one dimension, [value] with a column a channel.
+    """
     size = table.shape[0]
     flat = F.array(*[F.lit(float(x)) for x in table.reshape(-1)])
     place = {c: F.col(c) / 255 * (size - 1) for c in "rgb"}
     low = {c: F.least(F.floor(place[c]), F.lit(size - 2)).cast("int") for c in "rgb"}
     part = {c: place[c] - low[c] for c in "rgb"}
 
+    def whole(out: Column) -> Column:
+        return F.floor(F.greatest(F.least(out, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
+
+    def run(a: Column, b: Column, at: Column) -> Column:
+        return a * (1 - at) + b * at
+
+    if table.ndim == 2:
+        points = {c: [F.get(flat, (low[c] + d) * 3 + k) for d in (0, 1)] for k, c in enumerate("rgb")}
+        return pixels.withColumns({c: whole(run(*points[c], part[c])) for c in "rgb"})
+
     def value(channel: int) -> Column:
         def point(dr: int, dg: int, db: int) -> Column:
             return F.get(flat, (((low["r"] + dr) * size + low["g"] + dg) * size + low["b"] + db) * 3 + channel)
 
-        def run(a: Column, b: Column, at: Column) -> Column:
-            return a * (1 - at) + b * at
-
         along = [[run(point(0, dg, db), point(1, dg, db), part["r"]) for db in (0, 1)] for dg in (0, 1)]
         out = run(run(along[0][0], along[1][0], part["g"]), run(along[0][1], along[1][1], part["g"]), part["b"])
-        return F.floor(F.greatest(F.least(out, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
+        return whole(out)
 
     return pixels.withColumns({"r": value(0), "g": value(1), "b": value(2)})
 
@@ -108,8 +118,8 @@ def frame_opened(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def frame_hits(bgr: np.ndarray, params: Params = DEFAULT) -> list[tuple[str, int, np.ndarray]]:
-    """Type, pixel count and masked region of each colour that a frame has enough of: green first."""
+def frame_hits(bgr: np.ndarray, params: Params = DEFAULT, masked: bool = True) -> list[tuple[str, int, np.ndarray]]:
+    """Type, pixel count and region of each colour that a frame has enough of: green first. Other pixels of a masked region are black."""
     height, width = bgr.shape[:2]
     roi = bgr[: int(height * params.roi_height), int(width * params.roi_left) :]
     if not roi.size:
@@ -119,24 +129,34 @@ def frame_hits(bgr: np.ndarray, params: Params = DEFAULT) -> list[tuple[str, int
     for kind, low, high in (("VFX", params.vfx_low, params.vfx_high), ("DI", params.di_low, params.di_high)):
         mask = frame_opened(((colours >= low) & (colours <= high)).all(axis=-1))
         if (n := int(mask.sum())) > params.min_pixels:
-            out.append((kind, n, np.where(mask[..., None], roi, 0).astype(np.uint8)))
+            out.append((kind, n, np.where(mask[..., None], roi, 0).astype(np.uint8) if masked else np.ascontiguousarray(roi)))
     return out
 
 
-def frame_lut(bgr: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A frame through a colour table indexed [r][g][b]."""
+def looked_up(rgb: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Values from 0 to 1 through a table: indexed [r][g][b], or [value], with a column a channel. Between its points values run straight."""
     size = table.shape[0]
-    place = bgr[..., ::-1].astype(np.float32) / 255 * (size - 1)
+    place = np.clip(rgb, 0, 1) * (size - 1)
     low = np.minimum(place.astype(np.int64), size - 2)
     part = (place - low)[..., None]
+    if table.ndim == 2:
+        channel = np.arange(3)
+        return table[low, channel] * (1 - part[..., 0]) + table[low + 1, channel] * part[..., 0]
     r, g, b = (low[..., k] for k in range(3))
     along = {(dg, db): table[r, g + dg, b + db] * (1 - part[..., 0, :]) + table[r + 1, g + dg, b + db] * part[..., 0, :] for dg in (0, 1) for db in (0, 1)}
     flat = {db: along[0, db] * (1 - part[..., 1, :]) + along[1, db] * part[..., 1, :] for db in (0, 1)}
-    out = flat[0] * (1 - part[..., 2, :]) + flat[1] * part[..., 2, :]
-    return (np.clip(out, 0, 1) * 255).astype(np.uint8)[..., ::-1]
+    return flat[0] * (1 - part[..., 2, :]) + flat[1] * part[..., 2, :]
+
+
+def frame_lut(bgr: np.ndarray, tables: np.ndarray | list[np.ndarray]) -> np.ndarray:
+    """A frame through a colour table, or several one after another."""
+    rgb = bgr[..., ::-1].astype(np.float32) / 255
+    for table in [tables] if isinstance(tables, np.ndarray) else tables:
+        rgb = looked_up(rgb, table)
+    return (np.clip(rgb, 0, 1) * 255).astype(np.uint8)[..., ::-1]
 
 
-def images_enhanced(rows: DataFrame, table: np.ndarray) -> DataFrame:
+def images_enhanced(rows: DataFrame, table: np.ndarray | list[np.ndarray]) -> DataFrame:
     """``image_bytes`` of shape ``image_shape`` through a colour table; an image that cannot be stays as it was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,6 +194,18 @@ def _lut() -> str:
 
 
 LUT = _lut()
+
+
+def _lut_one() -> str:
+    """Values over 0, 1/4 .. 1: a square for red, a half for green, as they are for blue."""
+    point = {"r": lambda v: f"(({v}) / 4.0::DOUBLE * (({v}) / 4.0::DOUBLE))", "g": lambda v: f"(({v}) / 4.0::DOUBLE * 0.5)", "b": lambda v: f"(({v}) / 4.0::DOUBLE)"}
+    u = {c: f"({c} / 255::DOUBLE * 4)" for c in "rgb"}
+    at = ", ".join(f"least(floor({u[c]})::INTEGER, 3) AS {c}0, {u[c]} - least(floor({u[c]})::INTEGER, 3) AS {c}f" for c in "rgb")
+    out = ", ".join(f"floor(greatest(least({p(c + '0')} * (1 - {c}f) + {p(c + '0 + 1')} * {c}f, 1.0::DOUBLE), 0.0::DOUBLE) * 255)::INTEGER AS {c}" for c, p in point.items())
+    return f"WITH {PX} SELECT frame_number, y, x, {out} FROM (SELECT frame_number, y, x, {at} FROM px)"
+
+
+LUT_ONE = _lut_one()
 FRAGMENTS = det(
     """SELECT rid, first || second AS text, round((CASE WHEN k % 9 = 0 THEN 0 ELSE confidence END + CASE WHEN k % 4 = 0 THEN 0 ELSE 0.5 END) / n, 9) AS confidence, n::INTEGER AS n
     FROM (SELECT *, CASE WHEN k % 9 = 0 THEN '' ELSE text END AS first, CASE WHEN k % 4 >= 2 THEN 'tail' ELSE '' END AS second, (k % 9 <> 0)::INTEGER + (k % 4 <> 0)::INTEGER AS n FROM det) WHERE n > 0"""

@@ -19,21 +19,35 @@ from slatecast.operators import markers as m
 HEADER = ("帧数", "时间码", "文本内容", "像素数量", "置信度", "类型")
 
 
-def parse_cube(text: str) -> np.ndarray:
-    """A three-dimensional colour table (the .cube format) as an array indexed [r][g][b]."""
-    size, rows = 0, []
+def parse_cube(text: str) -> np.ndarray | list[np.ndarray]:
+    """A colour table (the .cube format): an array indexed [r][g][b], or, of one dimension, [value] with a column a channel.
+
+    A file of both sizes holds a shaper of one dimension and the table behind it, and gives a list of the two. Tables
+    for values other than 0 to 1 are an error.
+    """
+    sizes, rows = {1: 0, 3: 0}, []
     for line in text.splitlines():
         line = line.split("#")[0].strip()
-        if line.upper().startswith("LUT_3D_SIZE"):
-            size = int(line.split()[1])
+        word, *rest = line.split() or [""]
+        if found := re.fullmatch("LUT_([13])D_SIZE", word.upper()):
+            sizes[int(found[1])] = int(rest[0])
+        elif re.fullmatch("DOMAIN_M(IN|AX)|LUT_[13]D_INPUT_RANGE", word.upper()):
+            usual = {"DOMAIN_MIN": [0, 0, 0], "DOMAIN_MAX": [1, 1, 1]}.get(word.upper(), [0, 1])
+            if [float(x) for x in rest] != usual:
+                raise ValueError("a colour table for values other than 0 to 1")
         elif re.match(r"^[-+.\d]", line):
             rows.append([float(x) for x in line.split()[:3]])
-    if size < 2 or len(rows) != size**3:
-        raise ValueError("not a three-dimensional colour table")
-    return np.array(rows).reshape(size, size, size, 3).transpose(2, 1, 0, 3)  # red runs fastest in the file
+    one, three = sizes[1], sizes[3]
+    if 1 in (one, three) or not one + three or len(rows) != one + three**3 or any(len(x) != 3 for x in rows):
+        raise ValueError("not a colour table")
+    values = np.array(rows)
+    tables = [values[:one]] if one else []
+    if three:
+        tables.append(values[one:].reshape(three, three, three, 3).transpose(2, 1, 0, 3))  # red runs fastest in the file
+    return tables if len(tables) > 1 else tables[0]
 
 
-def read_cube(spark: SparkSession, path: str) -> np.ndarray:
+def read_cube(spark: SparkSession, path: str) -> np.ndarray | list[np.ndarray]:
     return parse_cube("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))  # one file, one row
 
 
@@ -85,6 +99,12 @@ def confidence_text(value: float) -> str:
     return f"{value:.3f}"
 
 
+def detections_name(video: str, legacy: bool = False) -> str:
+    """The usual name of the detections file of a video."""
+    name = re.sub(r"(?<=.)\.[^.]*$", "", re.split(r"[/\\]", video)[-1])
+    return f"{name}_detected_frames_paddle{'' if legacy else '_refactored'}.csv"
+
+
 def write_detections_csv(rows: DataFrame, path: str) -> str:
     """One CSV file in the order of ``rows``: byte-order mark, CRLF line ends, quotes where needed."""
     with open(path, "w", encoding="utf-8-sig", newline="") as file:

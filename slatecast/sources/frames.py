@@ -1,7 +1,8 @@
 """Video frames as a Python data source: ``spark.read.format("frames")``.
 
-The built-in decoder reads raw BGR frames (24 bits a pixel, one after another); others are given by the option
-``decoder``, the import path of a class like ``RawDecoder``. A range of frames becomes input partitions that are read
+Files that end like a container (MP4, MOV, AVI) are read through OpenCV where it is installed, all others as raw BGR
+frames (24 bits a pixel, one after another); another decoder is given by the option ``decoder``, the import path of a
+class like ``RawDecoder``. A range of frames becomes input partitions that are read
 apart; a frame that cannot be read ends its range.
 """
 
@@ -50,8 +51,34 @@ class RawDecoder:
         return data if len(data) == self.size else None
 
 
+class ContainerDecoder:
+    """Any container and codec that OpenCV can open; it is asked to seek only where a frame is not the next one."""
+
+    def __init__(self, path: str, options: dict[str, str]) -> None:
+        try:
+            import cv2
+        except ImportError as missing:
+            raise RuntimeError("video containers need the package cv2, or the option decoder") from missing
+        self.video, self.position, self.next = cv2.VideoCapture(path), cv2.CAP_PROP_POS_FRAMES, 0
+        if not self.video.isOpened():
+            raise OSError(f"cannot open {path}")
+        self.fps = float(self.video.get(cv2.CAP_PROP_FPS)) or DEFAULT.fps
+        self.frame_count, self.width, self.height = (int(self.video.get(x)) for x in (cv2.CAP_PROP_FRAME_COUNT, cv2.CAP_PROP_FRAME_WIDTH, cv2.CAP_PROP_FRAME_HEIGHT))
+
+    def read(self, frame: int) -> bytes | None:
+        if frame != self.next:
+            self.video.set(self.position, frame)
+        found, image = self.video.read()
+        self.next = frame + 1
+        return image.tobytes() if found else None
+
+
+CONTAINERS = (".mp4", ".mov", ".avi")
+
+
 def open_decoder(options: dict[str, str]) -> Decoder:
-    module, _, name = options.get("decoder", f"{__name__}.RawDecoder").rpartition(".")
+    usual = "ContainerDecoder" if options["path"].lower().endswith(CONTAINERS) else "RawDecoder"
+    module, _, name = options.get("decoder", f"{__name__}.{usual}").rpartition(".")
     return getattr(importlib.import_module(module), name)(options["path"], options)
 
 
@@ -119,8 +146,8 @@ def frame_numbers(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(start, end).withColumnRenamed("id", "frame_number")
 
 
-def hits_of(frames: DataFrame, params: object = DEFAULT) -> DataFrame:
-    """One row for each frame and colour with enough pixels: type, pixel count, and the masked region with its shape."""
+def hits_of(frames: DataFrame, params: object = DEFAULT, masked: bool = True) -> DataFrame:
+    """One row for each frame and colour with enough pixels: type, pixel count, and the region, masked or as it is, with its shape."""
     from slatecast.operators.pixels import frame_hits
 
     schema = "video_id string, frame_number long, text_type string, pixel_count int, image_shape struct<h:int,w:int,c:int>, image_bytes binary"
@@ -132,7 +159,7 @@ def hits_of(frames: DataFrame, params: object = DEFAULT) -> DataFrame:
         for batch in batches:
             rows = []
             for video, number, height, width, data in zip(*(batch[c].to_pylist() for c in ("video_id", "frame_number", "height", "width", "data")), strict=True):
-                for kind, n, roi in frame_hits(np.frombuffer(data, np.uint8).reshape(height, width, 3), params):
+                for kind, n, roi in frame_hits(np.frombuffer(data, np.uint8).reshape(height, width, 3), params, masked):
                     rows.append((video, number, kind, n, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes()))
             if rows:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["video_id", "frame_number", "text_type", "pixel_count", "image_shape", "image_bytes"])

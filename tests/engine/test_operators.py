@@ -1,4 +1,6 @@
 import random
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -8,8 +10,8 @@ from slatecast.operators import detections as d
 from slatecast.operators import markers as m
 from slatecast.operators import ocr, pixels, sessions, trigger
 from slatecast.params import Params
-from slatecast.sources import files
-from slatecast.sources.frames import hits_of, read_frames, video_info
+from slatecast.sources import editor, files, images
+from slatecast.sources.frames import hits_of, open_decoder, read_frames, video_info
 
 SCHEMA = "video_id string, rid long, frame_number long, text_type string, pixel_count int, confidence double, text string, x1 int, y1 int, x2 int, y2 int"
 
@@ -195,8 +197,111 @@ def test_cube_file(spark, tmp_path):
     path.write_text("# made up\nTITLE x\nLUT_3D_SIZE 2\n" + "".join(f"{r} {g} {b}\n" for b in (0, 1) for g in (0, 1) for r in (0, 1)))
     table = files.read_cube(spark, str(path))
     assert all(table[r, g, b].tolist() == [r, g, b] for r in (0, 1) for g in (0, 1) for b in (0, 1))
+    cube = "".join(f"{r} {g} {b}\n" for b in (0, 1) for g in (0, 1) for r in (0, 1))
+    for wrong in ("", "LUT_1D_SIZE 1\n0 0 0\n", "LUT_3D_SIZE 2\n0 0 0\n", "LUT_1D_SIZE 2\n0 0\n1 1\n", "LUT_3D_SIZE 2\nDOMAIN_MAX 2 2 2\n" + cube):
+        with pytest.raises(ValueError):
+            files.parse_cube(wrong)
+
+
+def test_tables_of_one_dimension_and_shapers(spark):
+    one = files.parse_cube("DOMAIN_MIN 0 0 0\nLUT_1D_SIZE 3\n0 0 1\n0.25 0.5 0.5\n1 1 0\n")
+    rng = np.random.default_rng(4)
+    frame = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    value = frame[..., ::-1].astype(np.float32) / 255
+    want = np.stack([np.interp(value[..., k], [0, 0.5, 1], one[:, k]) for k in range(3)], axis=-1)
+    assert np.abs(pixels.frame_lut(frame, one).astype(int) - (want * 255).astype(int)[..., ::-1]).max() <= 1
+    pixel_rows = spark.createDataFrame([(y, x, *map(int, frame[y, x])) for y in range(5) for x in range(7)], "y int, x int, b int, g int, r int")
+    got = {(r["y"], r["x"]): (r["b"], r["g"], r["r"]) for r in pixels.lut_enhanced(pixel_rows, one).collect()}
+    assert all(abs(a - int(b)) <= 1 for (y, x), v in got.items() for a, b in zip(v, pixels.frame_lut(frame, one)[y, x], strict=True))
+    cube = "".join(f"{1 - r} {g} {b}\n" for b in (0, 1) for g in (0, 1) for r in (0, 1))
+    both = files.parse_cube("LUT_1D_SIZE 2\nLUT_1D_INPUT_RANGE 0 1\nLUT_3D_SIZE 2\n0 0 0\n0.5 1 1\n" + cube)
+    made = pixels.frame_lut(np.array([[[10, 20, 255]]], np.uint8), both)[0, 0].tolist()
+    assert abs(made[0] - 10) <= 1 and abs(made[1] - 20) <= 1 and abs(made[2] - 127) <= 1
+
+
+def test_png_images(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for shape in ((1, 1, 3), (3, 5, 3), (40, 17, 3)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert np.array_equal(images.decode_png(images.encode_png(image)), image)
+    for wrong in (np.zeros((0, 4, 3), np.uint8), np.zeros((4, 4), np.uint8), np.zeros((2, 2, 3))):
+        with pytest.raises(ValueError):
+            images.encode_png(wrong)
     with pytest.raises(ValueError):
-        files.parse_cube("LUT_1D_SIZE 2\n0 0 0\n1 1 1\n")
+        images.decode_png(b"GIF89a")
+    rows = [(1, "VFX", image.tobytes(), (40, 17, 3)), (2, "DI", b"cut", (40, 17, 3)), (3, "DI", None, None)]
+    df = spark.createDataFrame(rows, "frame_number long, text_type string, image_bytes binary, image_shape struct<h:int,w:int,c:int>")
+    done = images.with_png(df)
+    assert [r["frame_number"] for r in done.collect()] == [1]  # what cannot be encoded goes
+    (written,) = images.write_images(done, str(tmp_path / "made")).collect()
+    assert written["path"].endswith("roi_1_VFX.png") and written["n_bytes"] == (tmp_path / "made" / "roi_1_VFX.png").stat().st_size
+
+
+class FakeVideo:
+    """As much of a container reader as the decoder asks of it: 10 frames, each of its number."""
+
+    def __init__(self, path):
+        self.at, self.good, self.seeks = 0, path.startswith("clip"), 0
+
+    def isOpened(self):
+        return self.good
+
+    def get(self, what):
+        return {5: 0.0, 7: 10, 3: 4, 4: 2}[what]
+
+    def set(self, what, value):
+        self.at, self.seeks = value, self.seeks + 1
+
+    def read(self):
+        self.at += 1
+        return (True, np.full((2, 4, 3), self.at - 1, np.uint8)) if self.at <= 10 else (False, None)
+
+
+def test_containers(monkeypatch):
+    with pytest.raises(RuntimeError, match="cv2"):
+        monkeypatch.setitem(sys.modules, "cv2", None)
+        open_decoder({"path": "clip.MP4"})
+    fake = types.SimpleNamespace(VideoCapture=FakeVideo, CAP_PROP_FPS=5, CAP_PROP_FRAME_COUNT=7, CAP_PROP_FRAME_WIDTH=3, CAP_PROP_FRAME_HEIGHT=4, CAP_PROP_POS_FRAMES=1)
+    monkeypatch.setitem(sys.modules, "cv2", fake)
+    video = open_decoder({"path": "clip.MP4"})
+    assert (video.fps, video.frame_count, video.width, video.height) == (25.0, 10, 4, 2)
+    assert [video.read(k)[0] for k in (0, 1, 2)] == [0, 1, 2] and video.video.seeks == 0
+    assert video.read(7)[0] == 7 and video.read(8)[0] == 8 and video.video.seeks == 1
+    assert video.read(10) is None
+    with pytest.raises(OSError):
+        open_decoder({"path": "none.mov"})
+
+
+def test_editor_timelines(spark):
+    line = editor.MemoryTimeline()
+    new = spark.createDataFrame([("t0", 5.0, "Green", "VFX", "a", 1.0, ""), ("t0", 9.0, "Blue", "x", "b", 2.0, "c"), ("t0", 5.0, "Red", "y", "d", 1.0, "")], editor.RAW)
+    assert editor.write_timeline(new, line) == (2, 1)
+    line.held[7.0] = {"color": "Red"}
+    got = {r["frame_id"]: r for r in editor.read_timeline(spark, line).collect()}
+    assert sorted(got) == [5.0, 7.0, 9.0] and got[7.0]["note"] == "" and got[7.0]["duration"] == 1.0 and got[9.0]["custom_data"] == "c"
+    assert line.DeleteMarkerAtFrame(7.0) and not line.DeleteMarkerAtFrame(7.0)
+    assert editor.read_timeline(spark, editor.MemoryTimeline()).count() == 0
+    with pytest.raises(ConnectionError, match="could not be read"):
+        editor.read_timeline(spark, None)
+    project = types.SimpleNamespace(GetName=lambda: "p", GetCurrentTimeline=lambda: line, GetMediaPool=lambda: None)
+    link = editor.Connection(types.SimpleNamespace(GetProjectManager=lambda: types.SimpleNamespace(GetCurrentProject=lambda: project)))
+    assert link.project_name == "p" and link.timeline is line
+    with pytest.raises(ConnectionError, match="media pool"):
+        _ = link.media_pool
+    with pytest.raises(ConnectionError, match="scripting access"):
+        editor.Connection(None)
+
+
+def test_older_way_of_reading(spark):
+    """The trigger's rows, with what was read there; regions are whole."""
+    from slatecast import catalog
+
+    rows = catalog.QUERIES["video_pipeline_legacy"](spark, "").orderBy("text_type", "frame_number").collect()
+    assert rows and all(r["text"].strip() for r in rows)
+    frames = read_frames(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=3)
+    whole, masked = (hits_of(frames, masked=m).orderBy("frame_number", "text_type").collect() for m in (False, True))
+    assert [r["pixel_count"] for r in whole] == [r["pixel_count"] for r in masked]
+    assert all(bytes((40, 40, 40)) in r["image_bytes"] for r in whole) and all(bytes((40, 40, 40)) not in r["image_bytes"] for r in masked)
 
 
 def test_repair_stays_in_generated_code(spark):
