@@ -2,10 +2,10 @@
 
 Every string of ``length`` bytes has an anchor: the position of the least hash among its grams of ``gram`` bytes. Equal
 strings have equal anchors at equal distances, so strings are compared only where anchors' grams agree. All strings of
-one anchor form one stretch of text (its form). Of equal forms one represents the rest, which then are repeated
-wholly; unequal forms of a gram meet in one task, whose suffixes are put in order by two-stage sorting: suffixes that
-are smaller than their successors are sorted directly, the rest is induced by scanning the buckets of first bytes; then
-adjacent common prefixes show which strings occur twice. A gram with more than ``busy`` unequal forms (a passage that
+one anchor form one stretch of text (its form). All forms of a gram meet in one task, one that occurs more than once by
+its first and its last place, and their suffixes are put in order by two-stage sorting: suffixes that are smaller than
+their successors are sorted directly, the rest is induced by scanning the buckets of first bytes; then adjacent common
+prefixes show which strings occur twice. What is found for a form holds at all its places. A gram with more than ``busy`` unequal forms (a passage that
 very many documents share) is dealt out string by string instead, by 128-bit hashes, whose counts combine before the
 shuffle, so that no task gathers such a group.
 """
@@ -265,31 +265,30 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _gram_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """Grams and their forms, combined within each batch: how often, and the least and greatest form."""
+    """Grams and how often they are anchors, combined within each batch."""
 
     def make():
         anchors = Anchors(length, gram)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = anchors.find(batch["text"].to_pylist())
-            if not len(found["gram"]):
-                return None
-            order = np.lexsort((found["form"].view(np.int64), found["gram"]))
-            g, f = found["gram"][order], found["form"].view(np.int64)[order]
-            heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            tails = np.append(heads[1:], len(g)) - 1
-            return pa.record_batch([pa.array(g[heads].view(np.int64)), pa.array((tails - heads + 1).astype(np.int32)), pa.array(f[heads]), pa.array(f[tails])], ["gram", "n", "low", "high"])
+            grams, n = np.unique(anchors.find(batch["text"].to_pylist())["gram"], return_counts=True)
+            return pa.record_batch([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"]) if len(n) else None
 
         return step
 
-    return map_batches(keyed.select("text"), "gram long, n int, low long, high long", make)
+    return map_batches(keyed.select("text"), "gram long, n int", make)
+
+
+#: Spans found in a form: relative to its start, with the form's place, which is its only one if ``once``.
+_FOUND = "k1 long, k2 long, place long, gram long, form long, once boolean, lo long, hi long"
+_OWN = ("k1", "k2", "place", "gram", "form", "once")
 
 
 def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
-    """Spans of strings that occur twice among the forms of a gram: ``(k1, k2, lo, hi)`` for forms seen once.
+    """Spans of strings that occur twice among the forms of a gram, for each form's first place.
 
-    ``forms(k1, k2, place, gram, once, bytes)`` is dealt by gram, so a task orders all forms of its grams, a few MB at
-    a time and never a gram in two parts. A form seen more often takes part, but its own spans are known already.
+    ``forms(k1, k2, place, gram, form, once, first, bytes)`` is dealt by gram, so a task orders all forms of its grams, a
+    few MB at a time and never a gram in two parts. A form's last place takes part, but its spans are those of the first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +309,8 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         parts = table["bytes"].to_pylist()
-        grams, place, once = (table[c].to_numpy() for c in ("gram", "place", "once"))
+        grams, leads = table["gram"].to_numpy(), table["first"].to_numpy()
+        whole = {c: table[c].combine_chunks() for c in _OWN}
         edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]]))
         at = 0
         while at < len(edges) - 1:
@@ -324,14 +324,14 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
             sizes = np.fromiter(map(len, parts[rows]), np.int64)
             base, part = segments(sizes)
             flags = twice_seen(data, base, sizes - length + 1, base + sizes, length)
-            flags &= once[rows][part]
+            flags &= leads[rows][part]
             first, last = _runs(flags, part)
             owner = part[first]
-            lo = (place[rows][owner] >> 24) + first - base[owner]
+            lo = first - base[owner]
             mine = pa.array(owner + rows.start)
-            yield pa.record_batch([table["k1"].combine_chunks().take(mine), table["k2"].combine_chunks().take(mine), pa.array(lo), pa.array(lo + last - first + length)], ["k1", "k2", "lo", "hi"])
+            yield pa.record_batch([*(whole[c].take(mine) for c in _OWN), pa.array(lo), pa.array(lo + last - first + length)], [*_OWN, "lo", "hi"])
 
-    return forms.mapInArrow(run, "k1 long, k2 long, lo long, hi long")
+    return forms.mapInArrow(run, _FOUND)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
@@ -339,29 +339,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
     if not 8 <= gram <= length or length - gram > 4000 or length % 8:
         raise ValueError("gram must be from 8 to length, at most 4000 less than it, and length a multiple of 8")
     keyed = _keyed(docs)
-    found = _gram_rows(keyed, length, gram)
-    grams = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    grams = _gram_rows(keyed, length, gram).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     # written first: a join whose both sides are dealt anew lets Spark split the rows of a very frequent gram
-    grams = checkpoint(grams.select("gram", (F.col("low") == F.col("high")).alias("alike")))
-    rows = checkpoint(_anchor_rows(keyed, length, gram).join(grams, "gram"))
-    lo = F.shiftright("place", 24)
-    hi = lo + F.col("place").bitwiseAND(F.lit(4095)) + F.lit(length)
-    alike = rows.where("alike").select("k1", "k2", lo.alias("lo"), hi.alias("hi"))
-    unlike = rows.where("not alike").select("k1", "k2", "place", "gram", "form")
-    # one row for each form, by the first of its places
-    forms = unlike.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
-    forms = checkpoint(forms.select("gram", "form", "n", "at.k1", "at.k2", "at.place"))
+    rows = checkpoint(_anchor_rows(keyed, length, gram).join(checkpoint(grams.select("gram")), "gram"))
+    # one row for each form, by the first and the last of its places
+    place = F.struct("k1", "k2", "place")
+    forms = checkpoint(rows.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.max(place).alias("other")))
     crowded = checkpoint(forms.groupBy("gram").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > busy).select("gram", F.lit(True).alias("busy")))
-    copied = unlike.join(forms.where("n > 1").select("gram", "form"), ["gram", "form"], "left_semi").select("k1", "k2", lo.alias("lo"), hi.alias("hi"))
-    wanted = forms.join(crowded, "gram", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "gram", "n", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("forms"))
-    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    single = F.col("n") == 1
+    ends = F.filter(F.array(F.struct("at", F.lit(True).alias("first")), F.struct(F.when(~single, F.col("other")).alias("at"), F.lit(False).alias("first"))), lambda x: x["at"].isNotNull())
+    placed = forms.join(crowded, "gram", "left").select("gram", "form", single.alias("once"), F.coalesce("busy", F.lit(False)).alias("busy"), F.explode(ends).alias("end"))
+    wanted = placed.groupBy(F.col("end.at.k1").alias("k1"), F.col("end.at.k2").alias("k2")).agg(F.collect_list(F.struct("end.at.place", "gram", "form", "once", "busy", "end.first")).alias("forms"))
+    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # rows that repeat are cut once
     cut = checkpoint(_cut(texts, length))
-    few = cut.where("not busy").select("k1", "k2", "place", "gram", "once", "bytes").repartition("gram").sortWithinPartitions("gram")
-    strings = _strings(cut.where("busy").select("k1", "k2", "place", "once", "bytes"), length)
-    twice = strings.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
-    again = strings.join(twice, ["one", "two"], "left_semi").select("k1", "k2", F.col("lo"), (F.col("lo") + length).alias("hi"))
-    spans = alike.unionByName(copied).unionByName(_sorted_spans(few, length)).unionByName(again)
-    return keyed, spans
+    few = cut.where("not busy").drop("busy").repartition("gram").sortWithinPartitions("gram")
+    strings = _strings(cut.where("busy").drop("busy"), length)
+    twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
+    again = strings.where("first").join(twice, ["one", "two"], "left_semi").select(*_OWN, "lo", (F.col("lo") + length).alias("hi"))
+    found = checkpoint(_sorted_spans(few, length).unionByName(again))
+    start = F.shiftright("place", 24)
+    span = ["k1", "k2", (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi")]
+    everywhere = rows.join(found.where("not once").select("gram", "form", "lo", "hi"), ["gram", "form"])
+    return keyed, found.where("once").select(*span).unionByName(everywhere.select(*span))
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
@@ -374,24 +373,24 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 for form in forms:
                     place = form["place"]
                     start = place >> 24
-                    rows.append((k1, k2, place, form["gram"], form["n"] == 1, form["busy"], text[start : start + (place & 4095) + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "place", "gram", "once", "busy", "bytes"])
+                    rows.append((k1, k2, place, form["gram"], form["form"], form["once"], form["busy"], form["first"], text[start : start + (place & 4095) + length]))
+            kinds = (*[pa.int64()] * 5, *[pa.bool_()] * 3, pa.binary())
+            return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_OWN, "busy", "first", "bytes"])
 
         return step
 
-    return map_batches(texts, "k1 long, k2 long, place long, gram long, once boolean, busy boolean, bytes binary", make)
+    return map_batches(texts, "k1 long, k2 long, place long, gram long, form long, once boolean, busy boolean, first boolean, bytes binary", make)
 
 
 def _strings(forms: DataFrame, length: int) -> DataFrame:
-    """Each string of the forms by two hashes; a form that was seen more often counts twice."""
+    """Each string of the forms by two hashes, with its place in the form."""
 
     def make():
         one, two = Rolling(21, PIECE + 2 * length), Rolling(22, PIECE + 2 * length)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts = batch["bytes"].to_pylist()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for at in range(0, len(parts), 256):
                 some = parts[at : at + 256]
                 data = np.frombuffer(b"".join(some), np.uint8)
@@ -404,13 +403,11 @@ def _strings(forms: DataFrame, length: int) -> DataFrame:
                     out[k].append(x)
             a, b, part, rank = (np.concatenate(x) for x in out[:4])
             pick = pa.array(part)
-            lo = (batch["place"].to_numpy()[part] >> 24) + rank
-            n = np.where(batch["once"].to_numpy(zero_copy_only=False)[part], 1, 2).astype(np.int32)
-            return pa.record_batch([batch["k1"].take(pick), batch["k2"].take(pick), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lo), pa.array(n)], ["k1", "k2", "one", "two", "lo", "n"])
+            return pa.record_batch([*(batch[c].take(pick) for c in (*_OWN, "first")), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rank)], [*_OWN, "first", "one", "two", "lo"])
 
         return step
 
-    return map_batches(forms, "k1 long, k2 long, one long, two long, lo long, n int", make)
+    return map_batches(forms, "k1 long, k2 long, place long, gram long, form long, once boolean, first boolean, one long, two long, lo long", make)
 
 
 def kept_pieces(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int, int]:
