@@ -21,7 +21,9 @@ COMMON_BY_LANGUAGE = (
 )
 COMMON = " ".join(COMMON_BY_LANGUAGE).split()
 #: Content words in a chain, and the bytes of text that one bucket of neighbours should hold.
-CHAIN, BUCKET_BYTES, BUCKETS = 3, 4_000_000, 10_000
+CHAIN, BUCKET_BYTES = 3, 4_000_000
+#: Ranges of ids, and parts of one: their bounds are 16 MB at most, for 8 TB of text in buckets of that size.
+RANGES, PARTS = 1_000, 2_000
 SIMILARITY = 0.8
 
 _JOINT = "\x01"
@@ -60,41 +62,51 @@ def digest(signatures: str) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), signatures)), 16, "0") for k in (0, 1)]))
 
 
-def _bounds(docs: DataFrame) -> list[int]:
-    """Ids that part the rows, in their order, into buckets of about BUCKET_BYTES of text; the last is the greatest id."""
+def _bounds(docs: DataFrame) -> tuple[list[int], int]:
+    """Ids that part the rows, in their order, into ranges of like size, of which the last is the greatest id, and into how many parts each should go."""
     size = docs.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("n"), F.max("_id").alias("top")).first()
     if size["top"] is None:
-        return []
-    n = min(BUCKETS, int(size["n"]) // BUCKET_BYTES + 1)
+        return [0], 1
+    buckets = int(size["n"]) // BUCKET_BYTES + 1
+    n = min(RANGES, buckets)
     at = docs.agg(F.percentile_approx("_id", [(k + 1) / n for k in range(n)], max(10_000, 4 * n)).alias("at")).first()["at"]
-    return sorted({*at[:-1], size["top"]} if n > 1 else {size["top"]})
+    return sorted({*at[:-1], size["top"]}), min(PARTS, -(-buckets // n))
 
 
-def _bucket(ids: str, bounds: list[int]) -> Column:
-    """How many bounds are less than the id, by halving."""
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) < F.col(ids)), at + step).otherwise(at))
+def _less(table: Column, ids: str, most: int) -> Column:
+    """How many of a sorted table's bounds, ``most`` at most, are less than the id, by halving."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when((at + step <= F.size(table)) & (F.get(table, at + step - 1) < F.col(ids)), at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` and ``signatures``, ``next_text``, ``next_signatures`` of the next row by descending id.
 
-    After the last comes the first. Null ids go last, equal ids by text. Rows are dealt by ranges of ids; the first row
-    of each range is also given to the range before it in this order, so no range is larger than planned, but for
-    repeats of one id.
+    After the last comes the first. Null ids go last, equal ids by text. Rows are dealt by ranges of ids and parts of
+    these; the first row of each part is also given to the part before it in this order, so no part is larger than
+    planned, but for repeats of one id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    bounds = _bounds(docs) or [0]
+    bounds, n_parts = _bounds(docs)
     table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    docs = docs.withColumn("_at", _bucket("_id", bounds))
-    follows = F.when(F.col("_id") == F.get(table, F.col("_at")), F.pmod(F.col("_at") + 1, F.lit(len(bounds))))
-    places = F.array_compact(F.array(F.struct(F.col("_at").alias("bucket"), F.lit(False).alias("guest")), F.when(follows.isNotNull(), F.struct(follows.alias("bucket"), F.lit(True).alias("guest")))))
-    dealt = docs.withColumn("_place", F.explode(places)).select("doc_id", "_id", "text", "_place.bucket", "_place.guest").repartition("bucket")
+    docs = docs.withColumn("_range", _less(table, "_id", len(bounds)))
+    top = F.array(F.get(table, F.col("_range")))
+    if n_parts > 1:
+        inside = F.percentile_approx("_id", [(k + 1) / n_parts for k in range(n_parts - 1)], max(10_000, 4 * n_parts))
+        parts = docs.groupBy("_range").agg(inside.alias("inside")).select("_range", F.array_sort(F.array_distinct(F.concat("inside", top))).alias("_ends"))
+        docs = docs.join(F.broadcast(checkpoint(parts)), "_range")  # RANGES rows of PARTS numbers at most
+    else:
+        docs = docs.withColumn("_ends", top)
+    docs = docs.withColumn("_part", _less(F.col("_ends"), "_id", n_parts))
+    own = F.struct(F.col("_range").alias("range"), F.col("_part").alias("part"), F.lit(False).alias("guest"))
+    beyond = F.col("_part") + 1 == F.size("_ends")
+    after = F.struct(F.when(beyond, F.pmod(F.col("_range") + 1, F.lit(len(bounds)))).otherwise(F.col("_range")).alias("range"), F.when(beyond, 0).otherwise(F.col("_part") + 1).alias("part"), F.lit(True).alias("guest"))
+    places = F.array_compact(F.array(own, F.when(F.col("_id") == F.get("_ends", F.col("_part")), after)))
+    dealt = docs.withColumn("_place", F.explode(places)).select("doc_id", "_id", "text", "_place.range", "_place.part", "_place.guest").repartition("range", "part")
     signed = with_signatures(dealt, "text", "signatures")
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("_id").desc(), "text")
-    return signed.withColumns({"next_text": F.lead("text").over(order), "next_signatures": F.lead("signatures").over(order)}).where("not guest").drop("_id", "bucket", "guest")
+    order = Window.partitionBy("range", "part").orderBy("guest", F.col("_id").desc(), "text")
+    return signed.withColumns({"next_text": F.lead("text").over(order), "next_signatures": F.lead("signatures").over(order)}).where("not guest").drop("_id", "range", "part", "guest")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ def test_many_buckets(odd, odd_rows, monkeypatch):
     check(odd, odd_rows)
 
 
+def test_ranges_in_parts(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_BYTES", 1500)
+    for ranges, parts in ((3, 2_000), (1, 2_000), (4, 3)):
+        monkeypatch.setattr(spotsigs, "RANGES", ranges)
+        monkeypatch.setattr(spotsigs, "PARTS", parts)
+        check(odd, odd_rows)
+
+
 def test_one_row_follows_itself(spark, none):
     rows = [(7, "The cat sat on the mat of a friend")]
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
