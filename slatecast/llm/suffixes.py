@@ -5,7 +5,7 @@ strings have equal anchors at equal distances, so strings are compared only wher
 one anchor form one stretch of text (its form). All forms of a gram meet in one task, one that occurs more than once by
 its first and its last place, and their suffixes are put in order by two-stage sorting: suffixes that are smaller than
 their successors are sorted directly, the rest is induced by scanning the buckets of first bytes; then adjacent common
-prefixes show which strings occur twice. What is found for a form holds at all its places. A gram with more than ``busy`` unequal forms (a passage that
+prefixes show which strings occur twice. What is found for a form holds at all its places. A gram with more than ``busy`` such places (a passage that
 very many documents share) is dealt out string by string instead, by 128-bit hashes, whose counts combine before the
 shuffle, so that no task gathers such a group.
 """
@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType
 from slatecast.llm.common import by_slices, checkpoint, map_batches, mix64, release, segments, slices, utf8
 
 LENGTH, GRAM = 400, 250
-#: So many unequal forms of a gram are sorted together: about a MB of text, as much as one sort takes.
+#: So many places of a gram's forms are sorted together: about a MB of text, as much as one sort takes.
 BUSY = 2048
 #: Bytes of text handled at once; longer texts are cut into overlapping pieces. Below 2**20, see ``anchors``.
 PIECE = 1 << 19
@@ -295,7 +295,7 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in (part for whole in batches for part in slices(whole)):
             held.append(batch)
-            if sum(x.nbytes for x in held) > 8 << 20:
+            if sum(x.nbytes for x in held) > 4 << 20:
                 table = pa.Table.from_batches(held)
                 grams = table["gram"].to_numpy()
                 cut = int(np.searchsorted(grams, grams[-1]))  # rows come sorted by gram; the last may go on
@@ -315,7 +315,7 @@ def _sorted_spans(forms: DataFrame, length: int) -> DataFrame:
         at = 0
         while at < len(edges) - 1:
             size, to = 0, at
-            while to < len(edges) - 1 and (size < 1 << 20 or to == at):
+            while to < len(edges) - 1 and (size < 1 << 19 or to == at):
                 size += sum(map(len, parts[edges[to] : edges[to + 1]]))
                 to += 1
             rows = slice(edges[at], edges[to])
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, busy
     # one row for each form, by the first and the last of its places
     place = F.struct("k1", "k2", "place")
     forms = checkpoint(rows.groupBy("gram", "form").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.max(place).alias("other")))
-    crowded = checkpoint(forms.groupBy("gram").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > busy).select("gram", F.lit(True).alias("busy")))
+    crowded = checkpoint(forms.groupBy("gram").agg(F.sum(F.least(F.col("n"), F.lit(2))).alias("places")).where(F.col("places") > busy).select("gram", F.lit(True).alias("busy")))
     single = F.col("n") == 1
     ends = F.filter(F.array(F.struct("at", F.lit(True).alias("first")), F.struct(F.when(~single, F.col("other")).alias("at"), F.lit(False).alias("first"))), lambda x: x["at"].isNotNull())
     placed = forms.join(crowded, "gram", "left").select("gram", "form", single.alias("once"), F.coalesce("busy", F.lit(False)).alias("busy"), F.explode(ends).alias("end"))
@@ -368,14 +368,20 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[tuple] = []
-            for k1, k2, text, forms in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "text", "forms")), strict=True):
-                for form in forms:
-                    place = form["place"]
-                    start = place >> 24
-                    rows.append((k1, k2, place, form["gram"], form["form"], form["once"], form["busy"], form["first"], text[start : start + (place & 4095) + length]))
-            kinds = (*[pa.int64()] * 5, *[pa.bool_()] * 3, pa.binary())
-            return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_OWN, "busy", "first", "bytes"])
+            # as arrays throughout: objects for each form would leave the worker's memory in pieces
+            forms = batch["forms"]
+            row = forms.value_parent_indices()
+            each = dict(zip((f.name for f in forms.type.value_type), forms.flatten().flatten(), strict=True))
+            place = each["place"].to_numpy()
+            sizes = (place & 4095) + length
+            texts = batch["text"]
+            where = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts)].astype(np.int64)
+            source = where[row.to_numpy()] + (place >> 24)
+            raw = memoryview(texts.buffers()[2])
+            data = b"".join(raw[at:to] for at, to in zip(source.tolist(), (source + sizes).tolist(), strict=True))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            cut = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            return pa.record_batch([batch["k1"].take(row), batch["k2"].take(row), *(each[c] for c in ("place", "gram", "form", "once", "busy", "first")), cut], [*_OWN, "busy", "first", "bytes"])
 
         return step
 

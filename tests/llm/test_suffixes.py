@@ -64,6 +64,16 @@ def test_shared_passages_and_crowds(spark, prose):
         check(docs, rows, 48, 32, busy)
 
 
+def test_more_rows_than_a_slice(spark):
+    """Batches are handled in slices, whose buffers begin further on."""
+    rng = random.Random(3)
+    shared = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(k, "".join(rng.choices("abcdefgh ", k=rng.randint(0, 70))) + (shared if k % 3 else shared[rng.randint(0, 30) :])) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for busy in (2048, 300):
+        check(docs, rows, 48, 32, busy)
+
+
 def test_texts_longer_than_a_piece(spark, prose, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 1000)
     texts = [prose(900).encode() for _ in range(2)]
