@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,15 @@ class Agreement:
         self.up = np.multiply.accumulate(powers)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(mix64(np.array(ids, np.uint64) + np.uint64(1)) * self.up[:n], out=self.prefix[1:])
-        self._up, self._prefix = self.up.tolist(), self.prefix.tolist()
         self.known: dict[int, tuple[int, int]] = {}
 
+    @cached_property
+    def _lists(self) -> tuple[list[int], list[int]]:
+        return self.up.tolist(), self.prefix.tolist()
+
     def same_hash(self, i: int, j: int, size: int) -> bool:
-        p = self._prefix
-        return (p[i + size] - p[i]) * self._up[j - i] & _MASK == (p[j + size] - p[j]) & _MASK
+        up, p = self._lists
+        return (p[i + size] - p[i]) * up[j - i] & _MASK == (p[j + size] - p[j]) & _MASK
 
     def _search(self, most: int, holds: Callable[[int], bool]) -> int:
         """The largest size up to which ``holds`` by its hashes; never less than the true one."""
@@ -92,7 +96,9 @@ def next_smaller(order: list[int], agree: Agreement) -> list[int]:
             if other < word:
                 break
             if other == word:
-                k = agree.ahead(i, j)
+                k = 1  # mostly the next words tell
+                if j + k < n and order[i + k] == order[j + k]:
+                    k = agree.ahead(i, j)
                 if j + k == n or order[j + k] < order[i + k]:
                     break
             j = ends[j]
@@ -105,10 +111,10 @@ def runs_of(words: list[bytes], least: int = LEAST_WORDS, times: int = LEAST_TIM
     n = len(words)
     if n < max(least, times):
         return []
-    number: dict[bytes, int] = {}
-    ids = [number.setdefault(w, len(number)) for w in words]
+    number = dict(zip(words, range(n), strict=True))
     if len(number) == n:
         return []
+    ids = list(map(number.__getitem__, words))
     agree, found = Agreement(ids), set()
     place = np.arange(n)
     for order in (ids, [-x for x in ids]):
