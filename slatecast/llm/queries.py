@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatecast.llm import language, media, merkle, mixing, packing, periodic, pipeline, quality, simhash, spotsigs, suffixes, toxicity, urls
+from slatecast.llm import language, media, merkle, minhash, mixing, packing, periodic, pipeline, quality, simhash, spotsigs, suffixes, toxicity, urls
 from slatecast.llm.common import read
 
 
@@ -62,10 +62,14 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summarised(periodic.periodic_runs(read(spark, sf_dir, "documents"), change=periodic.planted))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside op10: each document's class of equal fingerprints and with how many other classes it is near."""
     return spotsigs.links(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs, "op11_merkle": op11_merkle, "op12_periodic": op12_periodic, "pipeline": pipeline.run, "spotsigs_links": spotsigs_links}
-ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE, "op11_merkle": merkle.ORACLE} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_urls": op4_urls, "op5_packing": op5_packing, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_webp": op8_webp, "op9_suffixes": op9_suffixes, "op10_spotsigs": op10_spotsigs, "op11_merkle": op11_merkle, "op12_periodic": op12_periodic, "op13_minhash": op13_minhash, "pipeline": pipeline.run, "spotsigs_links": spotsigs_links}
+ORACLES: dict[str, str] = {"op4_urls": urls.ORACLE, "op11_merkle": merkle.ORACLE, "op13_minhash": minhash.ORACLE} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
