@@ -189,21 +189,29 @@ def marker_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(o.DETECTIONS_CSV)
 def detections_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result table written as one CSV file and read again as markers."""
+    """The result table written as one CSV file by many tasks, and all its columns read again, in the file's order."""
     path = files.shared_path(spark, "detections.csv")
     rows = _det(spark, sf_dir).withColumn("timecode", frame_to_smpte(F.col("frame_number"))).orderBy("rid")
     files.write_detections_csv(rows, path)
-    return files.read_marker_csv(spark, path).select("frame_id", "color", "name", "note", "ok")
+    return files.read_detections_csv(spark, path)
 
 
 @_query(o.markers("SELECT frame_id, color, name, note, duration, custom_data FROM mk"))
 def marker_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All markers written as a JSON file and read again."""
+    """All markers written as a JSON file by many tasks, and read again."""
     path = files.shared_path(spark, "markers.json")
-    files.write_marker_json(m.summary(views.markers(spark, sf_dir)), path)
+    files.write_marker_json(views.markers(spark, sf_dir), path)
     return files.read_marker_json(spark, path).select("frame_id", "color", "name", "note", "duration", "custom_data")
 
 
+@_query(o.MARKER_CSV)
+def marker_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result file imported as markers."""
+    path = files.shared_path(spark, "detections.csv")
+    files.write_detections_csv(_det(spark, sf_dir).withColumn("timecode", frame_to_smpte(F.col("frame_number"))).orderBy("rid"), path)
+    return files.read_marker_csv(spark, path).select("frame_id", "color", "name", "note", "ok")
+
+
 @_query(o.BASE_NAMES)
 def base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of made-up files, and how far each row is on the way."""

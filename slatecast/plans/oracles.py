@@ -142,7 +142,9 @@ _IMPORT = """imp AS (SELECT rid, CASE rid % 7 WHEN 3 THEN NULL WHEN 5 THEN NULL
   CASE rid % 11 WHEN 0 THEN 'MISC' WHEN 1 THEN '' ELSE text_type END AS kind, text AS note FROM det)"""
 IMPORT = det("SELECT frame_id, CASE kind WHEN 'VFX' THEN 'Green' WHEN 'DI' THEN 'Yellow' ELSE 'Blue' END AS color, kind AS name, note, 1.0::DOUBLE AS duration, '' AS custom_data FROM imp WHERE frame_id IS NOT NULL", _IMPORT)
 IMPORT_STATS = det("SELECT count(frame_id) AS success, count(*) - count(frame_id) AS failed, count(*) AS total FROM imp", _IMPORT)
-DETECTIONS_CSV = det("SELECT frame_number::DOUBLE AS frame_id, CASE text_type WHEN 'VFX' THEN 'Green' ELSE 'Yellow' END AS color, text_type AS name, text AS note, true AS ok FROM det")
+DETECTIONS_CSV = det(f"""SELECT frame_number, {_smpte('frame_number', '25::DOUBLE')} AS timecode, text, pixel_count, (printf('%.3f', confidence))::DOUBLE AS confidence, text_type,
+  (row_number() OVER (ORDER BY rid))::BIGINT AS line FROM det""")
+MARKER_CSV = det("SELECT frame_number::DOUBLE AS frame_id, CASE text_type WHEN 'VFX' THEN 'Green' ELSE 'Yellow' END AS color, text_type AS name, text AS note, true AS ok FROM det")
 MARKER_STORE = markers("""SELECT timeline_id, frame_id, CASE WHEN custom_data IN ('c3', 'c4') THEN '' ELSE color END AS color, name, CASE WHEN color = 'Blue' THEN '' ELSE note END AS note, duration,
   CASE WHEN color = 'Blue' THEN 'again' ELSE custom_data END AS custom_data FROM mk""")
 BASE_NAMES = det("""SELECT rid, video_id || '_' || rid || CASE WHEN rid % 3 = 0 THEN '.tar' ELSE '' END AS base, printf('%.2f', pixel_count / 1600::DOUBLE * 100) AS done FROM det""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import codecs
 import json
 import re
 import tempfile
@@ -10,10 +10,13 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slatecast.functions.number import three_decimals
+from slatecast.functions.text import bound
 from slatecast.operators import markers as m
+from slatecast.sources.ordered import write_ordered
 
 #: The header of the detections file.
 HEADER = ("帧数", "时间码", "文本内容", "像素数量", "置信度", "类型")
@@ -78,10 +81,27 @@ def read_marker_json(spark: SparkSession, path: str, timeline: str = "t0") -> Da
     return rows.select(F.lit(timeline).alias("timeline_id"), "m.*")
 
 
-def write_marker_json(summary: DataFrame, path: str) -> None:
-    """The one row of ``markers.summary`` as an indented JSON file; a missing range stays null."""
-    text = summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]
-    Path(path).write_text(json.dumps(json.loads(text), indent=2, ensure_ascii=False), encoding="utf-8")
+def _json_value(column: str) -> Column:
+    """One value as JSON has it."""
+    whole = F.to_json(F.struct(F.col(column).alias("v")), {"ignoreNullFields": "false"})
+    return bound(whole, lambda w: F.substr(w, F.lit(6), F.length(w) - 6))
+
+
+def write_marker_json(markers: DataFrame, path: str) -> str:
+    """What ``markers.summary`` tells, as an indented JSON file; a missing range stays null.
+
+    The counts are summed up first; the markers, in order, are written by many tasks.
+    """
+    counts = {r["color"]: r["n"] for r in m.colour_counts(markers).orderBy("color").collect()}  # a row a colour
+    low, high = markers.agg(F.min("frame_id"), F.max("frame_id")).first()
+    head = {"total_count": sum(counts.values()), "colors": counts, "frame_range": {"min": low, "max": high} if counts else None}
+    start = json.dumps(head, indent=2, ensure_ascii=False).removesuffix("\n}") + ',\n  "markers": ['
+    parts: list[Column] = [F.lit("    {")]
+    for k, name in enumerate(m.FIELDS):
+        parts += [F.lit(f'{"," if k else ""}\n      "{name}": '), _json_value(name)]
+    rows = markers.select(*m.FIELDS).orderBy(*m.FIELDS).select(F.concat(*parts, F.lit("\n    }")).alias("value"))
+    lead, end = ("\n", "\n  ]\n}") if counts else ("", "]\n}")
+    return write_ordered(rows, path, (start + lead).encode(), end.encode(), b",\n")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -94,23 +114,56 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return str(made / name)
 
 
-def confidence_text(value: float) -> str:
-    """Three decimals of the exact binary value, as the built-in formats give them only nearly."""
-    return f"{value:.3f}"
-
-
 def detections_name(video: str, legacy: bool = False) -> str:
     """The usual name of the detections file of a video."""
     name = re.sub(r"(?<=.)\.[^.]*$", "", re.split(r"[/\\]", video)[-1])
     return f"{name}_detected_frames_paddle{'' if legacy else '_refactored'}.csv"
 
 
+def _csv_line(columns: list[Column]) -> Column:
+    """A line of a CSV file: quotes where a field has a comma, a quote or a line end; null is empty."""
+
+    def field(value: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(value.rlike('[,"\r\n]'), quoted).otherwise(F.coalesce(value, F.lit("")))
+
+    return F.concat(F.concat_ws(",", *[bound(c.cast("string"), field) for c in columns]), F.lit("\r\n"))
+
+
 def write_detections_csv(rows: DataFrame, path: str) -> str:
-    """One CSV file in the order of ``rows``: byte-order mark, CRLF line ends, quotes where needed."""
-    with open(path, "w", encoding="utf-8-sig", newline="") as file:
-        out = csv.writer(file)
-        out.writerow(HEADER)
-        for r in rows.select("frame_number", "timecode", "text", "pixel_count", "confidence", "text_type").toLocalIterator():
-            out.writerow((r[0], r[1], r[2], r[3], confidence_text(r[4]), r[5]))
-    return path
+    """One CSV file in the order of ``rows``: byte-order mark, CRLF line ends, quotes where needed. Many tasks write it."""
+    columns = [F.col(c) for c in ("frame_number", "timecode", "text", "pixel_count")]
+    lines = rows.select(_csv_line([*columns, three_decimals(F.col("confidence")), F.col("text_type")]).alias("value"))
+    return write_ordered(lines, path, codecs.BOM_UTF8 + (",".join(HEADER) + "\r\n").encode())
+
+
+def read_detections_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a detections file, with ``line``: where each stands, from 1. A file is read in parts where no text holds a line end.
+
+    Lines are numbered by counting them part by part and adding up the parts before.
+    """
+    schema = "frame_number long, timecode string, text string, pixel_count long, confidence double, text_type string"
+    rows = spark.read.schema(schema).options(header=True, escape='"', enforceSchema=True).csv(path)
+    return numbered(rows.withColumn("at", F.monotonically_increasing_id()))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows(at, …)`` with ``line`` in place of ``at``, a number as ``monotonically_increasing_id`` gives it."""
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    starts = F.broadcast(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")))
+    return rows.withColumn("part", part).join(starts, "part").withColumn("line", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + 1).drop("at", "part", "before")
+
+
+def write_raw_video(frames: DataFrame, path: str) -> str:
+    """Frames, ``data`` in the order of ``frames``, one after another, as ``RawDecoder`` reads them."""
+    return write_ordered(frames.select(F.col("data").alias("value")), path)
+
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written where all executors find them, so that what made them is done once and lost executors cost nothing."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or shared_path(spark, "checkpoints"))
+    return rows.checkpoint()

@@ -170,9 +170,9 @@ def test_marker_files(spark, tmp_path):
     assert got == {10.0: ("Green", "VFX", 'a "b"\nc'), 20.5: ("Yellow", "DI", "note"), 30.0: ("Blue", "", "n"), 40.0: ("Yellow", "DI", "n")}
     assert tuple(m.import_stats(files.read_marker_csv(spark, str(tmp_path / "none.csv"))).first()) == (0, 0, 0)
     out = tmp_path / "markers.json"
-    files.write_marker_json(m.summary(m.stored(rows.where("ok"))), str(out))
+    files.write_marker_json(m.stored(rows.where("ok")), str(out))
     assert files.read_marker_json(spark, str(out)).count() == 4 and '"frame_range": {' in out.read_text()
-    files.write_marker_json(m.summary(m.stored(rows.limit(0))), str(out))
+    files.write_marker_json(m.stored(rows.limit(0)), str(out))
     assert '"frame_range": null' in out.read_text()
 
 
