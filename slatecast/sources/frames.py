@@ -1,25 +1,41 @@
-"""Video frames as a Python data source: ``spark.read.format("frames")``.
+"""Video frames as a Python data source: ``spark.read.format("frames")``, and ``spark.readStream`` of a growing file.
 
 Files that end like a container (MP4, MOV, AVI) are read through OpenCV where it is installed, all others as raw BGR
 frames (24 bits a pixel, one after another); another decoder is given by the option ``decoder``, the import path of a
-class like ``RawDecoder``. A range of frames becomes input partitions that are read
-apart; a frame that cannot be read ends its range.
+class like ``RawDecoder``. A range of frames becomes input partitions that are read apart; a frame that cannot be read
+ends its range. Comparisons of ``frame_number`` with numbers narrow that range before anything is opened.
+
+Frames that a table names are read by ``frames_at``, block by block in seek order.
 """
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from slatecast.functions.timecode import time_range
-from slatecast.params import DEFAULT
+from slatecast.params import DEFAULT, Params
 
 SCHEMA = "video_id string, frame_number long, height int, width int, channels int, data binary"
 INFO = "video_id string, fps double, frame_count long, width int, height int, duration_seconds double"
@@ -88,35 +104,107 @@ class Frames(InputPartition):
     end: int
 
 
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_KINDS = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _video_id(options: dict[str, str]) -> str:
+    return options.get("video_id", options["path"])
+
+
+def _ranges(start: int, end: int, options: dict[str, str]) -> list[Frames]:
+    step = int(options.get("frames_per_partition", 1000))
+    return [Frames(k, min(k + step, end)) for k in range(start, end, step)]
+
+
+def _decoded(options: dict[str, str], numbers: range) -> Iterator[pa.RecordBatch]:
+    """The frames of a range up to the first that cannot be read, one a batch."""
+    if not numbers:
+        return
+    decoder = open_decoder(options)
+    for frame in numbers:
+        data = decoder.read(frame)
+        if data is None:
+            return
+        values = (_video_id(options), frame, decoder.height, decoder.width, 3, data)
+        yield pa.record_batch([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], _NAMES)
+
+
 class FrameReader(DataSourceReader):
-    """[start_frame, end_frame), or both ends included with ``inclusive``; or ``frames``, a list of numbers, of which those that cannot be read are passed over."""
+    """[start_frame, end_frame), or both ends included with ``inclusive``, narrowed by what a query asks of ``frame_number``."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
-        self.wanted = [int(x) for x in options["frames"].split(",")] if options.get("frames") else None
+        self.low, self.high = None, None  # both included
+        self.nothing = False
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for one in filters:
+            if not self._takes(one):
+                yield one
+
+    def _takes(self, one: Filter) -> bool:
+        """Whether the filter is met by which frames are read."""
+        column, value = getattr(one, "attribute", None), getattr(one, "value", None)
+        if isinstance(one, IsNotNull):
+            return column in (("frame_number",), ("video_id",))
+        if column == ("video_id",) and isinstance(one, EqualTo):
+            self.nothing |= value != _video_id(self.options)
+            return True
+        if column != ("frame_number",) or not isinstance(value, int | tuple | list):
+            return False
+        if isinstance(one, In):
+            numbers = [x for x in value if x is not None]
+            self.nothing |= not numbers
+            if numbers:
+                self._within(min(numbers), max(numbers))
+            return False  # frames between are left out by Spark
+        low = {EqualTo: value, GreaterThanOrEqual: value, GreaterThan: value + 1}.get(type(one))
+        high = {EqualTo: value, LessThanOrEqual: value, LessThan: value - 1}.get(type(one))
+        self._within(low, high)
+        return low is not None or high is not None
+
+    def _within(self, low: int | None, high: int | None) -> None:
+        self.low = max((x for x in (self.low, low) if x is not None), default=None)
+        self.high = min((x for x in (self.high, high) if x is not None), default=None)
 
     def partitions(self) -> list[Frames]:
-        if self.wanted is not None:
-            step = int(self.options.get("frames_per_partition", 1000))
-            return [Frames(k, min(k + step, len(self.wanted))) for k in range(0, len(self.wanted), step)]
         count = open_decoder(self.options).frame_count
         last = int(self.options.get("end_frame", count)) + (str(self.options.get("inclusive", "")).lower() == "true")
         start, end = time_range(int(self.options.get("start_frame", 0)), last, count)
-        step = int(self.options.get("frames_per_partition", 1000))
-        return [Frames(k, min(k + step, end)) for k in range(start, end, step)]
+        start = start if self.low is None else max(start, self.low)
+        end = end if self.high is None else min(end, self.high + 1)
+        # without a partition there would be no task, which Spark takes amiss
+        return ([] if self.nothing else _ranges(start, end, self.options)) or [Frames(0, 0)]
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        decoder = open_decoder(self.options)
-        numbers = range(partition.start, partition.end) if self.wanted is None else self.wanted[partition.start : partition.end]
-        for frame in numbers:
-            data = decoder.read(frame)
-            if data is None:
-                if self.wanted is None:
-                    return
-                continue
-            values = (self.options.get("video_id", self.options["path"]), frame, decoder.height, decoder.width, 3, data)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+        return _decoded(self.options, range(partition.start, partition.end))
+
+
+class FrameStream(DataSourceStreamReader):
+    """A file that grows: each batch has the whole frames that came since the last. An offset is the next frame's number."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"frame": int(self.options.get("start_frame", 0))}
+
+    def latestOffset(self) -> dict:
+        start = self.initialOffset()["frame"]
+        return {"frame": max(start, min(open_decoder(self.options).frame_count, int(self.options.get("end_frame", 1 << 62))))}
+
+    def partitions(self, start: dict, end: dict) -> list[Frames]:
+        return _ranges(start["frame"], end["frame"], self.options)
+
+    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
+        """A range that was announced is there; one that cannot be read whole is an error, or frames would be lost."""
+        n = 0
+        for batch in _decoded(self.options, range(partition.start, partition.end)):
+            n += batch.num_rows
+            yield batch
+        if n < partition.end - partition.start:
+            raise OSError(f"frame {partition.start + n} of {self.options['path']} cannot be read")
 
 
 class FrameSource(DataSource):
@@ -130,12 +218,54 @@ class FrameSource(DataSource):
     def reader(self, schema: object) -> FrameReader:
         return FrameReader(dict(self.options))
 
+    def streamReader(self, schema: object) -> FrameStream:
+        return FrameStream(dict(self.options))
 
-def read_frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
+
+def _registered(spark: SparkSession) -> None:
     spark.dataSource.register(FrameSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a session's setting; sources without filters do not mind
+
+
+def read_frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    _registered(spark)
     return spark.read.format("frames").options(path=path, **options).load()
 
 
+def stream_frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    _registered(spark)
+    return spark.readStream.format("frames").options(path=path, **options).load()
+
+
+def frames_at(wanted: DataFrame, path: str, block: int = 1000, **options: object) -> DataFrame:
+    """``wanted(frame_number, …)`` with the frames of those numbers: ``video_id, height, width, channels, data``.
+
+    Rows are dealt by blocks of frames and read in seek order, with one decoder a task; a frame that several rows want is
+    decoded once. Numbers that are null, or that no frame has, are passed over. Further columns of ``wanted`` stay, except
+    that those five are the video's.
+    """
+    named = {"path": path} | {k: str(v) for k, v in options.items()}
+    made = [c for c in _NAMES if c != "frame_number"]
+    kept = [c for c in wanted.columns if c not in made]
+    rows = wanted.select(*kept).where("frame_number is not null")
+    dealt = rows.repartition(F.floor(F.col("frame_number") / block)).sortWithinPartitions("frame_number")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), *(c for c in SCHEMA.split(", ") if c.split()[0] in made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, at, data = None, None, None
+        for batch in batches:
+            for k, frame in enumerate(batch["frame_number"].to_pylist()):
+                decoder = decoder or open_decoder(named)
+                if frame != at:
+                    at, data = frame, decoder.read(frame) if 0 <= frame < decoder.frame_count else None
+                if data is not None:
+                    values = dict(zip(_NAMES, (_video_id(named), frame, decoder.height, decoder.width, 3, data), strict=True))
+                    columns = [pa.array([values[c]], kind) for c, kind in zip(_NAMES, _KINDS, strict=True) if c in made]
+                    yield pa.record_batch([*(batch[c].slice(k, 1) for c in kept), *columns], [*kept, *made])
+
+    return dealt.mapInArrow(run, schema)
+
+
 def video_info(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """One row: frame rate, count, size and length of a video; a missing frame rate counts as 25."""
     decoder = open_decoder({"path": path} | {k: str(v) for k, v in options.items()})
@@ -146,22 +276,67 @@ def frame_numbers(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(start, end).withColumnRenamed("id", "frame_number")
 
 
-def hits_of(frames: DataFrame, params: object = DEFAULT, masked: bool = True) -> DataFrame:
-    """One row for each frame and colour with enough pixels: type, pixel count, and the region, masked or as it is, with its shape."""
+_SHAPE = "struct<h:int,w:int,c:int>"
+
+
+def counts_of(frames: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """One row for each frame and colour with enough pixels: type and pixel count. Pixels stay where they are decoded."""
+    from slatecast.operators.pixels import frame_hits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bgr in _images(batches):
+            if rows := [(kind, n) for kind, n, _ in frame_hits(bgr, params)]:
+                kinds, counts = zip(*rows, strict=True)
+                same = [pa.array(batch[c].to_pylist() * len(rows), batch[c].type) for c in ("video_id", "frame_number")]
+                yield pa.record_batch([*same, pa.array(kinds), pa.array(counts, pa.int32())], ["video_id", "frame_number", "text_type", "pixel_count"])
+
+    return _numbered(frames.select("video_id", "frame_number", "height", "width", "data").mapInArrow(run, "video_id string, frame_number long, text_type string, pixel_count int"))
+
+
+def regions_of(chosen: DataFrame, params: Params = DEFAULT, masked: bool = True) -> DataFrame:
+    """``chosen(text_type, …)`` with a frame's columns, the region of that type in place of the frame: ``image_shape, image_bytes``."""
     from slatecast.operators.pixels import frame_hits
 
-    schema = "video_id string, frame_number long, text_type string, pixel_count int, image_shape struct<h:int,w:int,c:int>, image_bytes binary"
+    kept = [c for c in chosen.columns if c not in ("height", "width", "channels", "data")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in kept), f"image_shape {_SHAPE}", "image_bytes binary"])
+    shape = pa.struct([(x, pa.int32()) for x in "hwc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        for batch, bgr in _images(batches):
+            wanted = batch["text_type"][0].as_py()
+            for kind, _, roi in frame_hits(bgr, params, masked):
+                if kind == wanted:
+                    made = [pa.array([dict(zip("hwc", roi.shape, strict=True))], shape), pa.array([roi.tobytes()])]
+                    yield pa.record_batch([*(batch[c] for c in kept), *made], [*kept, "image_shape", "image_bytes"])
 
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32())]), pa.binary())
-        for batch in batches:
-            rows = []
-            for video, number, height, width, data in zip(*(batch[c].to_pylist() for c in ("video_id", "frame_number", "height", "width", "data")), strict=True):
-                for kind, n, roi in frame_hits(np.frombuffer(data, np.uint8).reshape(height, width, 3), params, masked):
-                    rows.append((video, number, kind, n, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes()))
-            if rows:
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["video_id", "frame_number", "text_type", "pixel_count", "image_shape", "image_bytes"])
-
-    return frames.mapInArrow(run, schema).withColumn("rid", F.col("frame_number") * 2 + (F.col("text_type") == "DI").cast("int"))
+    return chosen.mapInArrow(run, schema)
+
+
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows one by one, and the frame of each as an array."""
+    for whole in batches:
+        for k in range(whole.num_rows):
+            row = whole.slice(k, 1)
+            height, width, data = (row[c][0].as_py() for c in ("height", "width", "data"))
+            yield row, np.frombuffer(data, np.uint8).reshape(height, width, 3)
+
+
+def _numbered(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rid", F.col("frame_number") * 2 + (F.col("text_type") == "DI").cast("int"))
+
+
+def hits_of(frames: DataFrame, params: Params = DEFAULT, masked: bool = True) -> DataFrame:
+    """``counts_of`` with the regions, masked or as they are, from one decoding."""
+    from slatecast.operators.pixels import frame_hits
+
+    schema = f"video_id string, frame_number long, text_type string, pixel_count int, image_shape {_SHAPE}, image_bytes binary"
+    kinds = (pa.string(), pa.int32(), pa.struct([(x, pa.int32()) for x in "hwc"]), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bgr in _images(batches):
+            for kind, n, roi in frame_hits(bgr, params, masked):
+                values = (kind, n, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes())
+                columns = [pa.array([v], t) for v, t in zip(values, kinds, strict=True)]
+                yield pa.record_batch([batch["video_id"], batch["frame_number"], *columns], ["video_id", "frame_number", "text_type", "pixel_count", "image_shape", "image_bytes"])
+
+    return _numbered(frames.select("video_id", "frame_number", "height", "width", "data").mapInArrow(run, schema))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -67,23 +70,36 @@ def with_png(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _folder_of(video: str) -> str:
+    """A folder's name for a video: its base name as far as that is safe, and a hash of the whole name, which tells it from others."""
+    base = re.sub(r"[^\w.-]", "_", re.split(r"[/\\]", video)[-1])[:80]
+    return f"{base}-{zlib.crc32(video.encode()):08x}"
+
+
 def write_images(rows: DataFrame, folder: str) -> DataFrame:
-    """One file ``roi_{frame}_{type}.png`` for each row of ``with_png``, in a folder all executors share; their paths and sizes.
+    """One file ``{video}/roi_{frame}_{type}.png`` for each row of ``with_png``, in a folder all executors share; their paths and sizes.
 
-    Writing a file again gives the same file, so lost tasks may be repeated.
+    Each video has a folder of its own (rows without a video lie in ``folder`` itself). A file gets its name when it is
+    whole, and writing it again gives the same file, so lost tasks may be repeated.
     """
-    named = rows.select(F.format_string("roi_%d_%s.png", F.col("frame_number"), F.col("text_type")).alias("name"), "image_bytes")
+    video = F.col("video_id") if "video_id" in rows.columns else F.lit(None).cast("string")
+    named = rows.select(video.alias("video"), F.format_string("roi_%d_%s.png", F.col("frame_number"), F.col("text_type")).alias("name"), "image_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
             paths, sizes = [], []
-            for name, data in zip(batch["name"].to_pylist(), batch["image_bytes"].to_pylist(), strict=True):
-                paths.append(os.path.join(folder, name))
-                with open(paths[-1], "wb") as file:
-                    sizes.append(file.write(data))
+            for video, name, data in zip(*(batch[c].to_pylist() for c in ("video", "name", "image_bytes")), strict=True):
+                own = os.path.join(folder, _folder_of(video)) if video is not None else folder
+                os.makedirs(own, exist_ok=True)
+                paths.append(os.path.join(own, name))
+                half = f"{paths[-1]}.{uuid.uuid4().hex}.half"
+                try:
+                    with open(half, "wb") as file:
+                        sizes.append(file.write(data))
+                    os.replace(half, paths[-1])
+                finally:
+                    if os.path.exists(half):
+                        os.remove(half)
             yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
 
     return named.mapInArrow(run, "path string, n_bytes long")

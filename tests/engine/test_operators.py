@@ -11,7 +11,7 @@ from slatecast.operators import markers as m
 from slatecast.operators import ocr, pixels, sessions, trigger
 from slatecast.params import Params
 from slatecast.sources import editor, files, images
-from slatecast.sources.frames import hits_of, open_decoder, read_frames, video_info
+from slatecast.sources.frames import frames_at, hits_of, open_decoder, read_frames, video_info
 
 SCHEMA = "video_id string, rid long, frame_number long, text_type string, pixel_count int, confidence double, text string, x1 int, y1 int, x2 int, y2 int"
 
@@ -149,7 +149,8 @@ def test_frames_from_a_raw_file(spark, tmp_path):
     got = read_frames(spark, str(path), start_frame=2, end_frame=9, frames_per_partition=3, **options).orderBy("frame_number").collect()
     assert [r["frame_number"] for r in got] == list(range(2, 9)) and got[0]["data"] == frames[2].tobytes()
     assert read_frames(spark, str(path), end_frame=4, inclusive=True, **options).count() == 5
-    assert sorted(r["frame_number"] for r in read_frames(spark, str(path), frames="1,8,77", **options).collect()) == [1, 8]
+    wanted = spark.createDataFrame([(8, "a"), (1, "b"), (77, "c"), (8, "d"), (None, "e"), (-1, "f")], "frame_number long, data string")
+    assert sorted(r["frame_number"] for r in frames_at(wanted, str(path), block=4, **options).collect()) == [1, 8, 8]
     assert tuple(video_info(spark, str(path), **options).first())[1:] == (25.0, 10, 6, 4, 0.4)
     assert hits_of(read_frames(spark, str(path), **options), Params(min_pixels=10**6)).count() == 0
 
