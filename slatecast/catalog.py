@@ -14,11 +14,13 @@ from slatecast.functions.timecode import frame_to_smpte, percent, time_to_frame
 from slatecast.operators import detections as d
 from slatecast.operators import markers as m
 from slatecast.operators import ocr, pixels, sessions, trigger
+from slatecast.params import Params
 from slatecast.plans import oracles as o
 from slatecast.plans import views
 from slatecast.plans.postprocess import postprocess
+from slatecast.plans.video import detect, detect_legacy
 from slatecast.sources import files
-from slatecast.sources.frames import frame_numbers
+from slatecast.sources.frames import frame_numbers, frames_at, read_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,35 +364,49 @@ def legacy_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigger.triggered(hits, readable="readable").select("rid", "frame_number", "text_type", "pixel_count")
 
 
-@_query("SELECT range AS frame_number FROM range(100, 5000)")
+@_query(o.FRAME_IDS)
 def frame_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame_numbers(spark, 100, 5000)
+    """The numbers of a video's frames, without opening one."""
+    return frame_numbers(spark, 100, spark.read.parquet(f"{sf_dir}/embeddings.parquet").count())
+
+
+def _corner(data: str = "data") -> list[Column]:
+    """The first and the last pixel of a frame."""
+    return [F.hex(F.substring(data, 1, 3)).alias("first_pixel"), F.hex(F.substring(data, 32 * 32 * 3 - 2, 3)).alias("last_pixel")]
 
 
 @_query(o.FRAME_SOURCE)
 def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a made-up decoder, read by the data source in ranges."""
-    from slatecast.sources.frames import read_frames
+    """A raw video made from embeddings, of which the data source reads the ranges that the condition leaves."""
+    path, options = views.raw_video(spark, sf_dir)
+    frames = read_frames(spark, path, **options).where("frame_number BETWEEN 130 AND 420")
+    return frames.select("video_id", "frame_number", "height", "width", F.length("data").alias("n_bytes"), *_corner())
 
-    frames = read_frames(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", start_frame=10, end_frame=210, frames_per_partition=50)
-    pixel = lambda y, x: F.hex(F.substring("data", (y * 320 + x) * 3 + 1, 3))
-    return frames.select("video_id", "frame_number", "height", "width", F.length("data").alias("n_bytes"), pixel(5, 180).alias("left_bar"), pixel(5, 270).alias("right_bar"))
 
+@_query(o.FRAMES_WANTED)
+def frames_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that events name, some of which the video does not have."""
+    path, options = views.raw_video(spark, sf_dir)
+    wanted = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("rid"), (F.col("event_id") * 7 % 600).alias("frame_number"))
+    return frames_at(wanted, path, block=64, **options).select("rid", "frame_number", *_corner())
 
-@_query()
-def video_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From frames to the result table: hits, sampling, recognition by the engine for tests, post-processing."""
-    from slatecast.plans.video import detect
 
-    return postprocess(detect(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400)).select(*_ROW, "timecode")
+#: For frames of 32 by 32: the whole frame is the region, and two cells make a hit.
+_GRIDS = Params(roi_height=1.0, roi_left=0.0, min_pixels=31, min_rows=2)
 
 
-@_query()
-def video_pipeline_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From frames to results the older way: whole regions, the older trigger, all items of an answer."""
-    from slatecast.plans.video import detect_legacy
+@_query(o.VIDEO_PIPELINE)
+def video_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the frames of a file to the result table: counts, sampling, recognition by the engine for tests, post-processing."""
+    path, options = views.raw_video(spark, sf_dir)
+    return postprocess(detect(spark, path, params=_GRIDS, **options), _GRIDS).select(*_ROW, "timecode", "leader")
+
 
-    return detect_legacy(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400).select("frame_number", "timecode", "text", "pixel_count", "confidence", "text_type")
+@_query(o.VIDEO_PIPELINE_LEGACY)
+def video_pipeline_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the frames of a file to results the older way: whole regions, the older trigger, all items of an answer."""
+    path, options = views.raw_video(spark, sf_dir)
+    return detect_legacy(spark, path, params=_GRIDS, **options).select("frame_number", "timecode", "text", "pixel_count", "confidence", "text_type")
 
 
 def example_lut_one(size: int = 5) -> np.ndarray:

@@ -66,7 +66,8 @@ def lut_enhanced(pixels: DataFrame, table: np.ndarray) -> DataFrame:
     """b, g and r through a colour table, between whose points values run straight; cut to 0..255.
 
     The table is indexed [r][g][b], or, of one dimension, [value] with a column a channel. It is broadcast (a usual one of
-    33 points has 860 kB), and whole batches of pixels go through it at once.
+    33 points has 860 kB), and whole batches of pixels go through it at once;
+    a pixel with a null channel is null.
     """
     held = pixels.sparkSession.sparkContext.broadcast(table)
     schema = ", ".join(f"`{f.name}` {'int' if f.name in ('b', 'g', 'r') else f.dataType.simpleString()}" for f in pixels.schema)
@@ -74,8 +75,9 @@ def lut_enhanced(pixels: DataFrame, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rgb = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in "rgb"], axis=-1) / 255
-            out = np.floor(np.clip(looked_up(rgb, held.value), 0, 1) * 255).astype(np.int32)
-            made = {c: pa.array(out[:, k], pa.int32()) for k, c in enumerate("rgb")}
+            unknown = np.isnan(rgb).any(axis=-1)
+            out = np.floor(np.clip(looked_up(np.where(unknown[:, None], 0, rgb), held.value), 0, 1) * 255).astype(np.int32)
+            made = {c: pa.array(out[:, k], pa.int32(), mask=unknown) for k, c in enumerate("rgb")}
             yield pa.record_batch([made.get(c, batch[c]) for c in batch.schema.names], batch.schema.names)
 
     return pixels.mapInArrow(run, schema)

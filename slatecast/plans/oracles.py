@@ -88,9 +88,6 @@ LEGACY_TRIGGER = det(
         FROM walk JOIN h ON h.video_id = walk.video_id AND h.text_type = walk.text_type AND h.n = walk.n + 1))""",
     recursive=True,
 )
-#: The made-up video's caption bars, seen at one place of each.
-FRAME_SOURCE = """SELECT 'synthetic' AS video_id, range AS frame_number, 200 AS height, 320 AS width, 192000 AS n_bytes,
-  CASE WHEN range % 120 < 80 THEN '3CE646' ELSE '282828' END AS left_bar, CASE WHEN range % 150 < 60 THEN '2882E6' ELSE '282828' END AS right_bar FROM range(10, 210)"""
 GAP_SESSIONS = det(
     f"""SELECT {_ROW}, group_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, group_id ORDER BY confidence DESC, pixel_count DESC, rid) AS place
       FROM (SELECT *, sum(cut) {_BY_FRAME}::BIGINT AS group_id FROM c)) WHERE place = 1""",
@@ -108,11 +105,16 @@ _FOLD = (
       FROM (SELECT n.*, w.group_id, w.x1 AS ax1, w.y1 AS ay1, w.x2 AS ax2, w.y2 AS ay2, n.kin < 0.8 AND {_iou('w.', 'n.')} < 0.8 AS fresh FROM walk w JOIN p n ON n.seg = w.seg AND n.pos = w.pos + 1) n)""",
 )
 GROUPS = det("SELECT rid, group_id FROM walk", *_FOLD, recursive=True)
-_SESSIONS = (
-    "g AS (SELECT kept.*, group_id, count(*) OVER w AS n, max(confidence) OVER w AS top, min(frame_number) OVER w AS start FROM kept JOIN walk USING (rid) WINDOW w AS (PARTITION BY group_id))",
-    "ses AS (SELECT * REPLACE (start AS frame_number) FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY length(trim(text)) DESC, frame_number, rid) AS place FROM g WHERE n >= 10 AND abs(confidence - top) < 0.01) WHERE place = 1)",
-)
-SESSIONS = det(f"SELECT {_ROW}, group_id FROM ses", *_FOLD, *_SESSIONS, recursive=True)
+
+
+def _sessions(least: int = 10) -> tuple[str, ...]:
+    return (
+        "g AS (SELECT kept.*, group_id, count(*) OVER w AS n, max(confidence) OVER w AS top, min(frame_number) OVER w AS start FROM kept JOIN walk USING (rid) WINDOW w AS (PARTITION BY group_id))",
+        f"ses AS (SELECT * REPLACE (start AS frame_number) FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY length(trim(text)) DESC, frame_number, rid) AS place FROM g WHERE n >= {least} AND abs(confidence - top) < 0.01) WHERE place = 1)",
+    )
+
+
+SESSIONS = det(f"SELECT {_ROW}, group_id FROM ses", *_FOLD, *_sessions(), recursive=True)
 
 
 def _merge(table: str, order: str) -> tuple[str, ...]:
@@ -131,7 +133,7 @@ def _merge(table: str, order: str) -> tuple[str, ...]:
 
 
 MERGED = det(f"SELECT {_ROW}, leader FROM mb WHERE mplace = 1", KEPT, *_merge("kept", "rid"), recursive=True)
-FULL = det(f"SELECT {_ROW}, {_smpte('frame_number', '25::DOUBLE')} AS timecode, leader FROM mb WHERE mplace = 1", *_FOLD, *_SESSIONS, *_merge("ses", "group_id"), recursive=True)
+FULL = det(f"SELECT {_ROW}, {_smpte('frame_number', '25::DOUBLE')} AS timecode, leader FROM mb WHERE mplace = 1", *_FOLD, *_sessions(), *_merge("ses", "group_id"), recursive=True)
 BEST_BAND = det(
     f"""SELECT block, {_ROW} FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY length(trim(text)) DESC, frame_number, rid) AS place
     FROM (SELECT *, rid // 16 AS block, max(confidence) OVER (PARTITION BY rid // 16) AS top FROM det) WHERE abs(confidence - top) < 0.05) WHERE place = 1"""
@@ -177,6 +179,40 @@ def morph(flag: str, name: str) -> str:
 COLOURED = f"WITH {PX}, {_HLS}, {_opened('flags', 'b.green', 'og')}, {_opened('flags', 'b.orange', 'oo')} SELECT frame_number, og.n AS vfx_pixels, oo.n AS di_pixels FROM og JOIN oo USING (frame_number)"
 
 
+#: Frames of cells of 4 by 4 pixels, which an opening leaves as they are: a hit is a frame of two cells of one colour.
+_GRID_HITS = "counted AS (SELECT frame_number, 16 * sum(green)::BIGINT AS green, 16 * sum(orange)::BIGINT AS orange FROM flags GROUP BY frame_number)"
+_HEX = "printf('%02X%02X%02X', b, g, r)"
+_CORNERS = f"corners AS (SELECT frame_number, max({_HEX}) FILTER (y = 0 AND x = 0) AS first_pixel, max({_HEX}) FILTER (y = 7 AND x = 7) AS last_pixel FROM px GROUP BY frame_number)"
+FRAME_IDS = "SELECT range AS frame_number FROM range(100, (SELECT count(*) FROM embeddings))"
+FRAME_SOURCE = f"WITH {PX}, {_CORNERS} SELECT 'grids' AS video_id, frame_number, 32 AS height, 32 AS width, 3072 AS n_bytes, first_pixel, last_pixel FROM corners WHERE frame_number BETWEEN 130 AND 420"
+FRAMES_WANTED = f"WITH {PX}, {_CORNERS} SELECT event_id AS rid, frame_number, first_pixel, last_pixel FROM events JOIN corners ON frame_number = event_id * 7 % 600"
+_GRID_DET = (
+    PX,
+    _HLS,
+    _GRID_HITS,
+    "v AS (SELECT *, sum((green > 31)::INTEGER) OVER (ORDER BY frame_number) AS nv FROM counted)",
+    "w AS (SELECT *, green > 31 AND nv % 2 = 1 AS by_green, sum((orange > 31 AND NOT (green > 31 AND nv % 2 = 1))::INTEGER) OVER (ORDER BY frame_number) AS nd FROM v)",
+    """det AS (SELECT 'grids' AS video_id, 2 * frame_number + (NOT by_green)::BIGINT AS rid, frame_number, CASE WHEN by_green THEN 'VFX' ELSE 'DI' END AS text_type,
+      CASE WHEN by_green THEN green ELSE orange END AS pixel_count, 0.85::DOUBLE AS confidence, '模拟OCR结果_' || frame_number AS text, 0 AS x1, 0 AS y1, 0 AS x2, 0 AS y2
+      FROM w WHERE by_green OR (orange > 31 AND nd % 2 = 1))""",
+)
+VIDEO_PIPELINE = f"WITH RECURSIVE {', '.join((*_GRID_DET, *_FOLD, *_sessions(2), *_merge('ses', 'group_id')))} SELECT {_ROW}, {_smpte('frame_number', '25::DOUBLE')} AS timecode, leader FROM mb WHERE mplace = 1"
+_GRID_TRIGGER = (
+    PX,
+    _HLS,
+    _GRID_HITS,
+    "hits AS (SELECT frame_number, 'VFX' AS text_type, green AS pixel_count FROM counted WHERE green > 31 UNION ALL SELECT frame_number, 'DI', orange FROM counted WHERE orange > 31)",
+    "h AS (SELECT *, row_number() OVER (PARTITION BY text_type ORDER BY frame_number) AS n FROM hits)",
+    """walk AS (SELECT text_type, 0::BIGINT AS n, 0::BIGINT AS frame_number, 0::BIGINT AS pixel_count, false AS due, 0::BIGINT AS last_frame, 0::BIGINT AS last_count FROM h WHERE n = 1
+      UNION ALL SELECT text_type, n, frame_number, pixel_count, due, CASE WHEN due THEN frame_number ELSE last_frame END, CASE WHEN due THEN pixel_count ELSE last_count END
+      FROM (SELECT h.*, h.n >= 5 AND h.frame_number - last_frame >= 25 AND (h.frame_number - last_frame >= 250 OR abs(h.pixel_count - last_count) > 0.3::DOUBLE * last_count) AS due, last_frame, last_count
+        FROM walk JOIN h ON h.text_type = walk.text_type AND h.n = walk.n + 1))""",
+)
+VIDEO_PIPELINE_LEGACY = f"""WITH RECURSIVE {', '.join(_GRID_TRIGGER)} SELECT frame_number, {_smpte('frame_number', '25::DOUBLE')} AS timecode, {_repaired("('模拟OCR结果_' || frame_number)", rules.LEGACY_VFX)} AS vfx_text,
+  {_repaired("('模拟OCR结果_' || frame_number)", rules.LEGACY_DI)} AS di_text, pixel_count, 0.85::DOUBLE AS confidence, text_type FROM walk WHERE due"""
+VIDEO_PIPELINE_LEGACY = f"SELECT frame_number, timecode, CASE WHEN text_type = 'VFX' THEN vfx_text ELSE di_text END AS text, pixel_count, confidence, text_type FROM ({VIDEO_PIPELINE_LEGACY})"
+
+
 def _lut() -> str:
     u = {c: f"({c} / 255::DOUBLE * 2)" for c in "rgb"}
     low = {c: f"least(floor({u[c]})::INTEGER, 1)" for c in "rgb"}

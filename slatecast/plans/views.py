@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatecast.functions import geometry
+from slatecast.sources import files
 
 _VFX, _DI = ("VFX:", "VEX:", "VFX;", "FX:", "VFX", "VFX."), ("DI:", "D1:", "Dl;", "DI.", "Di:", "01:")
 
@@ -74,6 +75,30 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", "frame_number", F.floor(F.col("j") / 8).cast("int").alias("y"), (F.col("j") % 8).alias("x"), channel(0).alias("b"), channel(21).alias("g"), channel(42).alias("r"))
 
 
+#: Pixels along a side of the square that each cell of an embedding's 8 by 8 grid becomes in a frame.
+CELL = 4
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(frame_number, data)``: each embedding's grid as a frame of 32 by 32 pixels, in blue, green and red bytes."""
+
+    def channel(j: geometry.Column, shift: int) -> geometry.Column:
+        value = F.greatest(F.least(F.floor(128 + 600 * F.get("embedding", (j + shift) % 64).cast("double")), F.lit(255)), F.lit(0))
+        return F.lpad(F.hex(value.cast("long")), 2, "0")
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.repeat(F.concat(*[channel(j, shift) for shift in (0, 21, 42)]), F.lit(CELL)))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice("cells", y * 8 + 1, F.lit(8)), ""), F.lit(CELL)))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_number"), cells.alias("cells"))
+    return rows.select("frame_number", F.unhex(F.array_join(lines, "")).alias("data"))
+
+
+def raw_video(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, object]]:
+    """A file of those frames, in order, written by many tasks, and the options to read it."""
+    path = files.shared_path(spark, "grids.raw")
+    files.write_raw_video(frames(spark, sf_dir).orderBy("frame_number"), path)
+    return path, {"width": 8 * CELL, "height": 8 * CELL, "video_id": "grids", "frames_per_partition": 100}
+
+
 PX = """
 px AS (
   SELECT 'v0' AS video_id, vec_id AS frame_number, (j // 8)::INTEGER AS y, (j % 8)::INTEGER AS x,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import codecs
 import json
 import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -109,7 +111,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = Path(folder.removeprefix("file://").removeprefix("file:"), f"files-{uuid.uuid4().hex}") if folder else Path(tempfile.mkdtemp(prefix="files-"))
+    if folder:
+        made = Path(folder.removeprefix("file://").removeprefix("file:"), f"files-{uuid.uuid4().hex}")
+    else:
+        made = Path(tempfile.mkdtemp(prefix="files-"))
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     made.mkdir(parents=True, exist_ok=True)
     return str(made / name)
 

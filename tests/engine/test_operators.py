@@ -156,9 +156,10 @@ def test_frames_from_a_raw_file(spark, tmp_path):
 
 
 def test_video_from_frames_to_rows(spark):
-    from slatecast import catalog
+    from slatecast.plans.postprocess import postprocess
+    from slatecast.plans.video import detect
 
-    rows = catalog.QUERIES["video_pipeline"](spark, "").collect()
+    rows = postprocess(detect(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400)).collect()
     assert rows and {r["text_type"] for r in rows} <= {"VFX", "DI"} and all(r["text"].startswith(r["text_type"] + ":") for r in rows)
 
 
@@ -295,9 +296,9 @@ def test_editor_timelines(spark):
 
 def test_older_way_of_reading(spark):
     """The trigger's rows, with what was read there; regions are whole."""
-    from slatecast import catalog
+    from slatecast.plans.video import detect_legacy
 
-    rows = catalog.QUERIES["video_pipeline_legacy"](spark, "").orderBy("text_type", "frame_number").collect()
+    rows = detect_legacy(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=400).orderBy("text_type", "frame_number").collect()
     assert rows and all(r["text"].strip() for r in rows)
     frames = read_frames(spark, "synthetic", decoder="slatecast.sources.synthetic.SyntheticDecoder", end_frame=3)
     whole, masked = (hits_of(frames, masked=m).orderBy("frame_number", "text_type").collect() for m in (False, True))
