@@ -301,8 +301,7 @@ def color_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(o.morph("g >= 60", "mask_pixels"))
 def morph_open_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = views.pixels(spark, sf_dir).withColumn("mask", (F.col("g") >= 60).cast("int"))
-    return pixels.opened(masks).groupBy("frame_number").agg(F.sum("mask").alias("mask_pixels"))
+    return pixels.opened_counts(views.pixels(spark, sf_dir), {"mask_pixels": F.col("g") >= 60}).drop("video_id")
 
 
 @_query(o.COLOURED)
