@@ -21,6 +21,7 @@ from slatecast.plans.postprocess import postprocess
 from slatecast.plans.video import detect, detect_legacy
 from slatecast.sources import files
 from slatecast.sources.frames import frame_numbers, frames_at, read_frames
+from slatecast.sources.store import MarkerStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,6 +190,20 @@ def marker_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.stored(first.unionByName(again), arrival="at")
 
 
+@_query(o.MARKER_TABLE)
+def marker_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of two timelines stored, changed one timeline at a time, and read again."""
+    store = MarkerStore(spark, files.shared_path(spark, "markers"))
+    mk = views.markers(spark, sf_dir).withColumn("timeline_id", F.when(F.col("frame_id") % 2 == 0, "even").otherwise("odd"))
+    store.change(lambda none: none.unionByName(mk), ["even", "odd"])
+    store.add(_new_markers(mk.where("timeline_id = 'even'")), ["even"])
+    store.clear_range(100, 2000, ["odd"])
+    store.delete_colour("blue", ["odd"])
+    store.delete_custom_data("c42", ["even"])
+    store.delete_frame(1.0, ["odd"])
+    return store.read().select("timeline_id", "frame_id", "color", "name", "note", "custom_data")
+
+
 @_query(o.DETECTIONS_CSV)
 def detections_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result table written as one CSV file by many tasks, and all its columns read again, in the file's order."""

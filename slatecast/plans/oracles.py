@@ -149,6 +149,10 @@ DETECTIONS_CSV = det(f"""SELECT frame_number, {_smpte('frame_number', '25::DOUBL
 MARKER_CSV = det("SELECT frame_number::DOUBLE AS frame_id, CASE text_type WHEN 'VFX' THEN 'Green' ELSE 'Yellow' END AS color, text_type AS name, text AS note, true AS ok FROM det")
 MARKER_STORE = markers("""SELECT timeline_id, frame_id, CASE WHEN custom_data IN ('c3', 'c4') THEN '' ELSE color END AS color, name, CASE WHEN color = 'Blue' THEN '' ELSE note END AS note, duration,
   CASE WHEN color = 'Blue' THEN 'again' ELSE custom_data END AS custom_data FROM mk""")
+_EVEN = "even AS (SELECT * FROM mk WHERE frame_id % 2 = 0 UNION ALL SELECT * REPLACE (frame_id + 0.5 AS frame_id, 'Orange' AS color) FROM mk WHERE frame_id % 4 = 2)"
+MARKER_TABLE = f"""WITH {DET}, {MK}, {_EVEN}
+  SELECT 'odd' AS timeline_id, frame_id, color, name, note, custom_data FROM mk WHERE frame_id % 2 = 1 AND NOT frame_id BETWEEN 100 AND 2000 AND color <> 'Blue' AND frame_id <> 1
+  UNION ALL SELECT 'even', frame_id, color, name, note, custom_data FROM even WHERE frame_id <> (SELECT coalesce(min(frame_id), -1) FROM even WHERE custom_data = 'c42')"""
 BASE_NAMES = det("""SELECT rid, video_id || '_' || rid || CASE WHEN rid % 3 = 0 THEN '.tar' ELSE '' END AS base, printf('%.2f', pixel_count / 1600::DOUBLE * 100) AS done FROM det""")
 
 _HLS = """
