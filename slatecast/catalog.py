@@ -263,7 +263,7 @@ _marker_query("marker_color_counts", m.colour_counts, "SELECT color, count(*) AS
 
 def _flat_summary(markers: DataFrame) -> DataFrame:
     s = m.summary(markers)
-    return s.select("total_count", F.to_json("colors").alias("colors"), F.col("frame_range.min").alias("low"), F.col("frame_range.max").alias("high"), F.col("markers")[0]["note"].alias("first_note"), F.size("markers").cast("long").alias("listed"))
+    return s.select("total_count", F.to_json("colors").alias("colors"), F.col("frame_range.min").alias("low"), F.col("frame_range.max").alias("high"), F.col("first.note").alias("first_note"), F.col("total_count").alias("listed"))
 
 
 _marker_query(

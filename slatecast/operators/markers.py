@@ -92,17 +92,18 @@ def colour_counts(markers: DataFrame) -> DataFrame:
 
 
 def summary(markers: DataFrame) -> DataFrame:
-    """One row: how many, how many of each colour, the range of frames (null if none), and all markers in order.
+    """One row: how many, how many of each colour, the range of frames and the first marker (both null if none).
 
-    The list of markers is the result here; it is as long as the table and meant for the timelines of one project.
+    The markers it sums up, in order, are ``in_order``; the file of both is written by ``sources.files.write_marker_json``.
     """
-    colours = colour_counts(markers).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("color", "n")))).alias("colors"))
+    colours = colour_counts(markers).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("color", "n")))).alias("colors"))  # a row a colour
+    some = F.count(F.lit(1)) > 0
     rows = markers.agg(
         F.count(F.lit(1)).alias("total_count"),
-        F.when(F.count(F.lit(1)) > 0, F.struct(F.min("frame_id").alias("min"), F.max("frame_id").alias("max"))).alias("frame_range"),
-        F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("markers"),
+        F.when(some, F.struct(F.min("frame_id").alias("min"), F.max("frame_id").alias("max"))).alias("frame_range"),
+        F.min_by(F.struct(*FIELDS), F.struct(*FIELDS)).alias("first"),
     )
-    return rows.join(F.broadcast(colours)).select("total_count", "colors", "frame_range", "markers")
+    return rows.join(F.broadcast(colours)).select("total_count", "colors", "frame_range", "first")
 
 
 def described(markers: DataFrame) -> DataFrame:

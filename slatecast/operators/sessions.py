@@ -1,16 +1,17 @@
 """Sessions of detections over consecutive frames, and the merging of near-duplicates.
 
 A session can only go on while frames follow closely and the type stays, which neighbours alone decide; that cuts each
-video into segments by a window. Within a segment the rest depends on the session's first row, so rows are folded in
-order: one pass over a sorted partition, holding one row of state, however long the segment.
+video into segments, found within blocks of frames that also have the last few frames of the block before. Within a
+segment the rest depends on the session's first row, so rows are folded in order: one pass over a sorted partition,
+holding one row of state, however long the segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,34 @@ def alike(a: frozenset[str], b: frozenset[str]) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+#: Frames of a block, which is cut into segments in one task.
+BLOCK = 4096
+
+
+def segmented(rows: DataFrame, reach: float, goes_on: Callable[[Column], Column], columns: list[str], name: str = "segment", order: str = "rid", block: int = BLOCK, **more: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with the number, from 1, of its segment in its video, and ``more`` columns made of the row before.
+
+    In the order of frames a row begins a segment if the row before is more than ``reach`` frames away, or if
+    ``goes_on(columns of the row before)`` does not hold. Rows of a block's last ``reach`` frames are shown to the next
+    block, too; a row that has none so near before it begins a segment anyway. Segments that begin in a block are
+    counted in it, and those of the blocks before are added.
+    """
+    frame, width = F.col("frame_number"), max(block, int(reach) + 1)
+    own = F.floor(frame / width)
+    seen_in = F.when(frame - own * width >= width - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    inside = Window.partitionBy("video_id", "_block").orderBy("frame_number", order)
+    before = F.lag(F.struct("frame_number", *columns)).over(inside)
+    shown = rows.withColumn("_block", F.explode(seen_in)).withColumn("_before", before).where(F.col("_block") == own)
+    near = frame - F.col("_before")["frame_number"] <= reach
+    begins = ~F.coalesce(near & goes_on(F.col("_before")), F.lit(False))
+    marked = shown.withColumns({"_begins": begins.cast("long"), **{c: make(F.when(near, F.col("_before"))) for c, make in more.items()}}).drop("_before")
+    counts = marked.groupBy("video_id", "_block").agg(F.sum("_begins").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("video_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    base = counts.select("video_id", "_block", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    numbered = marked.withColumn(name, F.sum("_begins").over(inside)).join(base, ["video_id", "_block"])
+    return numbered.withColumn(name, F.col(name) + F.col("_base")).drop("_begins", "_block", "_base")
+
+
 def anchored_groups(rows: DataFrame, max_gap: int = 3, iou: float = DEFAULT.iou, same_text: float = DEFAULT.same_text) -> DataFrame:
     """``rows`` with ``segment`` and ``group_id``, unique within a video.
 
@@ -42,10 +71,8 @@ def anchored_groups(rows: DataFrame, max_gap: int = 3, iou: float = DEFAULT.iou,
     ``max_gap``, the type is the same, and either the box overlaps that of the session's first row or the text is like
     that of its last.
     """
-    order = Window.partitionBy("video_id").orderBy("frame_number", "rid")
-    kin = similarity(F.lag("text").over(order), F.col("text"))
-    cut = F.coalesce((F.col("frame_number") - F.lag("frame_number").over(order) > max_gap) | (F.col("text_type") != F.lag("text_type").over(order)), F.lit(True))
-    marked = rows.withColumns({"_kin": F.coalesce(kin, F.lit(0.0)), "_cut": cut.cast("int")}).withColumn("segment", F.sum("_cut").over(order)).drop("_cut")
+    kin = lambda before: F.coalesce(similarity(before["text"], F.col("text")), F.lit(0.0))
+    marked = segmented(rows, max_gap, lambda before: before["text_type"] == F.col("text_type"), ["text_type", "text"], _kin=kin)
     dealt = marked.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_number", "rid")
     schema = T.StructType([*(f for f in marked.schema if f.name != "_kin"), T.StructField("group_id", T.LongType())])
     names = [f.name for f in schema if f.name != "group_id"]
@@ -77,9 +104,7 @@ def continuous_sessions(rows: DataFrame, max_gap: int = 3, params: Params = DEFA
 
 def gap_sessions(rows: DataFrame, seconds: float = 1.0, fps: float = 25.0) -> DataFrame:
     """The best row of each run of rows of one type, none later than so many seconds after the one before."""
-    order = Window.partitionBy("video_id").orderBy("frame_number", "rid")
-    cut = F.coalesce((F.col("frame_number") - F.lag("frame_number").over(order) > seconds * fps) | (F.col("text_type") != F.lag("text_type").over(order)), F.lit(True))
-    grouped = rows.withColumn("group_id", F.sum(cut.cast("long")).over(order))
+    grouped = segmented(rows, seconds * fps, lambda before: before["text_type"] == F.col("text_type"), ["text_type"], "group_id")
     return best_exact(grouped, ["video_id", "group_id"])
 
 
@@ -90,9 +115,7 @@ def merged_groups(rows: DataFrame, params: Params = DEFAULT, order: str = "rid")
     No two rows can be joined over a gap of more frames, so segments between such gaps are worked on apart; in one,
     leaders are found by their type and block of frames, so a long segment costs no more a row than a short one.
     """
-    by_frame = Window.partitionBy("video_id").orderBy("frame_number", order)
-    far = F.coalesce(F.col("frame_number") - F.lag("frame_number").over(by_frame) > params.merge_frames, F.lit(True))
-    marked = rows.withColumn("_segment", F.sum(far.cast("long")).over(by_frame))
+    marked = segmented(rows, params.merge_frames, lambda before: F.lit(True), [], "_segment", order)
     dealt = marked.repartition("video_id", "_segment").sortWithinPartitions("video_id", "_segment", order)
     schema = T.StructType([*(f for f in rows.schema), T.StructField("leader", T.LongType())])
     names = rows.columns
