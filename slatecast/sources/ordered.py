@@ -93,7 +93,8 @@ def write_ordered(rows: DataFrame, path: str, head: bytes = b"", tail: bytes = b
     where there is a separator, values should not be. If the job fails,
     what stood at ``path`` stands there still.
     """
-    spark = rows.sparkSession
+    spark, named = rows.sparkSession, path
+    path = os.path.abspath(path)  # executors run in folders of their own
     spark.dataSource.register(OrderedParts)
     folder, whole = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.whole-{uuid.uuid4().hex}"
     try:
@@ -117,7 +118,7 @@ def write_ordered(rows: DataFrame, path: str, head: bytes = b"", tail: bytes = b
         shutil.rmtree(folder, ignore_errors=True)
         if os.path.exists(whole):
             os.remove(whole)
-    return path
+    return named
 
 
 def _copier(whole: str, separator: bytes):
