@@ -44,7 +44,7 @@ def test_stages_in_order(spark, folder):
 
 def test_run_and_queries(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline", "spotsigs"}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline", "spotsigs"}
 
 
 def test_stages_of_an_empty_table(spark, folder, none):
