@@ -3,11 +3,13 @@
 A text is foretold token by token in bits, and every bit by a mixer (``mixer``): whether the token is one that followed
 the two words before it anywhere else in the corpus; if not, what kind of word it is (a language and how frequent, or
 unknown), along the branches of the kind's number; and, if the corpus does not know it, its bytes and its end. What the
-bits leave open is settled by relative frequency: among those that followed the two words, and among the words of a kind.
+bits leave open is settled by relative frequency: of classes of words (their hashes' first bits) among those that followed
+the two words, of a word within its class, and among the words of a kind.
 
-What the corpus knows is counted for all of it, in tables that grow with it: words, and hashed pairs of words with what
-follows them. A training document is foretold by the other ones: its own share is taken off
-every count. Weights, refinements and the mixers' own tables are learned online along a bucket of texts, which are dealt and ordered by
+What the corpus knows is counted exactly for all of it, in tables that grow with it: words, and hashed pairs of words with the
+classes that follow them. Where pairs share a slot or words a class, the chances of all next tokens still add up to one at
+most: a slot's classes are counted under that slot alone, and a class' chance is shared out among its words. A training
+document is foretold by the other ones: its own share is taken off every count. Weights, refinements and the mixers' own tables are learned online along a bucket of texts, which are dealt and ordered by
 hashes, so that scores do not depend on how the input is partitioned. Held-out texts teach nothing.
 """
 
@@ -44,13 +46,23 @@ def pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()) if len(values) else b""
 
 
-def unpack(blob: bytes, kind: type) -> np.ndarray:
+def unpack(blob: bytes, kind: type | np.dtype) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs, which the first byte tells, compressed."""
+    size = next(k for k in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * k - (k == 8)))
+    return bytes([size]) + pack(values.astype(f"u{size}"))
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return unpack(blob[1:], np.dtype(f"u{blob[0]}")).astype(np.int64)
+
+
 def halves(counts: np.ndarray) -> np.ndarray:
     """Twice the logarithm of a count, rounded down."""
     return np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
@@ -68,7 +80,7 @@ _LANGUAGE_OF = {w.encode(): k for k, line in reversed(list(enumerate(COMMON_BY_L
 class Bucket:
     """The tokens of some texts laid end to end: distinct words in the order of their hashes, and an end (the empty word) after each text."""
 
-    def __init__(self, raws: list[bytes], learned: np.ndarray, bits: int) -> None:
+    def __init__(self, raws: list[bytes], learned: np.ndarray, bits: int, class_bits: int) -> None:
         words, lengths = [], []
         for raw in raws:
             own = raw.lower().split()
@@ -94,8 +106,10 @@ class Bucket:
         h = self.hashes[self.word] if len(self.word) else np.zeros(0, np.uint64)
         one = self.before(h, 1)
         context = mix64(one * np.uint64(0x9E3779B97F4A7C15) + mix64(self.before(one, 2)))
-        drop = np.uint64(64 - bits)
-        self.follows, self.context = mix64(context * np.uint64(3) + h) >> drop, context >> drop
+        self.bits, self.class_bits = bits, class_bits
+        self.context = context >> np.uint64(64 - bits)
+        #: What follows a pair, as its slot and the class of the next word.
+        self.follows = (self.context << np.uint64(class_bits)) | (h >> np.uint64(64 - class_bits))
 
     def before(self, values: np.ndarray, filler: int) -> np.ndarray:
         """For each token the value of the one before it in its text."""
@@ -110,16 +124,26 @@ class Bucket:
         heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(slot)), bool), slot[1:] != slot[:-1]]))
         return slot[heads], np.add.reduceat((both & np.uint64(1)).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
 
-    def places(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the rank of its slot among the distinct ones, and how many tokens of its own text are there."""
+    def own_classes(self, own: np.ndarray) -> np.ndarray:
+        """For each token how many of its own text have a word of its class, from how many have its word."""
+        classes = self.hashes >> np.uint64(64 - self.class_bits)
+        same = classes[1:] == classes[:-1]
+        shared = np.flatnonzero((np.concatenate([[False], same]) | np.concatenate([same, [False]]))[self.word]) if len(classes) else np.zeros(0, np.int64)
+        out = own.copy()
+        out[shared] = self.places(classes[self.word[shared]], shared)[1]
+        return out
+
+    def places(self, slots: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """For each token (or those ``at`` some places) the rank of its slot among the distinct ones, and how many tokens of its own text are there."""
+        texts = self.text[at]
         n, width = len(slots), len(self.lengths).bit_length()
         if n == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if int(slots.max()).bit_length() + width <= 64:
-            order = np.argsort((slots.astype(np.uint64) << np.uint64(width)) | self.text.astype(np.uint64))
+            order = np.argsort((slots.astype(np.uint64) << np.uint64(width)) | texts.astype(np.uint64))
         else:
             order = np.argsort(slots, kind="stable")
-        slot, text = slots[order], self.text[order]
+        slot, text = slots[order], texts[order]
         new = np.concatenate([[True], slot[1:] != slot[:-1]])
         heads = np.flatnonzero(new | np.concatenate([[True], text[1:] != text[:-1]]))
         sizes = np.diff(np.append(heads, n))
@@ -137,66 +161,120 @@ class Bucket:
         return np.bincount(cell, minlength=len(self.words) * (LANGUAGES + 1)).reshape(-1, LANGUAGES + 1)
 
 
-#: What is asked about: words by hash, slots of two words, and slots of those with the next.
-WORDS, CONTEXTS, FOLLOWS = range(3)
-_ASKED = "part int, bucket int, what byte, keys binary, counts binary"
-_ANSWERED = "part int, bucket int, what byte, facts binary, languages binary, cell int, n long"
+#: What is asked about: words by hash, and slots of two words with the classes that follow.
+WORDS, PAIRS = range(2)
+_ASKED = "part int, bucket int, what byte, keys binary, sizes binary, classes binary, counts binary"
+_ANSWERED = "part int, bucket int, what byte, facts binary, more binary, languages binary, cell int, n long"
 
 
-def _asked(bucket: int, held: Bucket, bits: int, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """A bucket's distinct keys with its own counts, for each part of the keys."""
-    shift = np.uint64(parts.bit_length() - 1)
-    asked = ((WORDS, held.hashes, held.word_counts(), 64), (CONTEXTS, *held.counted(held.context), bits), (FOLLOWS, *held.counted(held.follows), bits))
-    for what, keys, counts, size in asked:
-        cuts = np.searchsorted(keys >> (np.uint64(size) - shift) if shift else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
-        for part in range(parts):
-            a, b = int(cuts[part]), int(cuts[part + 1])
-            if a < b:
-                yield what * parts + part, bucket, what, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].reshape(-1).astype(np.uint32))
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, packed."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """The corpus' counts of all keys that buckets ask one part for, to each bucket in the order it asked; and, as rows of
-    their own, how many words and tokens there are by language and frequency."""
-    part, what = table["part"][0].as_py(), table["what"][0].as_py()
-    keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
+def _asked(bucket: int, held: Bucket, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes | None, bytes | None, bytes]]:
+    """A bucket's distinct keys with its own counts, for each part of the keys.
+
+    Of pairs come the slots, how many classes follow each, these classes and their counts.
+    """
+    shift = parts.bit_length() - 1
+
+    def cuts(keys: np.ndarray, size: int) -> list[int]:
+        return np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(size - shift)).tolist() + [len(keys)]
+
+    counts = held.word_counts()
+    at = cuts(held.hashes, 64)
+    for part in range(parts):
+        a, b = at[part], at[part + 1]
+        if a < b:
+            yield part, bucket, WORDS, _steps(held.hashes[a:b]), None, None, pack_counts(counts[a:b].reshape(-1))
+    keys, counts = held.counted(held.follows)
+    slots = keys >> np.uint64(held.class_bits)
+    classes = (keys & np.uint64((1 << held.class_bits) - 1)).astype(np.uint32)
+    at = cuts(slots, held.bits)
+    for part in range(parts):
+        a, b = at[part], at[part + 1]
+        if a < b:
+            heads = np.flatnonzero(np.concatenate([[True], slots[a + 1 : b] != slots[a : b - 1]]))
+            yield parts + part, bucket, PAIRS, _steps(slots[a:b][heads]), pack_counts(np.diff(heads, append=b - a)), pack(classes[a:b]), pack_counts(counts[a:b])
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of all buckets, the sums of their counts, and the place of each bucket's keys among them; a bucket has a key once."""
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
-    width = LANGUAGES + 1 if what == WORDS else 1
-    counts = np.zeros((len(distinct), width), np.int64)
+    sums = np.zeros((len(distinct), width), np.int64)
     at = 0
-    for blob, n in zip(table["counts"].to_pylist(), sizes, strict=True):
-        counts[index[at : at + n]] += unpack(blob, np.uint32).reshape(-1, width)  # a bucket asks once for a key
-        at += n
-    total = counts.sum(axis=1)
+    for own, count in zip(keys, counts, strict=True):
+        sums[index[at : at + len(own)]] += count.reshape(-1, width)
+        at += len(own)
+    return distinct, sums, index
+
+
+def _group_sums(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place the sum of the values in its group; equal groups stand together."""
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(groups)), bool), groups[1:] != groups[:-1]]))
+    return np.repeat(np.add.reduceat(values, heads), np.diff(heads, append=len(groups))) if len(heads) else values
+
+
+def _answered(table: pa.Table, class_bits: int) -> pa.Table:
+    """The corpus' exact counts of all keys that buckets ask one part for, to each bucket in the order it asked; and, as rows of
+    their own, how many words and tokens there are by language and frequency.
+
+    Of a word also go out what the other words of its class count together, and its language; of a class that follows a pair, the pair's count once a pair.
+    """
+    part, what = table["part"][0].as_py(), table["what"][0].as_py()
+    width = LANGUAGES + 1 if what == WORDS else 1
+    keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["keys"].to_pylist()]
+    counts = [unpack_counts(b) for b in table["counts"].to_pylist()]
+    leads = []
+    if what == PAIRS:
+        sizes = [unpack_counts(b) for b in table["sizes"].to_pylist()]
+        leads = [np.cumsum(size) - size for size in sizes]
+        keys = [(np.repeat(slots, size) << np.uint64(class_bits)) | unpack(b, np.uint32) for slots, size, b in zip(keys, sizes, table["classes"].to_pylist(), strict=True)]
+    distinct, sums, index = _summed(keys, counts, width)
+    ends = np.cumsum([len(k) for k in keys])
+    cuts = [index[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
+    del keys, counts
+    total = sums.sum(axis=1)
     if what == WORDS:
-        language = np.where(counts.max(axis=1) * 2 > total, counts.argmax(axis=1), LANGUAGES).astype(np.uint8)
-        facts, cell = total, language.astype(np.int64) * HALVES + halves(total)
+        language = np.where(sums.max(axis=1) * 2 > total, sums.argmax(axis=1), LANGUAGES).astype(np.uint8)
+        cell = language.astype(np.int64) * HALVES + halves(total)
         seen = total > 0
         cells = np.concatenate([np.bincount(cell[seen], total[seen], minlength=(LANGUAGES + 1) * HALVES).astype(np.int64), np.bincount(cell[seen], minlength=(LANGUAGES + 1) * HALVES)])
+        beside = _group_sums(distinct >> np.uint64(64 - class_bits), total) - total
+        more, languages = [pack_counts(beside[c]) for c in cuts], [pack(language[c]) for c in cuts]
     else:
-        # few are told apart exactly, more by their logarithm
-        language, cells = np.zeros(len(distinct), np.uint8), np.zeros(0, np.int64)
-        facts = np.where(total < 128, total, np.minimum(128 + 2 * (halves(total) - 14), 255)).astype(np.uint8)
-    ends = np.cumsum(sizes)
-    cuts = [index[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        cells = np.zeros(0, np.int64)
+        slot = _group_sums(distinct >> np.uint64(class_bits), total)
+        more, languages = [pack_counts(slot[c[lead]]) for c, lead in zip(cuts, leads, strict=True)], [None] * len(cuts)
     filled = np.flatnonzero(cells)
     n, m = len(cuts), len(filled)
     return pa.table({
         "part": pa.array(np.full(n + m, part, np.int32)),
         "bucket": pa.array([*table["bucket"].to_pylist(), *[-1] * m], pa.int32()),
         "what": pa.array(np.full(n + m, what, np.int8)),
-        "facts": pa.array([*(pack(facts[c]) for c in cuts), *[None] * m], pa.binary()),
-        "languages": pa.array([*(pack(language[c]) for c in cuts), *[None] * m], pa.binary()),
+        "facts": pa.array([*(pack_counts(total[c]) for c in cuts), *[None] * m], pa.binary()),
+        "more": pa.array([*more, *[None] * m], pa.binary()),
+        "languages": pa.array([*languages, *[None] * m], pa.binary()),
         "cell": pa.array([*[-1] * n, *filled.tolist()], pa.int32()),
         "n": pa.array([*[0] * n, *cells[filled].tolist()], pa.int64()),
     })
 
 
-def _told(facts: np.ndarray) -> np.ndarray:
-    """The counts that the answers of pairs stand for."""
-    return np.where(facts < 128, facts, 2.0 ** ((14 + (facts.astype(np.float64) - 128) // 2) / 2)).astype(np.int64)
+class Known:
+    """The corpus' counts for a bucket's keys in their order: distinct words, all words of their classes, languages; distinct slots of two words, and classes that follow."""
+
+    def __init__(self, told: pa.Table) -> None:
+        told = told.sort_by("part")
+        got = [told.filter(pa.compute.equal(told["what"], what)) for what in (WORDS, PAIRS)]
+        facts, more = ([_joined([unpack_counts(b) for b in t[name].to_pylist()]) for t in got] for name in ("facts", "more"))
+        self.words, self.follows = facts
+        self.classes, self.contexts = more[WORDS] + self.words, more[PAIRS]
+        self.languages = _joined([unpack(b, np.uint8) for b in got[WORDS]["languages"].to_pylist()])
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 class Corpus:
@@ -229,17 +307,23 @@ class Scorer:
         self.kind = Mixer(5, 1, (LANGUAGE_BITS + BAND_BITS) * 2, 18)
         self.speller = Speller()
 
-    def run(self, held: Bucket, words: np.ndarray, languages: np.ndarray, contexts: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """The log10 chance of each token, from the corpus' counts of distinct words, of two words, and of those with the next."""
+    def run(self, held: Bucket, known: Known) -> np.ndarray:
+        """The log10 chance of each token, from the corpus' counts.
+
+        After any beginning the chances of all next tokens add up to one at most: a word that followed is a class among
+        those that did, then a word of that class; any other is a kind and a word of that kind, or is spelled.
+        """
         corpus = self.corpus
-        own = held.places(held.word)[1] * held.teaches
-        others = words[held.word] - own
-        kind = np.where(others > 0, kinds(words[held.word], languages[held.word], corpus.tokens), UNKNOWN * BANDS)
+        own = held.places(held.word)[1]
+        beside = known.classes[held.word] - held.own_classes(own) * held.teaches
+        own = own * held.teaches
+        others = known.words[held.word] - own
+        kind = np.where(others > 0, kinds(known.words[held.word], known.languages[held.word], corpus.tokens), UNKNOWN * BANDS)
         rank, mine = held.places(held.context)
-        after = np.maximum(contexts[rank] - mine * held.teaches, 0)
+        after = known.contexts[rank] - mine * held.teaches
         rank, mine = held.places(held.follows)
-        same = np.where(after > 0, np.clip(follows[rank] - mine * held.teaches, 0, after), 0)
-        hit = same > 0
+        same = known.follows[rank] - mine * held.teaches
+        hit = (same > 0) & (others > 0)
         # what is known when a token is foretold: how the tokens before it came out, and their kinds
         state = np.where(hit, 2, np.where(after > 0, 1, 0))
         past = [held.before(state, 3)]
@@ -266,7 +350,7 @@ class Scorer:
             slots = self.again.slots([v[some] for v in again], np.ones(len(some)))
             chance[some] += self.again.run(slots, np.ones((1, len(some))), past[0][some] * 4 + past[1][some], hit[some].astype(np.int64), teach[some - a])
             got = some[hit[some]]
-            chance[got] += np.log10(same[got] / after[got])
+            chance[got] += np.log10(same[got] / after[got]) + np.log10(others[got] / beside[got])
             rest = np.flatnonzero(~hit[a:b]) + a
             chance[rest] += self._kinds(kind[rest], [v[rest] for v in kinds_of], state[rest], teach[rest - a])
             met = rest[others[rest] > 0]
@@ -298,10 +382,13 @@ class Scorer:
         return np.add.reduceat(right, first) if len(first) else right
 
 
-def _plan(docs: DataFrame) -> tuple[int, int, int]:
-    """How many buckets and parts there are, and the bits of a slot: by the size of the texts alone, not by their partitions."""
+def _plan(docs: DataFrame) -> tuple[int, int, int, int]:
+    """How many buckets and parts there are, and the bits of a slot and of a class: by the size of the texts alone, not by their partitions.
+
+    Slots and classes fit into one number of 63 bits, so from 64 GB on they grow no more; at 100 TB a slot has a few pairs. Counts stay exact.
+    """
     size = int(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("n")).first()["n"] or 0)
-    return max(1, -(-size // BUCKET_BYTES)), 1 << max(3, (size // PART_BYTES).bit_length()), min(62, max(20, size.bit_length() + 5))
+    return max(1, -(-size // BUCKET_BYTES)), 1 << max(3, (size // PART_BYTES).bit_length()), min(41, max(20, size.bit_length() + 5)), min(22, max(16, size.bit_length() - 4))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -311,7 +398,7 @@ def judge(docs: DataFrame) -> DataFrame:
     end for a token; a null id is in the fold of the empty string; repeated rows each come out; other columns are
     ignored; an empty table gives an empty table. Where no document is learned from, all counts are zero.
     """
-    buckets, parts, bits = _plan(docs)
+    buckets, parts, bits, class_bits = _plan(docs)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(), held_out("doc_id", FOLDS, TEST_FOLD).alias("held_out"))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
@@ -332,16 +419,17 @@ def judge(docs: DataFrame) -> DataFrame:
         ids = table["doc_id"].to_pylist()
         order = sorted(range(len(raws)), key=lambda k: (xxhash.xxh64_intdigest(raws[k], 11), ids[k] is None, ids[k] or 0))
         table = table.select(["doc_id", "held_out"]).take(pa.array(order, pa.int64()))
-        return table.append_column("n_bytes", pa.array([len(raws[k]) for k in order], pa.int64())), Bucket([raws[k] for k in order], ~table["held_out"].to_numpy(zero_copy_only=False), bits)
+        return table.append_column("n_bytes", pa.array([len(raws[k]) for k in order], pa.int64())), Bucket([raws[k] for k in order], ~table["held_out"].to_numpy(zero_copy_only=False), bits, class_bits)
 
     def ask(table: pa.Table) -> pa.Table:
         name = table["bucket"][0].as_py()
-        asked = list(zip(*_asked(name, opened(table)[1], bits, parts), strict=True))
+        asked = list(zip(*_asked(name, opened(table)[1], parts), strict=True))
         release()
-        return pa.table([pa.array(c, k) for c, k in zip(asked, (pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["part", "bucket", "what", "keys", "counts"])
+        kinds_of = (pa.int32(), pa.int32(), pa.int8(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, k) for c, k in zip(asked, kinds_of, strict=True)], ["part", "bucket", "what", "keys", "sizes", "classes", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        out = _answered(table)
+        out = _answered(table, class_bits)
         release()
         return out
 
@@ -354,12 +442,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         table, held = opened(texts)
-        told = told.sort_by("part")
-        got = {what: told.filter(pa.compute.equal(told["what"], what)) for what in (WORDS, CONTEXTS, FOLLOWS)}
-        facts = [np.concatenate([*(unpack(b, np.int64 if what == WORDS else np.uint8) for b in got[what]["facts"].to_pylist()), np.zeros(0, np.int64)]) for what in got]
-        language = np.concatenate([unpack(b, np.uint8) for b in got[WORDS]["languages"].to_pylist()]).astype(np.int64)
-        counts = facts[WORDS][held.word]
-        model = np.add.reduceat(Scorer(corpus).run(held, facts[WORDS], language, _told(facts[CONTEXTS]), _told(facts[FOLLOWS])), held.starts)
+        known = Known(told)
+        counts = known.words[held.word]
+        model = np.add.reduceat(Scorer(corpus).run(held, known), held.starts)
         base = np.log10(counts + 1.0) - np.log10(corpus.tokens + corpus.distinct + 1.0)
         out = pa.table({
             "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": held.lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), held.starts),

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slatecast.llm import language, mixer
@@ -87,11 +88,33 @@ def test_spelling_steps_change_nothing_but_what_was_learned_before(prose):
         mixer.SPELL_STEP = old
 
 
-def bucket(texts, learned, bits=40):
-    return language.Bucket([t.encode() for t in texts], np.array(learned), bits)
+def bucket(texts, learned, bits=40, class_bits=20):
+    return language.Bucket([t.encode() for t in texts], np.array(learned), bits, class_bits)
 
 
-@pytest.mark.parametrize("bits", [40, 62])
+def answers(held, parts, class_bits):
+    """All rows that answer what some buckets ask."""
+    asked = [a for k, h in enumerate(held) for a in language._asked(k, h, parts)]
+    rows = []
+    for part in {a[0] for a in asked}:
+        mine = [a for a in asked if a[0] == part]
+        rows += language._answered(pa.table(dict(zip(("part", "bucket", "what", "keys", "sizes", "classes", "counts"), map(list, zip(*mine, strict=True)), strict=True))), class_bits).to_pylist()
+    return rows
+
+
+def known(rows, k):
+    return language.Known(pa.Table.from_pylist([r for r in rows if r["bucket"] == k]))
+
+
+def corpus_of(rows):
+    cells = np.zeros(2 * (language.LANGUAGES + 1) * language.HALVES, np.int64)
+    for r in rows:
+        if r["bucket"] < 0:
+            cells[r["cell"]] += r["n"]
+    return language.Corpus(cells)
+
+
+@pytest.mark.parametrize("bits", [32, 41])
 def test_counts_of_a_bucket_against_a_loop(prose, bits):
     texts = [prose(60), prose(5), "", "a b a b a c", "a b a c a b"]
     learned = [True, True, False, True, True]
@@ -110,33 +133,50 @@ def test_counts_of_a_bucket_against_a_loop(prose, bits):
                 at += 1
     words = [w for own in tokens for w in own]
     assert [held.words[k] for k in held.word] == words
-    assert held.places(held.word)[1].tolist() == [own.count(w) for own in tokens for w in own]
-
-
-def test_asked_and_answered(prose):
-    """Two buckets ask in four parts; each gets the sums of both, in the order of its own keys."""
-    held = [bucket([prose(80), prose(30)], [True, False]), bucket([prose(90), prose(200)], [True, True])]
-    import pyarrow as pa
-
-    asked = [a for k, h in enumerate(held) for a in language._asked(k, h, 40, 4)]
-    rows = []
-    for part in {a[0] for a in asked}:
-        mine = [a for a in asked if a[0] == part]
-        rows += language._answered(pa.table(dict(zip(("part", "bucket", "what", "keys", "counts"), map(list, zip(*mine, strict=True)), strict=True)))).to_pylist()
-    rows.sort(key=lambda r: r["part"])
-    for what, counted in ((language.WORDS, lambda h: (h.hashes, h.word_counts().sum(axis=1))), (language.CONTEXTS, lambda h: h.counted(h.context)), (language.FOLLOWS, lambda h: h.counted(h.follows))):
-        want = Counter()
-        for h in held:
-            want.update(dict(zip(*(x.tolist() for x in counted(h)), strict=True)))
-        for k, h in enumerate(held):
-            got = np.concatenate([language.unpack(r["facts"], np.int64 if what == language.WORDS else np.uint8) for r in rows if r["bucket"] == k and r["what"] == what])
-            assert got.tolist() == [want[x] for x in counted(h)[0].tolist()]
-    cells = np.zeros(2 * (language.LANGUAGES + 1) * language.HALVES, np.int64)
-    for r in rows:
-        if r["bucket"] < 0:
-            cells[r["cell"]] += r["n"]
-    corpus = language.Corpus(cells)
-    assert corpus.tokens == 81 + 91 + 201 and corpus.by_kind.sum() == corpus.tokens
+    own = held.places(held.word)[1]
+    assert own.tolist() == [t.count(w) for t in tokens for w in t]
+    held.class_bits = 3
+    classes = [[int(h) >> 61 for h in held.hashes[held.word[a : a + n]]] for a, n in zip(held.starts, held.lengths, strict=True)]
+    assert held.own_classes(own).tolist() == [c.count(x) for c in classes for x in c]
+
+
+@pytest.mark.parametrize(("bits", "class_bits"), [(40, 20), (6, 3)])
+def test_asked_and_answered(prose, bits, class_bits):
+    """Two buckets ask in four parts; each gets the sums of both, in the order of its own keys, however great they are."""
+    texts = [[prose(80), "of the a " * 300], [prose(90), prose(200), "of the a " * 200]]
+    held = [bucket(t, [True, k == 1, True][: len(t)], bits, class_bits) for k, t in enumerate(texts)]
+    rows = answers(held, 4, class_bits)
+    every = {}
+    for what in ("words", "classes", "contexts", "follows"):
+        every[what] = Counter()
+    for h in held:
+        for w, c, f, teaches in zip(h.hashes[h.word].tolist(), h.context.tolist(), h.follows.tolist(), h.teaches, strict=True):
+            for what, key in (("words", w), ("classes", w >> (64 - class_bits)), ("contexts", c), ("follows", f)):
+                every[what][key] += int(teaches)
+    for k, h in enumerate(held):
+        got = known(rows, k)
+        assert got.words.tolist() == [every["words"][w] for w in h.hashes.tolist()]
+        assert got.classes.tolist() == [every["classes"][w >> (64 - class_bits)] for w in h.hashes.tolist()]
+        assert got.contexts.tolist() == [every["contexts"][c] for c in np.unique(h.context).tolist()]
+        assert got.follows.tolist() == [every["follows"][f] for f in np.unique(h.follows).tolist()]
+        assert got.languages.shape == got.words.shape
+    corpus = corpus_of(rows)
+    assert corpus.tokens == 81 + 91 + 201 + 601 and corpus.by_kind.sum() == corpus.tokens
+
+
+@pytest.mark.parametrize(("bits", "class_bits"), [(40, 20), (5, 3), (3, 8)])
+def test_the_chances_of_all_next_tokens_add_up_to_one_at_most(bits, class_bits):
+    """After beginnings that are often met, met once and new; slots that many pairs share and classes of many words included."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(25)] + ["of", "the"]
+    texts = [" ".join(rng.choices(vocabulary[:12] if k % 2 else vocabulary, k=80)) for k in range(24)] + ["of the w1 " * 150]
+    for lead in ("of the", "w1 w2", "w24 w23", "never met"):
+        total = 0.0
+        for word in [*vocabulary, None]:
+            held = bucket([*texts, f"{lead} {word or ''}"], [True] * len(texts) + [False], bits, class_bits)
+            rows = answers([held], 4, class_bits)
+            total += 10.0 ** language.Scorer(corpus_of(rows)).run(held, known(rows, 0))[held.starts[-1] + 2]
+        assert 0.3 < total <= 1 + 1e-6
 
 
 def test_packed_numbers_come_back():
@@ -145,6 +185,9 @@ def test_packed_numbers_come_back():
         values = rng.integers(0, 200, 300).astype(kind)
         assert np.array_equal(language.unpack(language.pack(values), kind), values)
     assert len(language.unpack(language.pack(np.zeros(0, np.int64)), np.int64)) == 0
+    for most in (0, 255, 256, 65535, 65536, (1 << 32) - 1, 1 << 32, (1 << 63) - 1):
+        assert language.unpack_counts(language.pack_counts(np.array([3, most], np.int64))).tolist() == [3, most]
+    assert len(language.unpack_counts(language.pack_counts(np.zeros(0, np.int64)))) == 0
 
 
 def test_odd_rows(odd, odd_rows, none):
