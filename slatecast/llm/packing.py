@@ -1,11 +1,11 @@
 """Packing token sequences online by the sum-of-squares rule.
 
 Each task packs the documents of its partition as they come, so nothing is shuffled. Full windows are cut off a long
-document; its remainder goes into the open window of that fill level which keeps the sum of squared counts of partly
-filled windows least; the counts are kept in an array by level. Where OPEN windows are open, a remainder first gives its
-beginning to fill the fullest of them, so that a task holds no more than OPEN windows, however many documents it has.
-When the partition ends, what is left in those is cut up to fill whole windows, and the last is parted into powers of
-two, which need no padding.
+document; its remainder goes, whole, into the open window of that fill level which keeps the sum of squared counts of partly
+filled windows least. The counts are kept in an array by level, GRAIN ids to a level, and a window with less room than a level
+is closed as it stands. When the partition ends, and whenever OPEN windows are open, so that a task holds no more however many
+documents it has, documents of the emptiest windows are dealt out to fill up the fullest, cut where they must be; the last
+window is parted into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from slatecast.llm.common import release, slices, utf8
 
 WINDOW, END = 1024, 0
-#: Windows that a task holds open at most.
-OPEN = 1024
+#: Windows that a task holds open at most, and ids to a level of a window.
+OPEN, GRAIN = 1024, 16
 #: So many distinct stretches between blanks are kept tokenized by a worker before it starts anew.
 KEPT = 200_000
 
@@ -106,70 +106,89 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Packer:
-    """Open windows by fill level. A piece is (document, start, ids, ...); a finished window is a list of pieces."""
+    """Open windows by ids held. A piece is (document, start, ids, ...); a finished window is a list of pieces.
 
-    def __init__(self, window: int = WINDOW, most: int = OPEN) -> None:
+    ``levels`` counts open windows by fill level, ``counts`` by the exact number of ids, so that one that fits is found.
+    """
+
+    def __init__(self, window: int = WINDOW, most: int = OPEN, grain: int = GRAIN) -> None:
         self.window, self.most = window, most
+        self.level_of = np.arange(window + 1) // grain
+        #: A window that holds so many ids or more is closed.
+        self.done = window - grain + 1
+        self.levels = np.zeros(int(self.level_of[-1]) + 1, np.int64)
         self.counts = np.zeros(window + 1, np.int64)
         self.held = 0
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
 
     def place(self, piece: tuple, size: int) -> list[tuple] | None:
-        """Put a piece of less than a window where the sum of squares of ``counts`` grows least; ties go to the fullest."""
-        counts, top = self.counts, self.window
-        # taking a window from level h to h + size changes the sum by 2 (N[h+size] - N[h] + 1), or less at the ends
-        gain = np.full(top - size + 1, np.inf)
-        held = counts[1 : top - size + 1]
-        after = counts[size + 1 : top + 1] * 2 + 1
-        after[-1:] = 0 if size < top else after[-1:]
-        gain[1:] = np.where(held > 0, after - 2 * held + 1, np.inf)
-        gain[0] = 2 * counts[size] + 1
-        level = top - size - int(np.argmin(gain[::-1]))
-        if level:
-            pieces = self.open[level].pop()
-            counts[level] -= 1
-            self.held -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        level += size
-        if level == top:
+        """Put a piece of less than a window where the sum of squares of ``levels`` grows least; ties go to the fullest."""
+        top, level_of, levels = self.window, self.level_of, self.levels
+        # taking a window from level g to h changes the sum by 2 (N[h] - N[g] + 1), or less at the ends
+        old, new = level_of[: top - size + 1], level_of[size:]
+        stays = np.arange(size, top + 1) < self.done
+        gain = np.where(stays, 2 * levels[new] + 1, 0)
+        gain[1:] = np.where(stays[1:] & (old[1:] == new[1:]), 0, gain[1:] + 1 - 2 * levels[old[1:]])
+        gain[1:] = np.where(self.counts[1 : len(gain)] > 0, gain[1:], 4 * self.most + 4)
+        at = len(gain) - 1 - int(np.argmin(gain[::-1]))
+        pieces = [*(self._take(at) if at else []), piece]
+        if at + size >= self.done:
             return pieces
-        self.held += 1
-        self.open[level].append(pieces)
-        counts[level] += 1
+        self._put(at + size, pieces)
         return None
 
+    def _take(self, at: int) -> list[tuple]:
+        self.counts[at] -= 1
+        self.levels[self.level_of[at]] -= 1
+        self.held -= 1
+        return self.open[at].pop()
+
+    def _put(self, at: int, pieces: list[tuple]) -> None:
+        self.counts[at] += 1
+        self.levels[self.level_of[at]] += 1
+        self.held += 1
+        self.open[at].append(pieces)
+
     def add(self, piece: tuple) -> Iterator[list[tuple]]:
-        """Place a piece of less than a window, the beginning of it in the fullest window if too many are open."""
+        """Place a piece of less than a window; if too many windows are open, some are closed first."""
         if self.held >= self.most:
-            level = int(np.flatnonzero(self.counts)[-1])
-            room = self.window - level
-            if room < len(piece[2]):
-                pieces = self.open[level].pop()
-                self.counts[level] -= 1
-                self.held -= 1
-                yield [*pieces, (piece[0], piece[1], piece[2][:room], *piece[3:])]
-                piece = (piece[0], piece[1] + room, piece[2][room:], *piece[3:])
+            yield from self.close(self.most // 2)
         if done := self.place(piece, len(piece[2])):
             yield done
 
-    def rest(self) -> Iterator[list[tuple]]:
-        """What is left open, cut into full windows, and powers of two at the end."""
-        pending: list[tuple] = []
+    def close(self, keep: int) -> Iterator[list[tuple]]:
+        """Close the fullest windows until no more than ``keep`` are left, filled up with documents of the emptiest ones."""
+        filler: list[tuple] = []
         size = 0
-        for level in range(self.window - 1, 0, -1):
-            for pieces in self.open[level]:
-                for piece in pieces:
-                    pending.append(piece)
-                    size += len(piece[2])
-                    while size >= self.window:
-                        done, pending = _cut(pending, self.window)
-                        size -= self.window
-                        yield done
+        while self.held > keep:
+            at = int(np.flatnonzero(self.counts)[-1])
+            pieces, room = self._take(at), self.window - at
+            while size < room and self.held:
+                low = int(np.flatnonzero(self.counts)[0])
+                filler += self._take(low)
+                size += low
+            if size < room:
+                # the last of all
+                filler, size = [*filler, *pieces], size + at
+                break
+            # whole documents first, the greatest that fits
+            for piece in sorted(filler, key=lambda p: -len(p[2])):
+                if len(piece[2]) <= room:
+                    pieces.append(piece)
+                    filler = [p for p in filler if p is not piece]
+                    room -= len(piece[2])
+                    size -= len(piece[2])
+            if room >= self.window - self.done + 1:
+                taken, filler = _cut(filler, room)
+                pieces += taken
+                size -= room
+            yield pieces
+        if size and self.held:  # less than a window
+            self._put(size, filler)
+            return
         while size:
             part = 1 << (size.bit_length() - 1)
-            done, pending = _cut(pending, part)
+            done, filler = _cut(filler, part)
             size -= part
             yield done
 
@@ -230,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
                 if len(rows) >= 1024:
                     yield _batch(rows)
                     rows.clear()
-        for pieces in packer.rest():
+        for pieces in packer.close(0):
             emit(pieces)
         if rows:
             yield _batch(rows)

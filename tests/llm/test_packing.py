@@ -34,40 +34,74 @@ def test_forgetting_changes_nothing(reference, prose, monkeypatch):
         assert own(text).tolist() == reference(text)
 
 
-def test_each_placement_has_the_least_sum_of_squares():
+@pytest.mark.parametrize("grain", [1, 4])
+def test_each_placement_has_the_least_sum_of_squares(grain):
+    """Over all open windows that have room and a new one, of which one with less room than a level is closed."""
     rng = np.random.default_rng(2)
-    packer = packing.Packer(32)
+    packer = packing.Packer(32, 1000, grain)
     for _ in range(400):
         size = int(rng.integers(1, 32))
-        before = packer.counts.copy()
+        before, held = packer.levels.copy(), packer.counts.copy()
 
-        def after(level, counts=before, size=size):
+        def after(at, counts=before, size=size):
             new = counts.copy()
-            new[level] -= level > 0
-            if level + size < 32:
-                new[level + size] += 1
-            return int((new[1:32] ** 2).sum())
+            new[at // grain] -= at > 0
+            if at + size <= 32 - grain:
+                new[(at + size) // grain] += 1
+            return int((new**2).sum())
 
-        best = min(after(h) for h in range(32 - size + 1) if h == 0 or before[h])
+        best = min(after(h) for h in range(32 - size + 1) if h == 0 or held[h])
         packer.place(("d", 0, np.zeros(size, np.uint32), size), size)
-        assert int((packer.counts[1:32] ** 2).sum()) == best
+        assert int((packer.levels**2).sum()) == best
+        assert packer.levels.tolist() == np.bincount(np.arange(33) // grain, packer.counts).astype(int).tolist()
 
 
 def test_few_windows_are_open_and_each_id_is_in_one_place():
     rng = np.random.default_rng(6)
-    packer, ids, done = packing.Packer(64, 5), np.arange(60_000, dtype=np.uint32), []
+    packer, ids, done = packing.Packer(64, 5, 2), np.arange(60_000, dtype=np.uint32), []
     at = 0
     while at < len(ids):
         size = int(min(rng.integers(1, 64), len(ids) - at))
         done += packer.add((at, 0, ids[at : at + size], size))
-        assert packer.counts.sum() <= 6 and packer.counts.tolist() == [len(x) for x in packer.open]
+        assert packer.held == packer.counts.sum() <= 5 and packer.counts.tolist() == [len(x) for x in packer.open]
         at += size
-    assert all(sum(len(p[2]) for p in pieces) == 64 for pieces in done)
-    done += packer.rest()
+    done += packer.close(0)
+    sizes = [sum(len(p[2]) for p in pieces) for pieces in done]
+    assert packer.held == 0 and all(n >= 63 or n & (n - 1) == 0 for n in sizes) and sum(n < 63 for n in sizes) < 7
     assert sorted(np.concatenate([p[2] for pieces in done for p in pieces]).tolist()) == ids.tolist()
     assert all(p[2][0] == p[0] + p[1] for pieces in done for p in pieces)
 
 
+@pytest.mark.parametrize("n", [2500, 40_000])
+def test_few_documents_are_cut_and_little_is_empty(n):
+    """Remainders of any size, in a task of few and of many documents."""
+    rng = np.random.default_rng(n)
+    packer, done, ids = packing.Packer(), [], np.zeros(1024, np.uint32)
+    sizes = rng.integers(1, 1024, n)
+    for k, size in enumerate(sizes.tolist()):
+        done += packer.add((k, 0, ids[:size], size))
+    done += packer.close(0)
+    cut = sum(len(p[2]) for pieces in done for p in pieces if len(p[2]) < p[3])
+    lengths = [sum(len(p[2]) for p in pieces) for pieces in done]
+    assert sum(lengths) == sizes.sum()
+    assert cut < 0.02 * sizes.sum()
+    assert sum(0 if m & (m - 1) == 0 else 1024 - m for m in lengths) < 0.006 * sizes.sum()
+
+
+def test_documents_that_fit_with_no_other_are_dealt_out():
+    """Where no two remainders fit together, no more windows are open and nothing is padded."""
+    packer, done, ids = packing.Packer(64, 8, 2), [], np.arange(40, dtype=np.uint32)
+    for k in range(101):
+        done += packer.add((k, 0, ids, 40))
+        assert packer.held <= 8
+    done += packer.close(0)
+    sizes = [sum(len(p[2]) for p in pieces) for pieces in done]
+    assert sizes[:-1] == [64] * 63 and sizes[-1] == 8
+    for k in range(101):
+        own = sorted((p[1], p[2].tolist()) for pieces in done for p in pieces if p[0] == k)
+        assert sum((x for _, x in own), []) == ids.tolist()
+
+
 def test_pieces_of_odd_rows(odd, odd_rows, none, reference):
     rows = packing.pack(odd).collect()
     by_sequence, by_document = defaultdict(list), defaultdict(list)
@@ -83,7 +117,7 @@ def test_pieces_of_odd_rows(odd, odd_rows, none, reference):
             at += r["length"]
         assert at <= 1024
         padding += 0 if at & (at - 1) == 0 else 1024 - at
-    assert padding == 0
+    assert padding < 0.01 * sum(r["length"] for r in rows)
     want = defaultdict(list)
     for r in odd_rows:
         ids = [*reference(r[1] or ""), 0]
