@@ -14,6 +14,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -57,16 +58,17 @@ class Tokenizer:
         self.ids, self.used = np.zeros(1 << 20, np.uint16 if self.encoding.max_token_value < 1 << 16 else np.uint32), 0
         self.starts, self.sizes = np.zeros(KEPT, np.int64), np.zeros(KEPT, np.int64)
 
-    def _learn(self, stretch: str) -> int:
-        got = self.encoding.encode_ordinary(stretch)
-        k = len(self.known)
-        if self.used + len(got) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(got), self.ids.dtype)])
-        self.ids[self.used : self.used + len(got)] = got
-        self.starts[k], self.sizes[k] = self.used, len(got)
-        self.used += len(got)
-        self.known[stretch] = k
-        return k
+    def _learn(self, stretches: list[str]) -> None:
+        """Tokenize some distinct stretches that are not known."""
+        got = list(map(self.encoding.encode_ordinary, stretches))
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        k, n = len(self.known), int(sizes.sum())
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + n, self.ids.dtype)])
+        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), self.ids.dtype, n)
+        self.starts[k : k + len(got)], self.sizes[k : k + len(got)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += n
+        self.known.update(zip(stretches, range(k, k + len(got)), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         if not any(name in text for name in self.special):
@@ -90,8 +92,11 @@ class Tokenizer:
                 self._forget()
             # the first stretch of a text has no blank before it and is looked up by another name
             some = [" " + p for p in some] if at else [some[0], *[" " + p for p in some[1:]]]
-            find, learn = self.known.get, self._learn
-            index = np.array([learn(p) if (k := find(p)) is None else k for p in some], np.int64)
+            index = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+            if len(new := np.flatnonzero(index < 0)):
+                unknown = [some[k] for k in new]
+                self._learn(list(dict.fromkeys(unknown)))
+                index[new] = [self.known[p] for p in unknown]
             sizes = self.sizes[index]
             ends = np.cumsum(sizes)
             out.append(self.ids[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
