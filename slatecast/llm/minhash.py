@@ -5,38 +5,32 @@ sketches: MinHash samples (the least shingle of each of many bins) are folded in
 in which two bitmaps differ estimate how many samples do, precisely where likeness is high. What the sketches do not rule
 out is compared on the full sets.
 
-Both comparisons go through ``linked_within``: among the nodes of a key (a band; a group of candidates) those near the
-key's first node need not be compared with each other, as they are linked already; each of the others is held against
-all. A key with more than a task should hold is dealt in blocks: all of them get the first node, and then the nodes that
-were not near it meet every block. So no pairs are listed, nothing is left out and no task gets an unbounded group.
+Both comparisons go through ``linked_within``, whose keys are bands and then groups of candidates, however many nodes share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, slices, utf8
+from slatecast.llm.common import checkpoint, map_batches, mix64, utf8
 from slatecast.llm.components import connected_components
-from slatecast.llm.simhash import PARTS_OF_A_COMPONENT, Forest, shingle_hashes, shingle_set
+from slatecast.llm.simhash import PARTS_OF_A_COMPONENT, shingle_hashes, shingle_set
+from slatecast.llm.within import MOST_SHINGLES, Sets, linked_within, sizes_allow
 
-#: Words in a shingle, and the likeness from which sets are linked, in hundredths.
-SHINGLE_WORDS, LIKENESS = 4, 80
+#: Words in a shingle.
+SHINGLE_WORDS = 4
 #: Two sets alike to 0.8 share none of the bands with a chance of (1 - 0.8**4)**30 = 1.4e-7.
 BAND_HASHES, BANDS = 4, 30
 #: Bins that give a sample each, and bits of a sketch, as powers of two.
 BIN_BITS, SKETCH_BITS = 9, 10
 #: Sketches that tell of less are ruled out: six standard deviations (0.024) under 0.8.
 LEAST_ESTIMATE = 0.65
-#: What one task compares at once: sketches, and shingles of sets.
-MOST_SKETCHES, MOST_SHINGLES = 8192, 1 << 21
-#: Pairs that are compared in one go.
-PAIRS = 1 << 17
+#: Sketches that one task compares at once.
+MOST_SKETCHES = 8192
 
 _DRAWS = np.random.default_rng(7).integers(0, 1 << 63, (2, BAND_HASHES * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,9 +59,7 @@ def odd_sketch(found: np.ndarray) -> tuple[bytes, int]:
 class Sketches:
     """Sketches of one task; ``near`` tells which pairs may be alike. A load is the sketch and its number of samples."""
 
-    @staticmethod
-    def weight(size: int) -> int:
-        return 1
+    EVEN = True
 
     def __init__(self, loads: list[bytes], sizes: np.ndarray) -> None:
         made = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), (1 << SKETCH_BITS) // 8 + 2)
@@ -76,7 +68,7 @@ class Sketches:
         self.sizes = sizes
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = _sizes_allow(self.sizes[i], self.sizes[j])
+        ok = sizes_allow(self.sizes[i], self.sizes[j])
         at = np.flatnonzero(ok)
         differ = np.bitwise_count(self.bits[i[at]] ^ self.bits[j[at]]).sum(axis=1, dtype=np.int64)
         ok[at] = estimate(differ, self.samples[i[at]], self.samples[j[at]]) >= LEAST_ESTIMATE
@@ -91,137 +83,6 @@ def estimate(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(same + unlike / 2, 1e-9)
 
 
-class Sets:
-    """Whole sets of one task; ``near`` compares them exactly. A load is the sorted shingles' bytes."""
-
-    @staticmethod
-    def weight(size: int) -> int:
-        return size
-
-    def __init__(self, loads: list[bytes], sizes: np.ndarray) -> None:
-        self.sizes = sizes
-        known, self.flat = np.unique(np.frombuffer(b"".join(loads), np.uint64), return_inverse=True)
-        self.starts, _ = segments(sizes)
-        self.mark = np.zeros(len(known), bool)
-
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """``i`` should come in runs, as each set is laid out once a run."""
-        ok = _sizes_allow(self.sizes[i], self.sizes[j])
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return ok
-        heads = np.flatnonzero(np.concatenate([[True], i[at][1:] != i[at][:-1]]))
-        for run in np.split(at, heads[1:]):
-            one = i[run[0]]
-            mine = self.flat[self.starts[one] : self.starts[one] + self.sizes[one]]
-            self.mark[mine] = True
-            for some in np.array_split(run, max(1, int(self.sizes[j[run]].sum()) >> 20)):
-                begin, of = segments(self.sizes[j[some]])
-                hits = np.bincount(of, self.mark[self.flat[np.arange(len(of)) - begin[of] + self.starts[j[some]][of]]], minlength=len(some)).astype(np.int64)
-                ok[some] = 100 * hits >= LIKENESS * (self.sizes[one] + self.sizes[j[some]] - hits)
-            self.mark[mine] = False
-        return ok
-
-
-def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= LIKENESS * np.maximum(a, b)
-
-
-def links_of(node: np.ndarray, key: np.ndarray, lead: np.ndarray, loads: Sketches | Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs that link rows sorted by ``key``, and the rows of keys with leads that are near none of them.
-
-    The rows that ``lead`` marks are held against all of their key. Where a key has none, its first row is, and then
-    those that are not near it are.
-    """
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(heads, len(key)))
-    _, of = segments(sizes)
-    forest = Forest(len(node))
-    led = np.zeros(len(heads), bool)
-    led[of[lead]] = True
-    rows = np.setdiff1d(np.flatnonzero(~led[of]), heads)
-    near = loads.near(heads[of[rows]], rows)
-    forest.add(heads[of[rows[near]]], rows[near])
-    todo = np.sort(np.concatenate([rows[~near], np.flatnonzero(lead)]))
-    reached = lead | ~led[of]
-    costs = np.cumsum(sizes[of[todo]])
-    for some in np.split(todo, np.searchsorted(costs, np.arange(PAIRS, costs[-1], PAIRS))) if len(todo) else ():
-        begin, which = segments(sizes[of[some]])
-        i = some[which]
-        j = heads[of[i]] + np.arange(len(which)) - begin[which]
-        i, j = i[i != j], j[i != j]
-        found = loads.near(i, j)
-        forest.add(i[found], j[found])
-        reached[j[found]] = True
-    linked = np.flatnonzero(forest.up != np.arange(len(node)))
-    return forest.up[linked], linked, np.flatnonzero(~reached)
-
-
-def _compare(rows: DataFrame, kind: type, most: int, keys: list[str]) -> DataFrame:
-    """``(key, a, b)`` of ``rows(*keys, lead, node, size, load)``: links of nodes, and ``(key, a, a)`` where a node is near none that leads.
-
-    A task holds whole keys, one after the other, a few small ones at a time.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        weight = 0
-
-        def flush() -> pa.RecordBatch:
-            key, lead, node, size, loads = zip(*held, strict=True)
-            change = np.concatenate([[0], np.cumsum([x != y for x, y in zip(key, key[1:], strict=False)])])
-            node, first = np.array(node, np.int64), np.array([k[0] for k in key], np.int64)
-            a, b, apart = links_of(node, change, np.array(lead, bool), kind(list(loads), np.array(size, np.int64)))
-            out = [np.concatenate(x) for x in ((first[b], first[apart]), (node[a], node[apart]), (node[b], node[apart]))]
-            return pa.record_batch([pa.array(x) for x in out], ["key", "a", "b"])
-
-        for batch in (part for whole in batches for part in slices(whole)):
-            columns = [batch[c].to_pylist() for c in ("lead", "node", "size", "load")]
-            for key, *row in zip(zip(*(batch[k].to_pylist() for k in keys), strict=True), *columns, strict=True):
-                same = bool(held) and held[-1][0] == key
-                if not same and weight >= most:
-                    yield flush()
-                    held, weight = [], 0
-                if not same or held[-1][2] != row[1]:  # of a node that leads and is led, or has copies, one row will do
-                    held.append((key, *row))
-                    weight += kind.weight(row[2])
-        if held:
-            yield flush()
-        release()
-
-    placed = rows.select(*keys, "lead", "node", "size", "load").repartition(parts, *keys)
-    return placed.sortWithinPartitions(*keys, "node", F.col("lead").desc()).mapInArrow(run, "key long, a long, b long")
-
-
-def linked_within(rows: DataFrame, kind: type, most: int) -> DataFrame:
-    """Links ``(a, b)`` with the components of all near pairs that share a key, of ``rows(key, node, size, load)``, written before.
-
-    ``kind`` says what loads are, what they weigh and when two are near. Of a key that weighs more than ``most`` the first
-    node is held against every block; those that are not near it, in blocks too, are then held against every block.
-    """
-    weight = F.lit(1) if kind is Sketches else F.col("size")
-    led = rows.withColumn("lead", F.lit(False))
-    heavy = rows.groupBy("key").agg(F.sum(weight).alias("weight"), F.min("node").alias("first")).where(F.col("weight") > most)
-    heavy = checkpoint(heavy.select("key", "first", F.ceil(F.col("weight") / most).cast("int").alias("blocks")))
-    if heavy.isEmpty():
-        return _compare(led, kind, most, ["key"]).select("a", "b").distinct()
-    light = _compare(led.join(heavy, "key", "left_anti"), kind, most, ["key"])
-    blocks = led.join(heavy, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    firsts = blocks.where("node = first").dropDuplicates(["key"]).withColumns({"lead": F.lit(True), "block": _each("blocks")})
-    turn = checkpoint(_compare(blocks.unionByName(firsts), kind, most, ["key", "block"]))
-    strays = blocks.join(turn.where("a = b").select("key", F.col("a").alias("node")).distinct(), ["key", "node"])
-    stray_blocks = strays.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("stray_blocks"))
-    rest = strays.join(stray_blocks, "key").withColumns({"lead": F.lit(True), "part": F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).cast("int"), "block": _each("blocks")})
-    against = blocks.join(stray_blocks, "key").withColumn("part", _each("stray_blocks"))
-    last = _compare(rest.unionByName(against), kind, most, ["key", "part", "block"])
-    return light.unionByName(turn).unionByName(last).where("a != b").select("a", "b").distinct()
-
-
-def _each(count: str) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, h, text)``: ids, a hash of the text, and its bytes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).select("doc_id", F.xxhash64("text").alias("h"), "text")

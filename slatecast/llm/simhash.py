@@ -19,20 +19,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, slices, utf8, words
+from slatecast.llm.common import checkpoint, map_batches, mix64, release, utf8, words
 from slatecast.llm.components import connected_components
+from slatecast.llm.within import MOST_SHINGLES, Forest, Sets, linked_within
 
 SHINGLE_WORDS, SEED, BUDGET = 4, 42, 4
 #: Node pairs walked in one go, and the number of fingerprint pairs from which a node pair is split, not listed.
 WALK_PAIRS, LIST_PAIRS = 1 << 18, 48
 #: Parts, at least, by which the rows of one component are dealt.
 PARTS_OF_A_COMPONENT = 64
-#: Near copies: words in a shingle, least Jaccard likeness of the shingle sets, and the bits that may differ (at a likeness
-#: of 0.8 about 9.7 on average, with a standard deviation of 2.9).
-COPY_WORDS, COPY_LIKENESS, COPY_BUDGET = 5, 0.8, 22
+#: Near copies: words in a shingle, and the bits that may differ (at a likeness of 0.8 about 9.7 on average, with a standard
+#: deviation of 2.9); what one task compares at once of their fingerprints.
+COPY_WORDS, COPY_BUDGET, MOST_PRINTS = 5, 22, 1 << 16
 #: Least hashes to a key, and keys: of two texts that are alike to 0.8 all keys differ with a chance of (1 - 0.8**5)**25 = 5e-5.
 KEY_HASHES, KEYS = 5, 25
 
@@ -138,26 +139,6 @@ def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64
     return low
 
 
-class Forest:
-    """Least linked index of each index, for links that come in batches."""
-
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        up = self.up
-        while True:
-            x, y = up[i], up[j]
-            differ = x != y
-            if not differ.any():
-                return
-            i, j, x, y = i[differ], j[differ], x[differ], y[differ]
-            np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(up, nxt := up[up]):
-                up = nxt
-            self.up = up
-
-
 def near_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Links ``(a, b)`` of distinct fingerprints ``fps(fp)`` with the components of all pairs within ``budget`` bits."""
     spark = fps.sparkSession
@@ -238,7 +219,7 @@ def copy_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``(id, h, node, fp, keys)`` of every row: ``node`` names its set of shingles, ``h`` is a hash of its text."""
+    """``(id, h, node, fp, keys, size)`` of every row: ``node`` names its set of ``size`` shingles, ``h`` is a hash of its text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -247,14 +228,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                 hashes = shingle_hashes(raw, COPY_WORDS)
                 found = shingle_set(hashes)
                 node = xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
-                rows.append((node, simhash(hashes), copy_keys(found)))
-            node, fp, keys = zip(*rows, strict=True)
+                rows.append((node, simhash(hashes), copy_keys(found), len(found)))
+            node, fp, keys, size = zip(*rows, strict=True)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            return pa.record_batch([batch["id"], batch["h"], *signed, pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "fp", "keys"])
+            return pa.record_batch([batch["id"], batch["h"], *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["id", "h", "node", "fp", "keys", "size"])
 
         return step
 
-    return map_batches(_with_key(docs).select("id", "h", "text"), "id long, h long, node long, fp long, keys array<long>", make)
+    return map_batches(_with_key(docs).select("id", "h", "text"), "id long, h long, node long, fp long, keys array<long>, size long", make)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -264,125 +245,62 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return rows.select("row", "text", "id", F.xxhash64(F.col("id").isNull(), "text").alias("h"))
 
 
-def copy_links(nodes: DataFrame, budget: int = COPY_BUDGET) -> DataFrame:
-    """Links ``(a, b)`` of ``nodes(node, fp, keys)`` with the components of all pairs that share a key and differ in ``budget`` bits at most."""
-    spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * KEYS // 1_000_000 + 1)
-    dealt = nodes.select("node", "fp", F.explode("keys").alias("key")).repartition(parts, "key")
+class Prints:
+    """Fingerprints of one task; near are those within COPY_BUDGET bits."""
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
-        node, fp, key = (table[c].to_numpy() for c in ("node", "fp", "key"))
-        order = np.lexsort((node, key))
-        node, values, key = node[order], fp[order].view(np.uint64), key[order]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(heads, len(key)))
-        _, of = segments(sizes)
-        forest = Forest(len(values))
-        # nearly all of a group are near its first; each of the others is held against the whole group
-        near = np.bitwise_count(values ^ values[heads[of]]) <= budget
-        forest.add(heads[of[near]], np.flatnonzero(near))
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(~near):
-            lo = heads[of[i]]
-            found = lo + np.flatnonzero(np.bitwise_count(values[lo : lo + sizes[of[i]]] ^ values[i]) <= budget)
-            pairs.append((np.full(len(found), i), found))
-            if len(pairs) == 4096:
-                forest.add(*map(np.concatenate, zip(*pairs, strict=True)))
-                pairs = []
-        if pairs:
-            forest.add(*map(np.concatenate, zip(*pairs, strict=True)))
-        linked = np.flatnonzero(forest.up != np.arange(len(values)))
-        yield pa.record_batch([node[forest.up[linked]], node[linked]], ["a", "b"])
-        release()
+    EVEN = True
 
-    return dealt.mapInArrow(join, "a long, b long").distinct()
+    def __init__(self, loads: list[int], sizes: np.ndarray) -> None:
+        self.values = np.array(loads, np.int64).view(np.uint64)
 
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[i] ^ self.values[j]) <= COPY_BUDGET
 
-def alike_groups(sets: list[np.ndarray], least: float = COPY_LIKENESS) -> np.ndarray:
-    """For each of some sets of shingles the first that it is linked to by pairs of a Jaccard likeness of ``least`` or more."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    known, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    starts, _ = segments(sizes)
-    group, rest, mark = np.full(len(sets), -1), np.arange(len(sets)), np.zeros(len(known), bool)
-    while len(rest):
-        first, todo = rest[0], [rest[0]]
-        group[first], rest = first, rest[1:]
-        while todo and len(rest):
-            one = todo.pop()
-            mine = flat[starts[one] : starts[one] + sizes[one]]
-            some = rest[(sizes[rest] >= least * sizes[one]) & (sizes[one] >= least * sizes[rest])]
-            if not len(some):
-                continue
-            mark[mine] = True
-            hits = np.zeros(len(some), np.int64)
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                begin, of = segments(sizes[part])
-                place = np.arange(len(of)) - begin[of] + starts[part][of]
-                hits[at : at + 4096] = np.bincount(of, mark[flat[place]], minlength=len(part)).astype(np.int64)
-            mark[mine] = False
-            new = some[hits >= least * (sizes[some] + sizes[one] - hits) - 1e-9]
-            group[new] = first
-            todo.extend(new.tolist())
-            rest = rest[group[rest] < 0]
-    return group
-
-
-def _compared(texts: DataFrame) -> DataFrame:
-    """``(node, component)`` of ``texts(component, node, text)``: candidates' components, parted by exact likeness."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, {}
-
-        def flush() -> pa.RecordBatch:
-            names = np.array(list(held), np.int64)
-            group = alike_groups(list(held.values()))
-            return pa.record_batch([pa.array(names), pa.array(names[group])], ["node", "component"])
-
-        for batch in (part for whole in batches for part in slices(whole)):
-            for component, node, raw in zip(*(batch[c].to_pylist() for c in ("component", "node", "text")), strict=True):
-                if held and component != current:
-                    yield flush()
-                    held = {}
-                current = component
-                if node not in held:
-                    held[node] = shingle_set(shingle_hashes(raw, COPY_WORDS))
-        if held:
-            yield flush()
-        release()
 
-    return texts.repartition(parts, "component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
+class Copies(Sets):
+    """Sets of shingles of one task, compared exactly. A load is a text, which takes less room on the way than its set."""
+
+    def __init__(self, loads: list[bytes], sizes: np.ndarray) -> None:
+        super().__init__([shingle_set(shingle_hashes(raw, COPY_WORDS)).tobytes() for raw in loads], sizes)
+
 
+def copy_links(nodes: DataFrame, most: int = MOST_PRINTS) -> DataFrame:
+    """Links ``(a, b)`` of ``nodes(node, fp, keys)`` with the components of all pairs that share a key and differ in COPY_BUDGET bits at most."""
+    return linked_within(nodes.select(F.explode("keys").alias("key"), "node", F.lit(1).cast("long").alias("size"), F.col("fp").alias("load")), Prints, most)
 
-def copy_groups(docs: DataFrame) -> DataFrame:
+
+def copy_groups(docs: DataFrame, most_prints: int = MOST_PRINTS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """``(node, component, pick)``: every set of shingles in ``docs``, its group of near copies, and its first row as ``pick(nameless, id, h)``.
 
-    Linked are sets of a Jaccard likeness of COPY_LIKENESS or more; texts without words are one set. Each group of
-    candidates is compared in one task, which holds one set for all texts that have it.
+    Linked are sets of a Jaccard likeness of LIKENESS hundredths or more; texts without words are one set. Keys and groups
+    of candidates that are more than ``most_prints`` and ``most_shingles`` are compared in blocks.
     """
     marked = checkpoint(_sets(docs))
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h")).alias("pick")
-    nodes = checkpoint(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.first("keys").alias("keys")))
-    linked = connected_components(copy_links(nodes))
-    wanted = linked.join(nodes.select("node", F.col("pick.id").alias("of"), F.col("pick.h").alias("h")), "node")
-    rows = _with_key(docs).select("text", "id", F.col("h").alias("own"))
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("h"))).select("component", "node", "text")
-    apart = checkpoint(_compared(texts))
+    nodes = checkpoint(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.min("size").alias("size")))
+    linked = connected_components(copy_links(nodes, most_prints))
+    wanted = checkpoint(linked.join(nodes.select("node", "size", *_named("pick.id", "pick.h")), "node").withColumnRenamed("component", "key"))
+    texts = _with_key(docs).select("text", *_named("id", "h")).join(wanted, NAME).select("key", "node", "size", F.col("text").alias("load"))
+    apart = connected_components(linked_within(texts, Copies, most_shingles, wanted))
     return nodes.select("node", "pick").join(apart, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "pick")
 
 
+#: Columns by which a row is found again, none of them null.
+NAME = ["nameless", "own_id", "own"]
+
+
+def _named(row_id: str, h: str) -> list[Column]:
+    return [F.col(row_id).isNull().alias(NAME[0]), F.coalesce(F.col(row_id), F.lit(0)).alias(NAME[1]), F.col(h).alias(NAME[2])]
+
+
 def one_of_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies (see ``copy_groups``), of the least id, a null id being the greatest; columns stay.
 
     All else in the group goes, and nothing else: repeated rows leave one, rows with a null id go if the group has
     another row, and of an id with two texts each is judged by itself.
     """
-    kept = copy_groups(docs).groupBy("component").agg(F.min("pick").alias("pick")).select(F.col("pick.id").alias("of"), F.col("pick.h").alias("own"))
-    rows = _with_key(docs).join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("own")), "left_semi")
-    alike = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
+    kept = copy_groups(docs).groupBy("component").agg(F.min("pick").alias("pick")).select(*_named("pick.id", "pick.h"))
+    rows = _with_key(docs).select("row", *_named("id", "h")).join(kept, NAME, "left_semi")
+    # the window asks for the join's own partitions, so texts are not shuffled again
+    alike = Window.partitionBy(*NAME).orderBy(F.xxhash64("row"))
     return rows.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")

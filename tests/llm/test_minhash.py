@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from slatecast.llm import minhash
+from slatecast.llm import minhash, within
 from slatecast.llm.minhash import Sets, Sketches
 from slatecast.llm.simhash import shingle_hashes, shingle_set
 
@@ -94,9 +94,9 @@ def test_links_of_leads_only():
     """Where rows lead, only they are held against the others, and what is near none of them is told."""
     sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 0, 1, 50, 51, 90)]
     loads = Sets([s.tobytes() for s in sets], np.full(6, 20))
-    a, b, apart = minhash.links_of(np.arange(6), np.zeros(6), np.array([True, False, False, False, False, False]), loads)
+    a, b, apart = within.links_of(np.arange(6), np.zeros(6), np.array([True, False, False, False, False, False]), loads)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (0, 2)] and apart.tolist() == [3, 4, 5]
-    a, b, apart = minhash.links_of(np.arange(6), np.zeros(6), np.zeros(6, bool), loads)
+    a, b, apart = within.links_of(np.arange(6), np.zeros(6), np.zeros(6, bool), loads)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (0, 2), (3, 4)] and not len(apart)
 
 

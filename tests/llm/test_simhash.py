@@ -1,9 +1,11 @@
+import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
-from slatecast.llm import simhash
+from slatecast.llm import simhash, within
 from slatecast.llm.components import connected_components
 
 
@@ -119,13 +121,36 @@ def test_near_copies_down_to_four_fifths_go(spark, prose):
     assert got == sorted(i for i, _ in rows if i >= 1000 or i % 3 == 0)
 
 
-def test_alike_groups_against_all_pairs():
-    rng = np.random.default_rng(9)
-    base = [rng.integers(0, 1 << 60, 30, dtype=np.uint64) for _ in range(6)]
-    sets = [np.unique(np.concatenate([b[: rng.integers(20, 31)], rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64)])) for b in base for _ in range(12)]
-    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
-    want = components(pairs, range(len(sets)))
-    assert simhash.alike_groups(sets).tolist() == [want[k] for k in range(len(sets))]
+@pytest.mark.parametrize(("most_prints", "most_shingles"), [(simhash.MOST_PRINTS, within.MOST_SHINGLES), (5, 400)])
+def test_copy_groups_against_all_pairs(spark, prose, most_prints, most_shingles):
+    """Families whose members drift apart step by step; with small limits keys and groups are dealt in blocks, whose results are the same."""
+    rng, rows = random.Random(4), []
+    for family in range(4):
+        words = prose(90).split()
+        for k in range(30):
+            words[rng.randrange(len(words))] = f"new{family}x{k}"
+            rows.append((family * 100 + k, " ".join(words)))
+    rows += [(1000 + k, "a short line of six words") for k in range(30)] + [(2000, None), (2001, " "), (2002, ""), (2003, "one"), (2003, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [simhash.shingle_set(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    want = components([(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])], range(len(rows)))
+    first = {c: min(rows[k][0] for k in want if want[k] == c) for c in want.values()}
+    assert 5 < len(first) < len(rows) / 2
+    groups = simhash.copy_groups(docs, most_prints, most_shingles).groupBy("component").agg({"pick": "min"}).collect()
+    assert sorted(r[1]["id"] for r in groups) == sorted(first.values())
+
+
+def test_texts_of_kept_rows_are_shuffled_once(spark, prose):
+    """The row that stays of a group is looked up and told from its repeats with one exchange of the texts."""
+    docs = spark.createDataFrame([(k, prose(20)) for k in range(8)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.one_of_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[plan.index("Window") : plan.index("SortMergeJoin")]
+    assert "Exchange" not in above
 
 
 def test_one_row_of_each_group_stays(spark, prose):
