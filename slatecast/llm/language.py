@@ -15,7 +15,7 @@ hashes, so that scores do not depend on how the input is partitioned. Held-out t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +163,10 @@ class Bucket:
 
 #: What is asked about: words by hash, and slots of two words with the classes that follow.
 WORDS, PAIRS = range(2)
-_ASKED = "part int, bucket int, what byte, keys binary, sizes binary, classes binary, counts binary"
-_ANSWERED = "part int, bucket int, what byte, facts binary, more binary, languages binary, cell int, n long"
+#: Bits of a key by which it is dealt at a time: who asks makes at most this power of two of rows of each kind.
+FAN_BITS = 12
+_ASKED = "what byte, part int, origin int, bucket int, keys binary, sizes binary, classes binary, counts binary"
+_ANSWERED = "what byte, part int, origin int, bucket int, facts binary, more binary, languages binary, cell int, n long"
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -172,31 +174,49 @@ def _steps(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _asked(bucket: int, held: Bucket, parts: int) -> Iterator[tuple[int, int, int, bytes, bytes | None, bytes | None, bytes]]:
-    """A bucket's distinct keys with its own counts, for each part of the keys.
+def _widths(parts: int, most: int) -> list[int]:
+    """How many first bits of a key tell its part, hop by hop, none of which deals by more than ``most`` bits."""
+    bits = parts.bit_length() - 1
+    hops = max(1, -(-bits // most))
+    return [bits * k // hops for k in range(1, hops + 1)]
 
-    Of pairs come the slots, how many classes follow each, these classes and their counts.
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
+Asked = tuple[int, int, int, int, bytes, bytes | None, bytes | None, bytes]
+
+
+def _dealt(what: int, origin: int, asker: int, keys: np.ndarray, counts: np.ndarray, bits: int, class_bits: int, width: int) -> Iterator[Asked]:
+    """Distinct keys in order with their counts, a row for each part that has some, so that the work is bounded by the keys.
+
+    Of pairs go out the slots, how many classes follow each, these classes and their counts. The words of a class stay in one part.
     """
-    shift = parts.bit_length() - 1
-
-    def cuts(keys: np.ndarray, size: int) -> list[int]:
-        return np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(size - shift)).tolist() + [len(keys)]
-
-    counts = held.word_counts()
-    at = cuts(held.hashes, 64)
-    for part in range(parts):
-        a, b = at[part], at[part + 1]
-        if a < b:
-            yield part, bucket, WORDS, _steps(held.hashes[a:b]), None, None, pack_counts(counts[a:b].reshape(-1))
-    keys, counts = held.counted(held.follows)
-    slots = keys >> np.uint64(held.class_bits)
-    classes = (keys & np.uint64((1 << held.class_bits) - 1)).astype(np.uint32)
-    at = cuts(slots, held.bits)
-    for part in range(parts):
-        a, b = at[part], at[part + 1]
-        if a < b:
-            heads = np.flatnonzero(np.concatenate([[True], slots[a + 1 : b] != slots[a : b - 1]]))
-            yield parts + part, bucket, PAIRS, _steps(slots[a:b][heads]), pack_counts(np.diff(heads, append=b - a)), pack(classes[a:b]), pack_counts(counts[a:b])
+    slots, size = (keys, 64) if what == WORDS else (keys >> np.uint64(class_bits), bits)
+    part = slots >> np.uint64(size - (min(width, class_bits) if what == WORDS else width))
+    first = _heads(part)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True) if len(keys) else ():
+        packed = pack_counts(counts[a:b].reshape(-1))
+        if what == WORDS:
+            yield what, int(part[a]), origin, asker, _steps(slots[a:b]), None, None, packed
+        else:
+            heads = _heads(slots[a:b])
+            classes = (keys[a:b] & np.uint64((1 << class_bits) - 1)).astype(np.uint32)
+            yield what, int(part[a]), origin, asker, _steps(slots[a:b][heads]), pack_counts(np.diff(heads, append=b - a)), pack(classes), packed
+
+
+def _asked(bucket: int, held: Bucket, width: int) -> Iterator[Asked]:
+    """A bucket's distinct keys with its own counts, for each part of the keys."""
+    yield from _dealt(WORDS, 0, bucket, held.hashes, held.word_counts(), held.bits, held.class_bits, width)
+    yield from _dealt(PAIRS, 0, bucket, *held.counted(held.follows), held.bits, held.class_bits, width)
+
+
+def _asked_table(rows: Iterator[Asked]) -> pa.Table:
+    kinds_of = (pa.int8(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    names = ["what", "part", "origin", "bucket", "keys", "sizes", "classes", "counts"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_of, strict=True)], names)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,18 +232,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray], width: int) -> tup
 
 def _group_sums(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each place the sum of the values in its group; equal groups stand together."""
-    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(groups)), bool), groups[1:] != groups[:-1]]))
+    heads = _heads(groups)
     return np.repeat(np.add.reduceat(values, heads), np.diff(heads, append=len(groups))) if len(heads) else values
 
 
-def _answered(table: pa.Table, class_bits: int) -> pa.Table:
-    """The corpus' exact counts of all keys that buckets ask one part for, to each bucket in the order it asked; and, as rows of
-    their own, how many words and tokens there are by language and frequency.
-
-    Of a word also go out what the other words of its class count together, and its language; of a class that follows a pair, the pair's count once a pair.
-    """
-    part, what = table["part"][0].as_py(), table["what"][0].as_py()
-    width = LANGUAGES + 1 if what == WORDS else 1
+def _merged(table: pa.Table, class_bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """What some ask one part for: the distinct keys, sums of their counts, and for each row the places of its keys and which of them begin a slot."""
+    what = table["what"][0].as_py()
     keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["keys"].to_pylist()]
     counts = [unpack_counts(b) for b in table["counts"].to_pylist()]
     leads = []
@@ -231,36 +246,64 @@ def _answered(table: pa.Table, class_bits: int) -> pa.Table:
         sizes = [unpack_counts(b) for b in table["sizes"].to_pylist()]
         leads = [np.cumsum(size) - size for size in sizes]
         keys = [(np.repeat(slots, size) << np.uint64(class_bits)) | unpack(b, np.uint32) for slots, size, b in zip(keys, sizes, table["classes"].to_pylist(), strict=True)]
-    distinct, sums, index = _summed(keys, counts, width)
+    distinct, sums, index = _summed(keys, counts, LANGUAGES + 1 if what == WORDS else 1)
     ends = np.cumsum([len(k) for k in keys])
-    cuts = [index[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
-    del keys, counts
-    total = sums.sum(axis=1)
-    if what == WORDS:
-        language = np.where(sums.max(axis=1) * 2 > total, sums.argmax(axis=1), LANGUAGES).astype(np.uint8)
-        cell = language.astype(np.int64) * HALVES + halves(total)
-        seen = total > 0
-        cells = np.concatenate([np.bincount(cell[seen], total[seen], minlength=(LANGUAGES + 1) * HALVES).astype(np.int64), np.bincount(cell[seen], minlength=(LANGUAGES + 1) * HALVES)])
-        beside = _group_sums(distinct >> np.uint64(64 - class_bits), total) - total
-        more, languages = [pack_counts(beside[c]) for c in cuts], [pack(language[c]) for c in cuts]
-    else:
-        cells = np.zeros(0, np.int64)
-        slot = _group_sums(distinct >> np.uint64(class_bits), total)
-        more, languages = [pack_counts(slot[c[lead]]) for c, lead in zip(cuts, leads, strict=True)], [None] * len(cuts)
+    return distinct, sums, [index[e - len(k) : e] for e, k in zip(ends, keys, strict=True)], leads
+
+
+def _told(table: pa.Table, facts: list[bytes], more: list[bytes], languages: list[bytes | None], cells: np.ndarray) -> pa.Table:
+    """The answers to the rows of ``table``, and the filled cells as rows of their own."""
     filled = np.flatnonzero(cells)
-    n, m = len(cuts), len(filled)
+    n, m = len(facts), len(filled)
     return pa.table({
-        "part": pa.array(np.full(n + m, part, np.int32)),
-        "bucket": pa.array([*table["bucket"].to_pylist(), *[-1] * m], pa.int32()),
-        "what": pa.array(np.full(n + m, what, np.int8)),
-        "facts": pa.array([*(pack_counts(total[c]) for c in cuts), *[None] * m], pa.binary()),
-        "more": pa.array([*more, *[None] * m], pa.binary()),
-        "languages": pa.array([*languages, *[None] * m], pa.binary()),
+        "what": pa.array([table["what"][0].as_py()] * (n + m), pa.int8()),
+        **{name: pa.array([*table[name].to_pylist(), *[-1] * m], pa.int32()) for name in ("part", "origin", "bucket")},
+        **{name: pa.array([*values, *[None] * m], pa.binary()) for name, values in (("facts", facts), ("more", more), ("languages", languages))},
         "cell": pa.array([*[-1] * n, *filled.tolist()], pa.int32()),
         "n": pa.array([*[0] * n, *cells[filled].tolist()], pa.int64()),
     })
 
 
+def _answered(table: pa.Table, class_bits: int) -> pa.Table:
+    """The corpus' exact counts of all keys that one part is asked for, to each who asks in the order of its keys; and, as rows of
+    their own, how many words and tokens there are by language and frequency.
+
+    Of a word also go out what the other words of its class count together, and its language; of a class that follows a pair, the pair's count once a pair.
+    """
+    distinct, sums, cuts, leads = _merged(table, class_bits)
+    total = sums.sum(axis=1)
+    facts = [pack_counts(total[c]) for c in cuts]
+    if table["what"][0].as_py() == PAIRS:
+        slot = _group_sums(distinct >> np.uint64(class_bits), total)
+        return _told(table, facts, [pack_counts(slot[c[lead]]) for c, lead in zip(cuts, leads, strict=True)], [None] * len(cuts), np.zeros(0, np.int64))
+    language = np.where(sums.max(axis=1) * 2 > total, sums.argmax(axis=1), LANGUAGES).astype(np.uint8)
+    cell = language.astype(np.int64) * HALVES + halves(total)
+    seen = total > 0
+    cells = np.concatenate([np.bincount(cell[seen], total[seen], minlength=(LANGUAGES + 1) * HALVES).astype(np.int64), np.bincount(cell[seen], minlength=(LANGUAGES + 1) * HALVES)])
+    beside = _group_sums(distinct >> np.uint64(64 - class_bits), total) - total
+    return _told(table, facts, [pack_counts(beside[c]) for c in cuts], [pack(language[c]) for c in cuts], cells)
+
+
+def _forwarded(table: pa.Table, bits: int, class_bits: int, width: int) -> pa.Table:
+    """What a block of askers asks one part for, asked once for all of them, for each of the finer parts."""
+    distinct, sums, _, _ = _merged(table, class_bits)
+    return _asked_table(_dealt(table["what"][0].as_py(), table["part"][0].as_py(), table["block"][0].as_py(), distinct, sums, bits, class_bits, width))
+
+
+def _returned(table: pa.Table, told: pa.Table, class_bits: int) -> pa.Table:
+    """The answers that a block got, to each of its askers."""
+    distinct, _, cuts, leads = _merged(table, class_bits)
+    told = told.sort_by("part")
+    facts, more = (_joined([unpack_counts(b) for b in told[name].to_pylist()]) for name in ("facts", "more"))
+    own = [pack_counts(facts[c]) for c in cuts]
+    if table["what"][0].as_py() == PAIRS:
+        slots = distinct >> np.uint64(class_bits)
+        place = np.cumsum(np.concatenate([[0], slots[1:] != slots[:-1]]))
+        return _told(table, own, [pack_counts(more[place[c[lead]]]) for c, lead in zip(cuts, leads, strict=True)], [None] * len(cuts), np.zeros(0, np.int64))
+    languages = _joined([unpack(b, np.uint8) for b in told["languages"].to_pylist()]).astype(np.uint8)
+    return _told(table, own, [pack_counts(more[c]) for c in cuts], [pack(languages[c]) for c in cuts], np.zeros(0, np.int64))
+
+
 class Known:
     """The corpus' counts for a bucket's keys in their order: distinct words, all words of their classes, languages; distinct slots of two words, and classes that follow."""
 
@@ -391,14 +434,19 @@ def _plan(docs: DataFrame) -> tuple[int, int, int, int]:
     return max(1, -(-size // BUCKET_BYTES)), 1 << max(3, (size // PART_BYTES).bit_length()), min(41, max(20, size.bit_length() + 5)), min(22, max(16, size.bit_length() - 4))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` for every row of ``docs``.
 
     ``base_score`` is the add-one unigram score and ``score`` the model's, both log10. A null text is empty and has its
     end for a token; a null id is in the fold of the empty string; repeated rows each come out; other columns are
     ignored; an empty table gives an empty table. Where no document is learned from, all counts are zero.
+
+    Keys are dealt by at most ``fan_bits`` bits at a time. Where parts are more, as many buckets as a hop has parts ask
+    together: their keys are merged, dealt further, and the answers handed back the same way. So a bucket's rows do not
+    grow with the corpus, a word that all buckets have is asked for by few, and scores are the same.
     """
     buckets, parts, bits, class_bits = _plan(docs)
+    widths = _widths(parts, fan_bits)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(), held_out("doc_id", FOLDS, TEST_FOLD).alias("held_out"))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
@@ -423,22 +471,42 @@ def judge(docs: DataFrame) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         name = table["bucket"][0].as_py()
-        asked = list(zip(*_asked(name, opened(table)[1], parts), strict=True))
+        out = _asked_table(_asked(name, opened(table)[1], widths[0]))
         release()
-        kinds_of = (pa.int32(), pa.int32(), pa.int8(), *[pa.binary()] * 4)
-        return pa.table([pa.array(c, k) for c, k in zip(asked, kinds_of, strict=True)], ["part", "bucket", "what", "keys", "sizes", "classes", "counts"])
+        return out
 
     def answer(table: pa.Table) -> pa.Table:
         out = _answered(table, class_bits)
         release()
         return out
 
-    answers = checkpoint(dealt.groupBy("bucket").applyInArrow(ask, _ASKED).groupBy("part").applyInArrow(answer, _ANSWERED))
+    def forward(width: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            out = _forwarded(table, bits, class_bits, width)
+            release()
+            return out
+
+        return run
+
+    asked, hops = dealt.groupBy("bucket").applyInArrow(ask, _ASKED), []
+    for last, near, far in zip([0, *widths], widths, widths[1:], strict=False):
+        hops.append(checkpoint(asked.withColumn("block", F.shiftright("bucket", near - last))))
+        asked = hops[-1].groupBy("what", "part", "block").applyInArrow(forward(far), _ASKED)
+    answers = checkpoint(asked.groupBy("what", "part").applyInArrow(answer, _ANSWERED))
     # at most 2 * (LANGUAGES + 1) * HALVES rows, however large the corpus
     cells = np.zeros(2 * (LANGUAGES + 1) * HALVES, np.int64)
     for row in answers.where("bucket < 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         cells[row["cell"]] = row["n"]
     corpus = Corpus(cells)
+    told = answers.where("bucket >= 0")
+
+    def hand_back(table: pa.Table, told: pa.Table) -> pa.Table:
+        out = _returned(table, told, class_bits)
+        release()
+        return out
+
+    for hop in reversed(hops):
+        told = hop.groupBy("what", "part", "block").cogroup(told.groupBy("what", "origin", "bucket")).applyInArrow(hand_back, _ANSWERED)
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         table, held = opened(texts)
@@ -456,4 +524,4 @@ def judge(docs: DataFrame) -> DataFrame:
         return out
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("bucket").cogroup(answers.where("bucket >= 0").groupBy("bucket")).applyInArrow(score, schema)
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(score, schema)

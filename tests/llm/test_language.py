@@ -92,14 +92,27 @@ def bucket(texts, learned, bits=40, class_bits=20):
     return language.Bucket([t.encode() for t in texts], np.array(learned), bits, class_bits)
 
 
-def answers(held, parts, class_bits):
-    """All rows that answer what some buckets ask."""
-    asked = [a for k, h in enumerate(held) for a in language._asked(k, h, parts)]
-    rows = []
-    for part in {a[0] for a in asked}:
-        mine = [a for a in asked if a[0] == part]
-        rows += language._answered(pa.table(dict(zip(("part", "bucket", "what", "keys", "sizes", "classes", "counts"), map(list, zip(*mine, strict=True)), strict=True))), class_bits).to_pylist()
-    return rows
+def grouped(rows, *names):
+    """The rows of a table with equal values of ``names``, a table each."""
+    keys = {tuple(r[n] for n in names) for r in rows}
+    return {key: pa.Table.from_pylist([r for r in rows if tuple(r[n] for n in names) == key]) for key in keys}
+
+
+def answers(held, widths, class_bits):
+    """All rows that answer what some buckets ask, by way of hops."""
+    bits = held[0].bits
+    asked = language._asked_table(a for k, h in enumerate(held) for a in language._asked(k, h, widths[0])).to_pylist()
+    hops = []
+    for last, near, far in zip([0, *widths], widths, widths[1:], strict=False):
+        hops.append(grouped([{**r, "block": r["bucket"] >> (near - last)} for r in asked], "what", "part", "block"))
+        asked = [r for t in hops[-1].values() for r in language._forwarded(t, bits, class_bits, far).to_pylist()]
+    rows = [r for t in grouped(asked, "what", "part").values() for r in language._answered(t, class_bits).to_pylist()]
+    cells, rows = [r for r in rows if r["bucket"] < 0], [r for r in rows if r["bucket"] >= 0]
+    for hop in reversed(hops):
+        told = grouped(rows, "what", "origin", "bucket")
+        assert set(told) == set(hop)
+        rows = [r for key, t in hop.items() for r in language._returned(t, told[key], class_bits).to_pylist()]
+    return rows + cells
 
 
 def known(rows, k):
@@ -140,12 +153,13 @@ def test_counts_of_a_bucket_against_a_loop(prose, bits):
     assert held.own_classes(own).tolist() == [c.count(x) for c in classes for x in c]
 
 
+@pytest.mark.parametrize("widths", [[2], [1, 2], [2, 3, 5]])
 @pytest.mark.parametrize(("bits", "class_bits"), [(40, 20), (6, 3)])
-def test_asked_and_answered(prose, bits, class_bits):
-    """Two buckets ask in four parts; each gets the sums of both, in the order of its own keys, however great they are."""
+def test_asked_and_answered(prose, bits, class_bits, widths):
+    """Buckets ask in parts, straight or by hops, past the bits of a class too; each gets the sums of both, in the order of its own keys, however great they are."""
     texts = [[prose(80), "of the a " * 300], [prose(90), prose(200), "of the a " * 200]]
     held = [bucket(t, [True, k == 1, True][: len(t)], bits, class_bits) for k, t in enumerate(texts)]
-    rows = answers(held, 4, class_bits)
+    rows = answers(held, widths, class_bits)
     every = {}
     for what in ("words", "classes", "contexts", "follows"):
         every[what] = Counter()
@@ -174,11 +188,17 @@ def test_the_chances_of_all_next_tokens_add_up_to_one_at_most(bits, class_bits):
         total = 0.0
         for word in [*vocabulary, None]:
             held = bucket([*texts, f"{lead} {word or ''}"], [True] * len(texts) + [False], bits, class_bits)
-            rows = answers([held], 4, class_bits)
+            rows = answers([held], [2], class_bits)
             total += 10.0 ** language.Scorer(corpus_of(rows)).run(held, known(rows, 0))[held.starts[-1] + 2]
         assert 0.3 < total <= 1 + 1e-6
 
 
+def test_rows_of_a_bucket_do_not_grow_with_the_corpus():
+    for parts in (8, 4096, 131_072, 1 << 24):
+        widths = language._widths(parts, language.FAN_BITS)
+        assert 1 << widths[-1] == parts and max(np.diff([0, *widths])) <= language.FAN_BITS
+
+
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(1)
     for kind in (np.uint8, np.uint32, np.int64, np.uint64):
@@ -209,6 +229,8 @@ def test_scores_do_not_depend_on_partitions_and_find_copies(spark, prose, monkey
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = {r["doc_id"]: r for r in language.judge(docs.repartition(2)).collect()}
     two = {r["doc_id"]: r for r in language.judge(docs.repartition(7)).collect()}
+    hops = {r["doc_id"]: r for r in language.judge(docs, fan_bits=1).collect()}
+    assert one == hops
     assert {k: r["score"] for k, r in one.items()} == {k: r["score"] for k, r in two.items()}
     twins = [one[k]["bits_per_byte"] for k in range(10) if not fold(1000 + k)]
     others = [r["bits_per_byte"] for k, r in one.items() if 10 <= k < 1000]
