@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatecast.functions.dealing import dealt
 from slatecast.llm.common import checkpoint, release, segments, slices
 
 #: The likeness from which sets are linked, in hundredths.
@@ -153,7 +154,7 @@ def compare(rows: DataFrame, kind: type[Loads], most: int, keys: list[str]) -> D
             yield flush()
         release()
 
-    placed = rows.select(*keys, "lead", "node", "size", "load").repartition(parts, *keys)
+    placed = dealt(rows.select(*keys, "lead", "node", "size", "load"), *keys, parts=parts)
     return placed.sortWithinPartitions(*keys, "node", F.col("lead").desc()).mapInArrow(run, "key long, a long, b long")
 
 

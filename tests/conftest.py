@@ -22,3 +22,14 @@ def spark():
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()
+
+
+@pytest.fixture
+def joins_turn_into_broadcasts(spark):
+    """Joins begin as sorted ones, and turn out to be small on one side while they run, as with large tables, whose parts are not put together."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    yield
+    for name in conf:
+        spark.conf.unset(name)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from slatecast.llm import minhash, within
+from slatecast.llm.common import checkpoint
 from slatecast.llm.minhash import Sets, Sketches
 from slatecast.llm.simhash import shingle_hashes, shingle_set
 
@@ -100,6 +101,16 @@ def test_links_of_leads_only():
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (0, 2), (3, 4)] and not len(apart)
 
 
+def test_light_keys_stay_whole_beside_heavy_ones(spark, joins_turn_into_broadcasts):
+    """With a key to be dealt in blocks, all others still lie in one task each, wherever their rows were read."""
+    rng = np.random.default_rng(8)
+    loads = [np.sort(rng.integers(0, 1 << 63, 20, dtype=np.uint64)).tobytes() for _ in range(300)]
+    rows = [(key, 10 * key + k, 20, load) for key, load in enumerate(loads) for k in range(4)] + [(999, 100000 + k, 20, loads[0]) for k in range(60)]
+    frame = checkpoint(spark.createDataFrame(rows, "key long, node long, size long, load binary").repartition(8))
+    links = within.linked_within(frame, Sets, 1000).collect()
+    assert sorted(r["b"] for r in links) == sorted([10 * key + k for key in range(300) for k in (1, 2, 3)] + [100000 + k for k in range(1, 60)])
+
+
 def test_bands_meet():
     rng, missed = random.Random(9), 0
     for _ in range(200):
