@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatecast.functions.dealing import dealt
 from slatecast.sources.files import written
 
 HISTORY, LEAST_FRAMES, SECONDS, CHANGE = 5, 25, 10, 0.3
@@ -119,7 +120,7 @@ def _reached(steps: DataFrame, first: DataFrame) -> DataFrame:
 
 def _folded(rows: DataFrame, hits: DataFrame, most: int, readable: str | None) -> DataFrame:
     """Each block from its own beginning: ``_seen`` hits before it, and the last reading at ``_frame`` with ``_count``."""
-    dealt = rows.repartition(*_KEY, "_block").sortWithinPartitions(*_KEY, "_block", "frame_number")
+    by_block = dealt(rows, *_KEY, "_block").sortWithinPartitions(*_KEY, "_block", "frame_number")
     names = hits.columns
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,4 +140,4 @@ def _folded(rows: DataFrame, hits: DataFrame, most: int, readable: str | None) -
                     last_frame, last_count = frame, count
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.mapInArrow(fold, hits.schema)
+    return by_block.mapInArrow(fold, hits.schema)

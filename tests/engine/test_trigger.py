@@ -40,6 +40,13 @@ def test_blocks_give_what_a_loop_gives(spark, seed, density, works, gap):
     assert got.columns == hits.columns
 
 
+def test_blocks_stay_whole_where_their_states_are_broadcast(spark, joins_turn_into_broadcasts):
+    rng = random.Random(6)
+    rows = [("v", frame, kind, rng.choice([700, 720, 800, 1500]), rng.random() < 0.7) for kind in ("VFX", "DI") for frame in range(12000) if rng.random() < 0.8]
+    got = triggered(spark.createDataFrame(rows, SCHEMA).repartition(8), readable="readable", block=1000)
+    assert sorted((r["video_id"], r["frame_number"], r["text_type"]) for r in got.collect()) == loop(rows)
+
+
 def test_always_readable_and_no_hits(spark):
     rows = [("v", 30 * k, "DI", 700 + 400 * (k % 2), None) for k in range(40)]
     got = triggered(spark.createDataFrame(rows, SCHEMA), block=250).collect()
