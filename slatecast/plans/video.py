@@ -38,7 +38,7 @@ def detect(spark: SparkSession, path: str, make_engine: Callable[[], Engine] = m
     """
     counts = written(counts_of(read_frames(spark, path, **options), params))
     places = {k: v for k, v in options.items() if k not in ("start_frame", "end_frame", "inclusive")}
-    frames = frames_at(one_colour(counts).drop("video_id"), path, **places)
+    frames = frames_at(one_colour(counts).drop("video_id"), path, most=None, **places)
     read = assembled(_answers(regions_of(frames, params), make_engine, lut))
     return read.select("video_id", "rid", "frame_number", "text_type", "pixel_count", "confidence", "text", *[F.col(f"bbox.{c}") for c in ("x1", "y1", "x2", "y2")])
 

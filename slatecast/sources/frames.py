@@ -13,6 +13,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
+from slatecast.functions.dealing import dealt
 from slatecast.functions.timecode import time_range
 from slatecast.params import DEFAULT, Params
 
@@ -104,6 +106,9 @@ class Frames(InputPartition):
     end: int
 
 
+#: Pixels that go on at once, but for a frame that is larger.
+BATCH_BYTES = 1 << 20
+
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 _KINDS = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
@@ -118,16 +123,25 @@ def _ranges(start: int, end: int, options: dict[str, str]) -> list[Frames]:
 
 
 def _decoded(options: dict[str, str], numbers: range) -> Iterator[pa.RecordBatch]:
-    """The frames of a range up to the first that cannot be read, one a batch."""
+    """The frames of a range up to the first that cannot be read, a few small ones or one large one a batch."""
     if not numbers:
         return
     decoder = open_decoder(options)
-    for frame in numbers:
-        data = decoder.read(frame)
-        if data is None:
+    step = _rows_of_a_batch(decoder)
+    for at in range(0, len(numbers), step):
+        some = numbers[at : at + step]
+        found = list(takewhile(lambda data: data is not None, map(decoder.read, some)))
+        if found:
+            values = (_video_id(options), decoder.height, decoder.width, 3)
+            video, height, width, channels = (pa.array([v] * len(found)) for v in values)
+            columns = (video, pa.array(some[: len(found)]), height, width, channels, pa.array(found))
+            yield pa.record_batch([c.cast(k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+        if len(found) < len(some):
             return
-        values = (_video_id(options), frame, decoder.height, decoder.width, 3, data)
-        yield pa.record_batch([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], _NAMES)
+
+
+def _rows_of_a_batch(decoder: Decoder) -> int:
+    return max(1, BATCH_BYTES // max(1, 3 * decoder.width * decoder.height))
 
 
 class FrameReader(DataSourceReader):
@@ -237,33 +251,53 @@ def stream_frames(spark: SparkSession, path: str, **options: object) -> DataFram
     return spark.readStream.format("frames").options(path=path, **options).load()
 
 
-def frames_at(wanted: DataFrame, path: str, block: int = 1000, **options: object) -> DataFrame:
+#: Rows of a block of frames that one task takes.
+MOST_ROWS = 1 << 16
+
+
+def frames_at(wanted: DataFrame, path: str, block: int = 1000, most: int | None = MOST_ROWS, **options: object) -> DataFrame:
     """``wanted(frame_number, …)`` with the frames of those numbers: ``video_id, height, width, channels, data``.
 
     Rows are dealt by blocks of frames and read in seek order, with one decoder a task; a frame that several rows want is
-    decoded once. Numbers that are null, or that no frame has, are passed over. Further columns of ``wanted`` stay, except
+    decoded once a task. A block that more than ``most`` rows want goes to several tasks (None: it goes to one, and rows are not
+    counted first). Numbers that are null, or that no frame has, are passed over. Further columns of ``wanted`` stay, except
     that those five are the video's.
     """
     named = {"path": path} | {k: str(v) for k, v in options.items()}
     made = [c for c in _NAMES if c != "frame_number"]
     kept = [c for c in wanted.columns if c not in made]
     rows = wanted.select(*kept).where("frame_number is not null")
-    dealt = rows.repartition(F.floor(F.col("frame_number") / block)).sortWithinPartitions("frame_number")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), *(c for c in SCHEMA.split(", ") if c.split()[0] in made)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(c for c in SCHEMA.split(", ") if c.split()[0] in made)])
+
+    place = [F.floor(F.col("frame_number") / block)]
+    if most is not None:
+        crowded = rows.groupBy(place[0].alias("_block")).agg(F.ceil(F.count(F.lit(1)) / most).alias("_ways")).where("_ways > 1")
+        rows = rows.join(F.broadcast(crowded), place[0] == F.col("_block"), "left")
+        place.append(F.pmod(F.xxhash64(*kept), F.coalesce("_ways", F.lit(1))))
+    by_block = dealt(rows, *place).select(*kept).sortWithinPartitions("frame_number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, at, data = None, None, None
-        for batch in batches:
-            for k, frame in enumerate(batch["frame_number"].to_pylist()):
-                decoder = decoder or open_decoder(named)
-                if frame != at:
-                    at, data = frame, decoder.read(frame) if 0 <= frame < decoder.frame_count else None
-                if data is not None:
-                    values = dict(zip(_NAMES, (_video_id(named), frame, decoder.height, decoder.width, 3, data), strict=True))
-                    columns = [pa.array([values[c]], kind) for c, kind in zip(_NAMES, _KINDS, strict=True) if c in made]
-                    yield pa.record_batch([*(batch[c].slice(k, 1) for c in kept), *columns], [*kept, *made])
-
-    return dealt.mapInArrow(run, schema)
+        for whole in batches:
+            decoder = decoder or open_decoder(named)
+            step = _rows_of_a_batch(decoder)
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                rows, of, images = [], [], []
+                for k, frame in enumerate(batch["frame_number"].to_pylist()):
+                    if frame != at:
+                        at, data = frame, decoder.read(frame) if 0 <= frame < decoder.frame_count else None
+                    if data is not None:
+                        if not images or images[-1] is not data:
+                            images.append(data)
+                        rows.append(k)
+                        of.append(len(images) - 1)
+                if rows:
+                    values = {"video_id": _video_id(named), "height": decoder.height, "width": decoder.width, "channels": 3}
+                    columns = {c: pa.array([v] * len(rows), _KINDS[_NAMES.index(c)]) for c, v in values.items()}
+                    columns["data"] = pa.array(images, pa.binary()).take(pa.array(of))
+                    yield pa.record_batch([*batch.take(pa.array(rows)).select(kept).columns, *(columns[c] for c in made)], [*kept, *made])
+
+    return by_block.mapInArrow(run, schema)
 
 
 def video_info(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -284,11 +318,12 @@ def counts_of(frames: DataFrame, params: Params = DEFAULT) -> DataFrame:
     from slatecast.operators.pixels import frame_hits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bgr in _images(batches):
-            if rows := [(kind, n) for kind, n, _ in frame_hits(bgr, params)]:
-                kinds, counts = zip(*rows, strict=True)
-                same = [pa.array(batch[c].to_pylist() * len(rows), batch[c].type) for c in ("video_id", "frame_number")]
-                yield pa.record_batch([*same, pa.array(kinds), pa.array(counts, pa.int32())], ["video_id", "frame_number", "text_type", "pixel_count"])
+        for whole in batches:
+            rows = [(k, kind, n) for k, bgr in _images(whole) for kind, n, _ in frame_hits(bgr, params)]
+            if rows:
+                at, kinds, counts = zip(*rows, strict=True)
+                same = whole.select(["video_id", "frame_number"]).take(pa.array(at))
+                yield pa.record_batch([*same.columns, pa.array(kinds), pa.array(counts, pa.int32())], ["video_id", "frame_number", "text_type", "pixel_count"])
 
     return _numbered(frames.select("video_id", "frame_number", "height", "width", "data").mapInArrow(run, "video_id string, frame_number long, text_type string, pixel_count int"))
 
@@ -302,23 +337,34 @@ def regions_of(chosen: DataFrame, params: Params = DEFAULT, masked: bool = True)
     shape = pa.struct([(x, pa.int32()) for x in "hwc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bgr in _images(batches):
-            wanted = batch["text_type"][0].as_py()
-            for kind, _, roi in frame_hits(bgr, params, masked):
-                if kind == wanted:
-                    made = [pa.array([dict(zip("hwc", roi.shape, strict=True))], shape), pa.array([roi.tobytes()])]
-                    yield pa.record_batch([*(batch[c] for c in kept), *made], [*kept, "image_shape", "image_bytes"])
+        for whole in batches:
+            types = whole["text_type"].to_pylist()
+            hits = ((k, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes()) for k, bgr in _images(whole) for kind, _, roi in frame_hits(bgr, params, masked) if kind == types[k])
+            for some in _by_bytes(hits):
+                at, shapes, images = zip(*some, strict=True)
+                same = whole.select(kept).take(pa.array(at))
+                yield pa.record_batch([*same.columns, pa.array(shapes, shape), pa.array(images)], [*kept, "image_shape", "image_bytes"])
 
     return chosen.mapInArrow(run, schema)
 
 
-def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows one by one, and the frame of each as an array."""
-    for whole in batches:
-        for k in range(whole.num_rows):
-            row = whole.slice(k, 1)
-            height, width, data = (row[c][0].as_py() for c in ("height", "width", "data"))
-            yield row, np.frombuffer(data, np.uint8).reshape(height, width, 3)
+def _images(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The frame of each row as an array."""
+    for k, (height, width) in enumerate(zip(batch["height"].to_pylist(), batch["width"].to_pylist(), strict=True)):
+        yield k, np.frombuffer(batch["data"][k].as_buffer(), np.uint8).reshape(height, width, 3)
+
+
+def _by_bytes(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows, whose last field is an image, in lists of some BATCH_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _numbered(hits: DataFrame) -> DataFrame:
@@ -333,10 +379,12 @@ def hits_of(frames: DataFrame, params: Params = DEFAULT, masked: bool = True) ->
     kinds = (pa.string(), pa.int32(), pa.struct([(x, pa.int32()) for x in "hwc"]), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bgr in _images(batches):
-            for kind, n, roi in frame_hits(bgr, params, masked):
-                values = (kind, n, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes())
-                columns = [pa.array([v], t) for v, t in zip(values, kinds, strict=True)]
-                yield pa.record_batch([batch["video_id"], batch["frame_number"], *columns], ["video_id", "frame_number", "text_type", "pixel_count", "image_shape", "image_bytes"])
+        for whole in batches:
+            hits = ((k, kind, n, dict(zip("hwc", roi.shape, strict=True)), roi.tobytes()) for k, bgr in _images(whole) for kind, n, roi in frame_hits(bgr, params, masked))
+            for some in _by_bytes(hits):
+                at, *values = zip(*some, strict=True)
+                columns = [pa.array(v, t) for v, t in zip(values, kinds, strict=True)]
+                same = whole.select(["video_id", "frame_number"]).take(pa.array(at))
+                yield pa.record_batch([*same.columns, *columns], ["video_id", "frame_number", "text_type", "pixel_count", "image_shape", "image_bytes"])
 
     return _numbered(frames.select("video_id", "frame_number", "height", "width", "data").mapInArrow(run, schema))

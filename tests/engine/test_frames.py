@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from slatecast.plans import video
 from slatecast.sources import frames, images
-from slatecast.sources.frames import FrameReader, frames_at, read_frames, regions_of, stream_frames
+from slatecast.sources.frames import FrameReader, _decoded, frames_at, read_frames, regions_of, stream_frames
 
 OPTIONS = {"width": 4, "height": 2, "video_id": "clip"}
 
@@ -106,3 +106,17 @@ def test_two_videos_write_two_files(spark, tmp_path):
     assert len({r["path"] for r in written}) == 2 and all(r["path"].endswith("/roi_1_VFX.png") for r in written)
     assert sorted(p.read_bytes() for p in (tmp_path / "out").rglob("*.png")) == [b"x", b"y"]
     assert not list((tmp_path / "out").rglob("*.half"))
+
+
+def test_a_crowded_block_goes_to_several_tasks_and_small_frames_go_on_together(spark, joins_turn_into_broadcasts, tmp_path):
+    pixels = np.random.default_rng(3).integers(0, 256, (8, 2, 2, 3), dtype=np.uint8)
+    path = str(tmp_path / "small.raw")
+    pixels.tofile(path)
+    wanted = spark.range(400).select((F.col("id") % 9).alias("frame_number"), F.col("id").alias("rid"))
+    got = frames_at(wanted, path, most=20, width=2, height=2)
+    rows = got.select("rid", "frame_number", "data", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["rid"], bytes(r["data"])) for r in rows) == [(k, pixels[k % 9].tobytes()) for k in range(400) if k % 9 < 8]
+    assert len({r["task"] for r in rows}) > 1
+    batches = frames_at(wanted, path, most=None, width=2, height=2).mapInArrow(lambda x: (b.select(["rid"]).slice(0, 1) for b in x), "rid long")
+    assert batches.count() == 1
+    assert [b.num_rows for b in _decoded({"path": path, "width": "2", "height": "2"}, range(20))] == [8]
