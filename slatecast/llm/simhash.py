@@ -6,9 +6,10 @@ Within such a group a binary trie is joined with itself: pairs of nodes are walk
 added up, and a pair whose sum exceeds the budget is dropped with all that hangs below it. Only a spanning forest of
 each task's links is passed on (at most one link a fingerprint), and the components of those links are the groups.
 
-``copy_groups`` groups by likeness of shingle sets instead. At a likeness of 0.8 some ten of 64 bits differ, for which
-blocks of bits would be too short to tell texts apart, so there the fingerprints are dealt by least hashes of the
-shingles, linked within a wide budget of bits, and the shingle sets of what is linked are then compared exactly.
+``copy_groups`` groups by likeness of shingle sets. Its candidates come from the same join: fingerprints dealt by blocks of
+bits and joined by the trie. At a likeness of 0.8 some ten of 64 bits differ, for which blocks of bits would be too short
+to tell texts apart, so the fingerprints are also dealt by least hashes of the shingles, and each such key's trie is joined
+within a wide budget of bits. The shingle sets of what is linked are then compared exactly.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatecast.llm.common import checkpoint, map_batches, mix64, release, utf8, words
+from slatecast.llm.common import checkpoint, map_batches, mix64, release, segments, utf8, words
 from slatecast.llm.components import connected_components
 from slatecast.llm.within import MOST_SHINGLES, Forest, Sets, linked_within
 
 SHINGLE_WORDS, SEED, BUDGET = 4, 42, 4
-#: Node pairs walked in one go, and the number of fingerprint pairs from which a node pair is split, not listed.
-WALK_PAIRS, LIST_PAIRS = 1 << 18, 48
+#: Node pairs walked in one go, the number of fingerprint pairs from which a node pair is split, not listed, and pairs listed in one go.
+WALK_PAIRS, LIST_PAIRS, LISTED = 1 << 18, 48, 1 << 20
 #: Parts, at least, by which the rows of one component are dealt.
 PARTS_OF_A_COMPONENT = 64
 #: Near copies: words in a shingle, and the bits that may differ (at a likeness of 0.8 about 9.7 on average, with a standard
@@ -97,20 +98,28 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> Iterator[t
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     tails = np.concatenate([heads[1:], [len(values)]])
     keep = tails - heads > 1
-    heads, tails = heads[keep], tails[keep]
-    zero = np.zeros(len(heads), np.int64)
-    stack = [(0, heads[i : i + WALK_PAIRS], tails[i : i + WALK_PAIRS], heads[i : i + WALK_PAIRS], tails[i : i + WALK_PAIRS], zero[i : i + WALK_PAIRS]) for i in range(0, len(heads), WALK_PAIRS)]
+    yield from trie_walk(values, heads[keep], tails[keep], heads[keep], tails[keep], budget)
+
+
+def trie_walk(values: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``budget`` bits, of ranges ``a0`` to ``a1`` with ``b0`` to ``b1`` of ``values``: the same ones, or such that lie behind.
+
+    Values of a range are sorted and distinct.
+    """
+    zero = np.zeros(len(a0), np.int64)
+    stack = [(0, *(x[i : i + WALK_PAIRS] for x in (a0, a1, b0, b1, zero))) for i in range(0, len(a0), WALK_PAIRS)]
     while stack:
         depth, a0, a1, b0, b1, off = stack.pop()
         size = (a1 - a0) * (b1 - b0)
         small = (size <= LIST_PAIRS) | (depth == 64)
         if small.any():
-            i0, j0, wide, n = a0[small], b0[small], (b1 - b0)[small], size[small]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            i, j = np.repeat(i0, n) + at // np.repeat(wide, n), np.repeat(j0, n) + at % np.repeat(wide, n)
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            if near.any():
-                yield i[near], j[near]
+            lists = np.stack([a0[small], b0[small], (b1 - b0)[small], size[small]])
+            for i0, j0, wide, n in np.split(lists, np.unique(np.searchsorted(np.cumsum(lists[3]), np.arange(LISTED, lists[3].sum(), LISTED))), axis=1):
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                i, j = np.repeat(i0, n) + at // np.repeat(wide, n), np.repeat(j0, n) + at % np.repeat(wide, n)
+                near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+                if near.any():
+                    yield i[near], j[near]
             a0, a1, b0, b1, off = (x[~small] for x in (a0, a1, b0, b1, off))
         if not len(a0):
             continue
@@ -246,15 +255,34 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 
 class Prints:
-    """Fingerprints of one task; near are those within COPY_BUDGET bits."""
+    """Fingerprints of one task; near are those within COPY_BUDGET bits, found by joining the tries of a key's rows."""
 
     EVEN = True
 
     def __init__(self, loads: list[int], sizes: np.ndarray) -> None:
         self.values = np.array(loads, np.int64).view(np.uint64)
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.values[i] ^ self.values[j]) <= COPY_BUDGET
+    def against(self, rows: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links as ``within.near_pairs`` has them: equal fingerprints are one node of a trie, whose rows hang on the first of them."""
+        heads, first = np.unique(begin, return_index=True)
+        starts, of = segments(sizes[first])
+        values, ends, row, copies = self._trie(np.arange(len(of)) - starts[of] + heads[of], of, len(heads))
+        asked, asked_ends, asking, _ = self._trie(rows, np.searchsorted(heads, begin), len(heads))
+        n, hit = len(values), np.zeros(len(values), bool)
+        for j, i in trie_walk(np.concatenate([values, asked]), ends[:-1], ends[1:], n + asked_ends[:-1], n + asked_ends[1:], COPY_BUDGET):
+            hit[j] = True
+            i, j = asking[i - n], row[j]
+            yield i[i != j], j[i != j]
+        of, copy = copies
+        yield row[of[hit[of]]], copy[hit[of]]
+
+    def _trie(self, rows: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Sorted distinct values of each group, where groups begin and end, a row of each value, and the other rows with the value's place."""
+        order = np.lexsort((rows, self.values[rows], group))
+        rows, group = rows[order], group[order]
+        values = self.values[rows]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (values[1:] != values[:-1])])
+        return values[new], np.searchsorted(group[new], np.arange(groups + 1)), rows[new], ((np.cumsum(new) - 1)[~new], rows[~new])
 
 
 class Copies(Sets):
@@ -269,6 +297,26 @@ def copy_links(nodes: DataFrame, most: int = MOST_PRINTS) -> DataFrame:
     return linked_within(nodes.select(F.explode("keys").alias("key"), "node", F.lit(1).cast("long").alias("size"), F.col("fp").alias("load")), Prints, most)
 
 
+def bit_links(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` with the components of all ``nodes(node, fp)`` whose fingerprints are within BUDGET bits, from the join of ``near_links``.
+
+    Fingerprints are nodes of this graph, too. One that has the number of a node joins two groups of candidates, which
+    the exact comparison parts again.
+    """
+    prints = checkpoint(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    near = checkpoint(near_links(prints.select("fp")))
+    met = near.select(F.col("a").alias("fp")).union(near.select("b")).union(prints.where("n > 1").select("fp")).distinct()
+    return near.unionByName(nodes.join(met, "fp", "left_semi").select(F.col("node").alias("a"), F.col("fp").alias("b")))
+
+
+def candidates(nodes: DataFrame, most: int = MOST_PRINTS) -> DataFrame:
+    """``(node, component)`` of the ``nodes(node, fp, keys, size)`` that are near others by blocks of bits, or by keys and more bits.
+
+    Fingerprints stand among the nodes, too (see ``bit_links``).
+    """
+    return connected_components(bit_links(nodes.where("size > 0")).unionByName(copy_links(nodes, most)))
+
+
 def copy_groups(docs: DataFrame, most_prints: int = MOST_PRINTS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """``(node, component, pick)``: every set of shingles in ``docs``, its group of near copies, and its first row as ``pick(nameless, id, h)``.
 
@@ -278,8 +326,7 @@ def copy_groups(docs: DataFrame, most_prints: int = MOST_PRINTS, most_shingles:
     marked = checkpoint(_sets(docs))
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h")).alias("pick")
     nodes = checkpoint(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.min("size").alias("size")))
-    linked = connected_components(copy_links(nodes, most_prints))
-    wanted = checkpoint(linked.join(nodes.select("node", "size", *_named("pick.id", "pick.h")), "node").withColumnRenamed("component", "key"))
+    wanted = checkpoint(candidates(nodes, most_prints).join(nodes.select("node", "size", *_named("pick.id", "pick.h")), "node").withColumnRenamed("component", "key"))
     texts = _with_key(docs).select("text", *_named("id", "h")).join(wanted, NAME).select("key", "node", "size", F.col("text").alias("load"))
     apart = connected_components(linked_within(texts, Copies, most_shingles, wanted))
     return nodes.select("node", "pick").join(apart, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "pick")

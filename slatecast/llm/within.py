@@ -28,7 +28,10 @@ PAIRS = 1 << 17
 
 
 class Loads(Protocol):
-    """What the rows of one task bear; ``near`` tells which pairs are linked. Each weighs one if ``EVEN``, else its size."""
+    """What the rows of one task bear; ``near`` tells which pairs are linked. Each weighs one if ``EVEN``, else its size.
+
+    Instead of ``near`` there may be ``against``, which finds what ``near_pairs`` gives without listing all pairs.
+    """
 
     EVEN: bool
 
@@ -104,23 +107,36 @@ def links_of(node: np.ndarray, key: np.ndarray, lead: np.ndarray, loads: Loads)
     led = np.zeros(len(heads), bool)
     led[of[lead]] = True
     rows = np.setdiff1d(np.flatnonzero(~led[of]), heads)
-    near = loads.near(heads[of[rows]], rows)
-    forest.add(heads[of[rows[near]]], rows[near])
-    todo = np.sort(np.concatenate([rows[~near], np.flatnonzero(lead)]))
+    first, near = ~led & (sizes > 1), np.zeros(len(node), bool)
+    for i, j in near_pairs(loads, heads[first], heads[first], sizes[first]):
+        forest.add(i, j)
+        near[j] = True
+    todo = np.sort(np.concatenate([rows[~near[rows]], np.flatnonzero(lead)]))
     reached = lead | ~led[of]
-    costs = np.cumsum(sizes[of[todo]])
-    for some in np.split(todo, np.searchsorted(costs, np.arange(PAIRS, costs[-1], PAIRS))) if len(todo) else ():
-        begin, which = segments(sizes[of[some]])
-        i = some[which]
-        j = heads[of[i]] + np.arange(len(which)) - begin[which]
-        i, j = i[i != j], j[i != j]
-        found = loads.near(i, j)
-        forest.add(i[found], j[found])
-        reached[j[found]] = True
+    for i, j in near_pairs(loads, todo, heads[of[todo]], sizes[of[todo]]):
+        forest.add(i, j)
+        reached[j] = True
     linked = np.flatnonzero(forest.up != np.arange(len(node)))
     return forest.up[linked], linked, np.flatnonzero(~reached)
 
 
+def near_pairs(loads: Loads, rows: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of each of ``rows`` with all rows near it among the ``sizes`` ones from ``begin`` on, its key's; each of these comes second in one."""
+    if not len(rows):
+        return
+    if hasattr(loads, "against"):
+        yield from loads.against(rows, begin, sizes)
+        return
+    costs = np.cumsum(sizes)
+    for some in np.split(np.arange(len(rows)), np.searchsorted(costs, np.arange(PAIRS, costs[-1], PAIRS))):
+        starts, which = segments(sizes[some])
+        i = rows[some][which]
+        j = begin[some][which] + np.arange(len(which)) - starts[which]
+        i, j = i[i != j], j[i != j]
+        found = loads.near(i, j)
+        yield i[found], j[found]
+
+
 def compare(rows: DataFrame, kind: type[Loads], most: int, keys: list[str]) -> DataFrame:
     """``(key, a, b)`` of ``rows(*keys, lead, node, size, load)``: links of nodes, and ``(key, a, a)`` where a node is near none that leads.
 

@@ -161,3 +161,29 @@ def test_one_row_of_each_group_stays(spark, prose):
     got = [(r["doc_id"], (r["text"] or "").strip()) for r in simhash.one_of_copies(docs).collect()]
     assert sorted(got, key=repr) == sorted([(5, a), (7, b), (None, c), (9, e), (8, d), (4, "")], key=repr)
     assert simhash.one_of_copies(docs).columns == docs.columns and simhash.one_of_copies(docs.limit(0)).count() == 0
+
+
+def test_keys_are_joined_by_tries():
+    """What ``against`` links, and whom it reaches, is what comparing all pairs gives; equal fingerprints included."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, 700, 40, 9])
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    values = base[rng.integers(0, 30, sizes.sum())]
+    for _ in range(9):
+        values = values ^ (np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64)) * (rng.random(len(values)) < 0.8).astype(np.uint64)
+    heads, of = simhash.segments(sizes)
+    loads = simhash.Prints(values.view(np.int64).tolist(), np.ones(len(values)))
+    for rows in (heads, np.flatnonzero(rng.random(len(values)) < 0.3), np.arange(len(values))):
+        want = [(i, j) for i in rows for j in range(heads[of[i]], heads[of[i]] + sizes[of[i]]) if i != j and int(values[i] ^ values[j]).bit_count() <= simhash.COPY_BUDGET]
+        got = [(int(i), int(j)) for some in within.near_pairs(loads, rows, heads[of[rows]], sizes[of[rows]]) for i, j in zip(*some, strict=True)]
+        assert components(got, range(len(values))) == components(want, range(len(values)))
+        assert {j for _, j in got} - set(rows.tolist()) == {j for _, j in want} - set(rows.tolist())
+
+
+def test_candidates_come_from_the_join_of_fingerprints(spark):
+    """Sets without a common key meet through the blocks of bits of their fingerprints; others, and empty sets, do not."""
+    fp = 0x0123456789ABCDEF
+    rows = [(10, fp, [], 9), (11, fp ^ 0xF, [], 9), (12, fp ^ 0x3F, [], 9), (13, fp, [], 9), (14, ~fp, [], 9), (0, 0, [], 0), (15, 1, [], 9)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, keys array<long>, size long")
+    found = simhash.candidates(nodes).join(nodes, "node").select("node", "component").collect()
+    assert sorted(r["node"] for r in found) == [10, 11, 12, 13] and len({r["component"] for r in found}) == 1
