@@ -19,6 +19,7 @@ from slatecast.functions.number import three_decimals
 from slatecast.functions.text import bound
 from slatecast.operators import markers as m
 from slatecast.sources.ordered import write_ordered
+from slatecast.sources.records import JsonArray, read_records, same_blocks
 
 #: The header of the detections file.
 HEADER = ("帧数", "时间码", "文本内容", "像素数量", "置信度", "类型")
@@ -78,8 +79,17 @@ def read_marker_csv(spark: SparkSession, path: str, frame: int = 0, note: int =
 
 
 def read_marker_json(spark: SparkSession, path: str, timeline: str = "t0") -> DataFrame:
-    schema = "markers array<struct<frame_id:double,color:string,name:string,note:string,duration:double,custom_data:string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("markers").alias("m"))
+    """The markers of a JSON file, or of several, each an object with an array ``markers``.
+
+    Files are read in blocks by many tasks; if one is no single object that is closed, each is read whole by one.
+    """
+    kind = "struct<frame_id:double,color:string,name:string,note:string,duration:double,custom_data:string>"
+    with same_blocks(spark):
+        records = read_records(spark, path, JsonArray("markers"))
+        if records is None:
+            rows = spark.read.schema(f"markers array<{kind}>").option("multiLine", True).json(path).select(F.explode("markers").alias("m"))
+        else:
+            rows = written(records.select(F.from_json("value", kind).alias("m")))
     return rows.select(F.lit(timeline).alias("timeline_id"), "m.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slatecast.functions.number import three_decimals
 from slatecast.operators import markers as m
-from slatecast.sources import files, ordered
+from slatecast.sources import files, ordered, records
 
 
 def test_three_decimals_of_a_million_doubles(spark):
@@ -85,3 +85,39 @@ def test_marker_json_as_python_writes_it(spark, tmp_path):
         assert [x["frame_id"] for x in listed["markers"]] == sorted(r["frame_id"] for r in some.collect())
         assert listed["total_count"] == some.count() and (listed["frame_range"] is None) == (listed["total_count"] == 0)
     assert m.FIELDS[0] == "frame_id"
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of a few bytes, so that records reach over their ends."""
+    for name, value in (("spark.sql.files.maxPartitionBytes", "37"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(name, value)
+    yield
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(name)
+
+
+def test_json_in_blocks_as_by_one_task(spark, tmp_path, small_blocks):
+    """Brackets and quotes in strings, nested values, other arrays, compact and indented files, ends with and without blanks; and files of other forms."""
+    rng = random.Random(7)
+    texts = ["plain", "}", "{", '"', "\\", '}"{', "[]", ',{"a":1}', '"markers": [', "é", ""]
+    kind = "markers array<struct<frame_id:double,color:string,name:string,note:string,duration:double,custom_data:string>>"
+    for k in range(16):
+        marks = [{"frame_id": float(n), "color": rng.choice(texts), "note": "".join(rng.choices(texts, k=3)), "custom_data": rng.choice([None, "c", {"a": [1, {"b": "}"}]}])} for n in range(rng.choice([0, 1, 12]))]
+        whole = {"total_count": len(marks), "colors": {"}": 1}, "others": [{"frame_id": 9.0}], "markers": marks, "more": [{"markers": [{"frame_id": 8.0}]}]}
+        text = json.dumps(whole, indent=rng.choice([None, 2]), ensure_ascii=False) + rng.choice(["", "\n", "  "])
+        text = {13: text[: len(text) // 2], 14: f"[{text}]", 15: text + "}"}.get(k, text)
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(text)
+        want = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("markers").alias("m")).select("m.*")
+        got = files.read_marker_json(spark, path).drop("timeline_id")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), text
+        assert k > 12 or records.read_records(spark, path, records.JsonArray("markers")) is not None
+
+
+def test_no_task_reads_a_whole_file(spark, tmp_path, small_blocks):
+    """Markers of one file come from many tasks."""
+    marks = spark.range(60).selectExpr("'t' timeline_id", "double(id) frame_id", "'Blue' color", "'n' name", "'x' note", "1D duration", "'c' custom_data")
+    back = files.read_marker_json(spark, files.write_marker_json(marks, str(tmp_path / "m.json")))
+    assert back.count() == 60 and back.select(F.spark_partition_id()).distinct().count() > 20
