@@ -19,7 +19,7 @@ from slatecast.functions.number import three_decimals
 from slatecast.functions.text import bound
 from slatecast.operators import markers as m
 from slatecast.sources.ordered import write_ordered
-from slatecast.sources.records import JsonArray, read_records, same_blocks
+from slatecast.sources.records import Csv, JsonArray, read_records, same_blocks
 
 #: The header of the detections file.
 HEADER = ("帧数", "时间码", "文本内容", "像素数量", "置信度", "类型")
@@ -60,7 +60,8 @@ def read_cube(spark: SparkSession, path: str) -> np.ndarray | list[np.ndarray]:
 def read_marker_csv(spark: SparkSession, path: str, frame: int = 0, note: int = 2, kind: int = 5, header: bool = True, timeline: str = "t0") -> DataFrame:
     """Markers of a CSV file by the numbers of its columns, with ``ok``; rows of too few fields are not counted at all.
 
-    Quoted fields may hold quotes and line ends. A missing file gives no rows.
+    Quoted fields may hold quotes and line ends. A missing file gives no rows. Files are read in blocks by many tasks;
+    if a quoted field of one goes on behind its quotes, has no end, or its lines end by single CRs, each is read whole by one.
     """
     columns = [f"c{k}" for k in range(max(frame, note, kind) + 1)]
     schema = ", ".join(f"{c} string" for c in [*columns, "_bad"])
@@ -68,7 +69,13 @@ def read_marker_csv(spark: SparkSession, path: str, frame: int = 0, note: int =
     # that their separators outside quotes can be counted
     options = {"header": header, "multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "_bad", "enforceSchema": True}
     try:
-        rows = spark.read.schema(schema).options(**options).csv(path)
+        with same_blocks(spark):
+            records = read_records(spark, path, Csv(header))
+            if records is None:
+                rows = spark.read.schema(schema).options(**options).csv(path)
+            else:
+                one = {k: v for k, v in options.items() if k not in ("header", "multiLine", "enforceSchema")}
+                rows = written(records.select(F.from_csv("value", schema, one).alias("r")).select("r.*"))
         bare = F.regexp_replace("_bad", '"([^"]|"")*"', "")
         rows = rows.where(F.col("_bad").isNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(columns) - 1))
     except Exception as error:  # noqa: BLE001

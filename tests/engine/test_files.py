@@ -97,6 +97,34 @@ def small_blocks(spark):
         spark.conf.unset(name)
 
 
+def csv_by_one_task(spark, path, header):
+    """The fields as Spark reads a file that it does not cut."""
+    options = {"header": header, "multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "_bad", "enforceSchema": True}
+    return sorted(map(repr, spark.read.schema("c0 string, c1 string, c2 string, _bad string").options(**options).csv(path).select("c0", "c1", "c2").collect()))
+
+
+def test_csv_in_blocks_as_by_one_task(spark, tmp_path, small_blocks):
+    """Quotes that open, close, stand twice or stand alone, line ends within them, CRLF, blank lines and a byte-order mark, at all places of blocks."""
+    rng, apart = random.Random(6), 0
+    for k in range(24):
+        end = rng.choice(["\n", "\r\n"])
+        alphabet = ["a", "bc", ",", ",", '"', '"', '""', end, end, " ", "é"] if k % 4 == 3 else ['"x,y"', '"q""r"', f'"l{end}m"', '"', '5" disc', "é", "", f'"{end}"']
+        fields = [rng.choice(alphabet) + ("," if rng.random() < 0.7 else end) for _ in range(rng.choice([5, 60, 200]))]
+        text = "".join(x.replace('"', "q", 1) if len(x) == 2 else x for x in fields)
+        path, header = str(tmp_path / f"{k}.csv"), bool(k % 3)
+        with open(path, "w", encoding="utf-8-sig" if k % 4 == 0 else "utf-8", newline="") as file:
+            file.write("head,er,x" + end + text)
+        with records.same_blocks(spark):
+            rows = records.read_records(spark, path, records.Csv(header))
+            if rows is None:  # it was told to be of another form
+                apart += 1
+                continue
+            parsed = rows.select(F.from_csv("value", "c0 string, c1 string, c2 string, _bad string", {"escape": '"', "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+            got = sorted(map(repr, parsed.select("r.c0", "r.c1", "r.c2").collect()))
+        assert got == csv_by_one_task(spark, path, header), text
+    assert 0 < apart < 9
+
+
 def test_json_in_blocks_as_by_one_task(spark, tmp_path, small_blocks):
     """Brackets and quotes in strings, nested values, other arrays, compact and indented files, ends with and without blanks; and files of other forms."""
     rng = random.Random(7)
@@ -117,7 +145,11 @@ def test_json_in_blocks_as_by_one_task(spark, tmp_path, small_blocks):
 
 
 def test_no_task_reads_a_whole_file(spark, tmp_path, small_blocks):
-    """Markers of one file come from many tasks."""
+    """Markers of one file, JSON or CSV, come from many tasks."""
     marks = spark.range(60).selectExpr("'t' timeline_id", "double(id) frame_id", "'Blue' color", "'n' name", "'x' note", "1D duration", "'c' custom_data")
     back = files.read_marker_json(spark, files.write_marker_json(marks, str(tmp_path / "m.json")))
     assert back.count() == 60 and back.select(F.spark_partition_id()).distinct().count() > 20
+    with open(tmp_path / "m.csv", "w") as file:
+        file.write("frame,tc,note,n,c,kind\n" + "".join(f'{k},t,"a ""note"", or\ntwo",1,0.5,VFX\n' for k in range(60)))
+    back = files.read_marker_csv(spark, str(tmp_path / "m.csv"))
+    assert [r["note"] for r in back.collect()] == ['a "note", or\ntwo'] * 60 and back.where("ok").select(F.spark_partition_id()).distinct().count() > 3
