@@ -1,10 +1,11 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from slatecast.llm import suffixes
+from slatecast.llm import queries, suffixes
 
 
 def brute(texts, length):
@@ -94,3 +95,56 @@ def test_without_repeats_keeps_columns_and_clean_texts(odd, odd_rows):
 def test_empty_table(none):
     assert suffixes.remove_repeats(none).count() == 0
     assert suffixes.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("busy", [2048, 5])
+def test_two_lengths_at_once(spark, prose, odd, odd_rows, busy):
+    """Each length by brute force, on copies, on passages that only the shorter one reaches, and on odd rows."""
+    rng = random.Random(9)
+    passage, short = prose(60), prose(40)[:58]
+    rows = [(k, prose(rng.randint(0, 30)) + (passage[rng.randint(0, 40) :] if k % 2 else short) + prose(rng.randint(0, 20))) for k in range(50)]
+    rows += [(50, rows[1][1]), (51, rows[2][1]), (52, rows[2][1]), (53, short * 3)]
+    for docs, texts in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (odd, odd_rows)):
+        got = sorted(repr((*r[:4], bytes(r["kept"]), r["rest"])) for r in suffixes.remove_repeats(docs, 64, 32, busy, passage=40).collect())
+        raw = [(r[1] or "").encode() for r in texts]
+        rest = [x[3].decode("utf-8", "ignore") for x in brute(raw, 40)]
+        same = got == sorted(repr((r[0], *x, y)) for r, x, y in zip(texts, brute(raw, 64), rest, strict=True))
+        assert same
+
+
+def test_two_lengths_in_texts_longer_than_a_piece(prose, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 1000)
+    texts = [prose(900).encode(), prose(3).encode()[:30], prose(300).encode()[:1035], prose(300).encode()[:1050]]
+    found = suffixes.Anchors((48, 40), 32).find(texts)
+    for length in (40, 48):
+        starts = [[] for _ in texts]
+        for k, start, more, of in zip(*(found[c].tolist() for c in ("text", "start", "more", "length")), strict=True):
+            if of == length:
+                starts[k] += range(start, start + more + 1)
+        assert [sorted(x) for x in starts] == [list(range(len(t) - length + 1)) for t in texts]
+
+
+def test_passages_of_over_fifty_words(spark, prose, tmp_path):
+    """A passage under 400 bytes that two texts share goes from ``text``, while the contract's columns leave it."""
+    passage = " ".join(w[:5] for w in prose(400).split() if len(w) > 3)
+    passage = " ".join(passage.split()[:55])
+    assert 300 < len(passage.encode()) < 400
+    texts = [f"{prose(40)} {passage} {prose(30)}", f"{prose(10)} {passage} {prose(90)}", prose(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    done = {r["doc_id"]: r for r in queries.op9_suffixes(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        assert (done[k]["n_bytes"], done[k]["n_removed"], done[k]["n_spans"], done[k]["kept_sha256"]) == (len(raw), 0, 0, hashlib.sha256(raw).hexdigest())
+        assert done[k]["kept_text"] == text
+        assert done[k]["text"] == brute([t.encode() for t in texts], 256)[k][3].decode()
+    assert passage not in done[0]["text"] + done[1]["text"] and done[2]["text"] == texts[2]
+
+
+def test_equal_forms_are_not_cut_out_but_told_apart_by_digests(spark, prose):
+    """Of a gram that stands in one form only, digests cross the network, and nothing is put in order."""
+    text = prose(120)
+    docs = spark.createDataFrame([(0, text), (1, text), (2, prose(80))], "doc_id long, text string")
+    check(docs, docs.collect(), 64, 40, 2048)
+    forms = [r for r in spark.createDataFrame([(1, 2, text.encode(), [(5 << 24 | 7, 1, 2, 64, False, a, False, True) for a in (True, False)])], "k1 long, k2 long, text binary, forms array<struct<place: long, gram: long, form: long, length: int, once: boolean, alone: boolean, busy: boolean, first: boolean>>").transform(suffixes._cut).collect()]
+    part = text.encode()[5 : 5 + 64 + 7]
+    assert [bytes(r["bytes"]) for r in sorted(forms, key=lambda r: not r["alone"])] == [hashlib.sha256(part).digest(), part]
